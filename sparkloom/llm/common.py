@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,11 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives a lost executor.
+
+    The shuffle files that made it are of no more use; collecting the driver's garbage lets Spark remove them.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

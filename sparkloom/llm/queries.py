@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idfile, langid, media, neardup, packing
+from . import idfile, langid, media, neardup, packing, suffix
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read_ids(idfile.write_ids(table(spark, sf_dir, "documents"), tokenizer(), end_id=2))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=0)
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neardup": op4_neardup,
     "op5_media": op5_media,
     "op6_idfile": op6_idfile,
+    "op9_suffix": op9_suffix,
     "op10_packing": op10_packing,
 }
 
