@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -37,6 +38,7 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     del df
     gc.collect()
+    time.sleep(0.3)  # the JVM hears of dropped references a little later
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
