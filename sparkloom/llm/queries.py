@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, idfile, langid, media, neardup, packing, suffix
+from . import ann, htmltext, idfile, langid, lines, media, neardup, packing, pieces, suffix
 from .common import table
 
 
@@ -41,6 +41,14 @@ def op6_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read_ids(idfile.write_ids(table(spark, sf_dir, "documents"), tokenizer(), end_id=2))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), seed=1, dropout=0.1)
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neardup": op4_neardup,
     "op5_media": op5_media,
     "op6_idfile": op6_idfile,
+    "op7_pieces": op7_pieces,
+    "op8_lines": op8_lines,
     "op9_suffix": op9_suffix,
     "op10_packing": op10_packing,
 }
