@@ -93,3 +93,17 @@ def running_start(df: DataFrame, value: Column | str, order: str, out: str, buck
         .withColumn(out, F.col("_sl_base") + F.col("_sl_w"))
         .drop("_sl_b", "_sl_v", "_sl_w", "_sl_base")
     )
+
+
+def replace_texts(b: pa.RecordBatch, texts: list[str | None], keep: list[bool], leave_out: str) -> pa.RecordBatch:
+    """The batch with new texts (and n_chars, where there is such a column), without the rows and the column left out."""
+    cols, names = [], []
+    for name, col in zip(b.schema.names, b.columns):
+        if name == "text":
+            col = pa.array(texts, col.type)
+        elif name == "n_chars" and pa.types.is_integer(col.type):
+            col = pa.array([None if t is None else len(t) for t in texts], col.type)
+        if name != leave_out:
+            cols.append(col)
+            names.append(name)
+    return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))

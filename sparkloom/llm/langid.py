@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -213,7 +214,7 @@ class _Scorer:
 _scorers: dict[str, _Scorer] = {}
 
 
-def _predicter(model):
+def _predicter(model, out: tuple[str, str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         if m.key not in _scorers:
@@ -228,7 +229,7 @@ def _predicter(model):
             lang = [m.langs[k] if c else "und" for k, c in zip(best, n)]
             keep = [b.column(k) for k in range(b.num_columns) if b.schema.names[k] != "_sl_text"]
             names = [x for x in b.schema.names if x != "_sl_text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(np.where(n > 0, p, 0.0))], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(np.where(n > 0, p, 0.0))], names=[*names, *out])
 
     return predict
 
@@ -249,7 +250,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     if model is None:
         out = rows.select("_sl_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     else:
-        out = rows.mapInArrow(_predicter(docs.sparkSession.sparkContext.broadcast(model)), "_sl_id long, lang_pred string, score double")
+        out = rows.mapInArrow(_predicter(docs.sparkSession.sparkContext.broadcast(model), ("lang_pred", "score")), "_sl_id long, lang_pred string, score double")
     return out.withColumnRenamed("_sl_id", id_col)
 
 
@@ -260,3 +261,15 @@ def held_out_predictions(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learnt from documents whose crc32 leaves another remainder than 1."""
     model = train(docs, vocabulary_file, ~F.expr(HELD_OUT))
     return predict(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, vocabulary_file: str, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is found with a score of `least` or more, `lang` set to it; `und` goes."""
+    model = train(docs.select("doc_id", "text", "lang"), vocabulary_file)
+    if model is None:
+        return docs.limit(0)
+    rows = docs.withColumn("_sl_text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_sl_lang", T.StringType()), T.StructField("_sl_score", T.DoubleType())])
+    found = rows.mapInArrow(_predicter(docs.sparkSession.sparkContext.broadcast(model), ("_sl_lang", "_sl_score")), schema)
+    good = found.where((F.col("_sl_lang") != "und") & (F.col("_sl_score") >= least))
+    return good.withColumn("lang", F.col("_sl_lang")).select(docs.columns)

@@ -35,8 +35,8 @@ from .shingles import common, shingle_sets
 TREES, BRANCH, LEVELS = 4, 2, 4
 COORDS = TREES * BRANCH * LEVELS
 LEAF, PIVOTS, BLOCK = 64, 8, 256
-#: Of COORDS tokens, pairs at 0.85 share fewer than this with a probability below 10^-6.
-SHARED = 16
+#: Of COORDS tokens, pairs at 0.8 share fewer than this with a probability below 10^-6.
+SHARED = 14
 _RNG = np.random.Generator(np.random.PCG64(77))
 _XOR = _RNG.integers(1 << 63, size=COORDS, dtype=np.uint64)
 _MUL = _RNG.integers(1 << 62, size=COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

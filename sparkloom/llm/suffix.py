@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SPAN, WIN, Hashes, anchors
-from .common import materialise, slices, utf8
+from .common import materialise, replace_texts, slices, utf8
 from .neardup import groups
 
 CLASSES = ((0, 17), (18, 35), (36, 52), (53, SPAN))
@@ -287,7 +287,7 @@ def cut(data: bytes, s: np.ndarray, e: np.ndarray) -> tuple[bytes, int, int]:
 
 def _lists(b: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     raw, off = utf8(b.column("text"))
-    for k, spans_ in enumerate(b.column("spans")):
+    for k, spans_ in enumerate(b.column("_sl_spans")):
         data = raw[off[k] : off[k + 1]].tobytes()
         v = spans_.values if spans_.is_valid else None
         none = np.zeros(0, np.int64)
@@ -295,9 +295,9 @@ def _lists(b: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs and `spans`, the list of repeated stretches (null: none)."""
-    found = repeated_spans(docs.select("doc_id", "text"))
-    return docs.join(found.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "doc_id", "left")
+    """docs and `_sl_spans`, the list of repeated stretches (null: none)."""
+    found = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return docs.join(found.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("_sl_spans")), "doc_id", "left")
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -316,3 +316,18 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return with_spans(docs).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text", 1 << 22):
+        texts, keep = [], []
+        for old, (data, s, e) in zip(b.column("text"), _lists(b)):
+            kept = cut(data, s, e)[0] if len(s) else data
+            texts.append(kept.decode("utf-8", "ignore") if old.is_valid else None)
+            keep.append(not len(s) or bool(kept.strip()))
+        yield replace_texts(b, texts, keep, "_sl_spans")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated bytes taken out of text (a character cut apart goes whole); rows that lose all they had go."""
+    return with_spans(docs).mapInArrow(_cleaned, docs.schema)
