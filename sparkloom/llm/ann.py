@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .neardup import groups
 
-SAMPLE, PARTS, NEIGHBOURS = 8192, 32, 10
+SAMPLE, PARTS, NEIGHBOURS = 4096, 32, 10
 HIDDEN, EPOCHS, RATE = 128, 30, 3e-3
 TARGET = 0.98
 ROWS, QUERIES = 20_000, 4_000  # of a block
@@ -38,8 +38,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row, by cosine."""
     out = []
-    for s in range(0, len(x), 1024):
-        near = x[s : s + 1024] @ x.T
+    for s in range(0, len(x), 256):  # small blocks: this runs on the driver
+        near = x[s : s + 256] @ x.T
         near[np.arange(len(near)), np.arange(s, s + len(near))] = -2
         out.append(np.argsort(-near, axis=1, kind="stable")[:, :k])
     return np.concatenate(out)
@@ -123,8 +123,10 @@ class Index:
         self.router = Router(x, target / target.sum(axis=1, keepdims=True))
         order = self.router.order(x, self.parts)
         where = order[graph[:, :k], 0]  # the part each near neighbour is indexed under
+        reached = np.zeros(where.shape, bool)
         for self.probes in range(1, self.parts + 1):
-            if (where[:, :, None] == order[:, None, : self.probes]).any(axis=2).mean() >= TARGET:
+            reached |= where == order[:, self.probes - 1, None]
+            if reached.mean() >= TARGET:
                 break
 
 
@@ -185,12 +187,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("q"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     rows = rows.where(x.isNotNull() & F.col("id").isNotNull() & F.forall(x, finite) & F.exists(x, lambda v: v != 0))
-    sample = rows.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
-    sizes = [len(r["vec"]) for r in sample]
-    if len(sample) < 1:
+    sample = rows.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toArrow()["vec"].combine_chunks()
+    sizes = np.diff(sample.offsets.to_numpy()).tolist()
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    sample = np.array([r["vec"] for r in sample if len(r["vec"]) == dim], np.float64)
+    sample = np.array([v.values.to_numpy() for v, n in zip(sample, sizes) if n == dim], np.float64)
     if len(sample) < 3:  # nothing to learn from: one part
         sample = np.concatenate([sample, np.eye(3, dim) if dim >= 3 else np.ones((3, dim)) * np.array([[1], [2], [3]])])
     rows = rows.where(F.size("vec") == dim)
