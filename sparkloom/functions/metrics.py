@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import _c, index_tokens, metric_tokens, strip
 
@@ -104,7 +105,7 @@ def meteor_exact(prediction: list[str], reference: list[str]) -> float:
     return p * r / (0.9 * p + 0.1 * r) * (1 - 0.5 * (chunks / len(match)) ** 3)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def meteor(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for p, r in rows:
         yield pd.Series([meteor_exact((a or "").lower().split(), (b or "").lower().split()) for a, b in zip(p, r)])
