@@ -114,7 +114,7 @@ def answer_pick(x: Column | str) -> Column:
     body = unfenced(x)
     ok = F.try_parse_json(body).isNotNull()
     values = F.map_values(F.from_json(body, "map<string,string>"))
-    named = F.coalesce(*[F.get_json_object(body, f"$.{k}") for k in ANSWER_FIELDS], values[0])
+    named = F.coalesce(*[F.get_json_object(body, f"$.{k}") for k in ANSWER_FIELDS], F.get(values, F.lit(0)))
     return F.when(ok & body.startswith("{"), F.when(F.coalesce(named, F.lit("")) != "", named).otherwise(body)).when(ok, body).otherwise(strip(x))
 
 
