@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -38,9 +37,18 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     del df
     gc.collect()
-    time.sleep(0.3)  # the JVM hears of dropped references a little later
+    spark.range(1).count()  # the JVM lets go of the last query when another has run
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.sl_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove a table of materialise() that nothing to come reads any more: what was made of it is written itself."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.sl_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,8 +9,8 @@ How work stays bounded whatever the groups are:
 - equal sets collapse first to their smallest doc_id;
 - inside a leaf the tokens (not the texts) form clusters, equal clusters of different nodes collapse, and only clusters
   of two or more meet their texts, where every link is confirmed on full sets; a cluster yields a spanning star;
-- a large node first meets `PIVOTS` pivots, which joins groups of near copies in linear work; nodes that lie in one
-  component need nothing more, others branch on;
+- a large node is first looked at in chunks of `BLOCK` documents, each with the node's `PIVOTS` pivots, which joins
+  groups of near copies in linear work; nodes that lie in one component need nothing more, others branch on;
 - nodes still large after `LEVELS` levels are compared in full, block by block: exact, nothing is dropped.
 
 Null or empty texts have the empty set and link with nothing. Ties don't occur: ids are unique; rows that repeat an id
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices
 from .graph import components
-from .shingles import common, shingle_sets
+from .shingles import shingle_sets
 
 TREES, BRANCH, LEVELS = 4, 2, 4
 COORDS = TREES * BRANCH * LEVELS
-LEAF, PIVOTS, BLOCK = 64, 8, 256
+LEAF, PIVOTS, BLOCK = 1024, 8, 512
 #: Of COORDS tokens, pairs at 0.8 share fewer than this with a probability below 10^-6.
 SHARED = 14
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -61,36 +62,56 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, schema=_SKETCH)
 
 
-def _stars(n: int, linked) -> list[tuple[int, int]]:
-    """(root, member) of the components of 0..n-1; linked(i, j) is only asked for pairs not yet connected."""
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(n):
-        for j in range(i + 1, n):
-            a, b = find(i), find(j)
-            if a != b and linked(i, j):
-                root[max(a, b)] = min(a, b)
-    return [(find(i), i) for i in range(n)]
-
-
 def _clusters(ids: np.ndarray, tokens: np.ndarray) -> list[list[int]]:
     """Documents joined by pairs that share enough tokens, as sorted lists of ids."""
     order = np.argsort(ids)
     ids, tokens = ids[order], tokens[order]
-    near = np.zeros((len(ids), len(ids)), np.int16)
-    for c in range(COORDS):
-        near += tokens[:, c, None] == tokens[None, :, c]
-    near = near >= SHARED
-    found: dict[int, list[int]] = {}
-    for r, i in _stars(len(ids), lambda i, j: near[i, j]):
-        found.setdefault(r, []).append(int(ids[i]))
-    return [x for x in found.values() if len(x) > 1]
+    found, free = [], np.ones(len(ids), bool)
+    for i in range(len(ids)):
+        if free[i]:
+            free[i] = False
+            member, todo = [i], [i]
+            while todo and free.any():
+                j = todo.pop()
+                near = np.flatnonzero(free & ((tokens == tokens[j]).sum(axis=1) >= SHARED))
+                free[near] = False
+                member += near.tolist()
+                todo += near.tolist()
+            if len(member) > 1:
+                found.append(ids[np.sort(member)].tolist())
+    return found
+
+
+def link_stars(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(least member, member) for the components of the exact link graph among sets: one set meets all others at once."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    to = np.concatenate([[0], np.cumsum(size)])
+    has = np.zeros(int(code.max()) + 1, bool)
+    free, out = np.ones(n, bool), []
+    for i in range(n):
+        if not free[i]:
+            continue
+        free[i] = False
+        todo = [i]
+        while todo and free.any():
+            j = todo.pop()
+            mine = code[to[j] : to[j + 1]]
+            has[mine] = True
+            left = np.flatnonzero(free & (100 * np.minimum(size, size[j]) >= percent * np.maximum(size, size[j])))
+            if len(left):
+                if 2 * len(left) < n:
+                    take = np.concatenate([code[to[k] : to[k + 1]] for k in left.tolist()])
+                    both = np.add.reduceat(has[take].astype(np.int64), np.cumsum(size[left]) - size[left])
+                else:
+                    both = np.add.reduceat(has[code].astype(np.int64), to[:-1])[left]
+                near = left[100 * both >= percent * (size[left] + size[j] - both)]
+                free[near] = False
+                todo += near.tolist()
+                out += [(i, k) for k in near.tolist()]
+            has[mine] = False
+    return out
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +145,9 @@ def _confirmer(percent: int):
         us, vs = [], []
         for _, rows in groups(slices(batches, "text", 1 << 21), "gid", lambda b: list(zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"))))):
             rows.sort(key=lambda r: r[0])
-
-            def linked(i: int, j: int) -> bool:
-                a, b = rows[i][1], rows[j][1]
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    return False
-                both = common(a, b)
-                return 100 * both >= percent * (len(a) + len(b) - both)
-
-            for r, i in _stars(len(rows), linked):
-                if r != i:
-                    us.append(rows[r][0])
-                    vs.append(rows[i][0])
+            for r, i in link_stars([x for _, x in rows], percent):
+                us.append(rows[r][0])
+                vs.append(rows[i][0])
             if len(us) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=_EDGE)
                 us, vs = [], []
@@ -146,20 +158,18 @@ def _confirmer(percent: int):
 
 def _confirm(clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Edges of clusters (lists of at most a leaf's documents), each link confirmed on the full sets."""
-    one = clusters.distinct().withColumn("gid", F.xxhash64("cluster"))
+    one = clusters.withColumn("gid", F.xxhash64("cluster"))
     rows = one.select("gid", F.explode("cluster").alias("doc_id")).join(docs, "doc_id")
     return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_confirmer(percent), "u long, v long")
 
 
-def _pivoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (pivot, document) that share enough tokens, as clusters of two."""
-    for b in batches:
-        out = []
-        for doc, sketch, pivots in zip(b.column("doc_id").to_pylist(), b.column("sketch"), b.column("pivots")):
-            tokens, rows = sketch.values.to_numpy(), pivots.values
-            near = (rows.field("sketch").flatten().to_numpy().reshape(-1, COORDS) == tokens).sum(axis=1) >= SHARED
-            out += [sorted((doc, p)) for p in rows.field("doc_id").to_numpy()[near].tolist() if p != doc]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["cluster"])
+def _chunks(large: DataFrame) -> DataFrame:
+    """Clusters of large nodes: their documents in chunks, each with the node's pivots."""
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    seats = large.select("node", "doc_id", n.alias("n"))
+    pivots = seats.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))).groupBy("node", "p").agg(F.min_by("doc_id", F.xxhash64("doc_id", "node")).alias("x")).groupBy("node").agg(F.collect_list("x").alias("pivots"))
+    chunks = seats.groupBy("node", F.pmod(F.xxhash64("doc_id", F.lit(1)), "n").alias("chunk")).agg(F.collect_list("doc_id").alias("ids"))
+    return chunks.join(pivots, "node").select(F.array_sort(F.array_union("ids", "pivots")).alias("cluster"))
 
 
 def _branch(rows: DataFrame, level: int) -> DataFrame:
@@ -178,61 +188,44 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "node")
 
 
-def _leaf_clusters(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Clusters of small nodes; nodes with equal members are looked at once."""
-    lists = rows.groupBy("node").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).select("ids").distinct()
-    members = lists.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("doc_id")).join(sketches, "doc_id")
-    return members.groupBy("gid").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).select("members").mapInArrow(_leaves, "cluster array<bigint>").distinct()
+def _leaf_clusters(rows: DataFrame) -> DataFrame:
+    """Clusters of small nodes; equal clusters of several nodes are kept once."""
+    members = rows.groupBy("node").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).select("members")
+    return members.mapInArrow(_leaves, "cluster array<bigint>").distinct()
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """Clusters of nodes that stayed large: all pairs of their blocks."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    dealt = rows.withColumn("n", n).withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pairs = dealt.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("gid"), "doc_id", "sketch")
-    return pairs.repartition("gid").sortWithinPartitions("gid").mapInArrow(_block, "cluster array<bigint>")
-
-
-def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(b: pa.RecordBatch) -> list:
-        return list(zip(b.column("doc_id").to_pylist(), b.column("sketch").flatten().to_numpy().reshape(-1, COORDS)))
-
-    for _, held in groups(batches, "gid", rows):
-        ids, tokens = np.array([h[0] for h in held]), np.stack([h[1] for h in held])
-        near = np.zeros((len(ids), len(ids)), np.int16)
-        for c in range(COORDS):
-            near += tokens[:, c, None] == tokens[None, :, c]
-        pairs = [sorted((int(ids[i]), int(ids[j]))) for i, j in zip(*np.nonzero(np.triu(near >= SHARED, 1)))]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.list_(pa.int64()))], names=["cluster"])
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    dealt = rows.select("node", "doc_id", n.alias("n")).withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pairs = dealt.groupBy("node", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y")).agg(F.array_sort(F.collect_list("doc_id")).alias("cluster"))
+    return pairs.select("cluster")
 
 
 def links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """(v, c): the component of every document that links with another; None if there are none."""
     level = materialise(_sized(_branch(sketches, 0)), "nodes")
-    edges = materialise(_confirm(_leaf_clusters(level.where(F.col("size") <= LEAF), sketches), docs, percent), "links")
+    small = [level.where(F.col("size") <= LEAF)]
     large = level.where(F.col("size") > LEAF)
-    labels = None
-    for depth in range(1, LEVELS + 1):
-        if large.isEmpty():
-            break
-        if depth == 1:
-            first = F.min_by(F.struct("doc_id", "sketch"), F.xxhash64("node", "doc_id"))
-            picks = large.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))).groupBy("node", "p").agg(first.alias("x")).groupBy("node").agg(F.collect_list("x").alias("pivots"))
-            met = large.join(picks, "node").select("doc_id", "sketch", "pivots").mapInArrow(_pivoted, "cluster array<bigint>")
-            edges = edges.unionByName(materialise(_confirm(met, docs, percent), "links"))
+    edges = blocks = None
+    if not large.isEmpty():
+        edges = materialise(_confirm(_chunks(large), docs, percent), "links")
         labels = components(edges)
         of = large.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
         mixed = of.groupBy("node").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("node")
         large = materialise(large.join(mixed, "node", "left_semi"), "nodes")
-        if large.isEmpty():
-            return labels
-        if depth == LEVELS:
-            edges = edges.unionByName(materialise(_confirm(_blocks(large), docs, percent), "links"))
-            return components(edges)
-        level = materialise(_sized(_branch(large, depth)), "nodes")
-        edges = edges.unionByName(materialise(_confirm(_leaf_clusters(level.where(F.col("size") <= LEAF), sketches), docs, percent), "links"))
-        large = level.where(F.col("size") > LEAF)
+        for depth in range(1, LEVELS):
+            if large.isEmpty():
+                break
+            level = materialise(_sized(_branch(large, depth)), "nodes")
+            small.append(level.where(F.col("size") <= LEAF))
+            large = level.where(F.col("size") > LEAF)
+        if not large.isEmpty():
+            blocks = _blocks(large)
+    clusters = _leaf_clusters(reduce(DataFrame.unionByName, small))
+    found = materialise(_confirm(clusters if blocks is None else clusters.unionByName(blocks), docs, percent), "links")
+    edges = found if edges is None else found.unionByName(edges)
     return components(edges) if not edges.isEmpty() else None
 
 
