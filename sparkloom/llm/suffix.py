@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SPAN, WIN, Hashes, anchors
-from .common import materialise, replace_texts, slices, utf8
+from .common import materialise, release, replace_texts, slices, utf8
 from .neardup import groups
 
 CLASSES = ((0, 17), (18, 35), (36, 52), (53, SPAN))
 HOT = 4096  # different regions of one core that a shard takes
-SHARD = 20_000  # regions of a shard
+SHARD = 4_000  # regions of a shard
 PIECE = 1 << 20  # bytes of a suffix array
 
 
@@ -251,15 +251,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     firsts = repeated.groupBy("a", "r").agg(F.min(key("pos")).alias("f"))
     told = repeated.join(firsts, ["a", "r"]).withColumn("late", key("pos") != F.col("f"))
     told = materialise(told.where("late or mixed").select("doc_id", "pos", "late"), "told")
+    release(repeated)
     copies = told.where("late").select("doc_id", F.greatest(F.col("pos") - SPAN, F.lit(0)).alias("s"), (F.col("pos") + WIN).alias("e"))
 
     open_ = told.where("not late").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
     regions = materialise(docs.join(open_, "doc_id").mapInArrow(_regions, "core long, r long, doc_id long, s long, bytes binary"), "regions")
-    seen = regions.select("core", "r", "doc_id", "s").groupBy("core", "r").agg(F.min(key("s")).alias("f"))
+    seen = regions.select("core", "r", "doc_id", "s").groupBy("core", "r").agg(F.min(key("s")).alias("f"), F.count("*").alias("copies"))
     cores = seen.groupBy("core").agg(F.count("*").alias("n"))
-    # equal regions of a class: later ones go as a whole
-    same = regions.join(seen, ["core", "r"]).withColumn("late", key("s") != F.col("f"))
-    left = materialise(same.join(cores, "core").where("late or n > 1").select("core", "doc_id", "s", "n", "late", F.length("bytes").alias("len"), F.when(~F.col("late"), F.col("bytes")).alias("bytes")), "cores")
+    told = seen.join(cores, "core").where("n > 1 OR copies > 1").select("core", "r", "f", "n")
+    # equal regions of a class: later ones go as a whole; the bytes are shuffled once
+    same = regions.join(told, ["core", "r"]).withColumn("late", key("s") != F.col("f"))
+    left = materialise(same.where("late or n > 1").select("core", "doc_id", "s", "n", "late", F.length("bytes").alias("len"), F.when(~F.col("late"), F.col("bytes")).alias("bytes")), "cores")
+    release(regions)
     later = left.where("late").select("doc_id", "s", (F.col("s") + F.col("len")).alias("e"))
 
     plain = left.where((~F.col("late")) & (F.col("n") <= HOT))
