@@ -12,6 +12,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once: a lambda's variable is a value, an expression repeated in f would run again."""
+    return F.transform(F.array(x), lambda v: f(v))[0]
+
+
 def strip(x: Column | str) -> Column:
     """Trim white space of any kind, not spaces alone."""
     return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
@@ -48,9 +53,12 @@ def note_document(content: Column | str, context: Column | str, keywords: Column
 
 def top_terms(x: Column | str, n: int) -> Column:
     """The n most frequent lower-cased index tokens, ties by name."""
-    words = index_tokens(F.lower(_c(x)))
-    counted = F.transform(F.array_distinct(words), lambda t: F.struct((-F.size(F.filter(words, lambda w: w == t))).alias("n"), t.alias("t")))
-    return F.transform(F.slice(F.array_sort(counted), 1, n), lambda s: s["t"])
+
+    def best(words: Column) -> Column:
+        counted = F.transform(F.array_distinct(words), lambda t: F.struct((-F.size(F.filter(words, lambda w: w == t))).alias("n"), t.alias("t")))
+        return F.transform(F.slice(F.array_sort(counted), 1, n), lambda s: s["t"])
+
+    return let(index_tokens(F.lower(_c(x))), best)
 
 
 def first_sentence(x: Column | str) -> Column:
@@ -59,12 +67,12 @@ def first_sentence(x: Column | str) -> Column:
 
 def hash_embedding(x: Column | str, dims: int = 16) -> Column:
     """The offline embedder: how many index tokens fall to each of 16 buckets, by the first hex digit of their md5."""
-    hexes = F.transform(index_tokens(x), lambda t: F.substring(F.md5(t), 1, 1))
 
-    def count(digit: str) -> Column:
+    def count(hexes: Column, digit: str) -> Column:
         return F.size(F.filter(hexes, lambda h: h == digit)).cast("double")
 
-    return F.array(*[count(d) for d in "0123456789abcdef"[:dims]])
+    hexes = F.transform(index_tokens(x), lambda t: F.substring(F.md5(t), 1, 1))
+    return let(hexes, lambda h: F.array(*[count(h, d) for d in "0123456789abcdef"[:dims]]))
 
 
 # -- replies ---------------------------------------------------------------------------------------------------------
