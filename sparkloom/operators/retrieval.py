@@ -81,17 +81,20 @@ def graph_traversal(queries: DataFrame, docs: DataFrame, nodes: DataFrame, edges
 
 
 def _level_top(queries: DataFrame, nodes: DataFrame, keys: list[str], level: str, k: int, within: DataFrame | None) -> DataFrame:
+    """The k best nodes of a level for each query, of those in `within` if given: candidates first, vectors after.
+    Only ids and scores are ranked."""
     found = nodes.where(F.col("level") == level).select(*keys, "node_id", "node_seq", F.col("vec").alias("n_vec"))
-    pairs = queries.select(*keys, "query_id", "vec").join(found, keys)
-    if within is not None:
-        pairs = pairs.join(within, [*keys, "query_id", "node_id"], "left_semi")
-    return top_k(pairs.withColumn("score", F.round(cosine("vec", "n_vec"), 9)), [*keys, "query_id"], "score", "node_seq", k)
+    asked = queries.select(*keys, "query_id", "vec")
+    pairs = asked.join(found, keys) if within is None else asked.join(within, [*keys, "query_id"]).join(found, [*keys, "node_id"])
+    scored = pairs.select(*keys, "query_id", "node_id", "node_seq", F.round(cosine("vec", "n_vec"), 9).alias("score"))
+    return top_k(scored, [*keys, "query_id"], "score", "node_seq", k)
 
 
-def _enriched(queries: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+def _enriched(queries: DataFrame, chosen: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """The query's vector plus those of what was chosen: what re-embedding query and contents comes to with an additive
     embedder."""
     dims = F.col("vec")
+    chosen = chosen.select(*keys, "query_id", "node_id", "rank").join(nodes.select(*keys, "node_id", F.col("vec").alias("n_vec")), [*keys, "node_id"])
     lists = chosen.groupBy(*keys, "query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "n_vec"))).alias("vs"))
     add = F.aggregate("vs", dims.cast("array<double>"), lambda a, s: F.zip_with(a, s["n_vec"].cast("array<double>"), lambda x, y: x + y))
     return queries.join(lists, [*keys, "query_id"]).select(*[c for c in queries.columns if c != "vec"], add.alias("vec"))
@@ -110,7 +113,7 @@ def level_walk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, keys: lis
         if stage < len(order):
             links = edges.where("type = 'contains'").select(*keys, F.col("src" if down else "dst").alias("node_id"), F.col("dst" if down else "src").alias("next"))
             within = best.select(*keys, "query_id", "node_id").join(links, [*keys, "node_id"]).select(*keys, "query_id", F.col("next").alias("node_id")).distinct()
-            queries = _enriched(queries, best, keys)
+            queries = _enriched(queries, best, nodes, keys)
     return out
 
 
