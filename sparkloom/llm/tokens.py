@@ -55,13 +55,13 @@ class Encoder:
         self.used += total
         self.index.update(zip(words, range(n0, n1)))
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], sizes: np.ndarray) -> None:
         """Words that follow a lone space: encoded in runs, cut again by the bytes each id stands for."""
-        for k in range(0, len(words), 4096):
-            run = words[k : k + 4096]
+        for k in range(0, len(words), 2048):
+            run = words[k : k + 2048]
             joined = [" " + " ".join(run)]
             ids = np.array(self.lib.encode_batch_fast(joined, add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in run), np.int64, len(run)))
+            ends = np.cumsum(sizes[k : k + 2048] + 1)
             at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             self._keep(run, ids, np.diff(at, prepend=0))
 
@@ -95,11 +95,11 @@ class Encoder:
         seen = np.zeros(len(names), bool)
         seen[code[rest]] = True
         get = self.index.get
-        place = np.fromiter((get(w, -1) for w in names), np.int64, len(names))
+        place = np.array([get(w, -1) for w in names], np.int64)
         new = np.flatnonzero(seen & (place < 0))
         if len(new):
             n0 = len(self.index)
-            self._learn([names[k] for k in new])
+            self._learn([names[k] for k in new.tolist()], pc.binary_length(coded.dictionary).to_numpy()[new].astype(np.int64))
             place[new] = np.arange(n0, n0 + len(new))
         heads = [names[k] for k in code[first]]
         if missing := [h for h in dict.fromkeys(heads) if " " + h not in self.index]:
