@@ -1,0 +1,61 @@
+"""python -m sparkloom extract|delete|clean|inspect: the tools for result logs and stored graphs."""
+
+from __future__ import annotations
+
+import argparse
+
+from pyspark.sql import functions as F
+
+from sparkloom.functions.text import preview
+from sparkloom.operators import graph
+from sparkloom.session import session
+from sparkloom.sources import graph_store, results
+
+
+def _parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="sparkloom", description=__doc__)
+    p.add_argument("--master")
+    sub = p.add_subparsers(dest="command", required=True)
+    e = sub.add_parser("extract", help="flatten a result log to CSV or JSON lines")
+    e.add_argument("log")
+    e.add_argument("out")
+    e.add_argument("--category", type=int)
+    e.add_argument("--format", choices=["csv", "jsonl"], default="csv")
+    d = sub.add_parser("delete", help="delete results of samples and categories; the old log is kept as a backup")
+    d.add_argument("log")
+    d.add_argument("--samples", nargs="+")
+    d.add_argument("--categories", nargs="+", type=int)
+    c = sub.add_parser("clean", help="write the graph without some levels to another folder")
+    c.add_argument("graph")
+    c.add_argument("out")
+    c.add_argument("--levels", nargs="+", default=["scene", "persona"])
+    i = sub.add_parser("inspect", help="count and list the nodes of a graph")
+    i.add_argument("graph")
+    i.add_argument("--all", action="store_true", help="list every node, not the first five of a level")
+    return p
+
+
+def main(argv: list[str] | None = None) -> None:
+    args = _parser().parse_args(argv)
+    if args.command == "delete" and args.samples is None and args.categories is None:
+        raise SystemExit("delete needs --samples or --categories")
+    spark = session(args.master)
+    if args.command == "extract":
+        results.export(results.results(results.read_log(spark, args.log)), args.out, args.format, args.category)
+    elif args.command == "delete":
+        print("backup:", results.rewrite(spark, args.log, args.samples, args.categories))
+    elif args.command == "clean":
+        keys = ["sample_id"]
+        nodes, edges = graph.without_levels(graph_store.load(spark, args.graph, "nodes"), graph_store.load(spark, args.graph, "edges"), keys, tuple(args.levels))
+        graph_store.append(nodes, args.out, "nodes")
+        graph_store.append(edges, args.out, "edges")
+    else:
+        nodes = graph_store.load(spark, args.graph, "nodes")
+        nodes.groupBy("level").agg(F.count("*").alias("n")).orderBy("level").show(truncate=False)
+        for level in ("persona", "scene", "fact"):
+            some = nodes.where(F.col("level") == level).orderBy(F.coalesce("timestamp", F.lit("")), "sample_id", "node_seq").select("sample_id", "node_seq", preview("content").alias("content"))
+            some.show(1_000_000 if args.all else 5, truncate=False)
+
+
+if __name__ == "__main__":
+    main()
