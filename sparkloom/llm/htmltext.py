@@ -65,6 +65,8 @@ def _excluded(tag: str, names: dict[str, str], inside: bool) -> bool:
     if names.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
         return True
     words = {w.lower() for w in _SPLIT.split(f"{names.get('class', '')} {names.get('id', '')}") if w}
+    if words & {"with", "has", "no", "without"}:  # "has-sidebar" tells what lies beside
+        return False
     return bool(words & _WORDS) and tag not in ("html", "body", "main") or ("header" in words and not inside and tag not in ("html", "body", "h1", "h2"))
 
 
