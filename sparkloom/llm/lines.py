@@ -1,10 +1,11 @@
 """Line dedup by a log-template tree.
 
 A line's tokens are its words, lower-cased, with those that hold a digit made variable. The tree has a fixed depth:
-token count, then the first `DEPTH` tokens; a leaf with over `WIDE` different lines grows one more level of `DEPTH`
-tokens. Inside a leaf, lines in order of frequency join the template they agree with on `ALIKE` of the tokens or more
-(places that differ become variable) or found a new one. Templates found in `MIN_DOCS` documents or more recur: their lines
-are dropped from every document but the first (smallest doc_id).
+token count, then the first `DEPTH` tokens. Inside a leaf, lines in order of frequency join the template they agree with
+on `ALIKE` of the tokens or more (places that differ become variable) or found a new one. A leaf with over `WIDE`
+different lines is clustered in parts of some `WIDE` lines; then all its parts' templates, in order of frequency, join one
+another by the same rule. Templates found in `MIN_DOCS` documents or more recur: their lines are dropped from every
+document but the first (smallest doc_id).
 
 Lines are counted before anything is compared, so a line that a third of all documents hold is one row. Only leaves
 with `MIN_DOCS` lines or more are opened. Null and empty texts have no line; blank lines stay; ties among templates go to the
@@ -14,6 +15,7 @@ older one. A document may lose all lines.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,21 +80,43 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), tokens], schema=_LINE)
 
 
-_MEMBER = pa.schema([("line", pa.int64()), ("template", pa.int64())])
+_MEMBER = pa.schema([("line", pa.int64()), ("template", pa.int64()), ("leaf", pa.int64()), ("n", pa.int64()), ("pattern", pa.binary())])
+_INTO = pa.schema([("template", pa.int64()), ("into", pa.int64())])
+#: Founders from which on the candidates are looked up by segments; the result is the same.
+_INDEXED = 256
 
 
-def cluster(tokens: list[np.ndarray]) -> list[int]:
-    """The template of each line, as the index of the line that founded it. Lines are as long as one another."""
+def clustered(tokens: list[np.ndarray]) -> tuple[list[int], dict[int, np.ndarray]]:
+    """The template of each line, as the index of the line that founded it, and each founder's pattern (-1: variable).
+    Lines are as long as one another; they may be patterns, whose variable places agree with nothing.
+
+    Who agrees on `need` of n places agrees on one of n - need + 1 segments, so equal segments find every candidate."""
     n = len(tokens[0])
-    made = np.zeros((16, n), np.int64)
+    need = math.ceil(ALIKE * n)
+    bounds = np.linspace(min(DEPTH, n), n, n - need + 2).astype(int).tolist()
+    spans = list(zip(bounds, bounds[1:]))
+    narrow = any(x == y for x, y in spans)
+    made = np.zeros((16, n), np.int32)
     founder: list[int] = []
+    index: dict[tuple[int, bytes], list[int]] = {}
     out = []
+
+    def segments(t: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(x, t[x:y].tobytes()) for x, y in spans if (t[x:y] >= 0).all()]
+
     for k, t in enumerate(tokens):
-        t = t.astype(np.int64)
+        t = t.astype(np.int32)
+        indexed = not narrow and len(founder) >= _INDEXED
         if founder:
-            alike = (made[: len(founder)] == t).sum(axis=1)
-            best = int(np.argmax(alike))
-            if alike[best] >= ALIKE * n:
+            at = None
+            if indexed:
+                hits = [index[s] for s in segments(t) if s in index]
+                if sum(map(len, hits)) < len(founder) // 2:
+                    at = np.array(sorted({f for h in hits for f in h}), np.int64)
+            fixed = t >= 0
+            alike = ((made[: len(founder)] if at is None else made[at]) == t)[:, fixed].sum(axis=1)
+            if len(alike) and alike.max() >= need:
+                best = int(np.argmax(alike)) if at is None else int(at[np.argmax(alike)])
                 made[best][made[best] != t] = -1
                 out.append(founder[best])
                 continue
@@ -101,17 +125,46 @@ def cluster(tokens: list[np.ndarray]) -> list[int]:
         made[len(founder)] = t
         founder.append(k)
         out.append(k)
-    return out
+        if not narrow:
+            for f in range(len(founder) - 1, len(founder)) if indexed else range(_INDEXED) if len(founder) == _INDEXED else ():
+                for s in segments(tokens[founder[f]].astype(np.int32)):
+                    index.setdefault(s, []).append(f)
+    return out, {k: made[f] for f, k in enumerate(founder)}
+
+
+def cluster(tokens: list[np.ndarray]) -> list[int]:
+    return clustered(tokens)[0]
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The template of each line; in parts of a leaf also the leaf, and beside founders the template's frequency and pattern."""
+
+    def rows(b: pa.RecordBatch) -> list:
+        return list(zip(*(b.column(c).to_pylist() for c in ("line", "n", "tokens", "leaf", "wide"))))
+
+    for _, held in groups(batches, "part", rows):
+        held.sort(key=lambda r: (-r[1], r[0]))
+        of, patterns = clustered([np.frombuffer(r[2], np.uint16) for r in held])
+        leaf, n, pattern = ([None] * len(held) for _ in range(3))
+        if held[0][4]:
+            leaf = [r[3] for r in held]
+            every = np.bincount(of, weights=[r[1] for r in held])
+            for k, p in patterns.items():
+                n[k], pattern[k] = int(every[k]), p.tobytes()
+        cols = [[r[0] for r in held], [held[k][0] for k in of], leaf, n, pattern]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(cols, _MEMBER)], schema=_MEMBER)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each template of a leaf's parts becomes a part of (itself, if nothing)."""
+
     def rows(b: pa.RecordBatch) -> list:
-        return list(zip(b.column("line").to_pylist(), b.column("n").to_pylist(), b.column("tokens").to_pylist()))
+        return list(zip(*(b.column(c).to_pylist() for c in ("template", "n", "pattern"))))
 
     for _, held in groups(batches, "leaf", rows):
         held.sort(key=lambda r: (-r[1], r[0]))
-        of = cluster([np.frombuffer(r[2], np.uint16) for r in held])
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([held[k][0] for k in of], pa.int64())], schema=_MEMBER)
+        of = cluster([np.frombuffer(r[2], np.int32) for r in held])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([held[k][0] for k in of], pa.int64())], schema=_INTO)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -126,9 +179,15 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     several = open_.where("lines > 1").select("leaf", "line", "n", "lines")
     # merge hints: the same plan at every size
     tokens = found.join(several.select("line").distinct().hint("merge"), "line", "left_semi").groupBy("line").agg(F.max("tokens").alias("tokens"))
-    deeper = F.when(F.col("lines") > WIDE, F.xxhash64("leaf", F.substring("tokens", 2 * DEPTH + 1, 2 * DEPTH))).otherwise(F.col("leaf"))
-    leafed = several.join(tokens, "line").select(deeper.alias("leaf"), "line", "n", "tokens").repartition("leaf").sortWithinPartitions("leaf")
-    member = materialise(single.unionByName(leafed.mapInArrow(_templates, "line long, template long")), "templates")
+    wide = F.col("lines") > WIDE
+    part = F.when(wide, F.xxhash64("leaf", F.pmod(F.xxhash64("line"), F.ceil(F.col("lines") / WIDE)))).otherwise(F.col("leaf"))
+    parts = several.join(tokens, "line").select(part.alias("part"), "leaf", wide.alias("wide"), "line", "n", "tokens").repartition("part").sortWithinPartitions("part")
+    made = materialise(parts.mapInArrow(_templates, "line long, template long, leaf long, n long, pattern binary"), "parts")
+    tops = made.where("pattern IS NOT NULL").select("leaf", "template", "n", "pattern").repartition("leaf").sortWithinPartitions("leaf")
+    into = tops.mapInArrow(_merged, "template long, into long")
+    whole = made.where("leaf IS NULL").select("line", "template")
+    joined = made.where("leaf IS NOT NULL").select("line", "template").join(into.hint("merge"), "template").select("line", F.col("into").alias("template"))
+    member = materialise(single.unionByName(whole).unionByName(joined), "templates")
     held = found.select("line", "doc_id").join(member.hint("merge"), "line")
     recurs = held.groupBy("template", "doc_id").agg(F.lit(1).alias("x")).groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
     return held.join(recurs, "template").where(F.col("doc_id") != F.col("first")).select("doc_id", "line")

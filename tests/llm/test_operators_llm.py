@@ -366,6 +366,30 @@ def test_templates_generalise():
     assert lines.cluster(t) == [0, 0, 2, 0]
 
 
+def test_leaves_of_any_width_keep_their_templates(spark, monkeypatch):
+    """Lines of one template that vary in token 5 are one template in a leaf of over WIDE lines as well."""
+    monkeypatch.setattr(lines, "WIDE", 40)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = [f"user login from {word()} {word()} at the front door today by key" for _ in range(3)]
+    texts += [f"user login from host {word()} at the front door today by key" for _ in range(60)]
+    texts += ["user login from " + " ".join(word() for _ in range(9)) for _ in range(100)]
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: x["n_dropped"] for i, x in by_id(lines.dedup_digest(df)).items()}
+    assert got == {i: n for i, n in ((i, v[1]) for i, v in lines_left(dict(enumerate(texts)), lines.MIN_DOCS).items())} and sum(got.values()) == 62
+
+
+def test_candidates_by_segments_are_all_candidates(monkeypatch):
+    r = np.random.default_rng(3)
+    t = [np.where(r.random(12) < 0.25, r.integers(0, 400, 12), base).astype(np.uint16) for base in r.integers(0, 400, (150, 12)) for _ in range(6)]
+    want = lines.cluster(t)
+    for few in (1, 2, 50):
+        monkeypatch.setattr(lines, "_INDEXED", few)
+        assert lines.cluster(t) == want
+    assert len(t) > len(set(want)) > 300
+
+
 def test_stage_keeps_columns_and_whole_documents(spark, docs):
     out = lines.without_recurring_lines(docs)
     assert out.columns == docs.columns and {0, 3} <= set(by_id(out))
