@@ -4,9 +4,9 @@ A page's tokens are its elements, told apart by their path, and its text blocks.
 occurrence vector over its pages (as often as one another on every page) form an equivalence class: classes are found by
 (pages, occurrences, a sum of hashes of page and count), so nothing but counts is shuffled. Classes that occur once
 a page on half of the pages or more are valid if the element they lie in belongs to such a class as well; nested by their
-paths they are the host's template. Text blocks of valid classes are the template's own words. The slot of the template
-that holds most text outside menus, forms, adverts and the like is the article; what a page has there, without the
-template's words and such elements, is its text.
+paths they are the host's template. The slot of the template that holds most text outside menus, forms, adverts and the
+like is the article; text blocks of valid classes outside it are the template's own words. What a page has in the slot,
+without such elements, is its text. Where the slot is no less than the body, the template's words are taken from it outside article and main.
 
 Null html is empty; so is the text of pages without any. A null or odd url is a host of its own name. A page that lacks
 its host's slot, and a host without a template, fall back to everything but excluded elements. Broken markup (unclosed
@@ -196,10 +196,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((host, "page", 0, "", 1, 0, 0))
             vector = lambda n, p=pid: (_hash(f"{p} {n}") & 0xFFFFFFFFFF)
             rows += [(host, "element", _hash(p), p, n, direct.get(p, 0), vector(n)) for p, n in seen.items()]
-            rows += [(host, "text", _hash(t), "", n, 0, vector(n)) for t, n in words.items() if n == 1]
+            rows += [(host, "text", _hash(t), t.split("\0")[0], n, 0, vector(n)) for t, n in words.items() if n == 1]
         yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*rows), _COUNT)], schema=_COUNT)
 
 
+def _within(path: str, slot: str) -> bool:
+    """Whether a block lies in the article's slot; where that is no less than the body, in an article or main element."""
+    if re.fullmatch(r"(/(html|body)[^/]*)*", slot):
+        return re.search(r"/(article|main)\b", path) is not None
+    return path == slot or path.startswith(slot + "/")
+
+
 def template(pages: int, tokens: list[dict]) -> tuple[str, list[int]]:
     """The path of the article's slot and the hashes of the template's own text blocks."""
     classes: dict[tuple, list[dict]] = {}
@@ -221,7 +228,8 @@ def template(pages: int, tokens: list[dict]) -> tuple[str, list[int]]:
         if not inner or re.search(r"/(article|main)[^/]*$", at):
             break
         at = max(inner, key=lambda p: (mass[p], p))
-    own = sorted(t["token"] for c in classes.values() for t in c if t["kind"] == "text") if pages >= LEAST_PAGES else []
+    # what stands in the article's slot is article, however many pages share it
+    own = sorted(t["token"] for c in classes.values() for t in c if t["kind"] == "text" and not _within(t["path"], at)) if pages >= LEAST_PAGES else []
     return at, own
 
 

@@ -111,6 +111,17 @@ def test_template_finds_the_slot(spark):
         assert r["text"] == "\n\n".join(paras) and r["n_chars"] == len(r["text"])
 
 
+def test_articles_shared_by_a_host_s_pages_stay(spark):
+    shared = prose(40)
+    rows = [(i, f"http://h/{i}", page(i, "<article>" + (f"<p>{shared}</p><p>{shared} end</p>" if i < 5 else f"<p>{prose(50)}</p><p>{shared}</p>") + "</article>")) for i in range(8)]
+    got = by_id_of_page(htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert all(got[i] == f"{shared}\n\n{shared} end" for i in range(5)) and all(got[i].endswith(f"\n\n{shared}") for i in range(5, 8))
+
+
+def by_id_of_page(df):
+    return {r["page_id"]: r["text"] for r in df.collect()}
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
