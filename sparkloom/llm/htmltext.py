@@ -5,7 +5,7 @@ occurrence vector over its pages (as often as one another on every page) form an
 (pages, occurrences, a sum of hashes of page and count), so nothing but counts is shuffled. Classes that occur once
 a page on half of the pages or more are valid if the element they lie in belongs to such a class as well; nested by their
 paths they are the host's template. The slot of the template that holds most text outside menus, forms, adverts and the
-like is the article; text blocks of valid classes outside it are the template's own words. What a page has in the slot,
+like is the article; text blocks outside it whose class has a valid element are the template's own words. What a page has in the slot,
 without such elements, is its text. Where the slot is no less than the body, the template's words are taken from it outside article and main.
 
 Null html is empty; so is the text of pages without any. A null or odd url is a host of its own name. A page that lacks
@@ -213,8 +213,10 @@ def template(pages: int, tokens: list[dict]) -> tuple[str, list[int]]:
     for t in tokens:
         if t["n"] == t["pages"] >= SHARE * pages:
             classes.setdefault((t["pages"], t["n"], t["vector"]), []).append(t)
-    once = {t["path"]: t for c in classes.values() for t in c if t["kind"] == "element"}
-    valid = {p for p in sorted(once, key=len) if all(p[:k] in once for k in range(1, len(p)) if p[k] == "/")}
+    once = {t["path"] for c in classes.values() for t in c if t["kind"] == "element"}
+    valid = {p for p in once if all(p[:k] in once for k in range(1, len(p)) if p[k] == "/")}
+    # a class holds the template's words if it has an element of the template too: words that come and go alone don't
+    kept = [c for c in classes.values() if any(t["kind"] == "element" and t["path"] in valid for t in c)]
     mass: dict[str, int] = {}
     for t in tokens:
         if t["kind"] == "element":
@@ -229,7 +231,7 @@ def template(pages: int, tokens: list[dict]) -> tuple[str, list[int]]:
             break
         at = max(inner, key=lambda p: (mass[p], p))
     # what stands in the article's slot is article, however many pages share it
-    own = sorted(t["token"] for c in classes.values() for t in c if t["kind"] == "text" and not _within(t["path"], at)) if pages >= LEAST_PAGES else []
+    own = sorted(t["token"] for c in kept for t in c if t["kind"] == "text" and not _within(t["path"], at)) if pages >= LEAST_PAGES else []
     return at, own
 
 

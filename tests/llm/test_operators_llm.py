@@ -118,6 +118,14 @@ def test_articles_shared_by_a_host_s_pages_stay(spark):
     assert all(got[i] == f"{shared}\n\n{shared} end" for i in range(5)) and all(got[i].endswith(f"\n\n{shared}") for i in range(5, 8))
 
 
+def test_words_are_the_template_s_only_by_their_class(spark):
+    """Without a slot less than the body: words of each page go, an article on half of the pages doesn't."""
+    shared = prose(40)
+    rows = [(i, f"http://h/{i}", f"<html><body><p>All rights reserved</p><p>{shared if i < 5 else prose(50)}</p></body></html>") for i in range(8)]
+    got = by_id_of_page(htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert all(got[i] == shared for i in range(5)) and all(v and "reserved" not in v for v in got.values())
+
+
 def by_id_of_page(df):
     return {r["page_id"]: r["text"] for r in df.collect()}
 
