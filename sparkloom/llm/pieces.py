@@ -2,18 +2,18 @@
 
 A word is a run of spaces with what follows up to the next space. Its characters are merged by an agenda: the pair
 whose union is the vocabulary's best piece goes first, ties from the left. With probability `dropout` a candidate is
-skipped, decided by a keyed hash of seed, word, variant, place and piece, so a run can be repeated anywhere. The variant
-(one of `VARIANTS`) comes from a keyed hash of the document and the word's place, so equal words are cut in several ways.
+skipped, decided by a hash of the occurrence's key, place and piece, so a run can be repeated anywhere. The key is a hash
+of seed, document and the word's place in it, so each occurrence of a word is cut on its own.
 Characters outside the vocabulary, and a literal space mark, become byte pieces; decoding gives back the very bytes.
 
-Null and empty texts have no piece. Words repeat, so a worker encodes each word and variant once and remembers it.
+Null and empty texts have no piece. What a word becomes depends on the candidates skipped alone: a worker remembers it by
+word and skips, with the candidates that come after the last skip, and an occurrence goes on from there at its next skip.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import slices, utf8
 from .shingles import mix
 
-VARIANTS = 2
 CACHE_WORDS = 600_000
 SIDE_BY_SIDE = 48  # characters up to which words of a length are merged side by side in numpy
 _NONE = 1 << 30
@@ -93,13 +92,18 @@ class PieceCoder:
                 break
         return out
 
-    def same_length(self, words: list[str], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def same_length(self, words: list[str], keys: list[int] | None, skips: list[tuple[int, ...]] | None = None, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """word() for many words of one length without characters foreign to the vocabulary: the agendas go side by
-        side, each takes its best candidate in every step. Returns all ids and their number a word."""
+        side, each takes its best candidate in every step. Returns all ids and their number a word.
+        skips: the steps to skip in place of what the keys say; trace: gets (words, candidates) of each step."""
         n = len(words[0])
         ids = self.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)]
         place = np.tile(np.arange(n, dtype=np.int32), (len(words), 1))
-        key = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), (self.seed * VARIANTS + v) & 0xFFFFFFFF) for w, v in zip(words, variants)), np.uint64, len(words))
+        key = np.array(keys or [0] * len(words), np.uint64)
+        forced = np.zeros((len(words), 2 + max((x[-1] for x in skips or () if x), default=0)), bool)
+        for w, x in enumerate(skips or ()):
+            forced[w, list(x)] = True
+        step = -1
         rank = np.full(ids.shape, _NONE, np.int32)
         if n > 1:
             rank[:, :-1] = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(-1, n - 1)
@@ -115,12 +119,12 @@ class PieceCoder:
                 live, a, s, r, k, j, best = live[more], a[more], s[more], r[more], k[more], j[more], best[more]
             if not len(live):
                 break
-            row = np.arange(len(live))
+            row, step = np.arange(len(live)), step + 1
             new = self.id_of_rank[best]
-            x = (k ^ (s[row, j].astype(np.uint64) * np.uint64(0x9E3779B1)) ^ (new.astype(np.uint64) * np.uint64(0x85EBCA6B))) & _M32
-            x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x7FEB352D)) & _M32
-            x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x846CA68B)) & _M32
-            skip = (x ^ (x >> np.uint64(16))) < np.uint64(self.limit)
+            candidate = ((s[row, j].astype(np.uint64) * np.uint64(0x9E3779B1)) ^ (new.astype(np.uint64) * np.uint64(0x85EBCA6B))) & _M32
+            if trace is not None:
+                trace.append((live, candidate))
+            skip = self._skipped(k ^ candidate) if skips is None else forced[live, min(step, forced.shape[1] - 1)]
             r[row[skip], j[skip]] = _NONE
             go = row[~skip]
             if len(go):
@@ -137,15 +141,25 @@ class PieceCoder:
         kept = ids >= 0
         return ids[kept], kept.sum(axis=1)
 
+    def _skipped(self, x: np.ndarray) -> np.ndarray:
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x7FEB352D)) & _M32
+        x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x846CA68B)) & _M32
+        return (x ^ (x >> np.uint64(16))) < np.uint64(self.limit)
+
     def _reset(self) -> None:
-        self.index: dict[tuple[str, int] | str, int] = {}
+        self.index: dict[str, int] = {}
+        self.child: dict[tuple[int, int], int] = {}
+        self.known: list[tuple[str, tuple[int, ...]]] = []
+        self.after = np.zeros(1 << 16, np.uint32)
+        self.after_start, self.after_count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.after_used = 0
         self.flat: np.ndarray = np.zeros(1 << 16, np.uint16)
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def word(self, word: str, variant: int = 0) -> list[int]:
-        """The ids of one word: the agenda."""
+    def word(self, word: str, key: int = 0, skips: tuple[int, ...] | None = None, trace: list | None = None) -> list[int]:
+        """The ids of one word: the agenda. skips, trace: as in same_length()."""
         rank, limit = self.rank, self.limit
         part = [_MARK if c == " " else c for c in word] if _MARK not in word else ["\0" if c == _MARK else _MARK if c == " " else c for c in word]
         n = len(part)
@@ -157,14 +171,21 @@ class PieceCoder:
             if both in rank:
                 agenda.append((rank[both], i, both))
         heapq.heapify(agenda)
-        key = zlib.crc32(word.encode("utf-8", "surrogatepass"), (self.seed * VARIANTS + variant) & 0xFFFFFFFF) if agenda else 0
+        step = -1
         while agenda:
             _, i, both = heapq.heappop(agenda)
             j = after[i]
             if part[i] is None or j >= n or part[i] + part[j] != both:
                 continue
-            if limit:
-                x = (key ^ (i * 0x9E3779B1) ^ (self.ids[both] * 0x85EBCA6B)) & 0xFFFFFFFF
+            step += 1
+            candidate = ((i * 0x9E3779B1) ^ (self.ids[both] * 0x85EBCA6B)) & 0xFFFFFFFF
+            if trace is not None:
+                trace.append(candidate)
+            if skips is not None:
+                if step in skips:
+                    continue
+            elif limit:
+                x = key ^ candidate
                 x = ((x ^ (x >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
                 x = ((x ^ (x >> 15)) * 0x846CA68B) & 0xFFFFFFFF
                 if (x ^ (x >> 16)) < limit:
@@ -190,36 +211,88 @@ class PieceCoder:
                     out += [self.bytes[b] for b in (_MARK if p == "\0" and _MARK in word else p).encode()]
         return out
 
-    def _keep(self, at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
-        total = len(ids)
-        while self.used + total > len(self.flat):
+    def _keep(self, at: np.ndarray, ids: np.ndarray, lens: np.ndarray, after: np.ndarray, n_after: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = ids
+        while self.after_used + len(after) > len(self.after):
+            self.after = np.concatenate([self.after, np.zeros_like(self.after)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.after[self.after_used : self.after_used + len(after)] = after
         self.start[at] = self.used + np.cumsum(lens) - lens
         self.count[at] = lens
-        self.used += total
+        self.after_start[at] = self.after_used + np.cumsum(n_after) - n_after
+        self.after_count[at] = n_after
+        self.used += len(ids)
+        self.after_used += len(after)
 
-    def _learn(self, new: list[tuple[str, int]]) -> None:
+    def _learn(self, new: list[tuple[str, tuple[int, ...]]]) -> range:
+        """Remember words with the steps skipped; returns their numbers."""
         by: dict[int, list[int]] = {}
         for k, (w, _) in enumerate(new):
             by.setdefault(len(w), []).append(k)
-        n0 = len(self.index)
+        n0 = len(self.known)
         while n0 + len(new) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+            self.start, self.count, self.after_start, self.after_count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.after_start, self.after_count))
         for n, at in by.items():
-            code = self.code[np.frombuffer("".join(new[k][0] for k in at).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(len(at), n) if 0 < n <= SIDE_BY_SIDE else np.full((len(at), 1), -1)
+            code = self.code[np.frombuffer("".join(new[k][0] for k in at).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(len(at), n) if n else np.full((len(at), 1), -1)
             known = (code >= 0).all(axis=1)
             plain, odd = [k for k, y in zip(at, known) if y], [k for k, y in zip(at, known) if not y]
             if plain:
-                self._keep(n0 + np.array(plain), *self.same_length([new[k][0] for k in plain], [new[k][1] for k in plain]))
-            if odd:
-                made = [self.word(*new[k]) for k in odd]
-                self._keep(n0 + np.array(odd), np.fromiter((i for m in made for i in m), np.int64), np.array([len(m) for m in made]))
-        self.index.update(zip(new, range(n0, n0 + len(new))))
+                trace: list = []
+                skips = [new[k][1] for k in plain]
+                ids, lens = self.same_length([new[k][0] for k in plain], None, skips, trace)
+                steps, taken = np.zeros((len(plain), len(trace)), np.uint32), np.zeros(len(plain), np.int64)
+                for t, (live, candidate) in enumerate(trace):
+                    steps[live, t] = candidate
+                    taken[live] = t + 1
+                col, first = np.arange(len(trace)), np.array([x[-1] + 1 if x else 0 for x in skips])
+                kept = (col >= first[:, None]) & (col < taken[:, None])
+                self._keep(n0 + np.array(plain), ids, lens, steps[kept], kept.sum(axis=1))
+            for k in odd:
+                trace, skips = [], new[k][1]
+                made = self.word(new[k][0], 0, skips, trace)
+                rest = trace[skips[-1] + 1 if skips else 0 :]
+                self._keep(np.array([n0 + k]), np.array(made, np.int64), np.array([len(made)]), np.array(rest, np.uint32), np.array([len(rest)]))
+        self.known += new
+        return range(n0, n0 + len(new))
+
+    def _cut(self, names: list[str], code: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The number under which each occurrence's pieces are remembered; code: its word, as a place in names."""
+        long = np.array([len(w) > SIDE_BY_SIDE for w in names], bool)
+        if new := [w for w, x in zip(names, long) if not x and w not in self.index]:
+            self.index.update(zip(new, self._learn([(w, ()) for w in new])))
+        at = np.array([-1 if x else self.index[w] for w, x in zip(names, long)], np.int64)[code] if names else np.zeros(0, np.int64)
+        for o in np.flatnonzero(at < 0).tolist():  # long words hardly repeat, and have many skips
+            made = self.word(names[code[o]], int(key[o]))
+            at[o] = len(self.known)
+            while at[o] >= len(self.start):
+                self.start, self.count, self.after_start, self.after_count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.after_start, self.after_count))
+            self._keep(at[o : o + 1], np.array(made, np.int64), np.array([len(made)]), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+            self.known.append(("", ()))
+        todo = np.arange(len(at)) if self.limit else np.zeros(0, np.int64)
+        while len(todo):
+            n = self.after_count[at[todo]]
+            ends = np.cumsum(n)
+            whose = np.repeat(np.arange(len(todo)), n)
+            step = np.arange(len(whose)) - (ends - n)[whose]
+            hit = np.flatnonzero(self._skipped(key[todo][whose] ^ self.after[self.after_start[at[todo]][whose] + step].astype(np.uint64)))
+            who, first = np.unique(whose[hit], return_index=True)
+            todo, step = todo[who], step[hit[first]]
+            pair, back = np.unique(at[todo] << 16 | step, return_inverse=True)
+            pairs = [(x >> 16, x & 0xFFFF) for x in pair.tolist()]
+            if new := [x for x in pairs if x not in self.child]:
+                made = []
+                for node, k in new:
+                    word, skips = self.known[node]
+                    made.append((word, (*skips, (skips[-1] + 1 if skips else 0) + k)))
+                self.child.update(zip(new, self._learn(made)))
+            if len(todo):
+                at[todo] = np.fromiter(map(self.child.__getitem__, pairs), np.int64, len(pairs))[back]
+        return at
 
     def encode(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the n+1 boundaries between the texts; keys (one a text) choose the variants."""
-        if len(self.index) > CACHE_WORDS:
+        """All ids, and the n+1 boundaries between the texts; keys (one a text) choose what is skipped."""
+        if len(self.known) > CACHE_WORDS:
             self._reset()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         # a cut before each space that ends a run of other characters
@@ -232,12 +305,8 @@ class PieceCoder:
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         n = np.diff(ends)
         place = np.arange(len(code)) - np.repeat(ends[:-1], n)
-        variant = (mix(np.repeat(mix(keys.astype(np.uint64) + np.uint64(self.seed)), n) + place.astype(np.uint64)) % np.uint64(VARIANTS)).astype(np.int64)
-        pair, code = np.unique(code * VARIANTS + variant, return_inverse=True)
-        pairs = [(names[p // VARIANTS], p % VARIANTS) for p in pair.tolist()]
-        if new := [p for p in pairs if p not in self.index]:
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, pairs), np.int64, len(pairs))[code]
+        key = mix(np.repeat(mix(keys.astype(np.uint64) + np.uint64(self.seed)), n) + place.astype(np.uint64)) & _M32
+        at = self._cut(names, code, key)
         lens = self.count[at]
         to = np.concatenate([[0], np.cumsum(lens)])
         return self.flat[np.repeat(self.start[at] - to[:-1], lens) + np.arange(to[-1])], to[ends]

@@ -324,6 +324,19 @@ def test_pieces_decode_losslessly_and_vary(spark, docs):
     assert pieces.encode_digest(empty(docs), model).count() == 0
 
 
+def test_each_occurrence_is_cut_on_its_own():
+    c = pieces.PieceCoder(tokenizer("piece_bpe_32k.model"), 3, 0.2)
+    texts = [" tokenization" * 300, "a ß▁ é unbelievable " + "xy" * 60 + " 日本語 tokenization", ""]
+    ids, to = c.encode(pa.array(texts), np.array([7, 8, 9]))
+    for t, doc, s, e in zip(texts, (7, 8, 9), to, to[1:]):
+        start = shingles.mix(np.array([doc + 3], np.uint64))
+        words = pieces._words(t) if t else []
+        keys = shingles.mix(start + np.arange(len(words), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+        assert ids[s:e].tolist() == [i for w, k in zip(words, keys.tolist()) for i in c.word(w, k)]
+        if doc == 7:
+            assert len({tuple(c.word(w, k)) for w, k in zip(words, keys.tolist())}) > 5
+
+
 def test_without_dropout_merges_are_the_library_s():
     import sentencepiece
 
