@@ -3,11 +3,16 @@
 For each language, every piece of a fixed public vocabulary has a probability. A word's probability is the sum over all
 its segmentations into pieces, computed by a forward algorithm; a text's is the product over its words (runs of letters,
 lower-cased). Probabilities are fitted by expectation-maximisation (forward-backward) on a bounded sample: at most
-`SAMPLE_DOCS` labelled documents of each language, at most `SAMPLE_CHARS` characters of each. Predictions read whole
-texts. Words repeat, so a worker scores each distinct word once and remembers it.
+`SAMPLE_DOCS` labelled documents of each language, whose whole texts are counted by word in the executors. Predictions
+read whole texts. Words repeat, so a worker scores each distinct word once and remembers it.
+
+Every word is summed over all segmentations, however long it is: words of up to `SHORT` letters side by side, with
+probabilities scaled by a constant for each character, longer ones (text without spaces) one by one, scaled at every
+character. So nothing underflows. A text's score is the sum over its own words alone.
 
 Null or empty texts and texts without a letter are `und` with score 0; so is everything if no row is labelled. Equal
-scores go to the first language by name. Runs of over `LONGEST` letters are scored in stretches of that length.
+scores go to the first language by name. Rows that repeat an id are predicted each; further columns aren't read; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-SAMPLE_DOCS, SAMPLE_CHARS, EM_ROUNDS = 400, 20_000, 4
-LONGEST = 32
+SAMPLE_DOCS, EM_ROUNDS = 400, 4
+SHORT = 32  # letters of words that are summed side by side; the longer ones' sums are the same
+SCALE = 1e5  # factor of a probability for each character of its piece
+TINY = 1e-300
 PRIOR = 200.0  # pseudo-counts of the pooled distribution in each language's
 CACHE_WORDS = 400_000
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -49,7 +56,7 @@ class Vocabulary:
 
     def __init__(self, pieces: list[str]):
         self.pieces = sorted({p for p in pieces if p})
-        self.longest = min(LONGEST + 1, max(map(len, self.pieces), default=1))
+        self.longest = max(map(len, self.pieces), default=1)
         hashes = np.zeros(len(self.pieces), np.uint64)
         for n in sorted({len(p) for p in self.pieces}):
             at = [k for k, p in enumerate(self.pieces) if len(p) == n]
@@ -62,7 +69,7 @@ class Vocabulary:
         self.ids = np.full((1 << _BITS) + 64, -1, np.int32)
         self.reach = 0
         for k, h in enumerate(hashes):
-            s = int(h * _MIX >> np.uint64(64 - _BITS))
+            s = int(h) * int(_MIX) % (1 << 64) >> 64 - _BITS
             p = 0
             while self.ids[s + p] >= 0:
                 p += 1
@@ -96,9 +103,21 @@ class Vocabulary:
         return out
 
 
+    def starts(self, codes: np.ndarray) -> np.ndarray:
+        """[start, length - 1] -> the piece of one long word there; -1 none, -2 an unknown single character."""
+        n = len(codes)
+        out = np.full((n, min(self.longest, n)), -1, np.int32)
+        h = np.zeros(n, np.uint64)
+        for k in range(1, out.shape[1] + 1):
+            h = h[: n - k + 1] * _BASE + codes[k - 1 :]
+            out[: n - k + 1, k - 1] = self.find(h)
+        out[out[:, 0] < 0, 0] = -2
+        return out
+
+
 def forward(spans: dict, n: int, prob: np.ndarray) -> list[np.ndarray]:
-    """alpha[j]: the summed probability of all segmentations of the first j characters; prob has 2 more rows than pieces:
-    row -2 for unknown characters, row -1 of zeros."""
+    """alpha[j]: the summed probability of all segmentations of the first j characters, times SCALE**j; prob has 2 more
+    rows than pieces: row -2 for unknown characters, row -1 of zeros."""
     words = len(next(iter(spans.values())))
     alpha = [np.ones((words, prob.shape[1]))]
     for j in range(1, n + 1):
@@ -106,11 +125,31 @@ def forward(spans: dict, n: int, prob: np.ndarray) -> list[np.ndarray]:
         for k in range(1, j + 1):
             ids = spans.get((j, k))
             if ids is not None:
-                a += alpha[j - k] * prob[ids]
+                a += alpha[j - k] * (prob[ids] * SCALE**k)
         alpha.append(a)
     return alpha
 
 
+def forward_long(starts: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For one long word: alpha[j] over the greatest of its window, and the logarithm of the factor taken out."""
+    n, longest = starts.shape
+    alpha, factor = np.zeros((n + 1, prob.shape[1])), np.zeros((n + 1, prob.shape[1]))
+    alpha[0] = 1
+    held = np.zeros((longest, prob.shape[1]))  # what the pieces that end at j, j+1, .. have brought so far
+    log = np.zeros(prob.shape[1])
+    for i in range(n):
+        ids = starts[i]
+        fit = np.flatnonzero(ids != -1)
+        held[fit] += alpha[i] * prob[ids[fit]]
+        a = held[0].copy()
+        most = np.maximum(np.maximum(a, held[1:].max(axis=0)) if longest > 1 else a, TINY)
+        held[:-1] = held[1:] / most
+        held[-1] = 0
+        log = log + np.log(most)
+        alpha[i + 1], factor[i + 1] = a / most, log
+    return alpha, factor
+
+
 class Model:
     def __init__(self, langs: list[str], vocabulary: Vocabulary, prob: np.ndarray):
         self.langs, self.vocabulary, self.prob, self.key = langs, vocabulary, prob, uuid.uuid4().hex
@@ -120,13 +159,16 @@ class Model:
         out = np.zeros((len(words), len(self.langs)))
         by: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            for s in range(0, len(w), LONGEST):
-                by.setdefault(min(LONGEST, len(w) - s), []).append((k, s))
+            if len(w) > SHORT:
+                alpha, factor = forward_long(self.vocabulary.starts(_codes(["▁" + w], len(w) + 1)[0]), self.prob)
+                out[k] = np.log(np.maximum(alpha[-1], TINY)) + factor[-1]
+            elif w:
+                by.setdefault(len(w), []).append(k)
         for n, at in by.items():
             for first in range(0, len(at), 50_000):
                 some = at[first : first + 50_000]
-                spans = self.vocabulary.spans(_codes(["▁" + words[k][s : s + n] for k, s in some], n + 1))
-                np.add.at(out, [k for k, _ in some], np.log(forward(spans, n + 1, self.prob)[-1]))
+                spans = self.vocabulary.spans(_codes(["▁" + words[k] for k in some], n + 1))
+                out[some] = np.log(np.maximum(forward(spans, n + 1, self.prob)[-1], TINY)) - (n + 1) * np.log(SCALE)
         return out
 
 
@@ -135,38 +177,69 @@ def _fit_counts(vocabulary: Vocabulary, counted: dict[str, int], prob: np.ndarra
     total = np.zeros(len(prob))
     by: dict[int, list[str]] = {}
     for w in counted:
-        by.setdefault(len(w), []).append(w)
-    for n, words in by.items():
-        weight = np.array([counted[w] for w in words], float)
-        spans = vocabulary.spans(_codes(["▁" + w for w in words], n + 1))
-        alpha = forward(spans, n + 1, prob)
-        beta = [np.zeros((len(words), 1)) for _ in range(n + 1)] + [np.ones((len(words), 1))]
-        for j in range(n + 1, 0, -1):
-            for k in range(1, j + 1):
-                if (ids := spans.get((j, k))) is not None:
-                    beta[j - k] += prob[ids] * beta[j]
-                    np.add.at(total, ids, (weight[:, None] * alpha[j - k] * prob[ids] * beta[j] / alpha[-1])[:, 0])
+        if len(w) > SHORT:
+            _count_long(vocabulary.starts(_codes(["▁" + w], len(w) + 1)[0]), prob, counted[w], total)
+        else:
+            by.setdefault(len(w), []).append(w)
+    for n, every in by.items():
+        for first in range(0, len(every), 20_000):
+            words = every[first : first + 20_000]
+            weight = np.array([counted[w] for w in words], float)
+            spans = vocabulary.spans(_codes(["▁" + w for w in words], n + 1))
+            alpha = forward(spans, n + 1, prob)
+            beta = [np.zeros((len(words), 1)) for _ in range(n + 1)] + [np.ones((len(words), 1))]
+            for j in range(n + 1, 0, -1):
+                for k in range(1, j + 1):
+                    if (ids := spans.get((j, k))) is not None:
+                        step = prob[ids] * SCALE**k * beta[j]
+                        beta[j - k] += step
+                        np.add.at(total, ids, (weight[:, None] * alpha[j - k] * step / np.maximum(alpha[-1], TINY))[:, 0])
     total[-1] = 0
     return total
 
 
+def _count_long(starts: np.ndarray, prob: np.ndarray, weight: int, total: np.ndarray) -> None:
+    """Add the expected piece counts of one long word."""
+    alpha, factor = forward_long(starts, prob)
+    n, longest = starts.shape
+    end = np.log(max(alpha[-1, 0], TINY)) + factor[-1, 0]
+    # beta[j] = log probability of what follows j, over all segmentations
+    beta = np.full(n + longest + 1, -np.inf)
+    beta[n] = 0.0
+    for i in range(n - 1, -1, -1):
+        fit = np.flatnonzero(starts[i] != -1)
+        p = prob[starts[i, fit], 0]
+        some = np.where(p > 0, np.log(np.maximum(p, TINY)), -np.inf) + beta[i + 1 + fit]
+        most = some.max()
+        if most == -np.inf:
+            continue
+        rel = np.exp(some - most)
+        beta[i] = most + np.log(rel.sum())
+        ahead = np.log(max(alpha[i, 0], TINY)) + factor[i, 0]
+        np.add.at(total, starts[i, fit], weight * np.exp(np.minimum(ahead + some - end, 0.0)))
+
+
 def words_of(texts: pa.Array) -> pa.ListArray:
     """Lower-cased runs of letters of each text."""
     return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}]+", " ")))
 
 
-def fit(sample: list[tuple[str, str]], vocabulary: Vocabulary) -> Model | None:
-    """From (language, text) pairs."""
-    counts: dict[str, dict[str, int]] = {}
-    for lang, text in sorted(sample):
-        c = counts.setdefault(lang, {})
-        for w in words_of(pa.array([text], pa.string()))[0].as_py():
-            for s in range(0, len(w), LONGEST):
-                c[w[s : s + LONGEST]] = c.get(w[s : s + LONGEST], 0) + 1
-    counts.pop(None, None)
-    langs = sorted(x for x, c in counts.items() if any(c))
-    for c in counts.values():
-        c.pop("", None)
+_WORD = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word stands in each slice's texts of a language."""
+    for b in slices(batches, "text", 1 << 22):
+        lists = words_of(b.column("text").cast(pa.string()))
+        whose = pc.take(b.column("lang"), pc.list_parent_indices(lists))
+        got = pa.table({"lang": whose, "word": lists.flatten()}).group_by(["lang", "word"]).aggregate([([], "count_all")])
+        yield pa.RecordBatch.from_arrays([got["lang"].combine_chunks(), got["word"].combine_chunks(), got["count_all"].combine_chunks()], schema=_WORD)
+
+
+def fit(counts: dict[str, dict[str, int]], vocabulary: Vocabulary) -> Model | None:
+    """From how often each word occurs in each language."""
+    counts = {lang: {w: n for w, n in sorted(c.items()) if w} for lang, c in counts.items() if lang is not None}
+    langs = sorted(x for x, c in counts.items() if c)
     if not langs:
         return None
     v = len(vocabulary.pieces)
@@ -206,9 +279,11 @@ class _Scorer:
         logs = self.logs[place[coded.indices.to_numpy()]] if len(names) else np.zeros((0, len(self.model.langs)))
         empty = pc.equal(words, "").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
         logs[empty] = 0
-        run = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
         n = np.concatenate([[0], np.cumsum(~empty)])
-        return run[ends[1:]] - run[ends[:-1]], n[ends[1:]] - n[ends[:-1]]
+        total, full = np.zeros((len(lists), logs.shape[1])), np.flatnonzero(np.diff(ends))
+        if len(full):  # each text's own words alone are added
+            total[full] = np.add.reduceat(logs, ends[full], axis=0)
+        return total, n[ends[1:]] - n[ends[:-1]]
 
 
 _scorers: dict[str, _Scorer] = {}
@@ -240,8 +315,13 @@ def train(docs: DataFrame, vocabulary_file: str, where: Column | None = None) ->
     labelled = labelled if where is None else labelled.where(where)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS).select("doc_id")
-    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return fit([(r["lang"], r["text"]) for r in rows.collect()], Vocabulary(pieces_of(vocabulary_file)))
+    # SAMPLE_DOCS ids a language; what comes to the driver is the number of each word, not the texts
+    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.col("text").cast("string").alias("text"))
+    words = rows.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, dict[str, int]] = {}
+    for lang, word, n in zip(*(words[k].to_pylist() for k in ("lang", "word", "n"))):
+        counts.setdefault(lang, {})[word] = n
+    return fit(counts, Vocabulary(pieces_of(vocabulary_file)))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

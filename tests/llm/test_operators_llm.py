@@ -164,6 +164,33 @@ def test_forward_sums_all_segmentations():
     assert np.exp(model.words(words)[:, 0]) == pytest.approx([brute("▁" + w) for w in words])
 
 
+def test_long_words_equal_short_ones(monkeypatch):
+    v = langid.Vocabulary(["▁", "a", "b", "ab", "▁a", "aba", "▁ab"])
+    prob = np.array([[(k + 1) / 50, (k + 2) / 90] for k in range(len(v.pieces))] + [[1e-3, 1e-5], [0.0, 0.0]])
+    model, words = langid.Model(["x", "y"], v, prob), ["a", "ab", "abab", "zab", "ba" * 15]
+    counted = {w: k + 1 for k, w in enumerate(words)}
+    plain, counts = model.words(words), langid._fit_counts(v, counted, prob[:, :1])
+    monkeypatch.setattr(langid, "SHORT", 0)
+    assert model.words(words) == pytest.approx(plain)
+    assert langid._fit_counts(v, counted, prob[:, :1]) == pytest.approx(counts)
+    far = model.words(["z" * 40, "z" * 20_000, "ab" * 5_000])
+    assert np.isfinite(far).all() and far[1, 1] == pytest.approx(20_000 * np.log(1e-5) + np.log(3 / 90 if v.pieces[0] == "▁" else prob[v.pieces.index("▁"), 1]), rel=1e-6)
+
+
+def test_language_beside_text_without_spaces(spark, sf):
+    vocab = tokenizer("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(300)
+    odd = spark.createDataFrame([(-1, "漢" * 40), (-2, "天地玄黃宇宙洪荒" * 2_000), (-3, "q" * 10_000)], "doc_id long, text string")
+    model = langid.train(docs, vocab)
+    rows = odd.unionByName(docs.select("doc_id", "text")).coalesce(1)
+    got = by_id(langid.predict(rows, model))
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    alone = by_id(langid.predict(docs, model))
+    assert all(got[i]["lang_pred"] == r["lang_pred"] and got[i]["score"] == pytest.approx(r["score"]) for i, r in alone.items())
+    twice = langid.predict(docs.unionByName(docs), model)
+    assert twice.count() == 2 * docs.count() and twice.distinct().count() == docs.count()
+
+
 def test_language_of_held_out_documents(spark, sf):
     got = by_id(queries.op3_langid(spark, sf))
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
