@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fit, on a bounded sample (`SAMPLE` distinct vectors that come first by a hash): the exact neighbour graph, a balanced
+Fit, on a bounded sample (distinct vectors that come first by a hash: `FIT` a part, 4,096 to 16,384 in all): the exact neighbour graph, a balanced
 partition of it (median bisections, then moves towards a vector's neighbours while parts keep their bounds), and a small
 classifier from vector to part, trained on where a vector's neighbours lie. Every vector is indexed under its most
 probable part. A query goes to its most probable parts; how many is the least number that reaches `TARGET` recall on
@@ -10,7 +10,8 @@ Equal vectors collapse first: a vector stands for the `K`+1 smallest ids that ha
 so groups of copies cost nothing. A part too large for a task is cut into blocks of rows and of queries.
 
 Vectors that are null, zero, hold a null or non-finite component or are of another length than the sample's take no
-part, neither as query nor as candidate. Ties go to the smaller id. Fewer than two vectors give no row.
+part, neither as query nor as candidate. Ties go to the smaller id, whatever their number. Rows that repeat an id are
+one vector each; a query never finds its own id. Further columns aren't read. Fewer than two vectors give no row.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .neardup import groups
 
-SAMPLE, PARTS, NEIGHBOURS = 4096, 32, 10
+#: A part has some PART_ROWS rows, and FIT vectors of the sample, until there are MOST_PARTS of them.
+PART_ROWS, FIT, MOST_PARTS, LEAST_SAMPLE, NEIGHBOURS = 1000, 64, 256, 4096, 10
 HIDDEN, EPOCHS, RATE = 128, 30, 3e-3
 TARGET = 0.98
 ROWS, QUERIES = 20_000, 4_000  # of a block
+MARGIN = 1e-9
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -41,7 +44,8 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     for s in range(0, len(x), 256):  # small blocks: this runs on the driver
         near = x[s : s + 256] @ x.T
         near[np.arange(len(near)), np.arange(s, s + len(near))] = -2
-        out.append(np.argsort(-near, axis=1, kind="stable")[:, :k])
+        few = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, : k + 1]
+        out.append(np.take_along_axis(few, np.argsort(-np.take_along_axis(near, few, axis=1), axis=1, kind="stable"), axis=1)[:, :k])
     return np.concatenate(out)
 
 
@@ -109,11 +113,19 @@ class Router:
         return np.argsort(-z, axis=1, kind="stable")[:, :n]
 
 
+def parts_for(rows: int) -> int:
+    """The power of two that gives parts of some PART_ROWS rows."""
+    parts = 1
+    while parts < MOST_PARTS and 1.5 * parts * PART_ROWS < rows:
+        parts *= 2
+    return parts
+
+
 class Index:
-    def __init__(self, sample: np.ndarray, k: int):
+    def __init__(self, sample: np.ndarray, k: int, parts: int):
         x = _unit(sample)
         self.dim, self.parts, self.probes = x.shape[1], 1, 1
-        while self.parts < PARTS and 2 * self.parts * 64 <= len(x):
+        while self.parts < parts and 2 * self.parts * FIT <= len(x):
             self.parts *= 2
         graph = neighbour_graph(x, min(NEIGHBOURS, len(x) - 1))
         of = balanced_partition(x, graph, self.parts)
@@ -159,22 +171,25 @@ def _searcher(k: int):
             q, x = (np.stack([r[3] for r in some]).astype(np.float64) for some in (ask, base))
             qn, xn = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
             xu = (x / xn[:, None]).T
-            ids, owner = np.array([i for r in base for i in r[2]], np.int64), np.repeat(np.arange(len(base)), [len(r[2]) for r in base])
-            first = np.searchsorted(owner, np.arange(len(base)))
+            ids, counts = np.array([i for r in base for i in r[2]], np.int64), np.array([len(r[2]) for r in base], np.int64)
+            first = np.cumsum(counts) - counts
             out: list[list] = [[], [], []]
-            take = min(len(base), 2 * k + 6)
+            take = min(len(base), k + 1)
             for s in range(0, len(q), 256):
                 near = (q[s : s + 256] / qn[s : s + 256, None]) @ xu
-                best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                for r, some in enumerate(best):
-                    # the product above depends on the block's shape in its last bits; what is returned doesn't
+                # every vector at the (k+1)-th score or above, with a margin: the product depends on the block's shape in
+                # its last bits; what is returned doesn't
+                least = np.partition(near, len(base) - take, axis=1)[:, len(base) - take] - MARGIN
+                for r in range(len(near)):
+                    some = np.flatnonzero(near[r] >= least[r])
                     score = (x[some] * q[s + r]).sum(axis=1) / (xn[some] * qn[s + r])
-                    cand = [(-v, int(i)) for v, o in zip(score.tolist(), some.tolist()) for i in ids[first[o] : first[o] + len(base[o][2])]]
-                    cand.sort()
-                    for v, i in cand[: k + 1]:
-                        out[0].append(ask[s + r][1])
-                        out[1].append(i)
-                        out[2].append(-v)
+                    many = counts[some]
+                    cand = ids[np.repeat(first[some] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                    score = np.repeat(score, many)
+                    top = np.lexsort((cand, -score))[: k + 1]
+                    out[0] += [ask[s + r][1]] * len(top)
+                    out[1] += cand[top].tolist()
+                    out[2] += score[top].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, _FOUND)], schema=_FOUND)
 
     return search
@@ -187,7 +202,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("q"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     rows = rows.where(x.isNotNull() & F.col("id").isNotNull() & F.forall(x, finite) & F.exists(x, lambda v: v != 0))
-    sample = rows.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toArrow()["vec"].combine_chunks()
+    parts = parts_for(rows.count())
+    sample = rows.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(max(LEAST_SAMPLE, FIT * parts)).toArrow()["vec"].combine_chunks()
     sizes = np.diff(sample.offsets.to_numpy()).tolist()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -196,7 +212,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     if len(sample) < 3:  # nothing to learn from: one part
         sample = np.concatenate([sample, np.eye(3, dim) if dim >= 3 else np.ones((3, dim)) * np.array([[1], [2], [3]])])
     rows = rows.where(F.size("vec") == dim)
-    index = spark.sparkContext.broadcast(Index(sample, k))
+    index = spark.sparkContext.broadcast(Index(sample, k, parts))
 
     order = Window.partitionBy("vec").orderBy("id")
     few = rows.select("vec", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
@@ -207,7 +223,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     queries = base.join(asked.select("rep").distinct(), "rep", "left_semi").select("vec", "rep").mapInArrow(_router(index, "query", "vec"), "vec array<double>, rep long, parts array<int>")
     queries = materialise(queries.select("rep", "vec", F.explode("parts").alias("part")), "routed")
 
-    # a row a part: at most PARTS
+    # a row a part: at most MOST_PARTS
     grid = base.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("nb")).join(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "part")
     cell = F.xxhash64("part", "b", "c").alias("gid")
     left = base.join(F.broadcast(grid), "part").withColumn("b", F.pmod(F.xxhash64("rep"), "nb").cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
