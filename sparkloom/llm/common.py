@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset and master is local, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "sparkloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,6 +57,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key is hot if it has more than one in HOT_KEYS of all rows, so there are fewer hot keys than this.
+HOT_KEYS, SALTS = 1000, 64
+
+
+def salted_join(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", spread: str = "doc_id") -> DataFrame:
+    """rows joined with counted, which has one row a key and in `n` how many of `rows` have it (read twice, so a table).
+
+    Rows of a hot key are dealt to SALTS tasks by `spread`; its row of counted goes to each. Fewer than HOT_KEYS keys
+    can be hot, so their list is broadcast whatever the input is."""
+    total = counted.agg(F.sum(n).alias("t")).first()["t"] or 0
+    is_hot = F.col(n) > max(total // HOT_KEYS, 1000)
+    hot = counted.where(is_hot).select(*keys, F.lit(True).alias("_sl_hot"))
+    spots = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_sl_salt", F.when(F.col("_sl_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0))
+    return left.drop("_sl_hot").join(counted.withColumn("_sl_salt", F.explode(spots)).hint("merge"), [*keys, "_sl_salt"]).drop("_sl_salt")
+
+
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, null as empty, and the offsets of its n+1 boundaries."""
     if isinstance(arr, pa.ChunkedArray):
@@ -82,15 +101,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             at = to
 
 
-def running_start(df: DataFrame, value: Column | str, order: str, out: str, buckets: int) -> DataFrame:
+def running_start(df: DataFrame, value: Column | str, order: list[str], out: str, buckets: int) -> DataFrame:
     """Add `out`: the sum of `value` over all rows before this one, a total order over rows without one big sort.
 
-    Rows go to hash buckets of `order` (a unique long). Buckets follow one another, rows follow `order`
-    inside a bucket; only one total a bucket is gathered.
+    Rows go to hash buckets of `order` (columns that are unique together). Buckets follow one another, rows follow
+    `order` inside a bucket; only one total a bucket is gathered.
     """
     value = F.col(value) if isinstance(value, str) else value
-    b = df.withColumns({"_sl_b": F.pmod(F.xxhash64(order), F.lit(buckets)), "_sl_v": value.cast("long")})
-    within = Window.partitionBy("_sl_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    b = df.withColumns({"_sl_b": F.pmod(F.xxhash64(*order), F.lit(buckets)), "_sl_v": value.cast("long")})
+    within = Window.partitionBy("_sl_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = b.groupBy("_sl_b").agg(F.sum("_sl_v").alias("_sl_t"))
     before = Window.orderBy("_sl_b").rowsBetween(Window.unboundedPreceding, -1)
     # one row a bucket: bounded by the parameter, so the single-partition window and the broadcast are too

@@ -255,7 +255,7 @@ def _writer(path: str, end_id: int):
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, name: str = "ids") -> DataFrame:
     """The chunks of all documents in ascending doc_id order, as written to the shared folder and read back."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialise(rows.mapInArrow(_writer(tokenizer, end_id), _CHUNK_DDL), name, **{"compression": "none", "parquet.block.size": str(16 << 20)})
 
 

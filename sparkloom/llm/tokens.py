@@ -13,11 +13,16 @@ import pyarrow.compute as pc
 CACHE_WORDS = 800_000
 SLICE_CHARS = 4_000_000
 
-# A byte-level BPE never merges across a lone space that stands between two characters which aren't white space:
-# its pattern starts a new piece there. What lies between such places can be encoded once and remembered.
+# A byte-level BPE never merges across a lone space that stands between two characters which aren't white space, from a
+# letter to a sign, or behind a lone line break: its pattern starts a new piece there. What lies between such places can
+# be encoded once and remembered.
 _SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
-_PLAIN = f"^ | $|[{_SPACE}] | [{_SPACE}]"  # RE2: some space isn't lone
-_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
+_PLAIN = f"^ | $|[{_SPACE}] | [{_SPACE}]|\\x00"  # RE2: some space isn't lone
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?%$#&*()\n"
+_AFTER_LETTER = f"([{_LETTER}])([{_SIGN}])"
+_AFTER_BREAK = f"([^{_SPACE}])\\n([^{_SPACE}\\x00])"
+_FULL = r"[^\s\x1c-\x1f\x85]"
+_CUT = re.compile(f"(?<={_FULL})(?= {_FULL})|(?<=[{_LETTER}])(?=[{_SIGN}])|(?<={_FULL}\\n)(?={_FULL})")
 
 
 class Encoder:
@@ -55,21 +60,39 @@ class Encoder:
         self.used += total
         self.index.update(zip(words, range(n0, n1)))
 
-    def _learn(self, words: list[str], sizes: np.ndarray) -> None:
-        """Words that follow a lone space: encoded in runs, cut again by the bytes each id stands for."""
-        for k in range(0, len(words), 2048):
-            run = words[k : k + 2048]
-            joined = [" " + " ".join(run)]
-            ids = np.array(self.lib.encode_batch_fast(joined, add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(sizes[k : k + 2048] + 1)
-            at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-            self._keep(run, ids, np.diff(at, prepend=0))
-
-    def _learn_heads(self, heads: list[str]) -> None:
-        """Pieces that start a text, and texts that can't be cut; remembered with a mark no word holds."""
-        enc = [e.ids for e in self.lib.encode_batch_fast(heads, add_special_tokens=False)]
-        lens = np.fromiter(map(len, enc), np.int64, len(enc))
-        self._keep([" " + h for h in heads], np.fromiter((i for e in enc for i in e), np.uint32, int(lens.sum())), lens)
+    def _learn(self, units: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Remember units; those that can stand beside others are encoded in runs, cut again by the bytes each id
+        stands for. Returns their places."""
+        kind = np.zeros(len(units), np.int8)
+        for k, u in enumerate(units):
+            if u and not u[-1].isspace() and not any(x in u for x in self.special):
+                if u[0] == " " and not u[1].isspace():
+                    kind[k] = 1  # its own space parts it from what comes before
+                elif not u[0].isspace():
+                    kind[k] = 2  # a line break does
+        place, n0 = np.zeros(len(units), np.int64), len(self.index)
+        for of in (1, 2):
+            which = np.flatnonzero(kind == of)
+            for s in range(0, len(which), 2048):
+                run = which[s : s + 2048]
+                some = [units[k] for k in run.tolist()]
+                text = "".join(some) if of == 1 else "\n".join(some) + "\n"
+                ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                at = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[run] + (of == 2))) + 1
+                lens = np.diff(at, prepend=0)
+                if of == 2:
+                    ids, lens = np.delete(ids, at - 1), lens - 1
+                self._keep(some, ids, lens)
+                place[run] = np.arange(n0, n0 + len(run))
+                n0 += len(run)
+        which = np.flatnonzero(kind == 0)
+        if len(which):
+            some = [units[k] for k in which.tolist()]
+            enc = [e.ids for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]
+            lens = np.fromiter(map(len, enc), np.int64, len(enc))
+            self._keep(some, np.fromiter((i for e in enc for i in e), np.uint32, int(lens.sum())), lens)
+            place[which] = np.arange(n0, n0 + len(which))
+        return place
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > CACHE_WORDS:
@@ -77,10 +100,10 @@ class Encoder:
         plain = pc.invert(pc.match_substring_regex(texts, _PLAIN))
         for s in self.special:
             plain = pc.and_(plain, pc.invert(pc.match_substring(texts, s)))
-        if pc.all(plain).as_py():
-            cut = pc.split_pattern(texts, " ")
-        else:
-            split = pc.split_pattern(texts, " ").to_pylist()
+        marked = pc.replace_substring_regex(pc.replace_substring_regex(texts, _AFTER_LETTER, "\\1\x00\\2"), _AFTER_BREAK, "\\1\n\x00\\2")
+        cut = pc.split_pattern(pc.replace_substring(marked, " ", "\x00 "), "\x00")
+        if not pc.all(plain).as_py():
+            split = cut.to_pylist()
             for k in np.flatnonzero(~np.asarray(plain.to_numpy(zero_copy_only=False), bool)):
                 t = texts[int(k)].as_py()
                 split[k] = [t] if any(s in t for s in self.special) else _CUT.split(t)
@@ -89,23 +112,12 @@ class Encoder:
         ends = ends - ends[0]
         coded = words.dictionary_encode()
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        first = ends[:-1]
-        rest = np.ones(len(code), bool)
-        rest[first] = False
-        seen = np.zeros(len(names), bool)
-        seen[code[rest]] = True
         get = self.index.get
         place = np.array([get(w, -1) for w in names], np.int64)
-        new = np.flatnonzero(seen & (place < 0))
+        new = np.flatnonzero(place < 0)
         if len(new):
-            n0 = len(self.index)
-            self._learn([names[k] for k in new.tolist()], pc.binary_length(coded.dictionary).to_numpy()[new].astype(np.int64))
-            place[new] = np.arange(n0, n0 + len(new))
-        heads = [names[k] for k in code[first]]
-        if missing := [h for h in dict.fromkeys(heads) if " " + h not in self.index]:
-            self._learn_heads(missing)
+            place[new] = self._learn([names[k] for k in new.tolist()], pc.binary_length(coded.dictionary).to_numpy()[new].astype(np.int64))
         at = place[code]
-        at[first] = np.fromiter((self.index[" " + h] for h in heads), np.int64, len(heads))
         lens = self.count[at]
         to = np.concatenate([[0], np.cumsum(lens)])
         ids = self.flat[np.repeat(self.start[at] - to[:-1], lens) + np.arange(to[-1])]
