@@ -1,14 +1,18 @@
 """Token ids in a compressed binary file: adaptive context mixing and a range coder, in independent blocks.
 
-A file is a table of chunks. A chunk holds the ids of whole documents, their doc_ids and lengths, and its blocks. Every
-block of `BLOCK` ids has its own model, its own coder and a crc32, so a block can be read alone and damage stays inside.
+A file is a table of chunks. A chunk holds the ids of whole documents, their doc_ids and lengths, a header and blocks.
+The header lists the chunk's different ids with their frequencies: the state that every block starts from. Each block of
+`BLOCK` ids is reset to it, has its own coder and a crc32, so with the header it can be read alone and damage stays inside.
 
-The model predicts an id from three orders. Order 2 and order 1 look up the id that last followed the two ids or the
-one id before (hashed slots, with a count of hits in a row); order 0 is an adaptive distribution over the sizes of
-the upper byte of ids. Adaptive weights mix the three: P = w2 [id = guess2] + (1-w2) w1 [id = guess1] + (1-w2)(1-w1) P0.
-The upper part of an id that no guess gives is coded within P0, its lower byte is kept as it is.
+The model predicts an id from three orders. Order 2 and order 1 look up the id that last followed the two ids or the one
+id before (hashed slots, with the hits in a row as confidence); order 0 is the distribution of the header. Weights for
+each order and confidence, which follow hits and misses, mix the three:
+P = w2 [id = guess2] + (1-w2) w1 [id = guess1] + (1-w2)(1-w1) P0. The range coder codes whole ids by P.
 
 Blocks don't depend on each other, so numpy codes many at once, one id of each in every step.
+
+Null texts are empty and have the end id alone. Rows that repeat a doc_id are documents each, in order of text. A very long
+text is encoded in one worker, its ids span blocks. Further columns of docs aren't read; an empty table gives no file row.
 """
 
 from __future__ import annotations
@@ -22,202 +26,220 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, utf8
+from .common import materialise, slices
 from .tokens import encoder, with_end
 
 BLOCK = 2048  # ids of a block
 LANES = 2048  # blocks coded side by side
-CHUNK = 2_000_000  # ids after which a chunk is closed
-SLOTS = 1024
+CHUNK = 4_000_000  # ids after which a chunk is closed
+SLOTS = 1024  # a power of two
 BITS = 24  # of the coder's total
 TOTAL = 1 << BITS
-KEEP0 = TOTAL >> 3  # what order 0 has at least
-CONF = 8
-GROUPS = 17  # sizes of the upper part, up to 16 bits
-_M32 = np.uint64(0xFFFFFFFF)
+ROOM = TOTAL - (TOTAL >> 3)  # what orders 1 and 2 have at most
+CONF = 8  # confidences; the last one says that a slot is empty
+FREQ = 18  # bits of the header's total
+_LOW, _W = np.uint64(0xFFFFFFFF), np.uint64(32)
+
+
+class _Header:
+    """Order 0: the different ids, and the borders of their frequencies in a total of 2**bits."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        self.ids, self.freq = ids, freq
+        self.bits = int(freq.sum()).bit_length() - 1
+        self.edge = np.concatenate([[0], np.cumsum(freq)])
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple["_Header", np.ndarray]:
+        """The header, and the ids as places in it."""
+        if int(ids.max()) < 1 << 24:  # the same by a table
+            every = np.bincount(ids)
+            names = np.flatnonzero(every)
+            count, place = every[names], np.zeros(len(every), np.int64)
+            place[names] = np.arange(len(names))
+            places = place[ids]
+        else:
+            names, places, count = np.unique(ids, return_inverse=True, return_counts=True)
+        total = 1 << max(FREQ, len(names).bit_length() + 1)
+        freq = 1 + count * (total - len(names)) // len(ids)
+        freq[np.argmax(freq)] += total - freq.sum()
+        return cls(names.astype(np.int64), freq), places
+
+    def pack(self) -> bytes:
+        data = zlib.compress(np.diff(self.ids, prepend=0).astype("<u4").tobytes() + self.freq.astype("<u4").tobytes(), 9)
+        return struct.pack("<III", len(self.ids), len(data), zlib.crc32(data)) + data
+
+    @classmethod
+    def unpack(cls, data: bytes) -> tuple["_Header", int]:
+        """The header and where the blocks begin."""
+        n, size, crc = struct.unpack_from("<III", data, 0)
+        if zlib.crc32(data[12 : 12 + size]) != crc:
+            raise ValueError("the header's checksum differs")
+        both = np.frombuffer(zlib.decompress(data[12 : 12 + size]), "<u4").astype(np.int64)
+        return cls(np.cumsum(both[:n]), both[n:]), 12 + size
+
+
+class _Order:
+    """Guesses of one order for n blocks: a slot holds (id + 1) * CONF + confidence."""
+
+    def __init__(self, n: int):
+        self.slots = np.full(n * SLOTS, CONF - 1, np.int32)
+        self.weight = np.full((n, CONF), TOTAL >> 2, np.int64)
+        self.weight[:, CONF - 1] = 0
+        self.flat, self.row = self.weight.ravel(), np.arange(n) * CONF
+
+    def look(self, at: np.ndarray) -> np.ndarray:
+        self.at = at
+        held = self.slots[at].astype(np.int64)
+        self.conf = held & CONF - 1
+        self.guess = (held >> 3) - 1
+        self.which = self.row + self.conf
+        self.now = self.flat[self.which]
+        return self.now
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        self.flat[self.which] = self.now + (np.where(hit, TOTAL - 4096, 4096) - self.now >> 4)
+        self.weight[:, CONF - 1] = 0
+        self.slots[self.at] = (ids + 1) * CONF + np.minimum(self.conf + 1, CONF - 2) * hit
 
 
 class _Model:
     """The state of n blocks, and the interval of the next id in each."""
 
-    def __init__(self, n: int):
-        self.n, self.rows = n, np.arange(n)
-        self.guess = [np.zeros((n, SLOTS), np.int64) - 1 for _ in range(2)]
-        self.conf = [np.zeros((n, SLOTS), np.int8) for _ in range(2)]
-        self.weight = [np.full((n, CONF), TOTAL >> 2, np.int64), np.full((n, CONF), TOTAL >> 2, np.int64)]
-        self.count = np.ones((n, GROUPS), np.int64)
-        self.one = np.zeros(n, np.int64)
-        self.two = np.zeros(n, np.int64)
+    def __init__(self, n: int, header: _Header):
+        self.header, self.bits, self.edge = header, header.bits, header.edge
+        self.one, self.two = _Order(n), _Order(n)
+        self.row = np.arange(n) * SLOTS
+        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def look(self) -> None:
-        r = self.rows
-        self.slot = [(self.one * 0x9E3779B1 >> 7) % SLOTS, ((self.one * 0x85EBCA6B ^ self.two * 0xC2B2AE35) >> 9) % SLOTS]
-        self.g1, self.g2 = self.guess[0][r, self.slot[0]], self.guess[1][r, self.slot[1]]
-        self.c1, self.c2 = self.conf[0][r, self.slot[0]], self.conf[1][r, self.slot[1]]
-        room = TOTAL - KEEP0
-        self.f2 = np.where(self.g2 >= 0, self.weight[1][r, self.c2] * room >> BITS, 0)
-        self.f1 = np.where((self.g1 >= 0) & (self.g1 != self.g2), self.weight[0][r, self.c1] * (room - self.f2) >> BITS, 0)
+        mixed = self.last * 0x9E3779B1
+        w2 = self.two.look(self.row + ((mixed ^ self.before * 0x85EBCA6B) >> 9 & SLOTS - 1))
+        w1 = self.one.look(self.row + (mixed >> 7 & SLOTS - 1))
+        self.f2 = w2 * ROOM >> BITS
+        self.f1 = (w1 * (ROOM - self.f2) >> BITS) * (self.one.guess != self.two.guess)
         self.base = self.f2 + self.f1
-        self.cum = np.zeros((self.n, GROUPS + 1), np.int64)
-        np.cumsum(self.count, axis=1, out=self.cum[:, 1:])
-
-    def edge(self, group: np.ndarray) -> np.ndarray:
-        return self.base + self.cum[self.rows, group] * (TOTAL - self.base) // self.cum[:, -1]
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and size, and whether order 0 codes the id."""
-        hit2, hit1 = (ids == self.g2) & (self.f2 > 0), (ids == self.g1) & (self.f1 > 0)
-        upper = ids >> 8
-        group = _bit_length(upper)
-        lo, hi = self.edge(group), self.edge(group + 1)
-        width = (hi - lo) >> np.maximum(group - 1, 0)
-        plain = lo + width * (upper - (1 << np.maximum(group - 1, 0)) * (group > 0))
-        start = np.where(hit2, 0, np.where(hit1, self.f2, plain))
-        return start, np.where(hit2, self.f2, np.where(hit1, self.f1, width)), ~(hit2 | hit1)
-
-    def learn(self, ids: np.ndarray, active: np.ndarray) -> None:
-        r = self.rows[active]
-        ids = ids[active]
-        for k, (g, c) in enumerate(((self.g1, self.c1), (self.g2, self.c2))):
-            g, c, slot = g[active], c[active], self.slot[k][active]
-            hit = g == ids
-            w = self.weight[k][r, c]
-            self.weight[k][r, c] = w + (np.where(hit, TOTAL - 4096, 4096) - w >> 4)
-            self.conf[k][r, slot] = np.where(hit, np.minimum(c + 1, CONF - 1), 0)
-            self.guess[k][r, slot] = ids
-        self.count[r, _bit_length(ids >> 8)] += 24
-        full = self.count[r].sum(axis=1) > 8192
-        if full.any():
-            self.count[r[full]] = (self.count[r[full]] + 1) >> 1
-        self.two[active] = self.one[active]
-        self.one[active] = ids
-
-
-def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+        self.rest = TOTAL - self.base
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids' share of the total."""
+        self.hit2, self.hit1 = ids == self.two.guess, ids == self.one.guess
+        lo, hi = self.edge[ids] * self.rest >> self.bits, self.edge[ids + 1] * self.rest >> self.bits
+        first = self.hit1 & ~self.hit2
+        start = np.where(self.hit2, 0, np.where(first, self.f2, self.base + lo))
+        return start, np.where(self.hit2, self.f2, np.where(first, self.f1, hi - lo))
+
+    def learn(self, ids: np.ndarray) -> None:
+        self.two.learn(ids, self.hit2)
+        self.one.learn(ids, self.hit1)
+        self.before, self.last = self.last, ids
 
 
 class _Coder:
-    """64-bit carryless range coders side by side: words of 16 bits go out when they are settled."""
+    """64-bit carryless range coders side by side: a word of 32 bits goes out when it is settled, one a step at most."""
 
     def __init__(self, n: int):
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def narrow(self, start: np.ndarray, size: np.ndarray, active: np.ndarray) -> None:
-        part = self.range >> np.uint64(BITS)
-        self.low = np.where(active, self.low + part * start.astype(np.uint64), self.low)
-        self.range = np.where(active, part * size.astype(np.uint64), self.range)
-
-    def settled(self, active: np.ndarray) -> np.ndarray:
-        same = (self.low ^ (self.low + self.range)) < np.uint64(1 << 48)
-        small = ~same & (self.range < np.uint64(1 << 40))
-        if (small & active).any():
-            self.range = np.where(small & active, -self.low & np.uint64((1 << 40) - 1), self.range)
-        return (same | small) & active
-
-    def shift(self, which: np.ndarray) -> None:
-        self.low = np.where(which, self.low << np.uint64(16), self.low)
-        self.range = np.where(which, self.range << np.uint64(16), self.range)
+    def narrow(self, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The blocks whose next word is settled; where the interval crosses a word's border it is cut there."""
+        self.low += part * start.astype(np.uint64)
+        self.range = part * size.astype(np.uint64)
+        due = np.flatnonzero(self.range <= _LOW)
+        low, width = self.low[due], self.range[due]
+        self.word = low >> _W
+        width = np.where((low + width) >> _W != self.word, -low & _LOW, width)
+        width[width == 0] = _LOW  # low lies on the border, the interval behind it
+        self.low[due], self.range[due] = low << _W, width << _W
+        return due
 
 
 def _blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of BLOCK ids, the last one filled up with zeros, and their sizes."""
     n = -(-len(ids) // BLOCK)
     grid = np.zeros(n * BLOCK, np.int64)
     grid[: len(ids)] = ids
     sizes = np.full(n, BLOCK, np.int64)
-    if n:
-        sizes[-1] = len(ids) - (n - 1) * BLOCK
+    sizes[-1] = len(ids) - (n - 1) * BLOCK
     return grid.reshape(n, BLOCK), sizes
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
-    """Blocks one after another: ids, words, raw bytes (counts), crc32 of the ids, words, raw bytes. Ids are below 65536."""
-    if len(ids) and int(ids.max()) >> 16:
-        raise ValueError("ids of 65536 and more aren't supported")
-    out = []
-    grid, sizes = _blocks(ids)
+    """The header, then blocks one after another: ids and words (counts), crc32 of both, words."""
+    if not len(ids):
+        return b""
+    header, places = _Header.of(ids)
+    out = [header.pack()]
+    grid, sizes = _blocks(places)
+    names = header.ids.astype("<u4")
     for at in range(0, len(grid), LANES):
         g, size = grid[at : at + LANES], sizes[at : at + LANES]
         n, steps = len(g), int(size.max())
-        model, coder = _Model(n), _Coder(n)
-        words = np.zeros((n, 3 * BLOCK + 8), np.uint16)
+        turned = np.ascontiguousarray(g.T)
+        model, coder = _Model(n, header), _Coder(n)
+        words = np.zeros((n, steps + 2), np.uint32)
         used = np.zeros(n, np.int64)
-        plain = np.zeros((n, BLOCK), bool)
         for t in range(steps):
-            active = size > t
+            now = turned[t]
             model.look()
-            start, width, raw = model.interval(g[:, t])
-            plain[:, t] = raw & active
-            coder.narrow(start, width, active)
-            while (which := coder.settled(active)).any():
-                r = np.flatnonzero(which)
-                words[r, used[r]] = (coder.low[r] >> np.uint64(48)).astype(np.uint16)
-                used[r] += 1
-                coder.shift(which)
-            model.learn(g[:, t], active)
-        for _ in range(4):
-            words[np.arange(n), used] = (coder.low >> np.uint64(48)).astype(np.uint16)
+            start, width = model.interval(now)
+            due = coder.narrow(coder.range >> np.uint64(BITS), start, width)
+            words[due, used[due]] = coder.word
+            used[due] += 1
+            model.learn(now)
+        for _ in range(2):
+            words[np.arange(n), used] = coder.low >> _W
             used += 1
-            coder.low = coder.low << np.uint64(16)
-        low = (g & 255).astype(np.uint8)
+            coder.low = coder.low << _W
         for k in range(n):
-            raw = low[k][plain[k]].tobytes()
-            crc = zlib.crc32(g[k, : size[k]].astype("<u4").tobytes())
-            out.append(struct.pack("<IIII", size[k], used[k], len(raw), crc) + words[k, : used[k]].astype("<u2").tobytes() + raw)
+            coded = words[k, : used[k]].astype("<u4").tobytes()
+            out.append(struct.pack("<III", size[k], used[k], zlib.crc32(coded, zlib.crc32(names[g[k, : size[k]]].tobytes()))) + coded)
     return b"".join(out)
 
 
 def decode_ids(data: bytes) -> np.ndarray:
-    """The ids of encode_ids(); raises ValueError if a block's checksum differs."""
-    heads, at = [], 0
+    """The ids of encode_ids(); raises ValueError if a checksum differs."""
+    if not data:
+        return np.zeros(0, np.uint32)
+    header, at = _Header.unpack(data)
+    names, whose = header.ids.astype("<u4"), np.repeat(np.arange(len(header.ids)), header.freq)
+    heads = []
     while at < len(data):
-        size, used, raw, crc = struct.unpack_from("<IIII", data, at)
-        heads.append((size, used, raw, crc, at + 16))
-        at += 16 + 2 * used + raw
+        size, used, crc = struct.unpack_from("<III", data, at)
+        heads.append((size, used, crc, at + 12))
+        at += 12 + 4 * used
     out = []
     for first in range(0, len(heads), LANES):
         some = heads[first : first + LANES]
-        n, size = len(some), np.array([h[0] for h in some], np.int64)
-        words = np.zeros((n, max(h[1] for h in some) + 8), np.uint64)
-        raws = np.zeros((n, max(h[2] for h in some) + 1), np.int64)
-        for k, (_, used, raw, _, p) in enumerate(some):
-            words[k, :used] = np.frombuffer(data, "<u2", used, p)
-            raws[k, :raw] = np.frombuffer(data, np.uint8, raw, p + 2 * used)
-        model, coder, r = _Model(n), _Coder(n), np.arange(n)
-        code = words[:, 0] << np.uint64(48) | words[:, 1] << np.uint64(32) | words[:, 2] << np.uint64(16) | words[:, 3]
-        read, took = np.full(n, 4), np.zeros(n, np.int64)
-        ids = np.zeros((n, BLOCK), np.int64)
-        for t in range(int(size.max())):
-            active = size > t
+        n, steps = len(some), max(h[0] for h in some)
+        words = np.zeros((n, max(h[1] for h in some) + 2), np.uint64)
+        for k, (_, used, _, p) in enumerate(some):
+            words[k, :used] = np.frombuffer(data, "<u4", used, p)
+        model, coder = _Model(n, header), _Coder(n)
+        code = words[:, 0] << _W | words[:, 1]
+        read = np.full(n, 2)
+        last = words.shape[1] - 1
+        places = np.zeros((steps, n), np.int64)
+        for t in range(steps):
             model.look()
             part = coder.range >> np.uint64(BITS)
             v = np.minimum((code - coder.low) // part, np.uint64(TOTAL - 1)).astype(np.int64)
-            hit2 = v < model.f2
-            hit1 = ~hit2 & (v < model.base)
-            edges = model.base[:, None] + model.cum[:, 1:] * (TOTAL - model.base)[:, None] // model.cum[:, -1:]
-            group = np.minimum((edges <= v[:, None]).sum(axis=1), GROUPS - 1)
-            lo, hi = model.edge(group), model.edge(group + 1)
-            width = (hi - lo) >> np.maximum(group - 1, 0)
-            upper = (v - lo) // np.maximum(width, 1) + (1 << np.maximum(group - 1, 0)) * (group > 0)
-            plain = (upper << 8) | raws[r, took]
-            got = np.where(hit2, model.g2, np.where(hit1, model.g1, plain))
-            got = np.where(active, got, 0)
-            start, width, raw = model.interval(got)
-            took += raw & active
-            ids[:, t] = got
-            coder.narrow(start, width, active)
-            while (which := coder.settled(active)).any():
-                w = np.flatnonzero(which)
-                code[w] = code[w] << np.uint64(16) | words[w, read[w]]
-                read[w] += 1
-                coder.shift(which)
-            model.learn(got, active)
-        for k, (s, _, _, crc, _) in enumerate(some):
-            if zlib.crc32(ids[k, :s].astype("<u4").tobytes()) != crc:
+            plain = whose[np.minimum(((np.maximum(v - model.base, 0) + 1 << model.bits) - 1) // model.rest, len(whose) - 1)]
+            got = np.where(v < model.f2, model.two.guess, np.where(v < model.base, model.one.guess, plain))
+            places[t] = got
+            start, width = model.interval(got)
+            due = coder.narrow(part, start, width)
+            code[due] = code[due] << _W | words[due, np.minimum(read[due], last)]
+            read[due] += 1
+            model.learn(got)
+        turned = np.ascontiguousarray(places.T)
+        for k, (size, used, crc, p) in enumerate(some):
+            ids = names[turned[k, :size]]
+            if zlib.crc32(data[p : p + 4 * used], zlib.crc32(ids.tobytes())) != crc:
                 raise ValueError("a block's checksum differs")
-            out.append(ids[k, :s])
-    return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32)
+            out.append(ids)
+    return np.concatenate(out).astype(np.uint32)
 
 
 _CHUNK = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("payload", pa.binary())])

@@ -95,6 +95,19 @@ def test_ann_copies_ties_and_bad_vectors(spark):
     assert ann.nearest(df.where("vec_id = 100"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_ties_among_different_vectors(spark):
+    rows = [(i, [float(i), 2.0 * i, 0.0]) for i in range(1, 101)] + [(150, [1.0, 0.0, 0.0]), (200, [1.0, 2.0, 0.0])]
+    df = spark.createDataFrame(rows + rows[:40], "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    for query in (50, 100, 200):  # exact products of powers of two apart, scores may differ in the last bit
+        best = sorted(((-s, i) for i, s in got[query]))
+        assert [i for _, i in best] == [i for i, _ in got[query]] and all(s > 1 - 1e-12 for _, s in got[query])
+    same = spark.createDataFrame([(i, [3.0 * 2.0**i, 4.0 * 2.0**i]) for i in range(1, 31)] + [(50, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    assert [x["vec_id"] for x in ann.nearest(same, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -307,13 +320,23 @@ def test_id_blocks_round_trip(n):
     assert n < 9000 or len(data) < n  # repeats are predicted
 
 
-def test_damage_is_found_and_large_ids_refused():
-    data = bytearray(idfile.encode_ids(np.arange(3000, dtype=np.uint32)))
-    data[-1] ^= 1
-    with pytest.raises(ValueError):
-        idfile.decode_ids(bytes(data))
-    with pytest.raises(ValueError):
-        idfile.encode_ids(np.array([1 << 16], np.uint32))
+def test_damage_is_found():
+    whole = idfile.encode_ids(np.arange(3000, dtype=np.uint32))
+    for at in (20, len(whole) - 1):
+        data = bytearray(whole)
+        data[at] ^= 1
+        with pytest.raises(ValueError):
+            idfile.decode_ids(bytes(data))
+
+
+def test_large_ids_and_size_of_prose(sf):
+    ids = np.array([0, 1 << 16, (1 << 32) - 1, 5, 1 << 16] * 700, np.uint32)
+    assert np.array_equal(idfile.decode_ids(idfile.encode_ids(ids)), ids)
+    import pyarrow.parquet as pq
+
+    ids, _ = tokens.encoder(tokenizer()).encode(pq.read_table(f"{sf.replace('0.001', '0.01')}/documents.parquet", columns=["text"])["text"])
+    data = idfile.encode_ids(ids)
+    assert np.array_equal(idfile.decode_ids(data), ids) and len(data) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
 
 
 def test_id_files(spark, docs):
@@ -505,6 +528,15 @@ def test_suffix_array_and_prefixes(data, few):
         assert lcp[k] == next((x for x in range(16) if x >= len(a) or x >= len(b) or a[x] != b[x]), 16)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\n\n", " \n", "a", "Zé", "ß", "it's", "'s", "'", "x.", "..", "%", "3a", ".5", "\t", "\u00a0", "漢", "\x00", "\x85", "<|endoftext|>", "é\n", "\n a", "(", "!)", ""]), max_size=12).map("".join))
+def test_cached_ids_are_the_library_s(text):
+    e = tokens.encoder(tokenizer())
+    ids, to = e.encode([text, None, text])
+    want = e.lib.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 and to.tolist() == [0, len(want), len(want), 2 * len(want)]
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 
@@ -541,6 +573,24 @@ def test_packing(spark, docs):
     assert check_pieces(packing.pack(few, tokenizer()).collect(), texts_of(few)) == 0
 
 
+def test_packing_of_repeated_rows_and_ids(spark, docs):
+    some = docs.where("doc_id < 60 OR length(text) > 50000").select("doc_id", "text")
+    rows = packing.pack(some.unionByName(some).unionByName(some.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), tokenizer(), with_ids=True).collect()
+    by_seq, by_doc = {}, {}
+    for r in rows:
+        assert r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"]
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    for pieces_ in by_seq.values():  # gapless, and no place is taken twice
+        at = 0
+        for offset, length in sorted(pieces_):
+            assert offset == at
+            at += length
+        assert at & (at - 1) == 0
+    single = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(some, tokenizer()).collect()}
+    assert all(sum(n for _, n in by_doc[i]) == 2 * t for i, t in single.items()) and None in by_doc
+
+
 def test_plan_uses_no_length_too_often():
     r = np.random.default_rng(3)
     for many in (30, 3000):
