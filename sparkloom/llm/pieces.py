@@ -6,8 +6,11 @@ skipped, decided by a hash of the occurrence's key, place and piece, so a run ca
 of seed, document and the word's place in it, so each occurrence of a word is cut on its own.
 Characters outside the vocabulary, and a literal space mark, become byte pieces; decoding gives back the very bytes.
 
-Null and empty texts have no piece. What a word becomes depends on the candidates skipped alone: a worker remembers it by
-word and skips, with the candidates that come after the last skip, and an occurrence goes on from there at its next skip.
+A worker remembers each word's pieces without a skip, and the candidates that its agenda takes then. An occurrence whose
+key skips none of them is looked up; all others are merged with their own keys, those of a length side by side.
+
+Null and empty texts have no piece. Rows that repeat a doc_id are cut alike if their texts are equal; a null doc_id counts as
+0. Very long texts and words are encoded whole, in one worker. Further columns aren't read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -58,6 +61,9 @@ class PieceCoder:
             if len(p) == 1:
                 self.code[ord(p)] = i
         self.code[ord(" ")], self.code[ord(_MARK)] = self.code[ord(_MARK)], -1
+        for b in range(128):  # byte pieces make no pair, so they stand beside the others as they are
+            if self.code[b] < 0:
+                self.code[b] = self.bytes[b]
         order = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (self.rank[names[i]], i)))}
         self.size = size
         made = sorted((self.ids[p[:k]] * size + self.ids[p[k:]], order[i], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
@@ -92,22 +98,21 @@ class PieceCoder:
                 break
         return out
 
-    def same_length(self, words: list[str], keys: list[int] | None, skips: list[tuple[int, ...]] | None = None, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """word() for many words of one length without characters foreign to the vocabulary: the agendas go side by
-        side, each takes its best candidate in every step. Returns all ids and their number a word.
-        skips: the steps to skip in place of what the keys say; trace: gets (words, candidates) of each step."""
+    def codes(self, words: list[str]) -> np.ndarray:
+        """A row a word, all of one length: the piece of each character, -1 where the vocabulary has none."""
         n = len(words[0])
-        ids = self.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)]
-        place = np.tile(np.arange(n, dtype=np.int32), (len(words), 1))
-        key = np.array(keys or [0] * len(words), np.uint64)
-        forced = np.zeros((len(words), 2 + max((x[-1] for x in skips or () if x), default=0)), bool)
-        for w, x in enumerate(skips or ()):
-            forced[w, list(x)] = True
-        step = -1
+        return self.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)]
+
+    def same_length(self, ids: np.ndarray, key: np.ndarray | None, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """word() for many words of one length (rows of codes() without -1): the agendas go side by side, each takes its
+        best candidate in every step. Returns all ids and their number a word. Without keys nothing is skipped; trace
+        gets (words, candidates) of each step."""
+        words, n = ids.shape
+        ids, place = ids.copy(), np.tile(np.arange(n, dtype=np.int32), (words, 1))
         rank = np.full(ids.shape, _NONE, np.int32)
         if n > 1:
             rank[:, :-1] = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(-1, n - 1)
-        live = np.arange(len(words))
+        live = np.arange(words)
         a, s, r, k = ids, place, rank, key
         col = np.arange(n)
         while True:
@@ -115,23 +120,26 @@ class PieceCoder:
             best = r[np.arange(len(r)), j]
             more = best < _NONE
             if not more.all():
-                ids[live], place[live] = a, s
-                live, a, s, r, k, j, best = live[more], a[more], s[more], r[more], k[more], j[more], best[more]
+                ids[live] = a
+                live, a, s, r, j, best = live[more], a[more], s[more], r[more], j[more], best[more]
+                k = None if k is None else k[more]
             if not len(live):
                 break
-            row, step = np.arange(len(live)), step + 1
+            row = np.arange(len(live))
             new = self.id_of_rank[best]
             candidate = ((s[row, j].astype(np.uint64) * np.uint64(0x9E3779B1)) ^ (new.astype(np.uint64) * np.uint64(0x85EBCA6B))) & _M32
             if trace is not None:
                 trace.append((live, candidate))
-            skip = self._skipped(k ^ candidate) if skips is None else forced[live, min(step, forced.shape[1] - 1)]
-            r[row[skip], j[skip]] = _NONE
-            go = row[~skip]
+            go = row
+            if k is not None:
+                skip = self._skipped(k ^ candidate)
+                r[row[skip], j[skip]] = _NONE
+                go = row[~skip]
             if len(go):
                 at = j[go]
                 take = np.minimum(col + (col > at[:, None]), n - 1)
                 for m, fill in ((a, -1), (s, 0), (r, _NONE)):
-                    moved = np.take_along_axis(m[go], take, axis=1)
+                    moved = np.take_along_axis(m if len(go) == len(m) else m[go], take, axis=1)
                     moved[:, -1] = fill  # a merge frees one place at the end
                     m[go] = moved
                 a[go, at] = new[go]
@@ -148,8 +156,6 @@ class PieceCoder:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.child: dict[tuple[int, int], int] = {}
-        self.known: list[tuple[str, tuple[int, ...]]] = []
         self.after = np.zeros(1 << 16, np.uint32)
         self.after_start, self.after_count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.after_used = 0
@@ -158,9 +164,9 @@ class PieceCoder:
         self.count = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def word(self, word: str, key: int = 0, skips: tuple[int, ...] | None = None, trace: list | None = None) -> list[int]:
-        """The ids of one word: the agenda. skips, trace: as in same_length()."""
-        rank, limit = self.rank, self.limit
+    def word(self, word: str, key: int | None = 0, trace: list | None = None) -> list[int]:
+        """The ids of one word: the agenda. key, trace: as in same_length()."""
+        rank, limit = self.rank, 0 if key is None else self.limit
         part = [_MARK if c == " " else c for c in word] if _MARK not in word else ["\0" if c == _MARK else _MARK if c == " " else c for c in word]
         n = len(part)
         after = list(range(1, n + 1))
@@ -171,20 +177,15 @@ class PieceCoder:
             if both in rank:
                 agenda.append((rank[both], i, both))
         heapq.heapify(agenda)
-        step = -1
         while agenda:
             _, i, both = heapq.heappop(agenda)
             j = after[i]
             if part[i] is None or j >= n or part[i] + part[j] != both:
                 continue
-            step += 1
             candidate = ((i * 0x9E3779B1) ^ (self.ids[both] * 0x85EBCA6B)) & 0xFFFFFFFF
             if trace is not None:
                 trace.append(candidate)
-            if skips is not None:
-                if step in skips:
-                    continue
-            elif limit:
+            if limit:
                 x = key ^ candidate
                 x = ((x ^ (x >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
                 x = ((x ^ (x >> 15)) * 0x846CA68B) & 0xFFFFFFFF
@@ -225,74 +226,62 @@ class PieceCoder:
         self.used += len(ids)
         self.after_used += len(after)
 
-    def _learn(self, new: list[tuple[str, tuple[int, ...]]]) -> range:
-        """Remember words with the steps skipped; returns their numbers."""
+    def _learn(self, new: list[str]) -> None:
+        """Remember words as they are without a skip."""
         by: dict[int, list[int]] = {}
-        for k, (w, _) in enumerate(new):
+        for k, w in enumerate(new):
             by.setdefault(len(w), []).append(k)
-        n0 = len(self.known)
+        n0 = len(self.index)
         while n0 + len(new) > len(self.start):
             self.start, self.count, self.after_start, self.after_count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.after_start, self.after_count))
         for n, at in by.items():
-            code = self.code[np.frombuffer("".join(new[k][0] for k in at).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(len(at), n) if n else np.full((len(at), 1), -1)
-            known = (code >= 0).all(axis=1)
-            plain, odd = [k for k, y in zip(at, known) if y], [k for k, y in zip(at, known) if not y]
-            if plain:
+            code = self.codes([new[k] for k in at]) if n else np.full((len(at), 1), -1)
+            at, known = np.array(at), (code >= 0).all(axis=1)
+            if known.any():
                 trace: list = []
-                skips = [new[k][1] for k in plain]
-                ids, lens = self.same_length([new[k][0] for k in plain], None, skips, trace)
-                steps, taken = np.zeros((len(plain), len(trace)), np.uint32), np.zeros(len(plain), np.int64)
+                ids, lens = self.same_length(code[known], None, trace)
+                steps, taken = np.zeros((len(lens), len(trace)), np.uint32), np.zeros(len(lens), np.int64)
                 for t, (live, candidate) in enumerate(trace):
                     steps[live, t] = candidate
                     taken[live] = t + 1
-                col, first = np.arange(len(trace)), np.array([x[-1] + 1 if x else 0 for x in skips])
-                kept = (col >= first[:, None]) & (col < taken[:, None])
-                self._keep(n0 + np.array(plain), ids, lens, steps[kept], kept.sum(axis=1))
-            for k in odd:
-                trace, skips = [], new[k][1]
-                made = self.word(new[k][0], 0, skips, trace)
-                rest = trace[skips[-1] + 1 if skips else 0 :]
-                self._keep(np.array([n0 + k]), np.array(made, np.int64), np.array([len(made)]), np.array(rest, np.uint32), np.array([len(rest)]))
-        self.known += new
-        return range(n0, n0 + len(new))
-
-    def _cut(self, names: list[str], code: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The number under which each occurrence's pieces are remembered; code: its word, as a place in names."""
-        long = np.array([len(w) > SIDE_BY_SIDE for w in names], bool)
-        if new := [w for w, x in zip(names, long) if not x and w not in self.index]:
-            self.index.update(zip(new, self._learn([(w, ()) for w in new])))
-        at = np.array([-1 if x else self.index[w] for w, x in zip(names, long)], np.int64)[code] if names else np.zeros(0, np.int64)
-        for o in np.flatnonzero(at < 0).tolist():  # long words hardly repeat, and have many skips
-            made = self.word(names[code[o]], int(key[o]))
-            at[o] = len(self.known)
-            while at[o] >= len(self.start):
-                self.start, self.count, self.after_start, self.after_count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.after_start, self.after_count))
-            self._keep(at[o : o + 1], np.array(made, np.int64), np.array([len(made)]), np.zeros(0, np.uint32), np.zeros(1, np.int64))
-            self.known.append(("", ()))
-        todo = np.arange(len(at)) if self.limit else np.zeros(0, np.int64)
-        while len(todo):
-            n = self.after_count[at[todo]]
-            ends = np.cumsum(n)
-            whose = np.repeat(np.arange(len(todo)), n)
-            step = np.arange(len(whose)) - (ends - n)[whose]
-            hit = np.flatnonzero(self._skipped(key[todo][whose] ^ self.after[self.after_start[at[todo]][whose] + step].astype(np.uint64)))
-            who, first = np.unique(whose[hit], return_index=True)
-            todo, step = todo[who], step[hit[first]]
-            pair, back = np.unique(at[todo] << 16 | step, return_inverse=True)
-            pairs = [(x >> 16, x & 0xFFFF) for x in pair.tolist()]
-            if new := [x for x in pairs if x not in self.child]:
-                made = []
-                for node, k in new:
-                    word, skips = self.known[node]
-                    made.append((word, (*skips, (skips[-1] + 1 if skips else 0) + k)))
-                self.child.update(zip(new, self._learn(made)))
-            if len(todo):
-                at[todo] = np.fromiter(map(self.child.__getitem__, pairs), np.int64, len(pairs))[back]
-        return at
+                kept = np.arange(len(trace)) < taken[:, None]
+                self._keep(n0 + at[known], ids, lens, steps[kept], taken)
+            for k in at[~known].tolist():
+                trace = []
+                made = self.word(new[k], None, trace)
+                self._keep(np.array([n0 + k]), np.array(made, np.int64), np.array([len(made)]), np.array(trace, np.uint32), np.array([len(trace)]))
+        self.index.update(zip(new, range(n0, n0 + len(new))))
+
+    def _with_skips(self, names: list[str], length: np.ndarray, code: np.ndarray, key: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the occurrences `which`, merged with their keys, and the number of each."""
+        parts: list[np.ndarray] = []
+        count, begin, total = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64), 0
+        by = np.argsort(length[code[which]], kind="stable")
+        for some in np.split(by, np.flatnonzero(np.diff(length[code[which[by]]])) + 1) if len(by) else ():
+            n = int(length[code[which[some[0]]]])
+            alone = some
+            if 0 < n <= SIDE_BY_SIDE:
+                distinct, row = np.unique(code[which[some]], return_inverse=True)
+                table = self.codes([names[k] for k in distinct.tolist()])
+                known = (table >= 0).all(axis=1)[row]
+                alone = some[~known]
+                if known.any():
+                    ids, lens = self.same_length(table[row[known]], key[which[some[known]]])
+                    parts.append(ids)
+                    count[some[known]], begin[some[known]] = lens, total + np.cumsum(lens) - lens
+                    total += len(ids)
+            for o in alone.tolist():
+                made = self.word(names[code[which[o]]], int(key[which[o]]))
+                parts.append(np.array(made, np.int64))
+                count[o], begin[o] = len(made), total
+                total += len(made)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        to = np.cumsum(count)
+        return flat[np.repeat(begin - (to - count), count) + np.arange(len(flat))], count
 
     def encode(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n+1 boundaries between the texts; keys (one a text) choose what is skipped."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.index) > CACHE_WORDS:
             self._reset()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         # a cut before each space that ends a run of other characters
@@ -306,10 +295,28 @@ class PieceCoder:
         n = np.diff(ends)
         place = np.arange(len(code)) - np.repeat(ends[:-1], n)
         key = mix(np.repeat(mix(keys.astype(np.uint64) + np.uint64(self.seed)), n) + place.astype(np.uint64)) & _M32
-        at = self._cut(names, code, key)
-        lens = self.count[at]
+        length = np.array([len(w) for w in names], np.int64)
+        # long words hardly repeat, and nearly all have a skip
+        if new := [w for w in names if w not in self.index and len(w) <= SIDE_BY_SIDE]:
+            self._learn(new)
+        at = np.array([self.index.get(w, -1) for w in names], np.int64)[code] if names else np.zeros(0, np.int64)
+        own = at < 0
+        if self.limit:
+            known = np.flatnonzero(~own)
+            steps = self.after_count[at[known]]
+            whose = np.repeat(known, steps)
+            step = np.arange(len(whose)) - np.repeat(np.cumsum(steps) - steps, steps) + np.repeat(self.after_start[at[known]], steps)
+            own[whose[self._skipped(key[whose] ^ self.after[step].astype(np.uint64))]] = True
+        fresh, lens = np.flatnonzero(own), np.zeros(len(at), np.int64)
+        made, lens[fresh] = self._with_skips(names, length, code, key, fresh)
+        lens[~own] = self.count[at[~own]]
         to = np.concatenate([[0], np.cumsum(lens)])
-        return self.flat[np.repeat(self.start[at] - to[:-1], lens) + np.arange(to[-1])], to[ends]
+        out = np.empty(to[-1], np.int64)
+        for which, flat, start in ((np.flatnonzero(~own), self.flat, self.start[at[~own]]), (fresh, made, np.cumsum(lens[fresh]) - lens[fresh])):
+            size = lens[which]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(to[which], size) + inner] = flat[np.repeat(start, size) + inner]
+        return out, to[ends]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts, and their n+1 boundaries."""
@@ -334,7 +341,7 @@ _CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa
 def _encoder(*setting):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coders.setdefault(setting, PieceCoder(*setting)) if setting not in _coders else _coders[setting]
-        for b in slices(batches, "text", 1 << 21):
+        for b in slices(batches, "text", 1 << 22):
             ids, to = coder.encode(b.column("text"), b.column("doc_id").fill_null(0).to_numpy())
             raw, off = coder.decode(ids, to)
             data, text = ids.astype("<u2").tobytes(), raw.tobytes()
