@@ -61,17 +61,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 HOT_KEYS, SALTS = 1000, 64
 
 
-def salted_join(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", spread: str = "doc_id") -> DataFrame:
-    """rows joined with counted, which has one row a key and in `n` how many of `rows` have it (read twice, so a table).
-
-    Rows of a hot key are dealt to SALTS tasks by `spread`; its row of counted goes to each. Fewer than HOT_KEYS keys
-    can be hot, so their list is broadcast whatever the input is."""
-    total = counted.agg(F.sum(n).alias("t")).first()["t"] or 0
-    is_hot = F.col(n) > max(total // HOT_KEYS, 1000)
-    hot = counted.where(is_hot).select(*keys, F.lit(True).alias("_sl_hot"))
-    spots = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_sl_salt", F.when(F.col("_sl_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0))
-    return left.drop("_sl_hot").join(counted.withColumn("_sl_salt", F.explode(spots)).hint("merge"), [*keys, "_sl_salt"]).drop("_sl_salt")
+def hot_above(total: int) -> int:
+    """Rows from which on a key is hot. There are fewer than HOT_KEYS such keys, so their list can be broadcast."""
+    return max(total // HOT_KEYS, 1000)
+
+
+def salted_join(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, hot: DataFrame, above: int, spread: str = "doc_id") -> DataFrame:
+    """rows joined with counted, which has one row a key and in `n` how many of `rows` have it.
+
+    hot: the keys with over `above` rows. Their rows are dealt to SALTS tasks by `spread`, their row of counted goes to
+    each of these."""
+    spots = F.when(F.col(n) > above, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_sl_hot"))), keys, "left")
+    left = marked.withColumn("_sl_salt", F.when(F.col("_sl_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_sl_hot")
+    return left.join(counted.withColumn("_sl_salt", F.explode(spots)).hint("merge"), [*keys, "_sl_salt"]).drop("_sl_salt")
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,8 @@ document but the first (smallest doc_id).
 
 Lines are counted before anything is compared, so a line that a third of all documents hold is one row. Only leaves
 with `MIN_DOCS` lines or more are opened. Null and empty texts have no line; blank lines stay; ties among templates go to the
-older one. A document may lose all lines.
+older one. A document may lose all lines. Rows that repeat an id are one document with the lines of all, and have the same
+lines dropped each. A very long text is cut into lines in one worker; further columns aren't read. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, replace_texts, slices, utf8
+from .common import hot_above, materialise, replace_texts, salted_join, slices, utf8
 from .neardup import groups
 from .shingles import mix, word_hashes
 
@@ -80,7 +81,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), tokens], schema=_LINE)
 
 
-_MEMBER = pa.schema([("line", pa.int64()), ("template", pa.int64()), ("leaf", pa.int64()), ("n", pa.int64()), ("pattern", pa.binary())])
+_MEMBER = pa.schema([("line", pa.int64()), ("template", pa.int64()), ("leaf", pa.int64()), ("n", pa.int64()), ("pattern", pa.binary()), ("each", pa.int64())])
 _INTO = pa.schema([("template", pa.int64()), ("into", pa.int64())])
 #: Founders from which on the candidates are looked up by segments; the result is the same.
 _INDEXED = 256
@@ -151,7 +152,7 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = np.bincount(of, weights=[r[1] for r in held])
             for k, p in patterns.items():
                 n[k], pattern[k] = int(every[k]), p.tobytes()
-        cols = [[r[0] for r in held], [held[k][0] for k in of], leaf, n, pattern]
+        cols = [[r[0] for r in held], [held[k][0] for k in of], leaf, n, pattern, [r[1] for r in held]]
         yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(cols, _MEMBER)], schema=_MEMBER)
 
 
@@ -175,20 +176,24 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("lines")).where(F.col("all") >= min_docs)
     open_ = materialise(distinct.join(leaves, "leaf"), "leaves")
-    single = open_.where("lines = 1").select("line", F.col("line").alias("template"))
+    single = open_.where("lines = 1").select("line", F.col("line").alias("template"), "n")
     several = open_.where("lines > 1").select("leaf", "line", "n", "lines")
-    # merge hints: the same plan at every size
-    tokens = found.join(several.select("line").distinct().hint("merge"), "line", "left_semi").groupBy("line").agg(F.max("tokens").alias("tokens"))
+    above = hot_above(open_.agg(F.sum("n").alias("t")).first()["t"] or 0)
+    hot = open_.where(F.col("n") > above).select("line")
+    # merge hints: the same plan at every size. A hot line's rows are aggregated where they lie, the others where they meet
+    cold = found.join(F.broadcast(hot), "line", "left_anti").join(several.select("line").distinct().hint("merge"), "line", "left_semi")
+    warm = found.join(F.broadcast(several.where(F.col("n") > above).select("line")), "line", "left_semi")
+    tokens = cold.groupBy("line").agg(F.max("tokens").alias("tokens")).unionByName(warm.groupBy("line").agg(F.max("tokens").alias("tokens")))
     wide = F.col("lines") > WIDE
     part = F.when(wide, F.xxhash64("leaf", F.pmod(F.xxhash64("line"), F.ceil(F.col("lines") / WIDE)))).otherwise(F.col("leaf"))
     parts = several.join(tokens, "line").select(part.alias("part"), "leaf", wide.alias("wide"), "line", "n", "tokens").repartition("part").sortWithinPartitions("part")
-    made = materialise(parts.mapInArrow(_templates, "line long, template long, leaf long, n long, pattern binary"), "parts")
+    made = materialise(parts.mapInArrow(_templates, "line long, template long, leaf long, n long, pattern binary, each long"), "parts")
     tops = made.where("pattern IS NOT NULL").select("leaf", "template", "n", "pattern").repartition("leaf").sortWithinPartitions("leaf")
     into = tops.mapInArrow(_merged, "template long, into long")
-    whole = made.where("leaf IS NULL").select("line", "template")
-    joined = made.where("leaf IS NOT NULL").select("line", "template").join(into.hint("merge"), "template").select("line", F.col("into").alias("template"))
+    whole = made.where("leaf IS NULL").select("line", "template", F.col("each").alias("n"))
+    joined = made.where("leaf IS NOT NULL").select("line", "template", "each").join(into.hint("merge"), "template").select("line", F.col("into").alias("template"), F.col("each").alias("n"))
     member = materialise(single.unionByName(whole).unionByName(joined), "templates")
-    held = found.select("line", "doc_id").join(member.hint("merge"), "line")
+    held = salted_join(found.select("line", "doc_id"), member, ["line"], "n", hot, above).drop("n")
     recurs = held.groupBy("template", "doc_id").agg(F.lit(1).alias("x")).groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
     return held.join(recurs, "template").where(F.col("doc_id") != F.col("first")).select("doc_id", "line")
 

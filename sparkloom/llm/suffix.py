@@ -13,7 +13,9 @@ earlier start). Strings are judged on the input; they never cross documents.
 5. A core with over `HOT` different regions is dealt string by string instead: every string is grouped by its hash, a
    pre-aggregated minimum finds its first start. No group has to fit in a task.
 
-Null and empty texts have no byte and lose none; texts under `WIN` bytes lose none. Ties don't occur: starts differ.
+Null and empty texts have no byte and lose none; texts under `WIN` bytes lose none. Rows that repeat an id are taken to be
+one document, read more than once: neither starts earlier than the other, and all lose the same bytes. A very long text is
+cut into anchors and regions in one worker; further columns aren't read. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SPAN, WIN, Hashes, anchors
-from .common import materialise, release, replace_texts, slices, utf8
+from .common import hot_above, materialise, release, replace_texts, salted_join, slices, utf8
 from .neardup import groups
 
 CLASSES = ((0, 17), (18, 35), (36, 52), (53, SPAN))
@@ -217,7 +219,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, schema=_REGION)
 
 
-_STRING = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64())])
+_STRING = pa.schema([("core", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64())])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +230,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(b.num_rows), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = off[row] + k
-        cols = [Hashes(raw).of(at, at + WIN).view(np.int64), b.column("doc_id").to_numpy()[row], b.column("s").to_numpy()[row] + k]
+        cols = [b.column("core").to_numpy()[row], Hashes(raw).of(at, at + WIN).view(np.int64), b.column("doc_id").to_numpy()[row], b.column("s").to_numpy()[row] + k]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_STRING)
 
 
@@ -244,12 +246,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, s, e): stretches of bytes that repeat what starts earlier; they may overlap."""
     ddl = "a long, r long, doc_id long, pos long"
     found = docs.mapInArrow(_anchors, ddl)
-    again = found.groupBy("a").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed"))
-    repeated = materialise(found.join(again, "a"), "anchors")
+    counts = found.groupBy("a").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("n > 1")
+    again = materialise(counts.select("a", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "again")
+    above = hot_above(again.agg(F.sum("n").alias("t")).first()["t"] or 0)
+    repeated = salted_join(found, again, ["a"], "n", again.where(F.col("n") > above), above)
+    repeated = materialise(repeated.select("a", "r", "doc_id", "pos", "mixed", (F.col("n") > above).alias("hot")), "anchors")
+    release(again)
 
     key = _start_key(docs)
-    firsts = repeated.groupBy("a", "r").agg(F.min(key("pos")).alias("f"))
-    told = repeated.join(firsts, ["a", "r"]).withColumn("late", key("pos") != F.col("f"))
+    firsts = repeated.groupBy("a", "r").agg(F.min(key("pos")).alias("f"), F.count("*").alias("n"))
+    # a hot region has a hot anchor, so these few are counted among the rows of such anchors
+    hot = repeated.where("hot").groupBy("a", "r").agg(F.count("*").alias("n")).where(F.col("n") > above)
+    told = salted_join(repeated.drop("hot"), firsts, ["a", "r"], "n", hot, above).withColumn("late", key("pos") != F.col("f"))
     told = materialise(told.where("late or mixed").select("doc_id", "pos", "late"), "told")
     release(repeated)
     copies = told.where("late").select("doc_id", F.greatest(F.col("pos") - SPAN, F.lit(0)).alias("s"), (F.col("pos") + WIN).alias("e"))
@@ -269,9 +277,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shards = F.lit(max(1, plain.count() // SHARD))
     merged = plain.select(F.pmod(F.xxhash64("core"), shards).alias("shard"), "doc_id", "s", "bytes").repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards, _SPAN_DDL)
 
-    strings = left.where((~F.col("late")) & (F.col("n") > HOT)).mapInArrow(_strings, "h long, doc_id long, s long")
-    start = strings.groupBy("h").agg(F.min(key("s")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    hot = strings.join(start, "h").where(key("s") != F.col("f")).select("doc_id", "s", (F.col("s") + WIN).alias("e"))
+    strings = left.where((~F.col("late")) & (F.col("n") > HOT)).mapInArrow(_strings, "core long, h long, doc_id long, s long")
+    # strings meet inside a core alone: two hashes tell them apart
+    start = strings.groupBy("core", "h").agg(F.min(key("s")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    hot = strings.join(start, ["core", "h"]).where(key("s") != F.col("f")).select("doc_id", "s", (F.col("s") + WIN).alias("e"))
     return copies.unionByName(later).unionByName(merged).unionByName(hot)
 
 
@@ -321,12 +330,24 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
     return with_spans(docs).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def whole_characters(data: bytes, s: np.ndarray, e: np.ndarray) -> str:
+    """What is left, piece by piece: a character of which a byte is gone goes, and its rest joins with no other."""
+    if not len(s):
+        return data.decode()
+    gone = np.zeros(len(data) + 1, np.int64)
+    np.add.at(gone, s, 1)
+    np.add.at(gone, np.minimum(e, len(data)), -1)
+    left = np.cumsum(gone)[:-1] == 0
+    turn = np.flatnonzero(np.diff(np.concatenate([[False], left, [False]]).astype(np.int8)))
+    return "".join(data[x:y].decode("utf-8", "ignore") for x, y in zip(turn[::2].tolist(), turn[1::2].tolist()))
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text", 1 << 22):
         texts, keep = [], []
         for old, (data, s, e) in zip(b.column("text"), _lists(b)):
             kept = cut(data, s, e)[0] if len(s) else data
-            texts.append(kept.decode("utf-8", "ignore") if old.is_valid else None)
+            texts.append(whole_characters(data, s, e) if old.is_valid else None)
             keep.append(not len(s) or bool(kept.strip()))
         yield replace_texts(b, texts, keep, "_sl_spans")
 

@@ -512,6 +512,28 @@ def test_suffix_dedup_of_nothing_and_large_ids(spark, docs):
     assert got == bytes_left(texts_of(far))
 
 
+def test_characters_cut_apart_go_whole():
+    data = "aéüb".encode()
+    assert suffix.whole_characters(data, np.array([2]), np.array([3])) == "aüb"
+    assert suffix.whole_characters(data, np.array([2, 2]), np.array([3, 4])) == "ab"
+    assert suffix.whole_characters(data, np.array([], np.int64), np.array([], np.int64)) == "aéüb"
+
+
+def test_repeated_rows_have_the_same_result_each(spark, docs, monkeypatch):
+    some = docs.where("length(text) < 2000").cache()
+    for digest in (suffix.dedup_digest, neardup.near_duplicates, lines.dedup_digest):
+        once, twice = [tuple(r) for r in digest(some).collect()], [tuple(r) for r in digest(some.unionByName(some)).collect()]
+        assert sorted(twice) == sorted(once * 2)
+
+
+def test_hot_keys_change_nothing(spark, docs, monkeypatch):
+    some = docs.where("length(text) < 2000").cache()
+    plain = [sorted(tuple(r) for r in digest(some).collect()) for digest in (suffix.dedup_digest, neardup.near_duplicates, lines.dedup_digest)]
+    for module in (suffix, neardup, lines):
+        monkeypatch.setattr(module, "hot_above", lambda total: 3)
+    assert plain == [sorted(tuple(r) for r in digest(some).collect()) for digest in (suffix.dedup_digest, neardup.near_duplicates, lines.dedup_digest)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(min_size=1, max_size=300), st.integers(0, 3))
 def test_suffix_array_and_prefixes(data, few):
