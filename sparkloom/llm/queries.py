@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, htmltext, idfile, langid, lines, media, neardup, packing, pieces, suffix
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401  (what SQL can't express is tested in tests/llm)
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -69,6 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix": op9_suffix,
     "op10_packing": op10_packing,
 }
-
-#: What SQL can't express is tested against brute force, exact round trips or held-out accuracy in tests/llm.
-ORACLE_SQL: dict[str, str] = {}

@@ -46,6 +46,20 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, score int, media string").repartition(5)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, sf, name):
+    import duckdb
+
+    sf = sf.replace("0.001", "0.01")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    res = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in res.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(tuple(r) for r in df.select(names).collect()) == sorted(res.fetchall())
+
+
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
