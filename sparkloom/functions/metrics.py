@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import _c, index_tokens, metric_tokens, strip
+from .text import _c, hash_embedding, index_tokens, metric_tokens, strip
+from .vector import cosine
 
 #: Weights of BLEU-1 to BLEU-4, and what smoothing puts for a precision of zero.
 BLEU_WEIGHTS = ((1.0, 0.0, 0.0, 0.0), (0.5, 0.5, 0.0, 0.0), (0.33, 0.33, 0.33, 0.0), (0.25, 0.25, 0.25, 0.25))
@@ -52,24 +53,27 @@ def rouge_n(pairs: DataFrame, key: list[str], most: int = 2) -> DataFrame:
     return ngram_overlap(pairs, key, most).select(*key, "n", _f1(F.col("both"), F.col("in_prediction"), F.col("in_reference")).alias("f"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays: one row of the usual table at a time."""
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
+def _lcs(a: list[str], b: list[str]) -> int:
+    """A row of the usual table is one number: bit j is 0 where the row grows at j."""
+    places: dict[str, int] = {}
+    for j, t in enumerate(b):
+        places[t] = places.get(t, 0) | 1 << j
+    all_, row = (1 << len(b)) - 1, (1 << len(b)) - 1
+    for t in a:
+        both = row & places.get(t, 0)
+        row = (row + both | row - both) & all_
+    return len(b) - row.bit_count()
 
-    def row(prev: Column, token: Column) -> Column:
-        start = F.struct(F.array(F.lit(0)).alias("out"))
 
-        def step(acc: Column, j: Column) -> Column:
-            same = F.element_at(b, j) == token
-            here = F.when(same, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(acc["out"], -1)))
-            return F.struct(F.concat(acc["out"], F.array(here)).alias("out"))
-
-        return F.aggregate(F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>")), start, step)["out"]
-
-    return F.element_at(F.aggregate(a, zero, row), -1)
+@F.pandas_udf(T.IntegerType())
+def lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Length of the longest common subsequence of two token arrays."""
+    for a, b in batches:
+        yield pd.Series([_lcs(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b)], dtype="int32")
 
 
 def rouge_l(prediction: Column | str, reference: Column | str) -> Column:
+    """Over whole texts, unstemmed."""
     a, b = index_tokens(F.lower(_c(prediction))), index_tokens(F.lower(_c(reference)))
     return _f1(lcs_length(a, b), F.size(a), F.size(b))
 
@@ -91,12 +95,10 @@ def bleu(pairs: DataFrame, key: list[str]) -> DataFrame:
 
 def meteor_exact(prediction: list[str], reference: list[str]) -> float:
     """METEOR with exact matches alone (stems and synonyms need data that isn't here)."""
-    used, match = set(), []
-    for i in range(len(prediction) - 1, -1, -1):
-        j = next((j for j in range(len(reference) - 1, -1, -1) if j not in used and reference[j] == prediction[i]), None)
-        if j is not None:
-            used.add(j)
-            match.append((i, j))
+    free: dict[str, list[int]] = {}
+    for j, token in enumerate(reference):
+        free.setdefault(token, []).append(j)
+    match = [(i, free[prediction[i]].pop()) for i in range(len(prediction) - 1, -1, -1) if free.get(prediction[i])]
     if not match:
         return 0.0
     match.sort()
@@ -112,16 +114,35 @@ def meteor(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 
 
 def greedy_token_match(prediction: Column, reference: Column, similarity) -> Column:
-    """BERTScore's shape over token vectors given: mean of each prediction token's best similarity."""
+    """One direction of BERTScore over token vectors given: mean of each prediction token's best similarity."""
     best = F.transform(prediction, lambda a: F.array_max(F.transform(reference, lambda b: similarity(a, b))))
-    return F.when((F.size(prediction) > 0) & (F.size(reference) > 0), F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(prediction))
+    return F.when((F.size(prediction) > 0) & (F.size(reference) > 0), F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(prediction)).otherwise(F.lit(0.0))
+
+
+def bert_scores(prediction: Column | str, reference: Column | str) -> tuple[Column, Column, Column]:
+    """Precision, recall and F1 of greedy matching with the offline token embedder: equal tokens are alike, others not."""
+    p, r = index_tokens(F.lower(_c(prediction))), index_tokens(F.lower(_c(reference)))
+
+    def share(a: Column, b: Column) -> Column:
+        return F.when(F.size(a) > 0, F.size(F.filter(a, lambda x: F.array_contains(b, x))) / F.size(a)).otherwise(F.lit(0.0))
+
+    precision, recall = share(p, r), share(r, p)
+    return precision, recall, F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+
+
+RECORD = ("exact_match", "f1", "rouge1_f", "rouge2_f", "rougeL_f", "bleu1", "bleu2", "bleu3", "bleu4", "bert_f1", "meteor", "sbert_similarity")
 
 
 def metric_record(pairs: DataFrame, key: list[str]) -> DataFrame:
-    """key and one column a metric; null or empty texts give zeros. Metrics that need a model are left out, not zero."""
+    """key and RECORD's twelve metrics; null or empty texts give zeros. Where a model is meant (bert_f1, sbert_similarity)
+    the offline embedders stand in for it."""
     empty = (F.coalesce("prediction", F.lit("")) == "") | (F.coalesce("reference", F.lit("")) == "")
     base = pairs.select(*key, "prediction", "reference", empty.alias("empty"))
     rouge = rouge_n(base, key).groupBy(*key).agg(F.max(F.when(F.col("n") == 1, F.col("f"))).alias("rouge1_f"), F.max(F.when(F.col("n") == 2, F.col("f"))).alias("rouge2_f"))
     out = base.join(rouge, key).join(bleu(base, key), key)
-    z = lambda x: F.when(F.col("empty"), F.lit(0).cast("double")).otherwise(x)
-    return out.select(*key, z(exact_match("prediction", "reference").cast("double")).alias("exact_match"), z(token_f1("prediction", "reference")).alias("f1"), *[z(F.col(c)).alias(c) for c in ("rouge1_f", "rouge2_f", "bleu1", "bleu2", "bleu3", "bleu4")])
+    p, r = F.coalesce("prediction", F.lit("")), F.coalesce("reference", F.lit(""))
+    values = {
+        "exact_match": exact_match(p, r).cast("double"), "f1": token_f1(p, r), "rougeL_f": rouge_l(p, r),
+        "bert_f1": bert_scores(p, r)[2], "meteor": meteor(p, r), "sbert_similarity": cosine(hash_embedding(p), hash_embedding(r)),
+    }
+    return out.select(*key, *[F.when(F.col("empty"), F.lit(0.0)).otherwise(values.get(c, F.col(c) if c in out.columns else None)).alias(c) for c in RECORD])

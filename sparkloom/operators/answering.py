@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import metrics, text as T
-from sparkloom.functions.vector import cosine
 from sparkloom.operators import providers
 
 _ASK = {
@@ -68,6 +67,5 @@ def answers(questions: DataFrame, backend: str, **settings) -> DataFrame:
 
 
 def evaluated(predictions: DataFrame, key: list[str]) -> DataFrame:
-    """key and metrics of predictions(prediction, reference), with the similarity of the offline embedder."""
-    near = predictions.select(*key, cosine(T.hash_embedding("prediction"), T.hash_embedding("reference")).alias("embedding_similarity"))
-    return metrics.metric_record(predictions, key).join(near, key)
+    """key and the twelve metrics of predictions(prediction, reference)."""
+    return metrics.metric_record(predictions, key)

@@ -36,20 +36,23 @@ def term_stats(posts: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame
     return raw.join(mean, keys).select(*keys, "term", "df", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def matches(queries: DataFrame, docs: DataFrame, keys: list[str], query: str, query_text: str, doc: str, text: str) -> DataFrame:
-    """keys, query, doc, bm25: documents that share a term with the query. Repeated query terms count."""
+def weights(docs: DataFrame, keys: list[str], doc: str, text: str) -> DataFrame:
+    """keys, term, doc, w: what a query that has the term once gets from the document. The index: write it, then match."""
     posts = postings(docs, keys, doc, text)
-    stats = corpus_stats(docs, keys, doc, text)
-    terms = term_stats(posts, stats, keys)
+    terms = term_stats(posts, corpus_stats(docs, keys, doc, text), keys)
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weights = posts.join(terms, [*keys, "term"]).select(*keys, "term", doc, (F.col("idf") * share).alias("w"))
+    return posts.join(terms, [*keys, "term"]).select(*keys, "term", doc, (F.col("idf") * share).alias("w"))
+
+
+def matches(queries: DataFrame, index: DataFrame, keys: list[str], query: str, query_text: str, doc: str) -> DataFrame:
+    """keys, query, doc, bm25: documents of weights() that share a term with the query. Repeated query terms count."""
     asked = queries.select(*keys, query, F.explode(index_tokens(query_text)).alias("term")).groupBy(*keys, query, "term").agg(F.count("*").alias("qtf"))
-    return asked.join(weights, [*keys, "term"]).groupBy(*keys, query, doc).agg(F.sum(F.col("qtf") * F.col("w")).alias("bm25"))
+    return asked.join(index, [*keys, "term"]).groupBy(*keys, query, doc).agg(F.sum(F.col("qtf") * F.col("w")).alias("bm25"))
 
 
-def scores(queries: DataFrame, docs: DataFrame, keys: list[str], query: str, query_text: str, doc: str, text: str) -> DataFrame:
+def scores(queries: DataFrame, docs: DataFrame, keys: list[str], query: str, query_text: str, doc: str, text: str, index: DataFrame | None = None) -> DataFrame:
     """matches() with a row for every document of the corpus: those without a common term score 0."""
-    found = matches(queries, docs, keys, query, query_text, doc, text)
+    found = matches(queries, weights(docs, keys, doc, text) if index is None else index, keys, query, query_text, doc)
     every = queries.select(*keys, query).join(docs.select(*keys, doc), keys)
     return every.join(found, [*keys, query, doc], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
@@ -69,15 +72,23 @@ def prefix_scores(docs: DataFrame, keys: list[str], doc: str, seq: str, text: st
     upto = Window.partitionBy(*keys).orderBy("seq_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = toks.select(*keys, doc, "seq_", "dl", F.count("*").over(upto).alias("n_docs"), F.avg("dl").over(upto).alias("avgdl"))
     posts = postings(docs.withColumnRenamed(seq, "seq_"), [*keys, "seq_"], doc, text)
+    # a document's own terms: how many up to it have them is their place among these
+    posts = posts.withColumn("df", F.row_number().over(Window.partitionBy(*keys, "term").orderBy("seq_")))
     here = at.select(*keys, F.col(doc).alias("query"), F.col("seq_").alias("q_seq"), "n_docs", "avgdl")
-    # the vocabulary of every prefix with its document frequencies
-    vocab = posts.select(*keys, "term", "seq_").join(here, keys).where(F.col("seq_") <= F.col("q_seq")).groupBy(*keys, "query", "n_docs", "avgdl", "q_seq", "term").agg(F.count("*").alias("df"))
-    raw = vocab.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy(*keys, "query").agg((EPSILON * F.avg("raw")).alias("floor"))
-    idf = raw.join(mean, [*keys, "query"]).select(*keys, "query", "q_seq", "avgdl", "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    # the mean idf of a prefix's vocabulary needs how many terms have each frequency: running sums of what each document changes
+    moved = F.array(F.struct(F.col("df").alias("d"), F.lit(1).alias("c")), F.struct((F.col("df") - 1).alias("d"), F.lit(-1).alias("c")))
+    change = posts.select(*keys, F.col("seq_").alias("q_seq"), F.explode(moved).alias("x")).where("x.d > 0").groupBy(*keys, "q_seq", F.col("x.d").alias("d")).agg(F.sum("x.c").alias("c"))
+    most = here.groupBy(*keys).agg(F.max("n_docs").cast("int").alias("most"))
+    grid = here.join(most, keys).select(*keys, "query", "q_seq", "n_docs", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("d"))
+    run = Window.partitionBy(*keys, "d").orderBy("q_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = grid.join(change, [*keys, "q_seq", "d"], "left").withColumn("c", F.sum(F.coalesce("c", F.lit(0))).over(run)).where("c > 0")
+    raw = lambda d: F.log(F.col("n_docs") - F.col(d) + 0.5) - F.log(F.col(d) + 0.5)
+    mean = held.groupBy(*keys, "query").agg((EPSILON * F.sum(F.col("c") * raw("d")) / F.sum("c")).alias("floor"))
+    own = posts.select(*keys, F.col(doc).alias("query"), "term", "df").join(here, [*keys, "query"]).withColumn("raw", raw("df"))
+    idf = own.join(mean, [*keys, "query"]).select(*keys, "query", "q_seq", "avgdl", "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     asked = posts.select(*keys, F.col(doc).alias("query"), "term", F.col("tf").alias("qtf"))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hit = asked.join(idf, [*keys, "query", "term"]).join(posts.withColumnRenamed(doc, "other"), [*keys, "term"]).where(F.col("seq_") <= F.col("q_seq"))
+    hit = asked.join(idf, [*keys, "query", "term"]).join(posts.drop("df").withColumnRenamed(doc, "other"), [*keys, "term"]).where(F.col("seq_") <= F.col("q_seq"))
     found = hit.groupBy(*keys, "query", "other").agg(F.sum(F.col("qtf") * F.col("idf") * share).alias("bm25"))
     every = here.select(*keys, "query", "q_seq").join(at.select(*keys, F.col(doc).alias("other"), "seq_"), keys).where(F.col("seq_") <= F.col("q_seq"))
     return every.join(found, [*keys, "query", "other"], "left").select(*keys, "query", "other", F.col("seq_").alias("other_seq"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))

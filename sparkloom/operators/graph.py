@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import written
+
 
 def latest(versions: DataFrame, key: list[str], version: str = "version") -> DataFrame:
     """One row a key: the one with the highest version. Only max_by's state is shuffled, whatever the history."""
@@ -82,11 +84,11 @@ def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
     return ends.groupBy(*keys, "node_id").agg(F.count("i").alias("n_in"), F.count("o").alias("n_out"), F.array_join(F.array_sort(F.collect_list("i")), ",").alias("predecessors"), F.array_join(F.array_sort(F.collect_list("o")), ",").alias("successors"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int) -> DataFrame:
-    """keys, node_id, label after a fixed number of synchronous rounds.
+def label_propagation(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int, settle: bool = False) -> DataFrame:
+    """keys, node_id, label after `rounds` synchronous rounds; with settle, sooner if a round changes nothing.
 
     A node takes the label most of its neighbours have; it keeps its own if that is among the most frequent, else the
-    smallest of them wins. Nodes without a neighbour stay alone. Each round cuts the lineage in the checkpoint folder."""
+    smallest of them wins. Nodes without a neighbour stay alone. Each round is a table in the shared folder."""
     links = both_ways(undirected(edges, keys).select(*keys, F.col("a").alias("src"), F.col("b").alias("dst")))
     labels = nodes.select(*keys, "node_id", F.col("node_id").alias("label"))
     for _ in range(rounds):
@@ -95,9 +97,10 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, keys: list[str], round
         ranked = votes.join(own, [*keys, "node_id"]).withColumn("mine", (F.col("label") == F.col("own")).cast("int"))
         w = Window.partitionBy(*keys, "node_id").orderBy(F.desc("n"), F.desc("mine"), "label")
         best = ranked.withColumn("r", F.row_number().over(w)).where("r = 1").select(*keys, "node_id", F.col("label").alias("new"))
-        labels = own.join(best, [*keys, "node_id"], "left").select(*keys, "node_id", F.coalesce("new", "own").alias("label"))
-        if rounds > 2 and labels.sparkSession.sparkContext.getCheckpointDir():
-            labels = labels.checkpoint()
+        moved = written(own.join(best, [*keys, "node_id"], "left").select(*keys, "node_id", F.coalesce("new", "own").alias("label"), (F.col("new") != F.col("own")).alias("moved")), "labels")
+        labels = moved.select(*keys, "node_id", "label")
+        if settle and moved.where("moved").isEmpty():
+            break
     return labels
 
 

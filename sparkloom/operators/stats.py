@@ -19,12 +19,11 @@ def long_form(df: DataFrame, key: list[str], metrics: list[str]) -> DataFrame:
 
 def aggregate_metrics(values: DataFrame) -> DataFrame:
     """(category, metric, value) -> statistics a metric, overall (category null) and by category, from one pass."""
-    values.createOrReplaceTempView("_metric_values")
     return values.sparkSession.sql("""
         SELECT CASE WHEN grouping(category) = 1 THEN 'overall' ELSE cast(category AS string) END AS scope, metric,
                avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std, median(value) AS median,
                min(value) AS min, max(value) AS max, count(value) AS n
-        FROM _metric_values GROUP BY GROUPING SETS ((metric), (metric, category))""")
+        FROM {values} GROUP BY GROUPING SETS ((metric), (metric, category))""", values=values)
 
 
 def share(df: DataFrame, by: str) -> DataFrame:
@@ -39,12 +38,21 @@ def with_category_names(df: DataFrame, category: str = "category") -> DataFrame:
     return df.join(F.broadcast(names), category, "left").withColumn("category_name", F.coalesce("category_name", F.lit("Unknown")))
 
 
-def head_sample(df: DataFrame, order: str, ratio: float) -> DataFrame:
-    """The first max(1, int(n * ratio)) rows by order: not random. Needs no sort of all rows on one task: order is dense."""
+def head_sample(df: DataFrame, order: str, ratio: float, share: int = 100_000) -> DataFrame:
+    """The first max(1, int(n * ratio)) rows by order (a whole number): not random. Gaps don't matter.
+
+    Rows are counted by ranges of `share` order values; a range before the cut is taken whole, only the one that holds it
+    is ranked."""
     if not 0 < ratio <= 1:
         raise ValueError("ratio must be over 0 and at most 1")
-    n = df.agg(F.count("*").alias("n"))
-    return df.join(F.broadcast(n), F.col(order) < F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(ratio))))).drop("n")
+    cell = F.floor(F.col(order) / share)
+    counts = df.groupBy(cell.alias("cell_")).agg(F.count("*").alias("c_"))
+    before = Window.orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    want = F.greatest(F.lit(1), F.floor(F.sum("c_").over(Window.partitionBy()) * F.lit(float(ratio))))
+    cells = counts.select("cell_", (want - F.coalesce(F.sum("c_").over(before), F.lit(0))).alias("left_"), "c_").where("left_ > 0")
+    rows = df.withColumn("cell_", cell).join(cells, "cell_")
+    ranked = rows.where("left_ < c_").withColumn("r_", F.row_number().over(Window.partitionBy("cell_").orderBy(order))).where("r_ <= left_")
+    return rows.where("left_ >= c_").select(df.columns).unionByName(ranked.select(df.columns))
 
 
 def unanswered(questions: DataFrame, answered: DataFrame, keys: list[str], by_text: bool = True, idx: str = "qa_idx") -> DataFrame:

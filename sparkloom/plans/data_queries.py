@@ -226,10 +226,23 @@ def sentence_similarity(spark: SparkSession, d: str) -> DataFrame:
     return M.pairs(spark, d).select("conv_id", "turn", r6(cosine(T.hash_embedding("prediction"), T.hash_embedding("reference"))).alias("similarity"))
 
 
-@query("rouge_l")
+_LCS = f"""lt AS (SELECT conv_id, turn, {M.sql_tokens('lower(prediction)')} AS a, {M.sql_tokens('lower(reference)')} AS b FROM pairs),
+dp(conv_id, turn, a, b, i, r) AS (SELECT conv_id, turn, a, b, 0, list_transform(range(0, len(b) + 1), lambda x: 0::BIGINT) FROM lt
+  UNION ALL SELECT conv_id, turn, a, b, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CASE WHEN b[j] = a[i + 1] THEN r[j] + 1 ELSE r[j + 1] END]), lambda x, y: list_append(x, greatest(x[-1], y[1])), [0::BIGINT]) FROM dp WHERE i < len(a)),
+lcs AS (SELECT conv_id, turn, r[-1] AS l, len(a) AS p, len(b) AS r FROM dp WHERE i = len(a))"""
+
+
+@query("rouge_l", f"WITH RECURSIVE {M.PAIRS}, {_LCS} SELECT conv_id, turn, round({_sql_f1('l', 'p', 'r')}, 6) AS f FROM lcs")
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    first = lambda c: T.first_sentence(c)
-    return M.pairs(spark, d).select("conv_id", "turn", r6(metrics.rouge_l(first("prediction"), first("reference"))).alias("f"))
+    return M.pairs(spark, d).select("conv_id", "turn", r6(metrics.rouge_l("prediction", "reference")).alias("f"))
+
+
+_BERT = "(SELECT CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END FROM (SELECT CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / len(a) ELSE 0.0 END AS p, CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda x: list_contains(a, x)))::DOUBLE / len(b) ELSE 0.0 END AS r))"
+
+
+@query("bert_score", f"WITH {M.PAIRS}, lt AS (SELECT conv_id, turn, {M.sql_tokens('lower(prediction)')} AS a, {M.sql_tokens('lower(reference)')} AS b FROM pairs) SELECT conv_id, turn, round({_BERT}, 6) AS bert_f1 FROM lt")
+def bert_score(spark: SparkSession, d: str) -> DataFrame:
+    return M.pairs(spark, d).select("conv_id", "turn", r6(metrics.bert_scores("prediction", "reference")[2]).alias("bert_f1"))
 
 
 @query("meteor")
@@ -240,9 +253,10 @@ def meteor(spark: SparkSession, d: str) -> DataFrame:
 _RECORD = f"""rec AS (SELECT conv_id, turn, category, (lower({M.sql_strip('prediction')}) = lower({M.sql_strip('reference')}))::DOUBLE AS exact_match, {_F1_VALUE} AS f1 FROM ({_F1}))"""
 
 
-@query("metric_record", f"WITH {M.PAIRS}, {_GRAMS}, {_RECORD}, rg AS (SELECT conv_id, turn, max({_sql_f1('b', 'p', 'r')}) FILTER (n = 1) AS r1, max({_sql_f1('b', 'p', 'r')}) FILTER (n = 2) AS r2 FROM ov GROUP BY ALL), bl AS (SELECT conv_id, turn, {_BLEU} FROM ({_WIDE})) SELECT conv_id, turn, exact_match, round(f1, 6) AS f1, round(rg.r1, 6) AS rouge1_f, round(rg.r2, 6) AS rouge2_f, bleu1, bleu2, bleu3, bleu4 FROM rec JOIN rg USING (conv_id, turn) JOIN bl USING (conv_id, turn)")
+@query("metric_record", f"WITH RECURSIVE {M.PAIRS}, {_GRAMS}, {_RECORD}, {_LCS}, rg AS (SELECT conv_id, turn, max({_sql_f1('b', 'p', 'r')}) FILTER (n = 1) AS r1, max({_sql_f1('b', 'p', 'r')}) FILTER (n = 2) AS r2 FROM ov GROUP BY ALL), bl AS (SELECT conv_id, turn, {_BLEU} FROM ({_WIDE})), rl AS (SELECT conv_id, turn, round({_sql_f1('l', 'p', 'r')}, 6) AS rougeL_f FROM lcs), bs AS (SELECT conv_id, turn, round({_BERT}, 6) AS bert_f1 FROM lt), sv AS (SELECT conv_id, turn, {M.sql_vec('prediction')} AS a, {M.sql_vec('reference')} AS b FROM pairs), ss AS (SELECT conv_id, turn, round({M.sql_cosine('a', 'b')}, 6) AS sbert_similarity FROM sv) SELECT conv_id, turn, exact_match, round(f1, 6) AS f1, round(rg.r1, 6) AS rouge1_f, round(rg.r2, 6) AS rouge2_f, rougeL_f, bleu1, bleu2, bleu3, bleu4, bert_f1, sbert_similarity FROM rec JOIN rg USING (conv_id, turn) JOIN bl USING (conv_id, turn) JOIN rl USING (conv_id, turn) JOIN bs USING (conv_id, turn) JOIN ss USING (conv_id, turn)")
 def metric_record(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.metric_record(M.pairs(spark, d), ["conv_id", "turn"])
+    """The record without METEOR, which the query `meteor` gives."""
+    out = metrics.metric_record(M.pairs(spark, d), ["conv_id", "turn"]).drop("meteor")
     return out.select("conv_id", "turn", *[r6(c).alias(c) for c in out.columns[2:]])
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import hash_embedding, index_document
-from sparkloom.operators import hierarchy
+from sparkloom.operators import bm25, hierarchy, retrieval
+from sparkloom.session import written
 from sparkloom.streaming import ingest
 
 KEYS = ["sample_id"]
@@ -33,7 +35,33 @@ def communities(fact_rows: DataFrame) -> DataFrame:
     return fact_rows.select("sample_id", "node_id", F.floor(F.col("node_seq") / 3).cast("long").alias("community"))
 
 
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the graph or its index: written once a session into the shared folder, read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        _tables[key] = written(make(), f"graph-{name}")
+    return _tables[key]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as written."""
+    return stored(spark, sf_dir, "nodes", lambda: build(spark, sf_dir)[0]), stored(spark, sf_dir, "edges", lambda: build(spark, sf_dir)[1])
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term weights of every node's document, as written."""
+    return stored(spark, sf_dir, "weights", lambda: bm25.weights(graph(spark, sf_dir)[0], KEYS, "node_id", "doc"))
+
+
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every node expands to, as written."""
+    return stored(spark, sf_dir, "near", lambda: retrieval.neighbours(*graph(spark, sf_dir), KEYS))
+
+
+def build(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): facts, a scene for three turns, a persona for each speaker, links of turns two apart."""
     f = facts(spark, sf_dir)
     scenes, contains = hierarchy.build_scenes(f, communities(f), KEYS)

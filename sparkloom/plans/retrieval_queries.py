@@ -55,13 +55,13 @@ def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("bm25_scores", f"WITH {M.GRAPH}, {M.QUERIES}, {M.sql_bm25()} SELECT sample_id, query_id, node_id, round(s, 6) AS bm25 FROM bm25")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     q, n = _user_scores(spark, d)
-    return bm25.scores(q, n, K, "query_id", "text", "node_id", "doc").select("sample_id", "query_id", "node_id", r6("bm25").alias("bm25"))
+    return bm25.scores(q, n, K, "query_id", "text", "node_id", "doc", M.index(spark, d)).select("sample_id", "query_id", "node_id", r6("bm25").alias("bm25"))
 
 
 @query("bm25_min_max", f"WITH {M.GRAPH}, {M.QUERIES}, {M.HYBRID} SELECT sample_id, query_id, node_id, round(sparse, 6) AS sparse FROM scaled")
 def bm25_min_max(spark: SparkSession, d: str) -> DataFrame:
     q, n = _user_scores(spark, d)
-    s = bm25.scores(q, n, K, "query_id", "text", "node_id", "doc")
+    s = bm25.scores(q, n, K, "query_id", "text", "node_id", "doc", M.index(spark, d))
     return bm25.min_max(s, "bm25", [*K, "query_id"], "sparse").select("sample_id", "query_id", "node_id", r6("sparse").alias("sparse"))
 
 
@@ -81,25 +81,25 @@ def dense_top_k(spark: SparkSession, d: str) -> DataFrame:
 @query("hybrid_scores", f"WITH {M.GRAPH}, {M.QUERIES}, {M.HYBRID} SELECT sample_id, query_id, node_id, round(score, 6) AS score FROM scored")
 def hybrid_scores(spark: SparkSession, d: str) -> DataFrame:
     q, n = _user_scores(spark, d)
-    return retrieval.hybrid_scores(q, n, K, "query_id", "node_id", "node_seq").select("sample_id", "query_id", "node_id", r6("score").alias("score"))
+    return retrieval.hybrid_scores(q, n, K, "query_id", "node_id", "node_seq", index=M.index(spark, d)).select("sample_id", "query_id", "node_id", r6("score").alias("score"))
 
 
 @query("flat_retrieval", f"WITH {M.GRAPH}, {M.QUERIES}, {M.HYBRID} SELECT sample_id, query_id, node_id, rank::INT AS rank FROM ranked WHERE rank <= 5")
 def flat_retrieval(spark: SparkSession, d: str) -> DataFrame:
     q, n = _user_scores(spark, d)
-    return retrieval.flat(q, n, K, 5).select("sample_id", "query_id", "node_id", "rank")
+    return retrieval.flat(q, n, K, 5, index=M.index(spark, d)).select("sample_id", "query_id", "node_id", "rank")
 
 
 @query("category_k_retrieval", f"WITH {M.GRAPH}, {M.QUERIES}, {M.HYBRID} SELECT sample_id, query_id, node_id, rank::INT AS rank FROM ranked WHERE rank <= CASE query_id % 5 + 1 WHEN 2 THEN 25 WHEN 4 THEN 25 WHEN 3 THEN 30 ELSE 35 END")
 def category_k_retrieval(spark: SparkSession, d: str) -> DataFrame:
     q, n = _user_scores(spark, d)
-    return retrieval.flat(q, n, K, T.category_k(F.col("query_id") % 5 + 1)).select("sample_id", "query_id", "node_id", "rank")
+    return retrieval.flat(q, n, K, T.category_k(F.col("query_id") % 5 + 1), index=M.index(spark, d)).select("sample_id", "query_id", "node_id", "rank")
 
 
 @query("position_join", f"WITH {M.GRAPH}, {M.QUERIES}, {M.HYBRID} SELECT sample_id, query_id, level, content FROM ranked JOIN nodes USING (sample_id, node_id) WHERE rank = 1")
 def position_join(spark: SparkSession, d: str) -> DataFrame:
     q, n = _user_scores(spark, d)
-    top = retrieval.flat(q, n, K, 1).select("sample_id", "query_id", "node_id")
+    top = retrieval.flat(q, n, K, 1, index=M.index(spark, d)).select("sample_id", "query_id", "node_id")
     return top.join(n.select("sample_id", "node_id", "level", "content"), ["sample_id", "node_id"]).select("sample_id", "query_id", "level", "content")
 
 
@@ -116,24 +116,24 @@ found AS (SELECT sample_id, query_id, node_id, row_number() OVER (PARTITION BY s
 @query("graph_traversal", f"WITH {M.GRAPH}, {M.QUERIES}, {M.HYBRID}, {_TRAVERSAL} SELECT sample_id, query_id, node_id, rank::INT AS rank, seed FROM found")
 def graph_traversal(spark: SparkSession, d: str) -> DataFrame:
     n, e = M.graph(spark, d)
-    return retrieval.graph_traversal(M.queries_of(spark, d), n, n, e, K, 5)
+    return retrieval.graph_traversal(M.queries_of(spark, d), n, n, e, K, 5, M.index(spark, d), M.near(spark, d))
 
 
 @query("context_block", f"WITH {M.GRAPH}, {M.QUERIES}, {M.HYBRID}, {_TRAVERSAL} SELECT sample_id, query_id, string_agg('[Index: ' || (rank - 1) || '] [' || upper(level) || '] [Time: ' || coalesce(\"timestamp\", 'Unknown Time') || '] [' || {M.sql_join('tags')} || ']' || chr(10) || content || chr(10) || chr(10), '' ORDER BY rank) AS context FROM found JOIN nodes USING (sample_id, node_id) GROUP BY ALL")
 def context_block(spark: SparkSession, d: str) -> DataFrame:
     n, e = M.graph(spark, d)
-    found = retrieval.graph_traversal(M.queries_of(spark, d), n, n, e, K, 5)
-    rows = found.join(n.select("sample_id", "node_id", "level", "timestamp", "tags", "content"), ["sample_id", "node_id"])
-    line = T.context_line(F.col("rank") - 1, "level", "timestamp", "tags", "content")
-    return rows.groupBy("sample_id", "query_id").agg(hierarchy.ordered_text(line, F.col("rank"), "").alias("context"))
+    found = retrieval.graph_traversal(M.queries_of(spark, d), n, n, e, K, 5, M.index(spark, d), M.near(spark, d))
+    return retrieval.context_text(found, n, K)
 
 
-# the walks through the levels, over the embeddings table: a vector is a fact, centroids are scenes and personas
+# the walks through the levels, over the embeddings table: a hundred vectors are a sample, a vector is a fact, centroids are
+# scenes and personas; every fourth sample has no personas yet
 def _vector_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e = M.table(spark, d, "embeddings").select(F.lit("all").alias("sample_id"), "vec_id", "label", F.pmod("vec_id", F.lit(5)).alias("part"), F.col("embedding").cast("array<double>").alias("vec"))
+    e = M.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).cast("string").alias("sample_id"), "vec_id", "label", F.pmod("vec_id", F.lit(5)).alias("part"), F.col("embedding").cast("array<double>").alias("vec"))
     fact = F.concat(F.lit("f"), F.col("vec_id").cast("string"))
-    scene = F.concat(F.lit("s"), F.col("label").cast("string"), F.lit("_"), F.col("part").cast("string"))
-    persona = F.concat(F.lit("p"), F.col("label").cast("string"))
+    scene = F.concat(F.lit("s"), "sample_id", F.lit("_"), F.col("label").cast("string"), F.lit("_"), F.col("part").cast("string"))
+    persona = F.concat(F.lit("p"), "sample_id", F.lit("_"), F.col("label").cast("string"))
+    has = F.col("sample_id").cast("int") % 4 != 3
 
     def centroid(keys: list, name, level: str, seq) -> DataFrame:
         dims = e.select("sample_id", name.alias("node_id"), seq.cast("long").alias("node_seq"), F.posexplode("vec").alias("i", "x"))
@@ -141,38 +141,39 @@ def _vector_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
         vec = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
         return means.groupBy("sample_id", "node_id", "node_seq").agg(vec.alias("vec")).withColumn("level", F.lit(level))
 
-    nodes = e.select("sample_id", fact.alias("node_id"), F.col("vec_id").alias("node_seq"), "vec", F.lit("fact").alias("level")).unionByName(centroid([], scene, "scene", F.col("label") * 5 + F.col("part"))).unionByName(centroid([], persona, "persona", F.col("label")))
-    down = e.select("sample_id", scene.alias("src"), fact.alias("dst")).unionByName(e.select("sample_id", persona.alias("src"), scene.alias("dst")).distinct())
+    nodes_ = e.select("sample_id", fact.alias("node_id"), F.col("vec_id").alias("node_seq"), "vec", F.lit("fact").alias("level")).unionByName(centroid([], scene, "scene", F.col("label") * 5 + F.col("part"))).unionByName(centroid([], persona, "persona", F.col("label")).where(has))
+    down = e.select("sample_id", scene.alias("src"), fact.alias("dst")).unionByName(e.where(has).select("sample_id", persona.alias("src"), scene.alias("dst")).distinct())
     queries = e.select("sample_id", F.col("vec_id").alias("query_id"), "vec")
-    return queries, nodes, down.withColumn("type", F.lit("contains"))
+    nodes = M.stored(spark, d, "vector_nodes", lambda: nodes_)
+    edges = M.stored(spark, d, "vector_edges", lambda: down.withColumn("type", F.lit("contains")))
+    return queries, nodes, edges
 
 
-_VECTORS = """e AS (SELECT vec_id, label, vec_id % 5 AS part, embedding::DOUBLE[] AS vec FROM embeddings),
-dims AS (SELECT vec_id, label, part, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM e),
-cs AS (SELECT label, part, list(x ORDER BY i) AS vec FROM (SELECT label, part, i, round(avg(x), 9) AS x FROM dims GROUP BY ALL) GROUP BY ALL),
-cp AS (SELECT label, list(x ORDER BY i) AS vec FROM (SELECT label, i, round(avg(x), 9) AS x FROM dims GROUP BY ALL) GROUP BY ALL),
-nodes AS (SELECT 'f' || vec_id AS node_id, vec_id AS node_seq, vec, 'fact' AS level FROM e UNION ALL SELECT 's' || label || '_' || part, label * 5 + part, vec, 'scene' FROM cs UNION ALL SELECT 'p' || label, label, vec, 'persona' FROM cp),
-links AS (SELECT 's' || label || '_' || part AS src, 'f' || vec_id AS dst FROM e UNION SELECT 'p' || label, 's' || label || '_' || part FROM e),
-q0 AS (SELECT vec_id AS query_id, vec FROM e)"""
+_VECTORS = """e AS (SELECT vec_id // 100 AS s, vec_id, label, vec_id % 5 AS part, embedding::DOUBLE[] AS vec FROM embeddings),
+dims AS (SELECT s, vec_id, label, part, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM e),
+cs AS (SELECT s, label, part, list(x ORDER BY i) AS vec FROM (SELECT s, label, part, i, round(avg(x), 9) AS x FROM dims GROUP BY ALL) GROUP BY ALL),
+cp AS (SELECT s, label, list(x ORDER BY i) AS vec FROM (SELECT s, label, i, round(avg(x), 9) AS x FROM dims WHERE s % 4 <> 3 GROUP BY ALL) GROUP BY ALL),
+nodes AS (SELECT s, 'f' || vec_id AS node_id, vec_id AS node_seq, vec, 'fact' AS level FROM e UNION ALL SELECT s, 's' || s || '_' || label || '_' || part, label * 5 + part, vec, 'scene' FROM cs UNION ALL SELECT s, 'p' || s || '_' || label, label, vec, 'persona' FROM cp),
+links AS (SELECT s, 's' || s || '_' || label || '_' || part AS src, 'f' || vec_id AS dst FROM e UNION SELECT s, 'p' || s || '_' || label, 's' || s || '_' || label || '_' || part FROM e WHERE s % 4 <> 3),
+q0 AS (SELECT s, vec_id AS query_id, vec FROM e)"""
 
 
 def _sql_stage(n: int, level: str, k: int, last: bool, down: bool) -> str:
-    limit = "" if n == 1 else f"JOIN w{n - 1} USING (query_id, node_id)"
-    out = f"""s{n} AS (SELECT query_id, node_id, rank, vec FROM (SELECT q.query_id, d.node_id, d.vec, row_number() OVER (PARTITION BY q.query_id ORDER BY round({M.sql_cosine('q.vec', 'd.vec')}, 9) DESC, d.node_seq DESC) AS rank FROM q{n - 1} q JOIN nodes d ON d.level = '{level}' {limit.replace('JOIN w', 'JOIN w')}) WHERE rank <= {k})"""
-    if limit:
-        out = out.replace(limit, f"JOIN w{n - 1} w ON w.query_id = q.query_id AND w.node_id = d.node_id")
+    limit = "" if n == 1 else f"JOIN w{n - 1} w ON w.query_id = q.query_id AND w.node_id = d.node_id"
+    out = f"""s{n} AS (SELECT s, query_id, node_id, rank, vec FROM (SELECT q.s, q.query_id, d.node_id, d.vec, row_number() OVER (PARTITION BY q.query_id ORDER BY round({M.sql_cosine('q.vec', 'd.vec')}, 9) DESC, d.node_seq DESC) AS rank FROM q{n - 1} q JOIN nodes d ON d.s = q.s AND d.level = '{level}' {limit}) WHERE rank <= {k})"""
     if not last:
         here, there = ("src", "dst") if down else ("dst", "src")
         out += f""",
 w{n} AS (SELECT DISTINCT query_id, {there} AS node_id FROM s{n} JOIN links ON links.{here} = s{n}.node_id),
-q{n} AS (SELECT q.query_id, list_reduce(list_prepend(q.vec, vs), lambda a, b: list_transform(list_zip(a, b), lambda z: z[1] + z[2])) AS vec FROM q{n - 1} q JOIN (SELECT query_id, list(vec ORDER BY rank) AS vs FROM s{n} GROUP BY query_id) USING (query_id))"""
+q{n} AS (SELECT q.s, q.query_id, list_reduce(list_prepend(q.vec, vs), lambda a, b: list_transform(list_zip(a, b), lambda z: z[1] + z[2])) AS vec FROM q{n - 1} q JOIN (SELECT query_id, list(vec ORDER BY rank) AS vs FROM s{n} GROUP BY query_id) USING (query_id))"""
     return out
 
 
 def _sql_walk(order: list[str], ks: list[int]) -> str:
     stages = ",\n".join(_sql_stage(i, level, k, i == 3, order[0] == "persona") for i, (level, k) in enumerate(zip(order, ks), 1))
     union = " UNION ALL ".join(f"SELECT query_id, node_id, '{level}' AS level, {i} AS stage, rank::INT AS rank FROM s{i}" for i, level in enumerate(order, 1))
-    return f"WITH {_VECTORS},\n{stages} {union}"
+    plain = f"SELECT query_id, node_id, level, 0, rank::INT FROM (SELECT q.query_id, d.node_id, d.level, row_number() OVER (PARTITION BY q.query_id ORDER BY round({M.sql_cosine('q.vec', 'd.vec')}, 9) DESC, d.node_seq DESC) AS rank FROM q0 q JOIN nodes d ON d.s = q.s WHERE NOT EXISTS (FROM nodes x WHERE x.s = q.s AND x.level = '{order[0]}')) WHERE rank <= 5"
+    return f"WITH {_VECTORS},\n{stages} {union} UNION ALL {plain}"
 
 
 @query("top_down", _sql_walk(["persona", "scene", "fact"], [2, 3, 5]))
@@ -185,7 +186,7 @@ def bottom_up(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bottom_up(*_vector_graph(spark, d), K).drop("sample_id")
 
 
-@query("level_top_k", f"WITH {_VECTORS} SELECT query_id, node_id, rank::INT AS rank FROM (SELECT q.query_id, d.node_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round({M.sql_cosine('q.vec', 'd.vec')}, 9) DESC, d.node_seq DESC) AS rank FROM q0 q JOIN nodes d ON d.level = 'scene') WHERE rank <= 3")
+@query("level_top_k", f"WITH {_VECTORS} SELECT query_id, node_id, rank::INT AS rank FROM (SELECT q.query_id, d.node_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round({M.sql_cosine('q.vec', 'd.vec')}, 9) DESC, d.node_seq DESC) AS rank FROM q0 q JOIN nodes d ON d.s = q.s AND d.level = 'scene') WHERE rank <= 3")
 def level_top_k(spark: SparkSession, d: str) -> DataFrame:
     q, n, _ = _vector_graph(spark, d)
     return retrieval._level_top(q, n, K, "scene", 3, None).select("query_id", "node_id", "rank")
@@ -271,7 +272,5 @@ def reindex(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vector_search", f"WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT query_id, vec_id, round(c, 6) AS score, rank::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {M.sql_cosine('a.v', 'b.v')} AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({M.sql_cosine('a.v', 'b.v')}, 9) DESC, b.vec_id DESC) AS rank FROM e a JOIN e b USING (label)) WHERE rank <= 5")
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
-    e = M.table(spark, d, "embeddings")
-    a = e.select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
-    s = a.join(e.select("label", "vec_id", F.col("embedding").alias("b")), "label").withColumn("score", cosine("a", "b"))
-    return retrieval.top_k(s, ["query_id"], F.round("score", 9), "vec_id", 5).select("query_id", "vec_id", r6("score").alias("score"), "rank")
+    e = M.table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("vec"))
+    return retrieval.block_search(e, ["label"], "vec_id", 5).select(F.col("query").alias("query_id"), "vec_id", r6("score").alias("score"), "rank")

@@ -9,13 +9,19 @@ from sparkloom import schemas
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """One row a sample: sample_id (its place in the file, as text) and the sample. A missing file raises."""
-    return explode_samples(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
+    """One row a sample: sample_id (its place in the file, as text) and the sample. A missing file raises.
 
+    Where a folder holds several files, the file's name goes before the place, so that samples don't clash."""
+    files = spark.read.text(path, wholetext=True)
+    several = len(files.inputFiles()) > 1  # names alone
+    rows = explode_samples(files.select(F.col("value").alias("json"), F.input_file_name().alias("file")), extra=["file"])
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    return rows.select((F.concat_ws(":", name, "sample_id") if several else F.col("sample_id")).alias("sample_id"), "sample")
 
-def explode_samples(files: DataFrame, json: str = "json") -> DataFrame:
+
+def explode_samples(files: DataFrame, json: str = "json", extra: list[str] = []) -> DataFrame:
     """The same from a column that holds whole files."""
-    return files.select(F.posexplode(F.from_json(json, schemas.DATASET)).alias("i", "sample")).select(F.col("i").cast("string").alias("sample_id"), "sample")
+    return files.select(*extra, F.posexplode(F.from_json(json, schemas.DATASET)).alias("i", "sample")).select(*extra, F.col("i").cast("string").alias("sample_id"), "sample")
 
 
 def speakers(samples: DataFrame) -> DataFrame:

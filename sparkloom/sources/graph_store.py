@@ -1,4 +1,4 @@
-"""The graph and its index on disk: Parquet tables instead of opaque blobs, partitioned by level."""
+"""The graph and its index on disk: Parquet tables instead of opaque blobs. A table that isn't there has no row."""
 
 from __future__ import annotations
 
@@ -24,6 +24,9 @@ def _fields(name: str) -> list[str]:
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The latest version of every row. Readers fill missing values; stored nulls stay."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], TABLES[name])
     rows = spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
     return latest(rows, KEYS[name]) if "version" in rows.columns else rows
 

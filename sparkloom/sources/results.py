@@ -53,13 +53,16 @@ def without(lines: DataFrame, samples: list[str] | None = None, categories: list
 
 
 def rewrite(spark: SparkSession, path: str, samples: list[str] | None = None, categories: list[int] | None = None) -> str:
-    """Delete from a log: written anew beside it, the old one kept as a backup whose path is returned."""
-    lines = without(read_log(spark, path), samples, categories)
-    new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.bak-{uuid.uuid4().hex}"
-    lines.select("line").write.text(new)
+    """Delete from a log: written anew beside it, the old one kept as a backup whose path is returned. A run that stopped
+    between the two renames is mended first: its new lines are complete then, and take the log's place."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(conf)
+    new, old = f"{path}.new", f"{path}.bak-{uuid.uuid4().hex}"
+    if fs.exists(at(f"{new}/_SUCCESS")) and not fs.exists(at(path)):
+        fs.rename(at(new), at(path))
+    fs.delete(at(new), True)
+    without(read_log(spark, path), samples, categories).select("line").write.text(new)
     if not (fs.rename(at(path), at(old)) and fs.rename(at(new), at(path))):
         raise OSError(f"could not replace {path}; its lines are in {old} and {new}")
     return old
