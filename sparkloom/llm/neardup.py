@@ -7,14 +7,17 @@ level of one tree with probability 1-(1-s)^BRANCH or more, so at 0.85 four trees
 
 How work stays bounded whatever the groups are:
 - equal sets collapse first to their smallest doc_id;
-- inside a leaf the tokens (not the texts) form clusters, equal clusters of different nodes collapse, and only clusters
-  of two or more meet their texts, where every link is confirmed on full sets; a cluster yields a spanning star;
+- inside a leaf the tokens (not the texts) and set sizes form clusters. Clusters of all leaves that share documents are
+  merged to groups of at most `LEAF` documents, so a text is shipped to one group; what would be larger stays cluster by
+  cluster. In a group every link is confirmed on full sets; it yields a spanning star;
 - a large node is first looked at in chunks of `BLOCK` documents, each with the node's `PIVOTS` pivots, which joins
-  groups of near copies in linear work; nodes that lie in one component need nothing more, others branch on;
+  groups of near copies in linear work; nodes, large or small, that lie in one component need nothing more, large ones else branch on;
 - nodes still large after `LEVELS` levels are compared in full, block by block: exact, nothing is dropped.
 
-Null or empty texts have the empty set and link with nothing. Ties don't occur: ids are unique; rows that repeat an id
-count once. An empty table gives no row.
+Null or empty texts have the empty set and link with nothing. Equal sets have one component, the smallest id's. Rows
+that repeat an id with the same text have the same result each; those that repeat it with another text are linked as one
+document. A very long text is one set, held by one worker at a time; further columns of docs aren't read. An empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import hashlib
+import math
 from functools import reduce
 
 import numpy as np
@@ -29,15 +33,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import hot_above, materialise, release, salted_join, slices
 from .graph import components
 from .shingles import shingle_sets
 
 TREES, BRANCH, LEVELS = 4, 2, 4
 COORDS = TREES * BRANCH * LEVELS
 LEAF, PIVOTS, BLOCK = 1024, 8, 512
-#: Of COORDS tokens, pairs at 0.8 share fewer than this with a probability below 10^-6.
-SHARED = 14
+GROUP_SHINGLES = 8_000_000  # of a merged group
+
+
+
+def least_shared(percent: int) -> int:
+    """Of COORDS tokens, linked pairs share fewer than this with a probability below 10^-6."""
+    s, tail = percent / 100, 0.0
+    for m in range(COORDS):
+        tail += math.comb(COORDS, m) * s**m * (1 - s) ** (COORDS - m)
+        if tail >= 1e-6:
+            return m
+    return COORDS
+
+
 _RNG = np.random.Generator(np.random.PCG64(77))
 _XOR = _RNG.integers(1 << 63, size=COORDS, dtype=np.uint64)
 _MUL = _RNG.integers(1 << 62, size=COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,10 +78,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, schema=_SKETCH)
 
 
-def _clusters(ids: np.ndarray, tokens: np.ndarray) -> list[list[int]]:
-    """Documents joined by pairs that share enough tokens, as sorted lists of ids."""
-    order = np.argsort(ids)
-    ids, tokens = ids[order], tokens[order]
+def _clusters(ids: np.ndarray, tokens: np.ndarray, size: np.ndarray, percent: int) -> list[list[int]]:
+    """Documents joined by pairs that share enough tokens and are of like size, as sorted lists of ids."""
+    order, least = np.argsort(ids, kind="stable"), least_shared(percent)
+    ids, tokens, size = ids[order], tokens[order], size[order]
     found, free = [], np.ones(len(ids), bool)
     for i in range(len(ids)):
         if free[i]:
@@ -73,7 +89,9 @@ def _clusters(ids: np.ndarray, tokens: np.ndarray) -> list[list[int]]:
             member, todo = [i], [i]
             while todo and free.any():
                 j = todo.pop()
-                near = np.flatnonzero(free & ((tokens == tokens[j]).sum(axis=1) >= SHARED))
+                alike = 100 * np.minimum(size, size[j]) >= percent * np.maximum(size, size[j])
+                near = np.flatnonzero(free & alike)
+                near = near[(tokens[near] == tokens[j]).sum(axis=1) >= least]
                 free[near] = False
                 member += near.tolist()
                 todo += near.tolist()
@@ -114,13 +132,16 @@ def link_stars(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for m in b.column("members"):
-            rows = m.values
-            out += _clusters(rows.field("doc_id").to_numpy(), rows.field("sketch").flatten().to_numpy().reshape(-1, COORDS))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["cluster"])
+def _leaves(percent: int):
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for m in b.column("members"):
+                rows = m.values
+                out += _clusters(rows.field("doc_id").to_numpy(), rows.field("sketch").flatten().to_numpy().reshape(-1, COORDS), rows.field("n_shingles").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["cluster"])
+
+    return leaves
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str, value) -> Iterator[tuple[object, list]]:
@@ -156,11 +177,39 @@ def _confirmer(percent: int):
     return confirm
 
 
-def _confirm(clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Edges of clusters (lists of at most a leaf's documents), each link confirmed on the full sets."""
-    one = clusters.withColumn("gid", F.xxhash64("cluster"))
-    rows = one.select("gid", F.explode("cluster").alias("doc_id")).join(docs, "doc_id")
-    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_confirmer(percent), "u long, v long")
+def _confirm(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Edges of groups (gid, doc_id), at most a leaf's documents each; each link is confirmed on the full sets."""
+    # a text meets the list of its groups; a merge hint: the same plan at every size
+    lists = rows.groupBy("doc_id").agg(F.collect_set("gid").alias("gids"))
+    held = lists.join(docs.hint("merge"), "doc_id").select(F.explode("gids").alias("gid"), "doc_id", "text")
+    return held.repartition("gid").sortWithinPartitions("gid").mapInArrow(_confirmer(percent), "u long, v long")
+
+
+def _seats(clusters: DataFrame) -> DataFrame:
+    return clusters.select(F.xxhash64("cluster").alias("gid"), F.explode("cluster").alias("doc_id"))
+
+
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of nodes that don't lie in one of the components found so far: only these can join more."""
+    of = rows.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    nodes = of.groupBy("node").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("node")
+    return rows.join(nodes, "node", "left_semi")
+
+
+def _groups(clusters: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(gid, doc_id): clusters that share documents as one group, so that each document is in one; where that would be
+    larger than a leaf (or GROUP_SHINGLES in all), the clusters themselves."""
+    stars = clusters.select(F.col("cluster")[0].alias("u"), F.explode("cluster").alias("v")).where("u <> v")
+    if stars.isEmpty():
+        return _seats(clusters)
+    label = components(stars)
+    weighed = label.join(sketches.select(F.col("doc_id").alias("v"), "n_shingles"), "v")
+    sizes = materialise(weighed.groupBy("c").agg(((F.count("*") <= LEAF) & (F.sum("n_shingles") <= GROUP_SHINGLES)).alias("fits")), "sizes")
+    fit = sizes.where("fits").select("c")
+    whole = label.join(fit, "c", "left_semi").select(F.col("c").alias("gid"), F.col("v").alias("doc_id"))
+    wide = label.join(sizes.where("NOT fits").select("c"), "c", "left_semi").select(F.col("v").alias("first"))
+    rest = clusters.withColumn("first", F.col("cluster")[0]).join(wide, "first", "left_semi").select("cluster").distinct()
+    return whole.unionByName(_seats(rest))
 
 
 def _chunks(large: DataFrame) -> DataFrame:
@@ -179,19 +228,31 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
     else:
         at = lambda k: F.col("tree") * BRANCH + F.lit(level * TREES * BRANCH + k)
         picks = [F.struct(F.xxhash64("node", at(k), F.element_at("sketch", (at(k) + 1).cast("int"))).alias("node"), F.col("tree").alias("tree")) for k in range(BRANCH)]
-    return rows.select("doc_id", "sketch", F.explode(F.array(*picks)).alias("x")).select("doc_id", "sketch", "x.node", "x.tree")
+    return rows.select("doc_id", F.explode(F.array(*picks)).alias("x")).select("doc_id", "x.node", "x.tree")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two documents or more, with the node's size."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    return rows.join(sizes, "node")
+    rows = materialise(rows, "seats")
+    sizes = materialise(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    above = hot_above(sizes.agg(F.sum("size").alias("t")).first()["t"] or 0)
+    out = materialise(salted_join(rows, sizes, ["node"], "size", sizes.where(F.col("size") > above), above), "nodes")
+    release(rows)
+    release(sizes)
+    return out
+
+
+def _drawn(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """rows (doc_id, node, tree) with each document's sketch, which is joined to the list of its nodes."""
+    lists = rows.groupBy("doc_id").agg(F.collect_list(F.struct("node", "tree")).alias("at"))
+    return lists.join(sketches.hint("merge"), "doc_id").select("doc_id", "sketch", "n_shingles", F.explode("at").alias("x")).select("doc_id", "sketch", "n_shingles", "x.node", "x.tree")
 
 
-def _leaf_clusters(rows: DataFrame) -> DataFrame:
+def _leaf_clusters(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Clusters of small nodes; equal clusters of several nodes are kept once."""
-    members = rows.groupBy("node").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).select("members")
-    return members.mapInArrow(_leaves, "cluster array<bigint>").distinct()
+    held = _drawn(rows, sketches)
+    members = held.groupBy("node").agg(F.collect_list(F.struct("doc_id", "sketch", "n_shingles")).alias("members")).select("members")
+    return materialise(members.mapInArrow(_leaves(percent), "cluster array<bigint>").distinct(), "clusters")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -205,26 +266,26 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """(v, c): the component of every document that links with another; None if there are none."""
-    level = materialise(_sized(_branch(sketches, 0)), "nodes")
+    level = _sized(_branch(sketches, 0))
     small = [level.where(F.col("size") <= LEAF)]
     large = level.where(F.col("size") > LEAF)
-    edges = blocks = None
+    edges = blocks = labels = None
     if not large.isEmpty():
-        edges = materialise(_confirm(_chunks(large), docs, percent), "links")
+        edges = materialise(_confirm(_seats(_chunks(large)), docs, percent), "links")
         labels = components(edges)
-        of = large.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-        mixed = of.groupBy("node").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("node")
-        large = materialise(large.join(mixed, "node", "left_semi"), "nodes")
+        large = materialise(_mixed(large, labels), "nodes")
         for depth in range(1, LEVELS):
             if large.isEmpty():
                 break
-            level = materialise(_sized(_branch(large, depth)), "nodes")
+            level = _sized(_branch(_drawn(large, sketches), depth))
             small.append(level.where(F.col("size") <= LEAF))
             large = level.where(F.col("size") > LEAF)
         if not large.isEmpty():
             blocks = _blocks(large)
-    clusters = _leaf_clusters(reduce(DataFrame.unionByName, small))
-    found = materialise(_confirm(clusters if blocks is None else clusters.unionByName(blocks), docs, percent), "links")
+    leaves = reduce(DataFrame.unionByName, small)
+    clusters = _leaf_clusters(leaves if labels is None else _mixed(leaves, labels), sketches, percent)
+    seats = _groups(clusters, sketches)
+    found = materialise(_confirm(seats if blocks is None else seats.unionByName(_seats(blocks)), docs, percent), "links")
     edges = found if edges is None else found.unionByName(edges)
     return components(edges) if not edges.isEmpty() else None
 
@@ -234,10 +295,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ddl = "doc_id long, n_shingles long, digest binary, sketch array<int>"
     drawn = materialise(docs.mapInArrow(_sketch, ddl), "sketches")
-    classes = drawn.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    own = drawn.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    sketches = materialise(drawn.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "sketch"), "reps")
-    labels = links(sketches, docs, percent)
+    # a sketch follows from the set, so equal sets have one
+    classes = materialise(drawn.where("digest is not null AND doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("n_shingles")), "reps")
+    own = drawn.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    labels = links(classes.select(F.col("rep").alias("doc_id"), "sketch", "n_shingles"), docs, percent)
     if labels is not None:
         own = own.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left")
     else:
