@@ -193,9 +193,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     whole = made.where("leaf IS NULL").select("line", "template", F.col("each").alias("n"))
     joined = made.where("leaf IS NOT NULL").select("line", "template", "each").join(into.hint("merge"), "template").select("line", F.col("into").alias("template"), F.col("each").alias("n"))
     member = materialise(single.unionByName(whole).unionByName(joined), "templates")
-    held = salted_join(found.select("line", "doc_id"), member, ["line"], "n", hot, above).drop("n")
-    recurs = held.groupBy("template", "doc_id").agg(F.lit(1).alias("x")).groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    return held.join(recurs, "template").where(F.col("doc_id") != F.col("first")).select("doc_id", "line")
+    held = materialise(salted_join(found.select("line", "doc_id"), member, ["line"], "n", hot, above).drop("n"), "held")
+    each = held.groupBy("template", "doc_id").agg(F.count("*").alias("c"))
+    recurs = materialise(each.groupBy("template").agg(F.count("*").alias("docs"), F.sum("c").alias("n"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs), "recurring")
+    # a template can be hot though none of its lines is
+    lost = salted_join(held, recurs, ["template"], "n", recurs.where(F.col("n") > above), above)
+    return lost.where(F.col("doc_id") != F.col("first")).select("doc_id", "line")
 
 
 def _drop(b: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
