@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, idfile, langid, lines, media, neardup, packing, pieces, suffix
+from . import ann, bytebpe, htmltext, idfile, langid, lines, media, neardup, packing, pieces, runs, suffix
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401  (what SQL can't express is tested in tests/llm)
 
@@ -58,6 +58,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=0)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_htmltext": op2_htmltext,
@@ -69,4 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_suffix": op9_suffix,
     "op10_packing": op10_packing,
+    "op11_runs": op11_runs,
+    "op12_bytebpe": op12_bytebpe,
 }
