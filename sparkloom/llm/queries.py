@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytebpe, htmltext, idfile, langid, lines, media, neardup, packing, pieces, runs, suffix
+from . import ann, bytebpe, htmltext, idfile, langid, lines, media, neardup, packing, phrases, pieces, runs, suffix
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401  (what SQL can't express is tested in tests/llm)
 
@@ -66,6 +66,10 @@ def op12_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_htmltext": op2_htmltext,
@@ -79,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_runs": op11_runs,
     "op12_bytebpe": op12_bytebpe,
+    "op13_phrases": op13_phrases,
 }
