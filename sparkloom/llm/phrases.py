@@ -338,7 +338,8 @@ def counted(docs: DataFrame, found: DataFrame) -> DataFrame:
         some = slot_counts(docs, spark.sparkContext.broadcast(bytes(body))).withColumn("slice", F.lit(row["slice"]))
         out = some if out is None else out.unionByName(some)
     if out is None:
-        return found.withColumn("a", F.lit(0).cast("long"))
+        release(tables)
+        return spark.createDataFrame([], "lang string, phrase string, a long")
     keys = tables.mapInArrow(spell, "slice int, slot long, lang string, phrase string")
     done = materialise(out.join(keys, ["slice", "slot"]).select("lang", "phrase", "a"), "phrase-counts")
     release(tables)
