@@ -34,7 +34,7 @@ from . import words
 from .common import materialise, release, slices
 
 LONGEST, GAPS, BREAKS = 4, b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
-FILTER_BITS, SLICE, TASK_WORDS, BATCH_BYTES = 1 << 26, 1 << 21, 2_000_000, 8_000_000
+FILTER_BITS, SLICE, TASK_WORDS, BATCH_BYTES = 1 << 26, 1 << 21, 1_000_000, 3_000_000
 #: Slots of a slice that are summed as one array, and arrays that are summed in one step of the tree.
 BLOCK, FAN = 1 << 16, 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -97,7 +97,8 @@ class PerfectHash:
 
 
 class Share:
-    """A mapper's part of the text as numbers: lang and word of each occurrence, and how many words of its piece follow."""
+    """A mapper's part of the text as numbers: lang and word of each occurrence, and how many words of its piece follow
+    (LONGEST, where there are more)."""
 
     def __init__(self, batches: list[pa.RecordBatch]):
         langs, codes, rest, names = [], [], [], []
@@ -106,15 +107,15 @@ class Share:
         for b in batches:
             parts = words.split(b.column("text"), GAPS, BREAKS, lower=True)
             of = np.array([lang_names.setdefault("und" if x is None else x, len(lang_names)) for x in b.column("lang").to_pylist()], np.int64)
-            langs.append(np.repeat(of, np.diff(parts.ends)))
-            codes.append(parts.code + n)
+            langs.append(np.repeat(of.astype(np.int32), np.diff(parts.ends)))
+            codes.append((parts.code + n).astype(np.int32))
             names.append(parts.names)
             n += len(parts.names)
-            rest.append(_following(parts.piece))
+            rest.append(np.minimum(_following(parts.piece), LONGEST).astype(np.int8))
         every = pa.chunked_array(names).dictionary_encode().combine_chunks() if names else pa.array([], pa.binary()).dictionary_encode()
         every = every.combine_chunks() if isinstance(every, pa.ChunkedArray) else every
         self.names, self.lang_names = every.dictionary, list(lang_names)
-        number = every.indices.to_numpy().astype(np.int64)
+        number = every.indices.to_numpy()
         self.word = number[np.concatenate(codes)] if codes else np.zeros(0, np.int64)
         self.lang = np.concatenate(langs) if langs else np.zeros(0, np.int64)
         self.rest = np.concatenate(rest) if rest else np.zeros(0, np.int64)
@@ -151,7 +152,7 @@ def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[Share]:
 
 def _distinct(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first places, counts) of different rows; columns of small numbers."""
-    key = cols[0]
+    key = cols[0].astype(np.int64)
     for c in cols[1:]:
         top = int(c.max()) + 1 if len(c) else 1
         if len(key) and int(key.max()) >= (1 << 62) // top:
@@ -262,7 +263,7 @@ class Table:
     def count(self, s: Share) -> np.ndarray:
         """Occurrences in a share of every slot's phrase."""
         total = np.zeros(self.hash.n, np.int64)
-        number = pc.fill_null(pc.index_in(s.names, pa.array(self.words, pa.string()).cast(pa.binary())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = pc.fill_null(pc.index_in(s.names, pa.array(self.words, pa.string()).cast(pa.binary())), -1).to_numpy(zero_copy_only=False).astype(np.int32)
         places = {x: i for i, x in enumerate(self.langs)}
         of_lang = np.array([places.get(x, -1) for x in s.lang_names], np.int64)
         word, lang = number[s.word], of_lang[s.lang] if len(s.lang) else s.lang
