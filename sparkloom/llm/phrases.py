@@ -34,7 +34,7 @@ from . import words
 from .common import materialise, release, slices
 
 LONGEST, GAPS, BREAKS = 4, b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
-FILTER_BITS, SLICE, TASK_WORDS, BATCH_BYTES = 1 << 26, 1 << 21, 1_000_000, 3_000_000
+FILTER_BITS, SLICE, TASK_WORDS, BATCH_BYTES = 1 << 26, 1 << 21, 500_000, 2_000_000
 #: Slots of a slice that are summed as one array, and arrays that are summed in one step of the tree.
 BLOCK, FAN = 1 << 16, 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -203,27 +203,32 @@ def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[cell] >> bit & 1 == 1
 
 
+def _reported(s: Share, k: int, bits: np.ndarray, least: int) -> pa.RecordBatch:
+    """Phrases of k words of a share whose shorter parts are in the filter, and how often they come, up to `least`."""
+    n = len(s.word)
+    known = np.zeros(n + 1, bool)  # the phrase of k - 1 words here is frequent
+    at = np.flatnonzero(s.rest >= k - 2)
+    lang_hash, word_hash = s.hashes()
+    state = lang_hash[s.lang[at]]
+    for j in range(k - 1):
+        state = chained(state, word_hash[s.word[at + j]])
+    known[at] = _held(bits, state)
+    at = np.flatnonzero((s.rest >= k - 1) & known[:-1] & known[1:])
+    cols = [s.word[at + j] for j in range(k)]
+    first, count = _distinct(s.lang[at], *cols)
+    told = pc.binary_join_element_wise(*[s.names.take(pa.array(c[first])) for c in cols], b" ") if len(first) else pa.array([], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(s.lang_names, pa.string()).take(pa.array(s.lang[at][first])), told.cast(pa.string()), pa.array(np.minimum(count, least), pa.int64())], names=["lang", "phrase", "n"])
+
+
 def candidates(docs: DataFrame, k: int, shorter: Broadcast, least: int) -> DataFrame:
     """lang, phrase: phrases of k words that come `least` times, given the filter of those of k - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shorter.value
         for s in shares(batches):
-            lang_hash, word_hash = s.hashes()
-            n = len(s.word)
-            if n < k:
-                continue
-            known = np.zeros(n + 1, bool)  # the phrase of k - 1 words here is frequent
-            at = np.flatnonzero(s.rest >= k - 2)
-            state = lang_hash[s.lang[at]]
-            for j in range(k - 1):
-                state = chained(state, word_hash[s.word[at + j]])
-            known[at] = _held(bits, state)
-            at = np.flatnonzero((s.rest >= k - 1) & known[:-1] & known[1:])
-            cols = [s.word[at + j] for j in range(k)]
-            first, count = _distinct(s.lang[at], *cols)
-            told = pc.binary_join_element_wise(*[s.names.take(pa.array(c[first])) for c in cols], b" ") if len(first) else pa.array([], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(s.lang_names, pa.string()).take(pa.array(s.lang[at][first])), told.cast(pa.string()), pa.array(np.minimum(count, least), pa.int64())], names=["lang", "phrase", "n"])
+            out = _reported(s, k, shorter.value, least)
+            del s
+            for at in range(0, out.num_rows, 1 << 16):
+                yield out.slice(at, 1 << 16)
 
     found = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase")
@@ -304,17 +309,15 @@ def slot_counts(docs: DataFrame, table: Broadcast) -> DataFrame:
         out["counts"] = [np.sum([np.frombuffer(c, np.int64) for c in pdf["counts"]], axis=0).tobytes()]
         return out
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start, counts in zip(b.column("start").to_pylist(), b.column("counts").to_pylist()):
-                a = np.frombuffer(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(start + np.arange(len(a))), pa.array(a)], names=["slot", "a"])
+    def read(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.sum([np.frombuffer(c, np.int64) for c in pdf["counts"]], axis=0)
+        return pd.DataFrame({"slot": pdf["start"].iloc[0] + np.arange(len(a)), "a": a})
 
     kind = "start long, part long, counts binary"
     # any deal of the arrays over the branches gives the same sums
     leaves = docs.select("lang", "text").mapInArrow(run, kind)
     branches = leaves.groupBy("start", F.pmod("part", F.lit(FAN)).alias("branch")).applyInPandas(add, kind)
-    return branches.groupBy("start").applyInPandas(add, kind).mapInArrow(read, "slot long, a long")
+    return branches.groupBy("start").applyInPandas(read, "slot long, a long")
 
 
 def counted(docs: DataFrame, found: DataFrame) -> DataFrame:
