@@ -48,9 +48,12 @@ def _parser() -> argparse.ArgumentParser:
     v.add_argument("--strategy", choices=job.STRATEGIES, default="graph_traversal")
     v.add_argument("--rewrite", action="store_true", help="search by keywords a provider makes of the question")
     v.add_argument("--no-refinement", action="store_true")
+    v.add_argument("--retrieve_k", type=int, help="memories a question is answered from; by its category if not given")
+    v.add_argument("--top-k-levels", type=int, nargs="+", help="how many personas, scenes and facts a walk takes")
     for x in (n, v, b, r):
         x.add_argument("--backend", help="a registered provider; without one the offline rules")
         x.add_argument("--model")
+        x.add_argument("--api-key", help="of a remote provider, if it isn't in the environment")
         x.add_argument("--log", help="write messages to this file too")
     f = sub.add_parser("fetch", help="load models once so that later runs find them")
     f.add_argument("models", nargs="+")
@@ -59,7 +62,7 @@ def _parser() -> argparse.ArgumentParser:
 
 def _job(args: argparse.Namespace, spark) -> None:
     job.set_logging(args.log)
-    given = {"backend": args.backend} | ({"model": args.model} if args.model and args.backend else {})
+    given = {"backend": args.backend} | ({"model": args.model} if args.model and args.backend else {}) | ({"api_key": args.api_key} if args.api_key and args.backend else {})
     if args.command in ("ingest", "evaluate"):
         samples = dataset.read_dataset(spark, args.dataset)
         if args.ratio != 1:
@@ -75,7 +78,7 @@ def _job(args: argparse.Namespace, spark) -> None:
         job.refine(spark, args.graph, **given)
     else:
         asked = dataset.qa(samples).withColumn("reference", F.col("final_answer"))
-        made = job.run(spark, turns, asked, args.graph, args.out, args.strategy, args.backend, args.model or "offline", args.ratio, not args.no_refinement, args.rewrite)
+        made = job.run(spark, turns, asked, args.graph, args.out, args.strategy, args.backend, args.model or "offline", args.ratio, not args.no_refinement, args.rewrite, args.retrieve_k, tuple(args.top_k_levels or ()) or None, **({"api_key": args.api_key} if args.api_key and args.backend else {}))
         made.show(truncate=False, vertical=True)
 
 

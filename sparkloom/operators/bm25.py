@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import index_tokens
+from sparkloom.session import written
 
 #: The usual constants, and the share of the mean idf that stands in for negative ones.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -64,31 +65,40 @@ def min_max(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     return df.withColumn(out, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0)))
 
 
-def prefix_scores(docs: DataFrame, keys: list[str], doc: str, seq: str, text: str) -> DataFrame:
-    """Every document as a query against those up to and with itself, in order of seq: keys, doc, other, bm25.
+def prefix_scores(docs: DataFrame, keys: list[str], doc: str, seq: str, text: str, query_text: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Every document as a query against those up to and with itself, in order of seq: keys, query, other, other_seq, bm25.
 
-    Document counts, lengths and frequencies are those of the prefix, as an index would hold at that time."""
-    toks = tokenised(docs.withColumnRenamed(seq, "seq_"), [*keys, "seq_"], doc, text)
+    Document counts, lengths and frequencies are those of the prefix, as an index would hold at that time. query_text: what
+    is asked, if not the whole text; its terms are among the text's. only: (keys, doc) of the documents that ask, if not all.
+    Terms and places are written once; what follows reads them alone."""
     upto = Window.partitionBy(*keys).orderBy("seq_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = toks.select(*keys, doc, "seq_", "dl", F.count("*").over(upto).alias("n_docs"), F.avg("dl").over(upto).alias("avgdl"))
-    posts = postings(docs.withColumnRenamed(seq, "seq_"), [*keys, "seq_"], doc, text)
+    toks = docs.select(*keys, F.col(doc).alias("other"), F.col(seq).alias("seq_"), index_tokens(text).alias("toks"), *([index_tokens(query_text).alias("q_toks")] if query_text else [])).withColumn("dl", F.size("toks"))
+    toks = written(toks.select("*", F.count("*").over(upto).alias("at"), F.avg("dl").over(upto).alias("avgdl")), "prefix-terms")
+    at = toks.select(*keys, "other", "seq_", "dl", "at", "avgdl")
+    count = lambda of: toks.select(*keys, "other", "at", "dl", F.explode(of).alias("term")).groupBy(*keys, "other", "at", "dl", "term").agg(F.count("*").alias("tf"))
     # a document's own terms: how many up to it have them is their place among these
-    posts = posts.withColumn("df", F.row_number().over(Window.partitionBy(*keys, "term").orderBy("seq_")))
-    here = at.select(*keys, F.col(doc).alias("query"), F.col("seq_").alias("q_seq"), "n_docs", "avgdl")
-    # the mean idf of a prefix's vocabulary needs how many terms have each frequency: running sums of what each document changes
+    posts = written(count("toks").withColumn("df", F.row_number().over(Window.partitionBy(*keys, "term").orderBy("at"))), "prefix-postings")
+    here = at.select(*keys, F.col("other").alias("query"), F.col("at").alias("q_at"), F.col("avgdl"))
+    if only is not None:
+        here = here.join(only.select(*keys, F.col(doc).alias("query")), [*keys, "query"], "left_semi")
+    # the mean idf of a prefix's vocabulary needs how many terms have each frequency. That changes where a document moves
+    # terms from one to the next; between two changes it stands, so only frequencies that some term has get a row
     moved = F.array(F.struct(F.col("df").alias("d"), F.lit(1).alias("c")), F.struct((F.col("df") - 1).alias("d"), F.lit(-1).alias("c")))
-    change = posts.select(*keys, F.col("seq_").alias("q_seq"), F.explode(moved).alias("x")).where("x.d > 0").groupBy(*keys, "q_seq", F.col("x.d").alias("d")).agg(F.sum("x.c").alias("c"))
-    most = here.groupBy(*keys).agg(F.max("n_docs").cast("int").alias("most"))
-    grid = here.join(most, keys).select(*keys, "query", "q_seq", "n_docs", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("d"))
-    run = Window.partitionBy(*keys, "d").orderBy("q_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = grid.join(change, [*keys, "q_seq", "d"], "left").withColumn("c", F.sum(F.coalesce("c", F.lit(0))).over(run)).where("c > 0")
-    raw = lambda d: F.log(F.col("n_docs") - F.col(d) + 0.5) - F.log(F.col(d) + 0.5)
-    mean = held.groupBy(*keys, "query").agg((EPSILON * F.sum(F.col("c") * raw("d")) / F.sum("c")).alias("floor"))
-    own = posts.select(*keys, F.col(doc).alias("query"), "term", "df").join(here, [*keys, "query"]).withColumn("raw", raw("df"))
-    idf = own.join(mean, [*keys, "query"]).select(*keys, "query", "q_seq", "avgdl", "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    asked = posts.select(*keys, F.col(doc).alias("query"), "term", F.col("tf").alias("qtf"))
+    change = posts.select(*keys, "at", F.explode(moved).alias("x")).where("x.d > 0").groupBy(*keys, "at", F.col("x.d").alias("d")).agg(F.sum("x.c").alias("c"))
+    by = Window.partitionBy(*keys, "d").orderBy("at")
+    last = at.groupBy(*keys).agg(F.max("at").alias("most"))  # a row a corpus
+    held = change.select(*keys, "at", "d", F.sum("c").over(by).alias("c"), F.lead("at").over(by).alias("until")).where("c > 0")
+    held = held.join(last, keys).select(*keys, "d", "c", F.explode(F.sequence(F.col("at"), F.coalesce(F.col("until") - 1, F.col("most")))).alias("q_at"))
+    raw = lambda d: F.log(F.col("q_at") - F.col(d) + 0.5) - F.log(F.col(d) + 0.5)
+    mean = held.groupBy(*keys, "q_at").agg((EPSILON * F.sum(F.col("c") * raw("d")) / F.sum("c")).alias("floor"))
+    asked = posts.select(*keys, "other", "term", "df", F.col("tf").alias("qtf"))
+    if query_text:
+        asked = asked.drop("qtf").join(count("q_toks").select(*keys, "other", "term", F.col("tf").alias("qtf")), [*keys, "other", "term"])
+    own = asked.withColumnRenamed("other", "query").join(here, [*keys, "query"]).join(mean, [*keys, "q_at"])
+    weight = F.col("qtf") * F.when(raw("df") < 0, F.col("floor")).otherwise(raw("df"))
+    own = own.select(*keys, "query", "q_at", "avgdl", "term", weight.alias("idf"))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hit = asked.join(idf, [*keys, "query", "term"]).join(posts.drop("df").withColumnRenamed(doc, "other"), [*keys, "term"]).where(F.col("seq_") <= F.col("q_seq"))
-    found = hit.groupBy(*keys, "query", "other").agg(F.sum(F.col("qtf") * F.col("idf") * share).alias("bm25"))
-    every = here.select(*keys, "query", "q_seq").join(at.select(*keys, F.col(doc).alias("other"), "seq_"), keys).where(F.col("seq_") <= F.col("q_seq"))
+    hit = own.join(posts.drop("df"), [*keys, "term"]).where(F.col("at") <= F.col("q_at"))
+    found = hit.groupBy(*keys, "query", "other").agg(F.sum(F.col("idf") * share).alias("bm25"))
+    every = here.select(*keys, "query", "q_at").join(at, keys).where(F.col("at") <= F.col("q_at"))
     return every.join(found, [*keys, "query", "other"], "left").select(*keys, "query", "other", F.col("seq_").alias("other_seq"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))

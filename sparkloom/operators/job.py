@@ -1,14 +1,16 @@
 """The whole run over stored graphs: ingest with evolution, build, refine, answer, score, sum up; each phase can be repeated.
 
-A phase reads what is stored and adds what is missing, so a run that was cut off goes on where it stopped. `report` is
-called after each phase with its name and the number of rows it added."""
+A phase reads what is stored and adds what is missing, in one commit (sources.graph_store), so a run that was cut off at any
+write goes on where it stopped and ends with the graph of an uncut one. `report` is called after each phase with its name and
+the number of rows it added."""
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom import schemas
@@ -22,6 +24,8 @@ from sparkloom.streaming import ingest
 log = logging.getLogger("sparkloom")
 KEYS = ["sample_id"]
 NEIGHBOURS, ALIKE = 5, 0.8
+#: Questions that have an answer in the conversation; the fifth category's don't and are left out.
+CATEGORIES = (1, 2, 3, 4)
 STRATEGIES = ("flat", "graph_traversal", "top_down", "bottom_up")
 Report = Callable[[str, int], None]
 
@@ -45,25 +49,16 @@ def _done(name: str, n: int, report: Report | None) -> None:
         report(name, n)
 
 
-def _add(df: DataFrame, root: str, name: str, table: str, report: Report | None) -> int:
-    rows = written(df, f"job-{table}")
-    n = rows.count()
-    if n:
-        graph_store.append(rows, root, table)
-    _done(name, n, report)
-    return n
-
-
 # -- evolution -------------------------------------------------------------------------------------------------------
 
 
-def prefix_neighbours(facts: DataFrame, keys: list[str] = KEYS, k: int = NEIGHBOURS) -> DataFrame:
-    """keys, node_id, other, rank, cosine: for every fact the k best of those up to it, itself left out, by the hybrid
-    score an index of that time gives."""
-    docs = facts.select(*keys, "node_id", "node_seq", F.col("node_seq").alias("at"), T.index_document("content", "context", "keywords", "tags").alias("doc")).withColumn("vec", T.hash_embedding("doc"))
-    sparse = bm25.prefix_scores(docs, keys, "node_id", "at", "doc").where("query <> other")
-    sparse = bm25.min_max(sparse, "bm25", [*keys, "query"], "sparse")
-    a, b = docs.select(*keys, F.col("node_id").alias("query"), F.col("vec").alias("a")), docs.select(*keys, F.col("node_id").alias("other"), F.col("vec").alias("b"))
+def prefix_neighbours(facts: DataFrame, keys: list[str] = KEYS, k: int = NEIGHBOURS, only: DataFrame | None = None) -> DataFrame:
+    """keys, node_id, other, rank, cosine: for every fact the k best of those up to it by the hybrid score an index of that
+    time gives. What is asked is the fact's content, what is searched are the indexed documents; a fact is indexed before it
+    asks, so it is among its own candidates. only: (keys, node_id) of the facts that ask, if not all do."""
+    docs = facts.select(*keys, "node_id", "content", F.col("node_seq").alias("at"), T.index_document("content", "context", "keywords", "tags").alias("doc"))
+    sparse = bm25.min_max(bm25.prefix_scores(docs, keys, "node_id", "at", "doc", "content", only), "bm25", [*keys, "query"], "sparse")
+    a, b = docs.select(*keys, F.col("node_id").alias("query"), T.hash_embedding("content").alias("a")), docs.select(*keys, F.col("node_id").alias("other"), T.hash_embedding("doc").alias("b"))
     both = sparse.join(a, [*keys, "query"]).join(b, [*keys, "other"]).withColumn("cosine", F.round(cosine("a", "b"), 9))
     scored = both.withColumn("score", F.round(retrieval.ALPHA * (F.col("cosine") + 1) / 2 + (1 - retrieval.ALPHA) * F.col("sparse"), 9))
     return retrieval.top_k(scored, [*keys, "query"], "score", "other_seq", k).select(*keys, F.col("query").alias("node_id"), "other", "rank", "cosine")
@@ -74,7 +69,7 @@ def evolution_prompt(note: Column | str, neighbours: Column | str) -> Column:
 
 
 def offline_links(near: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """The offline decision: a fact is linked both ways with those of its neighbours that are alike enough."""
+    """The offline decision: a fact is linked both ways with those of its neighbours that are alike enough; not with itself."""
     return graph.both_ways(near.where(F.col("cosine") >= ALIKE).select(*keys, F.col("node_id").alias("src"), F.col("other").alias("dst"))).distinct()
 
 
@@ -102,25 +97,34 @@ def _edges(links: DataFrame, kind: str, version: int) -> DataFrame:
 
 
 def ingest_turns(spark: SparkSession, turns: DataFrame, root: str, version: int = 0, backend: str | None = None, report: Report | None = None, **settings) -> None:
-    """Turns become facts with documents and vectors, then facts evolve: each meets those before it. A turn that is stored
-    already isn't added again."""
+    """Turns become facts with documents and vectors, then facts evolve. A turn that is stored already isn't added again, and
+    an index that lacks documents gets them first."""
+    ingest.rebuild_index(spark, root)
     known = graph_store.load(spark, root, "nodes").where("level = 'fact'").select("sample_id", F.col("node_seq").alias("turn_seq"))
     new = written(turns.join(known, ["sample_id", "turn_seq"], "left_anti"), "job-turns")
-    n = new.count()
-    if n:
-        ingest.write_batch(new, root, version)
-    _done("facts", n, report)
+    _done("facts", 0 if new.isEmpty() else ingest.write_batch(new, root, version), report)
+    evolve(spark, root, version, backend, report, **settings)
+
+
+def evolve(spark: SparkSession, root: str, version: int = 0, backend: str | None = None, report: Report | None = None, **settings) -> None:
+    """Facts that haven't evolved yet meet those before them in their sample. Links, changed neighbours and the mark that a
+    fact has evolved are one commit."""
     facts = graph_store.load(spark, root, "nodes").where("level = 'fact'")
-    near = written(prefix_neighbours(facts).join(ingest.facts(new).select("sample_id", "node_id"), ["sample_id", "node_id"], "left_semi"), "job-neighbours")
-    if backend is None:
-        links, changed = offline_links(near), None
-    else:
-        links, changed = decided(near, facts, backend, **settings)
+    todo = written(facts.join(graph_store.load(spark, root, "evolved"), [*KEYS, "node_id"], "left_anti").select(*KEYS, "node_id"), "job-evolving")
+    if todo.isEmpty():
+        _done("evolution", 0, report)
+        return
+    facts = facts.join(todo.select(*KEYS).distinct(), KEYS, "left_semi")
+    near = written(prefix_neighbours(facts, only=todo), "job-neighbours")
+    links, changed = (offline_links(near), None) if backend is None else decided(near, facts, backend, **settings)
     stored = graph_store.load(spark, root, "edges").select("sample_id", "src", "dst")
-    _add(_edges(links.join(stored, ["sample_id", "src", "dst"], "left_anti"), "persona_related", version), root, "evolution", "edges", report)
-    if changed is not None:
-        rows = facts.drop("context", "tags").join(changed, ["sample_id", "node_id"]).withColumn("version", F.col("version") + 1)
-        _add(rows, root, "updated neighbours", "nodes", report)
+    with graph_store.Commit(spark, root, "evolution") as c:
+        n = c.add(_edges(links.join(stored, ["sample_id", "src", "dst"], "left_anti"), "persona_related", version), "edges")
+        if changed is not None:
+            rows = facts.drop("context", "tags").join(changed, ["sample_id", "node_id"]).withColumn("version", F.col("version") + 1)
+            c.add(rows, "nodes")
+        c.add(todo, "evolved")
+    _done("evolution", n, report)
 
 
 # -- build and refine ------------------------------------------------------------------------------------------------
@@ -140,12 +144,21 @@ def offline_profiles(scenes: DataFrame) -> DataFrame:
     return text.select(*KEYS, *[(F.array_join(T.top_terms("text", 5), ", ") if d == "interests" else none).alias(d) for d in hierarchy.DIMENSIONS])
 
 
+def communities(facts: DataFrame, related: DataFrame, rounds: int = 10) -> DataFrame:
+    """keys, node_id, community: by label propagation; where that fails, runs of ten facts in order."""
+    try:
+        return written(graph.label_propagation(facts, related, KEYS, rounds, settle=True).withColumnRenamed("label", "community"), "job-communities")
+    except PySparkException as e:
+        log.warning("clustering failed, facts are taken in order: %s", e)
+        return written(graph.chunk_communities(facts, KEYS), "job-communities")
+
+
 def build(spark: SparkSession, root: str, version: int = 1, rounds: int = 10, backend: str | None = None, report: Report | None = None, **settings) -> None:
     """Scenes of communities that have none yet, personas of samples that have none yet, and the links between them."""
     nodes, edges = graph_store.load(spark, root, "nodes"), graph_store.load(spark, root, "edges")
     facts = nodes.where("level = 'fact'")
     related = edges.where("type = 'persona_related'").select(*KEYS, "src", "dst")
-    label = graph.label_propagation(facts, related, KEYS, rounds, settle=True).withColumnRenamed("label", "community")
+    label = communities(facts, related, rounds)
     todo = label.join(graph.uncovered(label, nodes, edges, KEYS, "scene").select(*KEYS, "community"), [*KEYS, "community"])
     first = facts.select(*KEYS, "node_id", "node_seq")
     # a community's name is its first fact's place, so it stays the same when the job is run again
@@ -156,8 +169,8 @@ def build(spark: SparkSession, root: str, version: int = 1, rounds: int = 10, ba
         replied = providers.complete(scenes.withColumn("prompt", answering.scene_prompt("content")), "prompt", "reply", backend, **settings)
         told = F.get_json_object(T.json_object("reply"), "$.scene_summary")
         scenes = replied.withColumn("content", F.coalesce(told, F.col("content"))).drop("prompt", "reply")
-    if _add(_nodes(scenes, version), root, "scenes", "nodes", report):
-        _add(_edges(contains, "contains", version), root, "scene links", "edges", report)
+    scenes = written(_nodes(scenes, version), "job-scenes")
+    _commit(spark, root, "scenes", scenes, contains, version, report)
     nodes = graph_store.load(spark, root, "nodes")
     scenes = nodes.where("level = 'scene'")
     if backend is None:
@@ -167,10 +180,22 @@ def build(spark: SparkSession, root: str, version: int = 1, rounds: int = 10, ba
         replied = providers.complete(text, "prompt", "reply", backend, **settings)
         profiles = replied.select(*KEYS, *[F.get_json_object(T.json_object("reply"), f"$.{d}").alias(d) for d in hierarchy.DIMENSIONS])
     personas = hierarchy.build_personas(profiles, KEYS, nodes).withColumn("tags", F.array("tag")).withColumn("attribute_type", F.col("tag"))
-    if _add(_nodes(personas, version), root, "personas", "nodes", report):
-        with_vec = nodes.unionByName(_nodes(personas, version)).withColumn("vec", T.hash_embedding("content"))
-        links = hierarchy.link_personas(with_vec.where("level = 'persona'"), with_vec.where("level = 'scene'"), KEYS)
-        _add(_edges(links, "contains", version), root, "persona links", "edges", report)
+    personas = written(_nodes(personas, version), "job-personas")
+    with_vec = nodes.unionByName(personas).withColumn("vec", T.hash_embedding("content"))
+    links = hierarchy.link_personas(with_vec.where("level = 'persona'"), with_vec.where("level = 'scene'"), KEYS)
+    stored = graph_store.load(spark, root, "edges").select(*KEYS, "src", "dst")
+    _commit(spark, root, "personas", personas, links.join(stored, [*KEYS, "src", "dst"], "left_anti"), version, report)
+
+
+def _commit(spark: SparkSession, root: str, phase: str, nodes: DataFrame, links: DataFrame, version: int, report: Report | None) -> None:
+    """New nodes and their links together."""
+    if nodes.isEmpty():
+        _done(phase, 0, report)
+        return
+    with graph_store.Commit(spark, root, phase) as c:
+        n = c.add(nodes, "nodes")
+        c.add(_edges(links, "contains", version), "edges")
+    _done(phase, n, report)
 
 
 def refine(spark: SparkSession, root: str, version: int = 2, backend: str | None = None, report: Report | None = None, **settings) -> None:
@@ -188,7 +213,12 @@ def refine(spark: SparkSession, root: str, version: int = 2, backend: str | None
         additions = replied.select(*KEYS, "node_id", F.when(wanted, F.get_json_object(body, "$.addition")).alias("addition"))
     fresh = hierarchy.refine(scenes, additions, KEYS)
     rows = scenes.drop("content", "refined").join(fresh, [*KEYS, "node_id"]).withColumn("version", F.col("version") + 1)
-    _add(_nodes(rows.drop("version"), version).withColumn("refined", F.lit(True)), root, "refined scenes", "nodes", report)
+    rows = written(_nodes(rows.drop("version"), version).withColumn("refined", F.lit(True)), "job-refined")
+    n = 0
+    if not rows.isEmpty():
+        with graph_store.Commit(spark, root, "refined scenes") as c:
+            n = c.add(rows, "nodes")
+    _done("refined scenes", n, report)
 
 
 # -- answers ---------------------------------------------------------------------------------------------------------
@@ -206,8 +236,8 @@ def rewritten(questions: DataFrame, backend: str | None, **settings) -> DataFram
     return replied.withColumn("text", F.coalesce(answering.keywords_of("reply"), "question")).drop("prompt", "reply")
 
 
-def related(queries: DataFrame, nodes: DataFrame, edges: DataFrame, strategy: str = "graph_traversal", k: int = 5, levels: tuple[int, ...] | None = None) -> DataFrame:
-    """keys, query_id, node_id, rank of a strategy; queries (keys, query_id, text)."""
+def related(queries: DataFrame, nodes: DataFrame, edges: DataFrame, strategy: str = "graph_traversal", k: Column | int = 5, levels: tuple[int, ...] | None = None) -> DataFrame:
+    """keys, query_id, node_id, rank of a strategy; queries (keys, query_id, text). k may be a column of queries."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {STRATEGIES}")
     queries, docs = queries.withColumn("vec", T.hash_embedding("text")), _indexed(nodes)
@@ -239,18 +269,25 @@ def offline_answer(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return top.select(*KEYS, "query_id", T.first_sentence("content").alias("prediction"))
 
 
-def answer(spark: SparkSession, root: str, questions: DataFrame, out: str, strategy: str = "graph_traversal", k: int = 5, backend: str | None = None, rewrite: bool = False, filter_context: bool = False, report: Report | None = None, **settings) -> int:
-    """Answer and score questions (sample_id, qa_idx, question, category, reference) that the log `out` doesn't have yet,
-    and append their records. Returns how many there were."""
+def allowed(questions: DataFrame, categories: tuple[int, ...] = CATEGORIES) -> DataFrame:
+    """Questions of these categories, numbered anew from 1 in each sample."""
+    w = Window.partitionBy(*KEYS).orderBy("qa_idx")
+    return questions.where(F.col("category").cast("int").isin(*categories)).withColumn("qa_idx", F.row_number().over(w))
+
+
+def answer(spark: SparkSession, root: str, questions: DataFrame, out: str, strategy: str = "graph_traversal", k: int | None = None, backend: str | None = None, rewrite: bool = False, filter_context: bool = False, categories: tuple[int, ...] = CATEGORIES, levels: tuple[int, ...] | None = None, report: Report | None = None, **settings) -> int:
+    """Answer and score questions (sample_id, qa_idx, question, category, reference) of these categories that the log `out`
+    doesn't have yet, and append their records. k: memories a question is answered from; without it, by its category.
+    Returns how many there were."""
     done = answered(spark, out)
-    todo = written(stats.unanswered(questions, done, KEYS), "job-questions")
+    todo = written(stats.unanswered(allowed(questions, categories), done, KEYS), "job-questions")
     n = todo.count()
     if not n:
         _done("answers", 0, report)
         return 0
     nodes, edges = written(graph_store.load(spark, root, "nodes"), "job-nodes"), written(graph_store.load(spark, root, "edges"), "job-edges")
     queries = rewritten(todo.withColumn("query_id", F.col("qa_idx")), backend if rewrite else None, **settings)
-    found = written(related(queries, nodes, edges, strategy, k), "job-found")
+    found = written(related(queries, nodes, edges, strategy, T.category_k("category") if k is None else k, levels), "job-found")
     lists = found.groupBy(*KEYS, "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("retrieved_nodes"))
     if backend is None:
         replied = queries.join(offline_answer(found, nodes), [*KEYS, "query_id"], "left")
@@ -288,7 +325,7 @@ def run_summary(answers: DataFrame, model: str, errors: int = 0, at: Column | No
     return counts.crossJoin(agg).select(F.lit(model).alias("model"), "questions_processed_in_this_run", F.lit(errors).alias("error_num_in_this_run"), "category_distribution_in_this_run", "aggregate_metrics_for_this_run", end.alias("run_end_time"))
 
 
-def run(spark: SparkSession, turns: DataFrame, questions: DataFrame, root: str, out: str, strategy: str = "graph_traversal", backend: str | None = None, model: str = "offline", ratio: float = 1.0, refinement: bool = True, rewrite: bool = False, report: Report | None = None, **settings) -> DataFrame:
+def run(spark: SparkSession, turns: DataFrame, questions: DataFrame, root: str, out: str, strategy: str = "graph_traversal", backend: str | None = None, model: str = "offline", ratio: float = 1.0, refinement: bool = True, rewrite: bool = False, k: int | None = None, levels: tuple[int, ...] | None = None, report: Report | None = None, **settings) -> DataFrame:
     """Everything, from turns to the summary of this run's answers, which is appended to the log and returned."""
     if backend not in (None, "echo"):
         settings = {"model": model} | settings
@@ -299,7 +336,7 @@ def run(spark: SparkSession, turns: DataFrame, questions: DataFrame, root: str,
     if refinement:
         refine(spark, root, backend=backend, report=report, **settings)
     before = written(answered(spark, out).select("sample_id", "question_id_in_sample"), "job-before")
-    answer(spark, root, questions, out, strategy, backend=backend, rewrite=rewrite, report=report, **settings)
+    answer(spark, root, questions, out, strategy, k, backend, rewrite, levels=levels, report=report, **settings)
     mine = answered(spark, out).join(before, ["sample_id", "question_id_in_sample"], "left_anti")
     summary = written(run_summary(mine, model), "job-summary")
     results.append(summary, out, "run_summary")

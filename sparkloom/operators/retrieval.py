@@ -85,7 +85,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys, "x.node_id").agg(F.collect_set(F.struct(F.col("x.other").alias("node_id"), F.col("x.seq").alias("node_seq"))).alias("near"))
 
 
-def graph_traversal(queries: DataFrame, docs: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str], k: int, index: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+def graph_traversal(queries: DataFrame, docs: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str], k: Column | int, index: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """keys, query_id, node_id, rank, seed: hybrid seeds in rank order, then what they expand to in node order.
 
     A node counts once. index, near: bm25.weights() of docs and neighbours() of the graph, if they are written."""

@@ -14,13 +14,19 @@ from . import retrieval_queries as R
 from .registry import ORACLE_SQL, query
 
 K = M.KEYS
-_PREFIX = ORACLE_SQL["prefix_bm25"].replace("WITH ", "", 1).rsplit("\nSELECT ", 1)
-_NEAR = f"""{_PREFIX[0]},
-pb AS (SELECT {_PREFIX[1].replace('round(coalesce(s, 0.0), 6)', 'coalesce(s, 0.0)')}),
-dv AS (SELECT sample_id, node_seq, node_id, {M.sql_vec(M.sql_doc('content', 'context', 'keywords', 'tags'))} AS vec FROM facts),
-other AS (SELECT * FROM pb WHERE q_seq <> n_seq),
-scaled AS (SELECT *, CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 0.0 END AS sparse FROM other WINDOW w AS (PARTITION BY sample_id, q_seq)),
-cosed AS (SELECT s.sample_id, a.node_id, b.node_id AS other, n_seq, sparse, round({M.sql_cosine('a.vec', 'b.vec')}, 9) AS c FROM scaled s JOIN dv a ON a.sample_id = s.sample_id AND a.node_seq = q_seq JOIN dv b ON b.sample_id = s.sample_id AND b.node_seq = n_seq),
+# from the survey: what is asked is the content, a fact is its own candidate, the floor is the mean idf of the prefix's terms
+_NEAR = f"""{M.FACTS},
+dv AS (SELECT sample_id, node_seq, node_id, content, {M.sql_vec('content')} AS qv, {M.sql_vec(M.sql_doc('content', 'context', 'keywords', 'tags'))} AS vec, {M.sql_tokens(M.sql_doc('content', 'context', 'keywords', 'tags'))} AS w FROM facts),
+post AS (SELECT sample_id, node_seq, len(w) AS dl, unnest(w) AS term FROM dv),
+tf AS (SELECT sample_id, node_seq, dl, term, count(*) AS tf FROM post GROUP BY ALL),
+stat AS (SELECT a.sample_id, a.node_seq AS q_seq, count(*) AS n, avg(len(b.w)) AS avgdl FROM dv a JOIN dv b ON a.sample_id = b.sample_id AND b.node_seq <= a.node_seq GROUP BY ALL),
+raw AS (SELECT s.sample_id, q_seq, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r, any_value(avgdl) AS avgdl FROM stat s JOIN tf ON tf.sample_id = s.sample_id AND node_seq <= q_seq GROUP BY ALL),
+low AS (SELECT sample_id, q_seq, 0.25 * avg(r) AS floor FROM raw GROUP BY ALL),
+asked AS (SELECT sample_id, node_seq AS q_seq, term, count(*) AS qtf FROM (SELECT sample_id, node_seq, unnest({M.sql_tokens('content')}) AS term FROM dv) GROUP BY ALL),
+hit AS (SELECT sample_id, q_seq, node_seq AS n_seq, sum(qtf * (CASE WHEN r < 0 THEN floor ELSE r END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM asked JOIN raw USING (sample_id, q_seq, term) JOIN low USING (sample_id, q_seq) JOIN tf USING (sample_id, term) WHERE tf.node_seq <= q_seq GROUP BY ALL),
+pb AS (SELECT a.sample_id, a.node_id, b.node_id AS other, a.node_seq AS q_seq, b.node_seq AS n_seq, a.qv, b.vec, coalesce(s, 0.0) AS bm25 FROM dv a JOIN dv b ON a.sample_id = b.sample_id AND b.node_seq <= a.node_seq LEFT JOIN hit ON hit.sample_id = a.sample_id AND q_seq = a.node_seq AND n_seq = b.node_seq),
+scaled AS (SELECT *, CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 0.0 END AS sparse FROM pb WINDOW w AS (PARTITION BY sample_id, q_seq)),
+cosed AS (SELECT sample_id, node_id, other, n_seq, sparse, round({M.sql_cosine('qv', 'vec')}, 9) AS c FROM scaled),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, node_id ORDER BY round(0.5 * (c + 1) / 2 + 0.5 * sparse, 9) DESC, n_seq DESC) AS rank FROM cosed) WHERE rank <= 5)"""
 
 
@@ -29,7 +35,7 @@ def job_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return job.prefix_neighbours(M.facts(spark, d)).select("sample_id", "node_id", "other", "rank")
 
 
-@query("job_evolution", f"WITH {_NEAR} SELECT DISTINCT sample_id, src, dst FROM (SELECT sample_id, node_id AS src, other AS dst FROM near WHERE c >= 0.8 UNION ALL SELECT sample_id, other, node_id FROM near WHERE c >= 0.8)")
+@query("job_evolution", f"WITH {_NEAR} SELECT DISTINCT sample_id, src, dst FROM (SELECT sample_id, node_id AS src, other AS dst FROM near WHERE c >= 0.8 UNION ALL SELECT sample_id, other, node_id FROM near WHERE c >= 0.8) WHERE src <> dst")
 def job_evolution(spark: SparkSession, d: str) -> DataFrame:
     return job.offline_links(job.prefix_neighbours(M.facts(spark, d)))
 

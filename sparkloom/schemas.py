@@ -11,6 +11,8 @@ NODES = "sample_id string, node_id string, node_seq long, level string, content
 EDGES = "sample_id string, src string, dst string, edge_seq long, type string, weight double, version long"
 DOCS = "sample_id string, doc_seq long, node_id string, text string, version long"
 EMBEDDINGS = "sample_id string, node_id string, vec array<float>"
+#: Facts that have met those before them.
+EVOLVED = "sample_id string, node_id string"
 
 #: Key, Python type, annotator's reply.
 ANNOTATION = "struct<keywords:array<string>,context:string,tags:array<string>>"

@@ -33,19 +33,48 @@ def documents(nodes: DataFrame) -> DataFrame:
     return nodes.select("sample_id", F.col("node_seq").alias("doc_seq"), "node_id", index_document("content", "context", "keywords", "tags").alias("text"), "version")
 
 
-def write_batch(batch: DataFrame, root: str, batch_id: int) -> None:
-    """One micro-batch: nodes, their documents, their vectors. Writing it twice changes nothing that is read."""
+def vectors(docs: DataFrame) -> DataFrame:
+    return docs.select("sample_id", "node_id", hash_embedding("text").cast("array<float>").alias("vec"))
+
+
+def write_batch(batch: DataFrame, root: str, batch_id: int, key: str = "") -> int:
+    """One batch of turns as one commit: nodes, their documents, their vectors. A batch whose key is committed is left out,
+    any other that comes twice replaces its own rows. Returns how many facts were written."""
+    spark = batch.sparkSession
+    if key and graph_store.committed(spark, root, "facts", key):
+        return 0
     nodes = facts(batch, batch_id)
     docs = documents(nodes)
-    graph_store.append(nodes, root, "nodes")
-    graph_store.append(docs, root, "docs")
-    graph_store.append(docs.withColumn("vec", hash_embedding("text").cast("array<float>")), root, "embeddings")
+    with graph_store.Commit(spark, root, "facts", key) as c:
+        n = c.add(nodes, "nodes")
+        c.add(docs, "docs")
+        c.add(vectors(docs), "embeddings")
+    return n
+
+
+def rebuild_index(spark: SparkSession, root: str) -> int:
+    """Documents and vectors of facts that have none (their files are lost, or the graph came without an index)."""
+    nodes = graph_store.load(spark, root, "nodes").where("level = 'fact'")
+    whole = graph_store.load(spark, root, "docs").join(graph_store.load(spark, root, "embeddings"), ["sample_id", "node_id"], "left_semi")
+    docs = documents(nodes).join(whole.select("sample_id", "node_id"), ["sample_id", "node_id"], "left_anti")
+    if docs.isEmpty():
+        return 0
+    with graph_store.Commit(spark, root, "index") as c:
+        n = c.add(docs, "docs")
+        c.add(vectors(docs), "embeddings")
+    return n
 
 
 def ingest(spark: SparkSession, source: str, schema: str, root: str, max_files: int = 10) -> StreamingQuery:
     """Everything new in a folder of Parquet turns; start it again to go on where it stopped."""
     turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    return turns.writeStream.foreachBatch(lambda df, i: write_batch(df, root, i)).option("checkpointLocation", f"{root}/_progress").trigger(availableNow=True).start()
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        # the stream's own id, which its checkpoint keeps: another stream counts its batches from 0 as well
+        stream = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_batch(df, root, batch_id, f"{stream}:{batch_id}" if stream else "")
+
+    return turns.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_progress").trigger(availableNow=True).start()
 
 
 def event_counts(events: DataFrame, span: str = "1 day", late: str = "1 hour") -> DataFrame:
