@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import metrics
 from sparkloom.operators import job, retrieval, stats
+from sparkloom.streaming import evolution
 
 from . import data_queries as D
 from . import model as M
@@ -40,6 +41,12 @@ def job_evolution(spark: SparkSession, d: str) -> DataFrame:
     return job.offline_links(job.prefix_neighbours(M.facts(spark, d)))
 
 
+@query("stream_evolution", ORACLE_SQL["job_evolution"])
+def stream_evolution(spark: SparkSession, d: str) -> DataFrame:
+    """The links that the stream's state gives, over the whole table as one batch."""
+    return evolution.links(evolution.evolving(M.turns(spark, d), job.NEIGHBOURS))
+
+
 _BEST = f"{M.GRAPH}, {M.QUERIES}, {M.HYBRID}, best AS (SELECT sample_id, query_id, regexp_extract(content, '^([^.]*)', 1) AS prediction FROM ranked JOIN nodes USING (sample_id, node_id) WHERE rank = 1)"
 
 

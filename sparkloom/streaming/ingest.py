@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sparkloom import schemas
 from sparkloom.functions.text import hash_embedding, index_document, utterance
 from sparkloom.operators.providers import annotate
 from sparkloom.sources import graph_store
 
 
+#: Columns of facts() in order.
+NODE_FIELDS = tuple(x.strip().split(" ")[0] for x in schemas.NODES.replace("map<string,string>", "map").split(","))
+
+
 def node_id(sample: Column | str, level: str, key: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", sample, F.lit(level), F.col(key).cast("string") if isinstance(key, str) else key), 256)
 
