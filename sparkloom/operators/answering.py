@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import metrics, text as T
-from sparkloom.operators import providers
+from sparkloom.functions.vector import cosine
+from sparkloom.operators import embedder, providers
 
 _ASK = {
     "choice": "Choose one of the options the question names and reply with it alone.",
@@ -66,6 +67,14 @@ def answers(questions: DataFrame, backend: str, **settings) -> DataFrame:
     return replied.withColumn("prediction", T.unwrap_answer(T.answer_clean(T.answer_pick("reply"))))
 
 
-def evaluated(predictions: DataFrame, key: list[str]) -> DataFrame:
-    """key and the twelve metrics of predictions(prediction, reference)."""
-    return metrics.metric_record(predictions, key)
+def evaluated(predictions: DataFrame, key: list[str], model: DataFrame | None = None) -> DataFrame:
+    """key and the twelve metrics of predictions(prediction, reference). With a model of token vectors (embedder.fit), those
+    two that compare meanings are by its vectors."""
+    record = metrics.metric_record(predictions, key)
+    if model is None:
+        return record
+    bert = embedder.bert_scores(predictions, key, model).select(*key, F.col("bert_f1").alias("bert_"))
+    a, b = (embedder.encode(predictions, key, c, model).withColumnRenamed("vec", c) for c in ("prediction", "reference"))
+    alike = a.join(b, key).select(*key, cosine("prediction", "reference").alias("alike_"))
+    both = record.join(bert, key).join(alike, key)
+    return both.withColumns({"bert_f1": F.col("bert_"), "sbert_similarity": F.col("alike_")}).select(record.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom import schemas
 from sparkloom.functions import text as T
 from sparkloom.functions.vector import cosine
-from sparkloom.operators import answering, bm25, graph, hierarchy, providers, retrieval, stats
+from sparkloom.operators import answering, bm25, embedder, graph, hierarchy, providers, retrieval, stats
 from sparkloom.session import written
 from sparkloom.sources import graph_store, results
 from sparkloom.streaming import ingest
@@ -295,7 +295,8 @@ def answer(spark: SparkSession, root: str, questions: DataFrame, out: str, strat
         asked = queries.join(retrieval.context_text(found, nodes, KEYS), [*KEYS, "query_id"], "left").withColumn("context", F.coalesce("context", F.lit("")))
         replied = answering.answers(filtered_context(asked, backend, **settings) if filter_context else asked, backend, **settings)
     predicted = written(replied.select(*KEYS, "query_id", "question", "category", "reference", F.coalesce("prediction", F.lit("")).alias("prediction")).join(lists, [*KEYS, "query_id"], "left"), "job-predictions")
-    scored = answering.evaluated(predicted, [*KEYS, "query_id"])
+    model = written(embedder.fit(nodes, "content"), "job-vectors")
+    scored = answering.evaluated(predicted, [*KEYS, "query_id"], model)
     names = [c for c in scored.columns if c not in (*KEYS, "query_id")]
     metric_map = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))])
     rows = predicted.join(scored.select(*KEYS, "query_id", metric_map.alias("metrics")), [*KEYS, "query_id"])

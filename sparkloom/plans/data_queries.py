@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import metrics, text as T
-from sparkloom.operators import graph, hierarchy, stats
+from sparkloom.functions.vector import cosine
+from sparkloom.operators import embedder, graph, hierarchy, stats
 from sparkloom.sources import dataset, results
 
 from . import model as M
@@ -240,11 +241,66 @@ def rouge_l(spark: SparkSession, d: str) -> DataFrame:
 _BERT = "(SELECT CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END FROM (SELECT CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / len(a) ELSE 0.0 END AS p, CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda x: list_contains(a, x)))::DOUBLE / len(b) ELSE 0.0 END AS r))"
 
 
-@query("bert_score", f"WITH {M.PAIRS}, lt AS (SELECT conv_id, turn, {M.sql_tokens('lower(prediction)')} AS a, {M.sql_tokens('lower(reference)')} AS b FROM pairs) SELECT conv_id, turn, round({_BERT}, 6) AS bert_f1 FROM lt")
-def bert_score(spark: SparkSession, d: str) -> DataFrame:
+@query("bert_score_tokens", f"WITH {M.PAIRS}, lt AS (SELECT conv_id, turn, {M.sql_tokens('lower(prediction)')} AS a, {M.sql_tokens('lower(reference)')} AS b FROM pairs) SELECT conv_id, turn, round({_BERT}, 6) AS bert_f1 FROM lt")
+def bert_score_tokens(spark: SparkSession, d: str) -> DataFrame:
     return M.pairs(spark, d).select("conv_id", "turn", r6(metrics.bert_scores("prediction", "reference")[2]).alias("bert_f1"))
 
 
+_TOKENS = M.sql_tokens("lower(coalesce(text, ''))")
+_MET = f"""toks AS (SELECT {_TOKENS} AS t FROM conversations),
+near AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS x FROM toks UNION ALL SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: {{'a': t[i], 'b': t[i + 2]}})) FROM toks),
+met AS (SELECT term, other, count(*) AS n FROM (SELECT x.a AS term, x.b AS other FROM near UNION ALL SELECT x.b, x.a FROM near) GROUP BY ALL)"""
+_MODEL = f"""{_MET},
+total AS (SELECT term, sum(n) AS t FROM met GROUP BY term),
+ppmi AS (SELECT met.term, other, md5(other) AS h, ln(n::DOUBLE * (SELECT sum(t) FROM total) / (a.t::DOUBLE * b.t)) AS w FROM met JOIN total a ON a.term = met.term JOIN total b ON b.term = other),
+entry AS (SELECT term, ('0x' || substr(h, 2 * m + 1, 2))::INT % 64 AS d, w * (CASE WHEN substr(h, 9 + m, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM ppmi, range(4) r(m) WHERE w > 0),
+comp AS (SELECT term, d, sum(v) AS v FROM entry GROUP BY ALL),
+long AS (SELECT term, sqrt(sum(v * v)) AS l FROM comp GROUP BY term),
+model AS (SELECT term, list_transform(range(64), lambda d: coalesce(m[d::INT], 0.0::DOUBLE) / l) AS vec FROM (SELECT term, map_from_entries(list((d, v))) AS m FROM comp GROUP BY term) JOIN long USING (term) WHERE l > 1e-9)"""
+_BERT_VEC = f"""{_MODEL},
+pt AS (SELECT conv_id, turn, term, count(*) AS n FROM (SELECT conv_id, turn, unnest({M.sql_tokens('lower(prediction)')}) AS term FROM pairs) GROUP BY ALL),
+rt AS (SELECT conv_id, turn, term, count(*) AS n FROM (SELECT conv_id, turn, unnest({M.sql_tokens('lower(reference)')}) AS term FROM pairs) GROUP BY ALL),
+sim AS (SELECT p.conv_id, p.turn, p.term AS a, r.term AS b, p.n AS pn, r.n AS rn, CASE WHEN p.term = r.term THEN 1.0 ELSE coalesce(list_dot_product(mp.vec, mr.vec), 0.0) END AS c FROM pt p JOIN rt r USING (conv_id, turn) LEFT JOIN model mp ON mp.term = p.term LEFT JOIN model mr ON mr.term = r.term),
+pb AS (SELECT conv_id, turn, sum(n * c) / sum(n) AS p FROM (SELECT conv_id, turn, a, any_value(pn) AS n, CASE WHEN count(*) FILTER (a = b) > 0 THEN 1.0 ELSE max(c) END AS c FROM sim GROUP BY ALL) GROUP BY ALL),
+rb AS (SELECT conv_id, turn, sum(n * c) / sum(n) AS r FROM (SELECT conv_id, turn, b, any_value(rn) AS n, CASE WHEN count(*) FILTER (a = b) > 0 THEN 1.0 ELSE max(c) END AS c FROM sim GROUP BY ALL) GROUP BY ALL),
+bs AS (SELECT pairs.conv_id, pairs.turn, round(coalesce(p, 0.0), 6) AS bert_precision, round(coalesce(r, 0.0), 6) AS bert_recall, round(coalesce(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) END, 0.0), 6) AS bert_f1 FROM pairs LEFT JOIN pb USING (conv_id, turn) LEFT JOIN rb USING (conv_id, turn))"""
+
+
+def token_model(spark: SparkSession, d: str) -> DataFrame:
+    """Token vectors of all turns, written once a session."""
+    return M.stored(spark, d, "token-model", lambda: embedder.fit(M.table(spark, d, "conversations"), "text"))
+
+
+@query("token_cooccurrence", f"WITH {_MET} SELECT term, other, n FROM met")
+def token_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    return embedder.cooccurrences(M.table(spark, d, "conversations"), "text")
+
+
+@query("token_vectors", f"WITH {_MODEL} SELECT term, round(vec[1], 6) AS v0, round(vec[22], 6) AS v21, round(vec[64], 6) AS v63 FROM model")
+def token_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("vec")
+    return token_model(spark, d).select("term", *[r6(v[i]).alias(f"v{i}") for i in (0, 21, 63)])
+
+
+@query("bert_score", f"WITH {M.PAIRS}, {_BERT_VEC} SELECT conv_id, turn, bert_precision, bert_recall, bert_f1 FROM bs")
+def bert_score(spark: SparkSession, d: str) -> DataFrame:
+    """By the trained token vectors; bert_score_tokens takes equal tokens alone."""
+    got = embedder.bert_scores(M.pairs(spark, d), ["conv_id", "turn"], token_model(spark, d))
+    return got.select("conv_id", "turn", *[r6(F.col(c)).alias(c) for c in ("bert_precision", "bert_recall", "bert_f1")])
+
+
+def _sql_encoded(side: str) -> str:
+    return f"(SELECT conv_id, turn, list(s ORDER BY i) AS vec FROM (SELECT conv_id, turn, i, sum(v) AS s FROM (SELECT conv_id, turn, unnest(range(64)) AS i, unnest(vec) AS v FROM (SELECT conv_id, turn, unnest({M.sql_tokens(f'lower({side})')}) AS term FROM pairs) JOIN model USING (term)) GROUP BY ALL) GROUP BY ALL)"
+
+
+@query("trained_similarity", f"WITH {M.PAIRS}, {_MODEL}, a AS {_sql_encoded('prediction')}, b AS {_sql_encoded('reference')} SELECT conv_id, turn, round(coalesce({M.sql_cosine('a.vec', 'b.vec')}, 0.0), 6) AS similarity FROM pairs LEFT JOIN a USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)")
+def trained_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of two texts as sums of trained token vectors."""
+    pairs, key, model = M.pairs(spark, d), ["conv_id", "turn"], token_model(spark, d)
+    a, b = (embedder.encode(pairs, key, c, model).withColumnRenamed("vec", c) for c in ("prediction", "reference"))
+    return a.join(b, key).select(*key, r6(cosine("prediction", "reference")).alias("similarity"))
+
+
 @query("meteor")
 def meteor(spark: SparkSession, d: str) -> DataFrame:
     return M.pairs(spark, d).select("conv_id", "turn", r6(metrics.meteor("prediction", "reference")).alias("meteor"))

@@ -20,6 +20,14 @@ def turns(spark):
     return spark.createDataFrame([(s, i, f"2024-01-0{i + 1} 09:00:00", "AB"[i % 2], t) for s in "xy" for i, t in enumerate(said)], TURN).coalesce(1)
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """These runs are many small jobs."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def whole(spark, root):
     """All rows of all tables."""
     return {name: sorted(map(str, graph_store.load(spark, root, name).collect())) for name in graph_store.TABLES}
