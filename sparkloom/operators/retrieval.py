@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import context_line
 from sparkloom.functions.vector import cosine, rescaled
+from sparkloom.session import written
 
 from . import bm25
 from .hierarchy import ordered_text
@@ -156,10 +157,13 @@ def level_walk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, keys: lis
     """keys, query_id, node_id, level, stage, rank. At each stage the best of a level among the neighbours of the last.
 
     ["persona", "scene", "fact"] walks down, the reverse walks up. Queries of a sample that has no node of the first
-    level are answered by flat retrieval, at stage 0; of the others, those that find nothing at a later stage end there."""
+    level are answered by flat retrieval, at stage 0; of the others, those that find nothing at a later stage end there.
+    What a stage chose, a few ids a query, and the queries it leads to are written, so no stage plans those before it again."""
     first = nodes.where(F.col("level") == order[0]).select(*keys).distinct()
-    lost = queries.join(first, keys, "left_anti")
-    if "text" in queries.columns and "doc" in nodes.columns:
+    lost = written(queries.join(first, keys, "left_anti"), "walk-lost")
+    if lost.isEmpty():
+        plain = lost.join(nodes.select(*keys, "node_id"), keys).select(*keys, "query_id", "node_id", F.lit(0).alias("rank"))
+    elif "text" in queries.columns and "doc" in nodes.columns:
         plain = flat(lost, nodes, keys, FLAT_K).select(*keys, "query_id", "node_id", "rank")
     else:
         near = dense_scores(lost, nodes, keys, "query_id", "node_id", "node_seq").withColumn("cosine", F.round("cosine", 9))
@@ -168,13 +172,13 @@ def level_walk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, keys: lis
     within = None
     down = order[0] == "persona"
     for stage, (level, k) in enumerate(zip(order, ks), 1):
-        best = _level_top(queries, nodes, keys, level, k, within)
+        best = written(_level_top(queries, nodes, keys, level, k, within).select(*keys, "query_id", "node_id", "rank"), "walk-stage")
         rows = best.select(*keys, "query_id", "node_id", F.lit(level).alias("level"), F.lit(stage).alias("stage"), "rank")
         out = out.unionByName(rows)
         if stage < len(order):
             links = edges.where("type = 'contains'").select(*keys, F.col("src" if down else "dst").alias("node_id"), F.col("dst" if down else "src").alias("next"))
             within = best.select(*keys, "query_id", "node_id").join(links, [*keys, "node_id"]).select(*keys, "query_id", F.col("next").alias("node_id")).distinct()
-            queries = _enriched(queries, best, nodes, keys)
+            queries = written(_enriched(queries, best, nodes, keys), "walk-queries")
     return out
 
 

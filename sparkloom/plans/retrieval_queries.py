@@ -274,3 +274,10 @@ def reindex(spark: SparkSession, d: str) -> DataFrame:
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
     e = M.table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("vec"))
     return retrieval.block_search(e, ["label"], "vec_id", 5).select(F.col("query").alias("query_id"), "vec_id", r6("score").alias("score"), "rank")
+
+
+@query("index_build", f"WITH {M.GRAPH}, {M.QUERIES}, {M.sql_bm25()} SELECT sample_id, term, node_id, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS w FROM idf JOIN tf USING (sample_id, term)")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The index that the retrieval queries read as written, built anew from the turns."""
+    nodes, _ = M.build(spark, d)
+    return bm25.weights(nodes, K, "node_id", "doc").select("sample_id", "term", "node_id", r6("w").alias("w"))
