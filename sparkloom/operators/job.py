@@ -313,6 +313,7 @@ def answered(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(schemas.RESULT[7:-1].replace(":", " ")).json(f"{out}/type=qa_result")
 
 
+# The field names of the records `metadata`, `qa_result` and `run_summary` below, which readers of a log know.
 def run_summary(answers: DataFrame, model: str, errors: int = 0, at: Column | None = None) -> DataFrame:
     """One record: model, questions, errors, questions by category, mean of every metric overall and by category, end time."""
     rows = answers.select("category", F.explode("metrics").alias("metric", "value"))

@@ -35,12 +35,20 @@ def communities(fact_rows: DataFrame) -> DataFrame:
     return fact_rows.select("sample_id", "node_id", F.floor(F.col("node_seq") / 3).cast("long").alias("community"))
 
 
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_tables: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """Tells one state of the turns' files from another: when they were last changed, and how long they are."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/conversations.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{fs.getFileStatus(path).getModificationTime()}-{fs.getContentSummary(path).getLength()}"
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table of the graph or its index: written once a session into the shared folder, read by every query."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table of the graph or its index: written once a session into the shared folder, read by every query; written anew
+    if the turns' files have changed since."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
     if key not in _tables:
         _tables[key] = written(make(), f"graph-{name}")
     return _tables[key]

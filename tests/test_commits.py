@@ -137,3 +137,13 @@ def test_answers_by_category(spark, tmp_path):
     assert job.answer(spark, root, asked, str(tmp_path / "other"), "graph_traversal", k=2, categories=(2,)) == 1
     (row,) = job.answered(spark, str(tmp_path / "other")).collect()
     assert len(row["retrieved_nodes"]) == 2
+
+
+def test_stored_tables_follow_their_input(spark, tmp_path):
+    from sparkloom.plans import model
+
+    def put(texts, mode):
+        spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.mode(mode).parquet(f"{tmp_path}/conversations.parquet")
+        return model.stored(spark, str(tmp_path), "turns", lambda: model.turns(spark, str(tmp_path))).count()
+
+    assert put(["a"], "overwrite") == 1 and put(["b", "c"], "append") == 3
