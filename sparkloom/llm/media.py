@@ -5,7 +5,8 @@ give a magnitude spectrum; a frame's peaks are its strongest local maxima. Each
 of its own and of the following frames; a pair is one long: frame << 32 | bin << 18 | other bin << 4 | frames apart.
 
 Null or empty bytes are a payload of padding only. Equal bytes give equal values; rows are independent, ties among
-peaks go to the lower bin.
+peaks go to the lower bin. Texts of any length are stored and read whole, one at a time. Rows that repeat a doc_id each give
+their row; an empty table gives an empty one; further columns, also of the result's names, are ignored.
 """
 
 from __future__ import annotations
