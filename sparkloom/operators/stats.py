@@ -17,13 +17,38 @@ def long_form(df: DataFrame, key: list[str], metrics: list[str]) -> DataFrame:
     return df.select(*key, F.explode(pairs).alias("x")).select(*key, "x.metric", "x.value").where("value is not null")
 
 
+#: Cells that a group's values are first counted by.
+CELLS = 1024
+_NONE = "\0"  # stands for a null category where groups are joined
+
+
+def medians(values: DataFrame, by: list[str]) -> DataFrame:
+    """by, median of (by.., value): by selection in two passes, so no task sorts or holds a whole group. Values are counted by
+    cell between a group's least and greatest, which tells the cells that hold the middle ones; the different values of these
+    cells alone are then counted in order. The columns of `by` aren't null."""
+    span = values.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"))
+    place = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
+    placed = values.join(F.broadcast(span), by).withColumn("cell", place)  # a row a metric and category
+    upto = Window.partitionBy(*by).orderBy("cell")
+    cells = placed.groupBy(*by, "n", "cell").agg(F.count("*").alias("c")).withColumn("to", F.sum("c").over(upto))  # CELLS rows a group at most
+    # the middle places, the same one twice if there is an odd number
+    first, second = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    middle = cells.withColumn("before", F.col("to") - F.col("c")).where((first <= F.col("to")) & (second > F.col("before")))
+    inside = placed.join(F.broadcast(middle.select(*by, "cell", "before")), [*by, "cell"]).groupBy(*by, "n", "cell", "before", "value").agg(F.count("*").alias("c"))
+    run = F.col("before") + F.sum("c").over(Window.partitionBy(*by, "cell").orderBy("value"))
+    ranked = inside.withColumn("to", run)
+    has = lambda at: (at <= F.col("to")) & (at > F.col("to") - F.col("c"))
+    return ranked.groupBy(*by).agg(((F.max(F.when(has(first), F.col("value"))) + F.max(F.when(has(second), F.col("value")))) / 2).alias("median"))
+
+
 def aggregate_metrics(values: DataFrame) -> DataFrame:
-    """(category, metric, value) -> statistics a metric, overall (category null) and by category, from one pass."""
-    return values.sparkSession.sql("""
-        SELECT CASE WHEN grouping(category) = 1 THEN 'overall' ELSE cast(category AS string) END AS scope, metric,
-               avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std, median(value) AS median,
-               min(value) AS min, max(value) AS max, count(value) AS n
-        FROM {values} GROUP BY GROUPING SETS ((metric), (metric, category))""", values=values)
+    """(category, metric, value) -> statistics a metric, overall and by category (null: a scope of its own)."""
+    scopes = F.array(F.lit("overall"), F.coalesce(F.col("category").cast("string"), F.lit(_NONE)))
+    rows = values.select(F.explode(scopes).alias("scope"), "metric", F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
+    # sums and counts are combined in the mappers
+    flat = rows.groupBy("scope", "metric").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("n"))
+    both = flat.join(medians(rows, ["scope", "metric"]), ["scope", "metric"])
+    return both.select(F.when(F.col("scope") != _NONE, F.col("scope")).alias("scope"), "metric", "mean", "std", "median", "min", "max", "n")
 
 
 def share(df: DataFrame, by: str) -> DataFrame:
