@@ -170,6 +170,112 @@ def test_pages_alone(html, text):
     assert htmltext.main_text(html, "", set()) == text
 
 
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ('<article class="post search-engine"><p>x</p></article>', "x"), ('<div class="social-policy-essay"><p>x</p></div>', "x"), ('<div class="notice-of-motion">x</div>', "x"),
+        ('<div class="share-prices-report">x</div>', "x"), ('<h2 id="share">H</h2><p>x</p>', "H\n\nx"), ('<p>x</p><div class="advert no-print">BUY NOW</div>', "x"),
+        ('<p>x</p><section id="reviews"><p>so good</p></section>', "x"), ('<p>x</p><ul class="discussion"><li>me too</li></ul>', "x"), ("<section id=discussion><h2>D</h2><p>x</p></section>", "D\n\nx"),
+        ("<figure><img src=a><figcaption>a cap</figcaption></figure><p>x</p>", "a cap\n\nx"), ("<p>so <math><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></math> it is</p>", "so a=b2 it is"),
+    ],
+)
+def test_names_that_mislead(inner, text):
+    assert htmltext.main_text(f"<body><nav>n</nav><main>{inner}</main></body>") == text
+
+
+def slow_template(pages):
+    """Classes by whole occurrence vectors and whole orders, on a list of pages: once-a-page elements and words kept."""
+    orders = [htmltext.blocks(p)[1] for p in pages]
+    tokens = sorted({t for o in orders for t in o if t[0] >= 0})
+    vector = {t: tuple(o.count(t) for o in orders) for t in tokens}
+    found = {}
+    for t in tokens:
+        if 2 * sum(n > 0 for n in vector[t]) >= len(pages):
+            found.setdefault(vector[t], []).append(t)
+    large = sorted((v, c) for v, c in found.items() if sum(t[0] for t in c) >= 2 and set(v) <= {0, 1})
+    large.sort(key=lambda x: (-sum(x[0]), -sum(1 + t[0] for t in x[1]) + 0, min(t[1].split("\0")[0] for t in x[1])))
+    root = {t[1] for t in large[0][1]}
+    kept = set()
+    for v, members in large:
+        names = {t[1] for t in members}
+        rows = [[t for t in o if t[1] in names] for o, n in zip(orders, v) if n]
+        gaps = [[sum(x[1] in root for x in o[: o.index(t)]) for t in members] for o, n in zip(orders, v) if n]
+        same = {rows[0][k] for k in range(len(rows[0])) if len({r[k] for r in rows}) == 1}
+        good = [t for k, t in enumerate(members) if t in same and (not t[0] or (-1, t[1]) in same) and (names == root or len({g[k] for g in gaps}) == 1)]
+        kept |= set(good) if sum(t[0] for t in good) >= 2 else set()
+    return kept
+
+
+def fast_template(pages):
+    """The members that the operator's passes keep, without Spark."""
+    counts, found = {}, []
+    for k, p in enumerate(pages):
+        for t in (order := htmltext.blocks(p)[1]):
+            if t[0] >= 0:
+                counts.setdefault(t, {})[k] = order.count(t)
+    for (kind, t), per in counts.items():
+        if 2 * len(per) >= len(pages):
+            parts = [htmltext._hash(f"{k} {n}") for k, n in per.items()]
+            found.append({"kind": "element" if kind else "text", "token": htmltext._hash(t), "name": (kind, t), "path": t.split("\0")[0], "pages": len(per), "n": sum(per.values()), "v1": sum(x & 0x7FFFFFFF for x in parts), "v2": sum(x >> 32 for x in parts)})
+    groups = htmltext.classes(found)
+    class_of = {t["token"]: k for k, c in enumerate(groups) for t in c}
+    sizes = [sum(2 if t["kind"] == "element" else 1 for t in c) for c in groups]
+    sums = {}
+    for p in pages:
+        for token, row in htmltext.places(p, class_of, sizes).items():
+            sums[token] = [f(x, y) for f, x, y in zip(htmltext._FOLD, sums[token], row)] if token in sums else row
+    tested = [dict(t, **dict(zip(("b0", "b1", "e0", "e1", "g0", "g1", "chars", "total", "linked"), sums[t["token"]]))) for t in found if t["token"] in sums]
+    kept = [[t for t in c if t["b0"] == t["b1"] and t["e0"] == t["e1"] and t["g0"] == t["g1"]] for c in htmltext.classes(tested)]
+    return {t["name"] for c in kept if sum(t["kind"] == "element" for t in c) >= 2 for t in c if t["n"] == t["pages"]}, htmltext.template(tested)
+
+
+def site(seed, moved=False):
+    """Pages of one host: a menu, a heading, an article box, some with a box of links; `moved`: one page has its parts elsewhere."""
+    pages = []
+    for k in range(20):
+        top = f"<div class=q1><i>Site</i><div class=q2><a href=/>Home page of us</a></div></div><h1>Title {seed} {k}</h1>"
+        links = f"<div class=q5><div class=q6><a href=/{k}>another story {k}</a></div></div>" if k % 4 else ""
+        box = f"<div class=q3>{''.join(f'<p>{prose(20)}</p>' for _ in range(2 + k % 3))}{links}<div class=q7><span>Tell your friends</span></div></div>"
+        tail = f"<div class=q8><p>Also read {prose(3)}</p></div><div class=q4>Made by us</div>"
+        pages.append(f"<html><body>{tail + top + box if moved and k == 7 else top + box + tail}</body></html>")
+    return pages
+
+
+@pytest.mark.parametrize("seed, moved", [(1, False), (2, True), (3, False)])
+def test_template_is_that_of_whole_vectors_and_orders(seed, moved):
+    pages = site(seed, moved)
+    kept, made = fast_template(pages)
+    assert kept == slow_template(pages)
+    names = {t[1].split("/")[-1] for t in kept if t[0]}
+    assert {"html", "body"} <= names and ("div.q3#" in names) != moved
+    if not moved:
+        assert made[0] == ["/html/body/div.q3#", "/html/body/h1"] and any(p.endswith("q5#") for p in made[2])
+        for k, p in enumerate(pages):
+            got = htmltext.main_text(p, made[0], set(made[1]), made[2]).split("\n\n")
+            assert got[0] == f"Title {seed} {k}" and len(got) == 3 + k % 3 and not any("friends" in x or "story" in x for x in got)
+
+
+def test_without_vectors_there_is_no_template(spark):
+    df = spark.createDataFrame([(k, "http://h/", p) for k, p in enumerate(site(4))], "page_id long, url string, html string").withColumn("host", htmltext.host_of("url"))
+    assert [r["slots"] for r in htmltext.templates(df)[0].collect()] == [["/html/body/div.q3#", "/html/body/h1"]]
+    one = [{"kind": "element", "token": k, "path": f"/html/{k}", "pages": 20, "n": 20, "v1": 7, "v2": 7} for k in range(9)]
+    assert len(htmltext.classes(one)) == 1 and htmltext.classes([dict(t, v1=t["token"]) for t in one]) == []
+
+
+def test_records_with_words_of_their_own_go(spark):
+    rows = [(k, "http://h/", f"<body><div class=m><h1>T{k}</h1><p>{prose(60)}</p><p>{prose(50)}</p>" + f"<ul class=z>{''.join(f'<li><b class=u>me</b><div class=w>{prose(6)}</div><div class=v>Answer</div></li>' for _ in range(2 + k % 4))}</ul></div></body>") for k in range(9)]
+    for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert len(r["text"].split("\n\n")) == 3 and "Answer" not in r["text"]
+
+
+def test_long_deep_and_repeated_pages(spark):
+    long = "<p>word word</p>" * 50_000
+    deep = "<div>" * 3000 + "low" + "</div>" * 3000
+    rows = [(1, "http://h/", long), (1, "http://h/", long), (2, "http://g/", deep), (3, "\u0130.example", "<p>x")]
+    got = sorted((r["page_id"], r["n_chars"]) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, 50_000 * 11 - 2)] * 2 + [(2, 3), (3, 1)]
+
+
 def test_extract_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (2, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract(df).collect()) == [(1, "", 0), (1, "", 0), (2, "x", 1)]
