@@ -1,4 +1,4 @@
-"""Answer metrics: exact match, set-based token F1, ROUGE, BLEU, METEOR's exact-match module."""
+"""Answer metrics: exact match, set-based token F1, ROUGE, BLEU, METEOR by equal words and stems."""
 
 from __future__ import annotations
 
@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stems import rouge_tokens, stems
 from .text import _c, hash_embedding, index_tokens, metric_tokens, strip
 from .vector import cosine
 
 #: Weights of BLEU-1 to BLEU-4, and what smoothing puts for a precision of zero.
 BLEU_WEIGHTS = ((1.0, 0.0, 0.0, 0.0), (0.5, 0.5, 0.0, 0.0), (0.33, 0.33, 0.33, 0.0), (0.25, 0.25, 0.25, 0.25))
 EPSILON = 0.1
+#: White space of any kind, as a pattern.
+SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
 
 
 def exact_match(prediction: Column | str, reference: Column | str) -> Column:
@@ -36,11 +39,15 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_overlap(pairs: DataFrame, key: list[str], most: int) -> DataFrame:
+def _plain_tokens(x: Column | str) -> Column:
+    return index_tokens(F.lower(_c(x)))
+
+
+def ngram_overlap(pairs: DataFrame, key: list[str], most: int, tokens_of=_plain_tokens) -> DataFrame:
     """For each pair and n = 1..most: clipped common n-grams, n-grams of the prediction and of the reference.
 
     Long form: n-grams are counted with map-side combination, so texts of any length are one shuffle by key."""
-    tokens = pairs.select(*key, index_tokens(F.lower("prediction")).alias("p"), index_tokens(F.lower("reference")).alias("r"))
+    tokens = pairs.select(*key, tokens_of("prediction").alias("p"), tokens_of("reference").alias("r"))
     sides = [F.struct(F.lit(n).alias("n"), F.lit(s).alias("side"), ngrams(F.col(s), n).alias("grams")) for n in range(1, most + 1) for s in ("p", "r")]
     grams = tokens.select(*key, F.explode(F.array(*sides)).alias("x")).select(*key, "x.n", "x.side", F.explode_outer("x.grams").alias("gram"))
     one = lambda s: F.sum(((F.col("side") == s) & F.col("gram").isNotNull()).cast("long"))
@@ -48,9 +55,9 @@ def ngram_overlap(pairs: DataFrame, key: list[str], most: int) -> DataFrame:
     return counts.groupBy(*key, "n").agg(F.sum(F.least("p", "r")).alias("both"), F.sum("p").alias("in_prediction"), F.sum("r").alias("in_reference"))
 
 
-def rouge_n(pairs: DataFrame, key: list[str], most: int = 2) -> DataFrame:
-    """ROUGE-n F-measures without stemming: key, n, f."""
-    return ngram_overlap(pairs, key, most).select(*key, "n", _f1(F.col("both"), F.col("in_prediction"), F.col("in_reference")).alias("f"))
+def rouge_n(pairs: DataFrame, key: list[str], most: int = 2, stem: bool = False) -> DataFrame:
+    """ROUGE-n F-measures: key, n, f. stem: words of over three letters count by their stem."""
+    return ngram_overlap(pairs, key, most, rouge_tokens if stem else _plain_tokens).select(*key, "n", _f1(F.col("both"), F.col("in_prediction"), F.col("in_reference")).alias("f"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -72,9 +79,9 @@ def lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([_lcs(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b)], dtype="int32")
 
 
-def rouge_l(prediction: Column | str, reference: Column | str) -> Column:
-    """Over whole texts, unstemmed."""
-    a, b = index_tokens(F.lower(_c(prediction))), index_tokens(F.lower(_c(reference)))
+def rouge_l(prediction: Column | str, reference: Column | str, stem: bool = False) -> Column:
+    """Over whole texts. stem: as in rouge_n."""
+    a, b = (rouge_tokens if stem else _plain_tokens)(prediction), (rouge_tokens if stem else _plain_tokens)(reference)
     return _f1(lcs_length(a, b), F.size(a), F.size(b))
 
 
@@ -93,24 +100,45 @@ def bleu(pairs: DataFrame, key: list[str]) -> DataFrame:
     return wide.select(*key, *out)
 
 
-def meteor_exact(prediction: list[str], reference: list[str]) -> float:
-    """METEOR with exact matches alone (stems and synonyms need data that isn't here)."""
+def _last_matches(p: dict[int, str], r: dict[int, str]) -> list[tuple[int, int]]:
+    """Places of equal entries, the last ones first; both lose what is matched."""
     free: dict[str, list[int]] = {}
-    for j, token in enumerate(reference):
-        free.setdefault(token, []).append(j)
-    match = [(i, free[prediction[i]].pop()) for i in range(len(prediction) - 1, -1, -1) if free.get(prediction[i])]
+    for j in sorted(r):
+        free.setdefault(r[j], []).append(j)
+    out = [(i, free[p[i]].pop()) for i in sorted(p, reverse=True) if free.get(p[i])]
+    for i, j in out:
+        del p[i], r[j]
+    return out
+
+
+def meteor_score(prediction: list[str], reference: list[str], prediction_stems: list[str], reference_stems: list[str]) -> float:
+    """METEOR by equal words, then by equal stems of what is left (synonyms need data that isn't here)."""
+    p, r = dict(enumerate(prediction)), dict(enumerate(reference))
+    match = _last_matches(p, r)
+    match += _last_matches({i: prediction_stems[i] for i in p}, {j: reference_stems[j] for j in r})
     if not match:
         return 0.0
     match.sort()
-    p, r = len(match) / len(prediction), len(match) / len(reference)
+    precision, recall = len(match) / len(prediction), len(match) / len(reference)
     chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(match, match[1:]))
-    return p * r / (0.9 * p + 0.1 * r) * (1 - 0.5 * (chunks / len(match)) ** 3)
+    return precision * recall / (0.9 * precision + 0.1 * recall) * (1 - 0.5 * (chunks / len(match)) ** 3)
+
+
+def meteor_exact(prediction: list[str], reference: list[str]) -> float:
+    """By equal words alone."""
+    return meteor_score(prediction, reference, prediction, reference)
 
 
 @F.pandas_udf(T.DoubleType())
-def meteor(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for p, r in rows:
-        yield pd.Series([meteor_exact((a or "").lower().split(), (b or "").lower().split()) for a, b in zip(p, r)])
+def _meteor(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for columns in batches:
+        yield pd.Series([meteor_score(*map(list, row)) for row in zip(*columns)], dtype="float64")
+
+
+def meteor(prediction: Column | str, reference: Column | str) -> Column:
+    """Words lie between white space; null is empty."""
+    p, r = (F.filter(F.split(F.lower(F.coalesce(_c(x), F.lit(""))), SPACE), lambda t: t != "") for x in (prediction, reference))
+    return _meteor(p, r, stems(p), stems(r))
 
 
 def greedy_token_match(prediction: Column, reference: Column, similarity) -> Column:
@@ -133,16 +161,16 @@ def bert_scores(prediction: Column | str, reference: Column | str) -> tuple[Colu
 RECORD = ("exact_match", "f1", "rouge1_f", "rouge2_f", "rougeL_f", "bleu1", "bleu2", "bleu3", "bleu4", "bert_f1", "meteor", "sbert_similarity")
 
 
-def metric_record(pairs: DataFrame, key: list[str]) -> DataFrame:
+def metric_record(pairs: DataFrame, key: list[str], stem: bool = True) -> DataFrame:
     """key and RECORD's twelve metrics; null or empty texts give zeros. Where a model is meant (bert_f1, sbert_similarity)
-    the offline embedders stand in for it."""
+    the offline embedders stand in for it. stem: ROUGE by stems."""
     empty = (F.coalesce("prediction", F.lit("")) == "") | (F.coalesce("reference", F.lit("")) == "")
     base = pairs.select(*key, "prediction", "reference", empty.alias("empty"))
-    rouge = rouge_n(base, key).groupBy(*key).agg(F.max(F.when(F.col("n") == 1, F.col("f"))).alias("rouge1_f"), F.max(F.when(F.col("n") == 2, F.col("f"))).alias("rouge2_f"))
+    rouge = rouge_n(base, key, stem=stem).groupBy(*key).agg(F.max(F.when(F.col("n") == 1, F.col("f"))).alias("rouge1_f"), F.max(F.when(F.col("n") == 2, F.col("f"))).alias("rouge2_f"))
     out = base.join(rouge, key).join(bleu(base, key), key)
     p, r = F.coalesce("prediction", F.lit("")), F.coalesce("reference", F.lit(""))
     values = {
-        "exact_match": exact_match(p, r).cast("double"), "f1": token_f1(p, r), "rougeL_f": rouge_l(p, r),
+        "exact_match": exact_match(p, r).cast("double"), "f1": token_f1(p, r), "rougeL_f": rouge_l(p, r, stem=stem),
         "bert_f1": bert_scores(p, r)[2], "meteor": meteor(p, r), "sbert_similarity": cosine(hash_embedding(p), hash_embedding(r)),
     }
     return out.select(*key, *[F.when(F.col("empty"), F.lit(0.0)).otherwise(values.get(c, F.col(c) if c in out.columns else None)).alias(c) for c in RECORD])

@@ -301,18 +301,13 @@ def trained_similarity(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, key).select(*key, r6(cosine("prediction", "reference")).alias("similarity"))
 
 
-@query("meteor")
-def meteor(spark: SparkSession, d: str) -> DataFrame:
-    return M.pairs(spark, d).select("conv_id", "turn", r6(metrics.meteor("prediction", "reference")).alias("meteor"))
-
-
 _RECORD = f"""rec AS (SELECT conv_id, turn, category, (lower({M.sql_strip('prediction')}) = lower({M.sql_strip('reference')}))::DOUBLE AS exact_match, {_F1_VALUE} AS f1 FROM ({_F1}))"""
 
 
 @query("metric_record", f"WITH RECURSIVE {M.PAIRS}, {_GRAMS}, {_RECORD}, {_LCS}, rg AS (SELECT conv_id, turn, max({_sql_f1('b', 'p', 'r')}) FILTER (n = 1) AS r1, max({_sql_f1('b', 'p', 'r')}) FILTER (n = 2) AS r2 FROM ov GROUP BY ALL), bl AS (SELECT conv_id, turn, {_BLEU} FROM ({_WIDE})), rl AS (SELECT conv_id, turn, round({_sql_f1('l', 'p', 'r')}, 6) AS rougeL_f FROM lcs), bs AS (SELECT conv_id, turn, round({_BERT}, 6) AS bert_f1 FROM lt), sv AS (SELECT conv_id, turn, {M.sql_vec('prediction')} AS a, {M.sql_vec('reference')} AS b FROM pairs), ss AS (SELECT conv_id, turn, round({M.sql_cosine('a', 'b')}, 6) AS sbert_similarity FROM sv) SELECT conv_id, turn, exact_match, round(f1, 6) AS f1, round(rg.r1, 6) AS rouge1_f, round(rg.r2, 6) AS rouge2_f, rougeL_f, bleu1, bleu2, bleu3, bleu4, bert_f1, sbert_similarity FROM rec JOIN rg USING (conv_id, turn) JOIN bl USING (conv_id, turn) JOIN rl USING (conv_id, turn) JOIN bs USING (conv_id, turn) JOIN ss USING (conv_id, turn)")
 def metric_record(spark: SparkSession, d: str) -> DataFrame:
-    """The record without METEOR, which the query `meteor` gives."""
-    out = metrics.metric_record(M.pairs(spark, d), ["conv_id", "turn"]).drop("meteor")
+    """The record without stems and METEOR, which `rouge_n_stemmed`, `rouge_l_stemmed` and `meteor` give."""
+    out = metrics.metric_record(M.pairs(spark, d), ["conv_id", "turn"], stem=False).drop("meteor")
     return out.select("conv_id", "turn", *[r6(c).alias(c) for c in out.columns[2:]])
 
 

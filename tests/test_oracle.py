@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from sparkloom.plans import data_queries, job_queries, registry, retrieval_queries  # noqa: F401
+from sparkloom.plans import answer_queries, data_queries, job_queries, registry, retrieval_queries  # noqa: F401
 
 
 def _norm(v):
