@@ -174,6 +174,18 @@ def index_tokens(spark: SparkSession, d: str) -> DataFrame:
     return M.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.index_tokens("text"), " ").alias("tokens"))
 
 
+def _sql_treebank(x: str) -> str:
+    for pattern, new in T.TREEBANK:
+        quoted = [v.replace("'", "''") for v in (pattern, new.replace("$", "\\"))]
+        x = f"regexp_replace({x}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return f"list_filter(regexp_split_to_array({x}, '[ \\t\\n\\f\\r]+'), lambda t: t <> '')"
+
+
+@query("treebank_tokens", f"SELECT conv_id, turn, array_to_string({_sql_treebank('text')}, ' ') AS tokens FROM conversations")
+def treebank_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return M.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.treebank_tokens("text"), " ").alias("tokens"))
+
+
 @query("distinct_tokens", f"SELECT conv_id, turn, len(list_distinct({_MT('text')}))::INT AS n FROM conversations")
 def distinct_tokens(spark: SparkSession, d: str) -> DataFrame:
     return M.table(spark, d, "conversations").select("conv_id", "turn", F.size(F.array_distinct(T.metric_tokens("text"))).alias("n"))
