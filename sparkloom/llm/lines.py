@@ -72,12 +72,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text", 1 << 21):
         raw, off = utf8(b.column("text"))
         text, _, _, first, last, line, leaf, words = line_table(raw, off)
-        short = (words >> np.uint64(13)).astype(np.uint16).tobytes()
+        short = (words >> np.uint64(33)).astype(np.uint32).tobytes()  # 31 bits: -1 marks a variable place
         full = np.flatnonzero(last > first)
         _, once = np.unique(np.stack([text[full], line[full].view(np.int64)]), axis=1, return_index=True)
         at = full[once]
         cols = [leaf[at].view(np.int64), line[at].view(np.int64), b.column("doc_id").to_numpy()[text[at]]]
-        tokens = pa.array([short[2 * s : 2 * e] for s, e in zip(first[at].tolist(), last[at].tolist())], pa.binary())
+        tokens = pa.array([short[4 * s : 4 * e] for s, e in zip(first[at].tolist(), last[at].tolist())], pa.binary())
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), tokens], schema=_LINE)
 
 
@@ -145,7 +145,7 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for _, held in groups(batches, "part", rows):
         held.sort(key=lambda r: (-r[1], r[0]))
-        of, patterns = clustered([np.frombuffer(r[2], np.uint16) for r in held])
+        of, patterns = clustered([np.frombuffer(r[2], np.uint32) for r in held])
         leaf, n, pattern = ([None] * len(held) for _ in range(3))
         if held[0][4]:
             leaf = [r[3] for r in held]
