@@ -17,6 +17,7 @@ from sparkloom import schemas
 from sparkloom.functions import text as T
 from sparkloom.functions.vector import cosine
 from sparkloom.operators import answering, bm25, embedder, graph, hierarchy, providers, retrieval, stats
+from sparkloom.operators.communities import semi_synchronous
 from sparkloom.session import written
 from sparkloom.sources import graph_store, results
 from sparkloom.streaming import ingest
@@ -144,16 +145,16 @@ def offline_profiles(scenes: DataFrame) -> DataFrame:
     return text.select(*KEYS, *[(F.array_join(T.top_terms("text", 5), ", ") if d == "interests" else none).alias(d) for d in hierarchy.DIMENSIONS])
 
 
-def communities(facts: DataFrame, related: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(facts: DataFrame, related: DataFrame, rounds: int | None = None) -> DataFrame:
     """keys, node_id, community: by label propagation; where that fails, runs of ten facts in order."""
     try:
-        return written(graph.label_propagation(facts, related, KEYS, rounds, settle=True).withColumnRenamed("label", "community"), "job-communities")
+        return written(semi_synchronous(facts, related, KEYS, rounds).withColumnRenamed("label", "community"), "job-communities")
     except PySparkException as e:
         log.warning("clustering failed, facts are taken in order: %s", e)
         return written(graph.chunk_communities(facts, KEYS), "job-communities")
 
 
-def build(spark: SparkSession, root: str, version: int = 1, rounds: int = 10, backend: str | None = None, report: Report | None = None, **settings) -> None:
+def build(spark: SparkSession, root: str, version: int = 1, rounds: int | None = None, backend: str | None = None, report: Report | None = None, **settings) -> None:
     """Scenes of communities that have none yet, personas of samples that have none yet, and the links between them."""
     nodes, edges = graph_store.load(spark, root, "nodes"), graph_store.load(spark, root, "edges")
     facts = nodes.where("level = 'fact'")

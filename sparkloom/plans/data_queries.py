@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import metrics, text as T
 from sparkloom.functions.vector import cosine
-from sparkloom.operators import embedder, graph, hierarchy, stats
+from sparkloom.operators import communities, embedder, graph, hierarchy, stats
 from sparkloom.sources import dataset, results
 
 from . import model as M
@@ -481,6 +481,44 @@ def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return graph.label_propagation(n.where("level = 'fact'"), e.where("type = 'persona_related'"), K, 2)
 
 
+_LINKS = """pairs_ AS (SELECT DISTINCT sample_id, least(src, dst) AS a, greatest(src, dst) AS b FROM picked WHERE src <> dst),
+nb AS (SELECT sample_id, a AS node_id, b AS other FROM pairs_ UNION ALL SELECT sample_id, b, a FROM pairs_),
+ord AS (SELECT s.*, row_number() OVER (PARTITION BY sample_id ORDER BY (SELECT count(*) FROM nb WHERE nb.sample_id = s.sample_id AND nb.node_id = s.node_id) DESC, node_seq, node_id) AS p FROM seats s),
+before AS MATERIALIZED (SELECT a.sample_id, a.node_id, a.p, coalesce(list(b.p) FILTER (b.p < a.p), []) AS ps FROM ord a LEFT JOIN nb ON nb.sample_id = a.sample_id AND nb.node_id = a.node_id LEFT JOIN ord b ON b.sample_id = nb.sample_id AND b.node_id = nb.other GROUP BY ALL),
+walk AS (SELECT DISTINCT sample_id, 0::BIGINT AS p, []::BIGINT[] AS cs FROM seats
+  UNION ALL SELECT sample_id, p, list_append(cs, list_min(list_filter(range(0, len(used) + 1), lambda c: NOT list_contains(used, c)))) FROM (SELECT w.sample_id, b.p, w.cs, list_transform(b.ps, lambda x: w.cs[x]) AS used FROM walk w JOIN before b ON b.sample_id = w.sample_id AND b.p = w.p + 1)),
+coloured AS MATERIALIZED (SELECT b.sample_id, b.node_id, w.cs[b.p]::INT AS colour FROM before b JOIN walk w USING (sample_id, p))"""
+#: a node a step, by colour; the labels of a sample are one list
+_SETTLED = """pos AS MATERIALIZED (SELECT s.sample_id, s.node_id, row_number() OVER (PARTITION BY s.sample_id ORDER BY node_seq, node_id) AS k, row_number() OVER (PARTITION BY s.sample_id ORDER BY colour, node_seq, node_id) AS p FROM seats s JOIN coloured USING (sample_id, node_id)),
+around AS MATERIALIZED (SELECT a.sample_id, a.p, list(b.p) FILTER (b.p IS NOT NULL) AS ns FROM pos a LEFT JOIN nb ON nb.sample_id = a.sample_id AND nb.node_id = a.node_id LEFT JOIN pos b ON b.sample_id = nb.sample_id AND b.node_id = nb.other GROUP BY ALL),
+lpa AS (SELECT sample_id, 0::BIGINT AS t, list(k ORDER BY p) AS ls FROM pos GROUP BY sample_id
+  UNION ALL SELECT sample_id, t + 1, ls[:p - 1] || [CASE WHEN list_contains(high, ls[p]) THEN ls[p] ELSE coalesce(list_max(high), ls[p]) END] || ls[p + 1:] FROM (SELECT *, list_filter(vs, lambda x: len(list_filter(vs, lambda y: y = x)) = list_max(list_transform(vs, lambda z: len(list_filter(vs, lambda y: y = z))))) AS high
+    FROM (SELECT l.*, a.p, coalesce(list_transform(a.ns, lambda x: l.ls[x]), []) AS vs FROM lpa l JOIN around a ON a.sample_id = l.sample_id AND a.p = l.t % len(l.ls) + 1 WHERE l.t < 10 * len(l.ls)))),
+settled AS (SELECT sample_id, ls FROM lpa WHERE t = 10 * len(ls))"""
+
+
+@query("colour_classes", f"WITH RECURSIVE {M.GRAPH}, seats AS MATERIALIZED (SELECT sample_id, node_id, node_seq FROM nodes), picked AS (SELECT * FROM edges), {_LINKS} SELECT * FROM coloured")
+def colour_classes(spark: SparkSession, d: str) -> DataFrame:
+    return communities.colour_classes(*M.graph(spark, d), K)
+
+
+def _sql_settled(nodes: str, edges: str) -> str:
+    return f"""WITH RECURSIVE {M.GRAPH}, seats AS MATERIALIZED (SELECT sample_id, node_id, node_seq FROM {nodes}), picked AS (SELECT * FROM edges WHERE {edges}), {_LINKS}, {_SETTLED}
+SELECT a.sample_id, a.node_id, b.node_id AS label FROM settled s JOIN pos a USING (sample_id) JOIN pos b ON b.sample_id = a.sample_id AND b.k = s.ls[a.p]"""
+
+
+@query("fact_communities", _sql_settled("facts", "type = 'persona_related'"))
+def fact_communities(spark: SparkSession, d: str) -> DataFrame:
+    n, e = M.graph(spark, d)
+    return communities.semi_synchronous(n.where("level = 'fact'"), e.where("type = 'persona_related'"), K, 10)
+
+
+@query("graph_communities", _sql_settled("nodes", "true"))
+def graph_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Over all levels: hubs and several colours."""
+    return communities.semi_synchronous(*M.graph(spark, d), K, 10)
+
+
 @query("chunk_communities", f"WITH {M.FACTS} SELECT sample_id, node_id, ((row_number() OVER (PARTITION BY sample_id ORDER BY node_seq) - 1) // 3)::BIGINT AS community FROM facts")
 def chunk_communities(spark: SparkSession, d: str) -> DataFrame:
     return graph.chunk_communities(M.facts(spark, d), K, 3)

@@ -120,7 +120,7 @@ def test_clustering_that_fails(spark, turns, monkeypatch):
     def broken(*_, **__):
         raise PySparkValueError("CANNOT_BE_NONE", {"arg_name": "x"})
 
-    monkeypatch.setattr(job.graph, "label_propagation", broken)
+    monkeypatch.setattr(job, "semi_synchronous", broken)
     got = job.communities(facts, facts.select("sample_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst")))
     assert {r["community"] for r in got.collect()} == {0} and got.count() == 10
 
