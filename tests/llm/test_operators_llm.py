@@ -9,6 +9,7 @@ import wave
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -122,6 +123,26 @@ def test_ann_ties_among_different_vectors(spark):
     assert [x["vec_id"] for x in ann.nearest(same, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_ann_routes_among_many_parts(spark):
+    """20,000 vectors about 400 centres make 16 parts: a query that isn't sent to all of them still finds its neighbours."""
+    r = np.random.default_rng(4)
+    vectors = r.normal(size=(400, 16))[r.integers(0, 400, 20_000)] + 0.3 * r.normal(size=(20_000, 16))
+    assert ann.parts_for(len(vectors)) == 16
+    index = ann.Index(vectors[:4096], 5, 16)
+    assert index.parts == 16 and index.probes < 16
+    assert len(np.unique(index.router.order(ann._unit(vectors), 1))) == 16
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": vectors.tolist()}))
+    got = {}
+    for x in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(400), np.arange(400) * 50] = -2
+    want = {50 * i: set(top.tolist()) for i, top in enumerate(np.argsort(-near, axis=1)[:, :5])}
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------------
 
 
