@@ -1,6 +1,11 @@
 """A training corpus from raw documents: language, recurring lines, near duplicates, repeated passages, packing.
 
 Every stage takes all that its predecessor kept, as written to Parquet and read again.
+
+Null and empty texts: `language` drops them, since they have no letter; the other stages keep them, and `pack` gives each
+a piece of its end id alone. Very long texts are read whole everywhere. Repeated rows and copies are near duplicates; ties go
+to the smallest doc_id, and what rows that repeat a doc_id give is stated in each operator's module. Empty tables give no row.
+All stages but the last return the columns they were given, further ones included.
 """
 
 from __future__ import annotations
