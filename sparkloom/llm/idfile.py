@@ -125,7 +125,7 @@ class _Model:
         """Start and size of the ids' share of the total."""
         self.hit2, self.hit1 = ids == self.two.guess, ids == self.one.guess
         lo, hi = self.edge[ids] * self.rest >> self.bits, self.edge[ids + 1] * self.rest >> self.bits
-        first = self.hit1 & ~self.hit2
+        first = self.hit1 & ~self.hit2 & (self.f1 > 0)  # a share of nothing can't be coded: order 0 has the id as well
         start = np.where(self.hit2, 0, np.where(first, self.f2, self.base + lo))
         return start, np.where(self.hit2, self.f2, np.where(first, self.f1, hi - lo))
 
