@@ -79,17 +79,21 @@ def suffix_array(text: np.ndarray, depth: int = WIN) -> np.ndarray:
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cap: int = WIN) -> np.ndarray:
     """For each place in sa, the common prefix with the suffix before it, `cap` at most. Kasai's method: going on by
-    one position loses one byte of the prefix at most; the regions at `starts` go side by side."""
+    one position loses one byte of the prefix at most, if the two suffixes that go on keep their order. sa may leave open
+    how suffixes equal in `cap` bytes stand; where they change places it is counted anew. The regions at `starts` go side by side."""
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
+    place = np.full(n + 1, -1, np.int64)
+    place[sa] = np.arange(n)
     out = np.zeros(n, np.int64)
-    lane = np.zeros(len(starts), np.int64)
+    lane, last = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
     for t in range(int(lengths.max(initial=0))):
         live = np.flatnonzero(lengths > t)
         pos, run = starts[live] + t, np.maximum(lane[live] - 1, 0)
         other = before[pos]
-        run[other < 0] = 0
+        run[(other < 0) | (place[last[live] + 1] > place[pos])] = 0
+        last[live] = other
         todo = np.flatnonzero((other >= 0) & (run < cap))
         while len(todo):
             a, b = pos[todo] + run[todo], other[todo] + run[todo]

@@ -4,6 +4,7 @@ import hashlib
 import io
 import itertools
 import math
+import os
 import random
 import wave
 import zlib
@@ -666,6 +667,25 @@ def test_characters_cut_apart_go_whole():
     assert suffix.whole_characters(data, np.array([], np.int64), np.array([], np.int64)) == "aéüb"
 
 
+def test_prefixes_where_equal_strings_go_on_in_another_order():
+    text = np.frombuffer(b"abcdefghijklmnopzabcdefghijklmnopa", np.uint8)
+    sa = suffix.suffix_array(text, 16)
+    lcp = suffix.common_prefixes(text, sa, np.array([0]), np.array([len(text)]), 16)
+    raw = text.tobytes()
+    assert lcp.tolist()[1:] == [min(16, len(os.path.commonprefix([raw[a:], raw[b:]]))) for a, b in zip(sa, sa[1:])]
+
+
+def test_a_piece_takes_repeats_alone():
+    r = np.random.default_rng(7)
+    for _ in range(20):
+        made = [b"they begin alike ab" + bytes(r.integers(97, 99, 98).astype(np.uint8)) for _ in range(6)]
+        k = np.concatenate([np.arange(6), np.arange(6), r.integers(0, 6, 6)])
+        r.shuffle(k)
+        # a region's rows are one start each, read more than once: nothing repeats
+        piece = suffix.Piece(k, np.zeros(len(k), np.int64), [made[i] for i in k])
+        assert sum(len(g[0]) for g in piece.gone) == 0
+
+
 def test_repeated_rows_have_the_same_result_each(spark, docs, monkeypatch):
     some = docs.where("length(text) < 2000").cache()
     for digest in (suffix.dedup_digest, neardup.near_duplicates, lines.dedup_digest):
