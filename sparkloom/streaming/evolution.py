@@ -1,8 +1,7 @@
 """Evolution inside the stream: every turn meets those before it, as it comes.
 
-A sample's index is the state of its key: lengths and vectors of its documents, a posting list a term, and how many terms have
-each document frequency. A turn is indexed, asks with its content, and leaves with its best neighbours; what a micro-batch
-brought becomes one commit of facts, documents, vectors, links and marks, so a reader never sees a fact without its links.
+A sample's index is the state of its key: its documents' vectors and term counts, a list that grows by what a batch brings. A
+turn is indexed, asks with its content, and leaves with its best neighbours; what a micro-batch brought becomes one commit of facts, documents, vectors, links and marks, so a reader never sees a fact without its links.
 
 A turn that comes again is left out. One that comes late, after turns that follow it in its sample, is indexed then: it meets
 what is stored up to its own place, and those that came before it aren't asked again. In order, the stream gives what
@@ -10,6 +9,7 @@ operators.job.ingest_turns gives for the whole. State grows with a sample's turn
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,66 +33,74 @@ OUT = f"{schemas.NODES}, {NEAR}"
 
 
 class Index(StatefulProcessor):
-    """A sample's turns: rows of facts with doc_toks, toks, vec and doc_vec go in, facts with their neighbours come out."""
+    """A sample's turns: rows of facts with doc_words, words, vec and doc_vec go in, facts with their neighbours come out.
+
+    The state of a key is the list of its indexed documents: one read and one append a batch. Postings and frequencies of
+    frequencies follow from it."""
 
     def __init__(self, k: int):
         self.k = k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.docs = handle.getMapState("docs", "seq long", "node_id string, dl int, vec array<double>")
-        self.postings = handle.getMapState("postings", "term string", "seqs array<long>, tfs array<int>")
-        self.frequencies = handle.getValueState("frequencies", "terms array<long>")  # terms by document frequency, from 0
+        self.docs = handle.getListState("docs", "seq long, node_id string, vec array<double>, words string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        held = sorted((k[0], v[0], v[1], v[2]) for k, v in self.docs.iterator())
-        seqs, ids, lengths, vectors = [h[0] for h in held], [h[1] for h in held], [h[2] for h in held], [h[3] for h in held]
-        known, posts, changed = set(seqs), {}, set()
-        stored = self.frequencies.get()
-        terms = list(stored[0]) if stored else [0]
+        index = _Postings()
+        for doc in self.docs.get():
+            index.add(*doc)
+        fresh = []
         for r in sorted(rows, key=lambda r: r["node_seq"]):
-            seq = r["node_seq"]
-            if seq in known:
+            if r["node_seq"] in index.known:
                 continue
-            known.add(seq)
-            counts: dict[str, int] = {}
-            for t in r["doc_toks"]:
-                counts[t] = counts.get(t, 0) + 1
-            for t, tf in counts.items():
-                if t not in posts:
-                    old = self.postings.getValue((t,))
-                    posts[t] = (list(old[0]), list(old[1])) if old else ([], [])
-                df = len(posts[t][0])
-                posts[t][0].append(seq)
-                posts[t][1].append(tf)
-                changed.add(t)
-                if df:
-                    terms[df] -= 1
-                terms.extend([0] * (df + 2 - len(terms)))
-                terms[df + 1] += 1
-            self.docs.updateValue((seq,), (r["node_id"], len(r["doc_toks"]), list(r["doc_vec"])))
-            seqs.append(seq)
-            ids.append(r["node_id"])
-            lengths.append(len(r["doc_toks"]))
-            vectors.append(list(r["doc_vec"]))
-            near = self._nearest(r, np.array(seqs), ids, np.array(lengths), np.array(vectors), posts, np.array(terms))
-            yield Row(**{f: r[f] for f in ingest.NODE_FIELDS}, near=near)
-        for t in changed:
-            self.postings.updateValue((t,), (posts[t][0], posts[t][1]))
-        self.frequencies.update((terms,))
-
-    def _nearest(self, r: Row, seqs: np.ndarray, ids: list[str], lengths: np.ndarray, vectors: np.ndarray, posts: dict, terms: np.ndarray) -> list[Row]:
+            fresh.append((r["node_seq"], r["node_id"], list(r["doc_vec"]), r["doc_words"]))
+            index.add(*fresh[-1])
+            yield Row(**{f: r[f] for f in ingest.NODE_FIELDS}, near=index.nearest(r, self.k))
+        if fresh:
+            self.docs.appendList(fresh)
+
+
+class _Postings:
+    """What a sample's documents make: places, lengths and vectors, a posting list a term, how many terms have each frequency."""
+
+    def __init__(self):
+        self.ids: list[str] = []
+        self.known: set[int] = set()
+        self.posts: dict[str, tuple[list[int], list[int]]] = {}
+        self.terms = [0]  # terms by document frequency, from 0
+        self.seqs, self.lengths, self.vectors = np.zeros(16, np.int64), np.zeros(16), None
+
+    def add(self, seq: int, node_id: str, vec: list[float], words: str) -> None:
+        i, toks = len(self.ids), words.split(" ") if words else []
+        if self.vectors is None:
+            self.vectors = np.zeros((16, len(vec)))
+        if i == len(self.seqs):
+            self.seqs, self.lengths, self.vectors = (np.concatenate([x, np.zeros_like(x)]) for x in (self.seqs, self.lengths, self.vectors))
+        self.seqs[i], self.lengths[i], self.vectors[i] = seq, len(toks), vec
+        self.ids.append(node_id)
+        self.known.add(seq)
+        for t, tf in Counter(toks).items():
+            at, often = self.posts.setdefault(t, ([], []))
+            df = len(at)
+            at.append(i)
+            often.append(tf)
+            if df:
+                self.terms[df] -= 1
+            if df + 1 == len(self.terms):
+                self.terms.append(0)
+            self.terms[df + 1] += 1
+
+    def nearest(self, r: Row, k: int) -> list[Row]:
         """The k best documents up to the row's place by the hybrid score."""
-        n, place = len(seqs), {int(s): i for i, s in enumerate(seqs)}
-        d = np.arange(1, len(terms))
+        n, terms = len(self.ids), np.array(self.terms[1:])
+        seqs, lengths, vectors = self.seqs[:n], self.lengths[:n], self.vectors[:n]
         idf = lambda df: np.log(n - df + 0.5) - np.log(df + 0.5)
-        floor = bm25.EPSILON * (terms[1:] * idf(d)).sum() / terms[1:].sum() if terms[1:].sum() else 0.0
+        floor = bm25.EPSILON * (terms * idf(np.arange(1, len(terms) + 1))).sum() / terms.sum() if terms.sum() else 0.0
         norm = bm25.K1 * (1 - bm25.B + bm25.B * lengths / max(lengths.mean(), 1e-300))
-        sparse = np.zeros(n)
-        for t in r["toks"]:
-            at = np.array([place[s] for s in posts[t][0]])
-            tf = np.array(posts[t][1])
-            w = idf(len(at))
-            sparse[at] += (floor if w < 0 else w) * tf * (bm25.K1 + 1) / (tf + norm[at])
+        asked = [self.posts[t] for t in r["words"].split(" ")] if r["words"] else []
+        df = np.array([len(at) for at, _ in asked], np.int64)
+        w = np.repeat(np.where(idf(df) < 0, floor, idf(df)), df)
+        at, tf = np.array([i for a, _ in asked for i in a], np.int64), np.array([c for _, often in asked for c in often], np.int64)
+        sparse = np.bincount(at, w * tf * (bm25.K1 + 1) / (tf + norm[at]), n)
         mine = np.flatnonzero(seqs <= r["node_seq"])
         low, high = sparse[mine].min(), sparse[mine].max()
         scaled = (sparse[mine] - low) / (high - low) if high > low else np.zeros(len(mine))
@@ -100,8 +108,8 @@ class Index(StatefulProcessor):
         length = np.sqrt((vectors[mine] ** 2).sum(1)) * np.sqrt((q**2).sum())
         cosine = np.round(np.divide(vectors[mine] @ q, length, out=np.zeros(len(mine)), where=length > 0), 9)
         score = np.round(retrieval.ALPHA * (cosine + 1) / 2 + (1 - retrieval.ALPHA) * scaled, 9)
-        best = np.lexsort((-seqs[mine], -score))[: self.k]
-        return [Row(other=ids[mine[i]], rank=j + 1, cosine=float(cosine[i])) for j, i in enumerate(best)]
+        best = np.lexsort((-seqs[mine], -score))[:k]
+        return [Row(other=self.ids[mine[i]], rank=j + 1, cosine=float(cosine[i])) for j, i in enumerate(best)]
 
 
 def evolving(turns: DataFrame, k: int) -> DataFrame:
@@ -110,7 +118,7 @@ def evolving(turns: DataFrame, k: int) -> DataFrame:
     spark = turns.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the store that keeps several states a key
     spark.streams.active  # noqa: B018  (starts what coordinates states, which a table's one batch needs as well)
-    rows = ingest.facts(turns).withColumns({"doc": doc}).withColumns({"doc_toks": index_tokens("doc"), "toks": index_tokens("content"), "vec": hash_embedding("content"), "doc_vec": hash_embedding("doc")})
+    rows = ingest.facts(turns).withColumns({"doc": doc}).withColumns({"doc_words": F.array_join(index_tokens("doc"), " "), "words": F.array_join(index_tokens("content"), " "), "vec": hash_embedding("content"), "doc_vec": hash_embedding("doc")})
     return rows.drop("doc").groupBy("sample_id").transformWithState(Index(k), OUT, "append", "none")
 
 

@@ -38,3 +38,21 @@ def test_stream_equals_batch_with_its_links(spark, turns, tmp_path):
     job.ingest_turns(spark, turns, root, report=lambda *x: seen.append(x))
     assert seen == [("facts", 0), ("evolution", 0)]
 
+
+
+def test_a_key_s_batch_is_one_read_and_one_append():
+    """However many words its turns have: every call to the state is a round trip to the executor."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from sparkloom.streaming import ingest
+
+    calls, stored = [], []
+    state = SimpleNamespace(get=lambda: calls.append("get") or iter(list(stored)), appendList=lambda rows: calls.append("append") or stored.extend(rows))
+    index = evolution.Index(2)
+    index.init(SimpleNamespace(getListState=lambda name, schema: state))
+    facts = [Row(**dict.fromkeys(ingest.NODE_FIELDS) | {"node_id": str(i), "node_seq": i}, doc_words=t, words=t, vec=[1.0, i], doc_vec=[1.0, i]) for i, t in enumerate(["a b c d", "", "a a b"])]
+    first, again = list(index.handleInputRows(("x",), iter(facts[:2]), None)), list(index.handleInputRows(("x",), iter(facts), None))
+    assert calls == ["get", "append"] * 2 and [len(r.near) for r in first + again] == [1, 2, 2]
+    assert len(stored) == 3
