@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,25 +35,37 @@ def token_f1(prediction: Column | str, reference: Column | str) -> Column:
     return _f1(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _common(p: list[str], r: list[str], most: int) -> list[int]:
+    """For n = 1..most: clipped common n-grams, n-grams of p and of r."""
+    out = []
+    for n in range(1, most + 1):
+        a, b = (Counter(zip(*(x[i:] for i in range(n)))) for x in (p, r))
+        out += [sum(min(c, b[g]) for g, c in a.items() if g in b), max(len(p) - n + 1, 0), max(len(r) - n + 1, 0)]
+    return out
 
 
 def _plain_tokens(x: Column | str) -> Column:
     return index_tokens(F.lower(_c(x)))
 
 
+def gram_counts(prediction: Column, reference: Column, most: int) -> Column:
+    """_common() of two token arrays, as an array."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([_common(list(x) if x is not None else [], list(y) if y is not None else [], most) for x, y in zip(a, b)], dtype=object)
+
+    return counts(prediction, reference)
+
+
 def ngram_overlap(pairs: DataFrame, key: list[str], most: int, tokens_of=_plain_tokens) -> DataFrame:
     """For each pair and n = 1..most: clipped common n-grams, n-grams of the prediction and of the reference.
 
-    Long form: n-grams are counted with map-side combination, so texts of any length are one shuffle by key."""
-    tokens = pairs.select(*key, tokens_of("prediction").alias("p"), tokens_of("reference").alias("r"))
-    sides = [F.struct(F.lit(n).alias("n"), F.lit(s).alias("side"), ngrams(F.col(s), n).alias("grams")) for n in range(1, most + 1) for s in ("p", "r")]
-    grams = tokens.select(*key, F.explode(F.array(*sides)).alias("x")).select(*key, "x.n", "x.side", F.explode_outer("x.grams").alias("gram"))
-    one = lambda s: F.sum(((F.col("side") == s) & F.col("gram").isNotNull()).cast("long"))
-    counts = grams.groupBy(*key, "n", "gram").agg(one("p").alias("p"), one("r").alias("r"))
-    return counts.groupBy(*key, "n").agg(F.sum(F.least("p", "r")).alias("both"), F.sum("p").alias("in_prediction"), F.sum("r").alias("in_reference"))
+    Both texts stand in one row, so they are counted there: nothing is shuffled, and no n-gram becomes a row."""
+    rows = pairs.select(*key, gram_counts(tokens_of("prediction"), tokens_of("reference"), most).alias("c"))
+    parts = F.array(*[F.struct(F.lit(n).alias("n"), *[F.col("c")[3 * n - 3 + i].alias(c) for i, c in enumerate(("both", "in_prediction", "in_reference"))]) for n in range(1, most + 1)])
+    return rows.select(*key, F.explode(parts).alias("x")).select(*key, "x.*")
 
 
 def rouge_n(pairs: DataFrame, key: list[str], most: int = 2, stem: bool = False) -> DataFrame:
@@ -79,25 +92,31 @@ def lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([_lcs(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b)], dtype="int32")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _lcs_and_sizes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([[_lcs(list(x), list(y)), len(x), len(y)] if x is not None and y is not None else [0, 0, 0] for x, y in zip(a, b)], dtype=object)
+
+
 def rouge_l(prediction: Column | str, reference: Column | str, stem: bool = False) -> Column:
     """Over whole texts. stem: as in rouge_n."""
-    a, b = (rouge_tokens if stem else _plain_tokens)(prediction), (rouge_tokens if stem else _plain_tokens)(reference)
-    return _f1(lcs_length(a, b), F.size(a), F.size(b))
+    c = _lcs_and_sizes(*[(rouge_tokens if stem else _plain_tokens)(x) for x in (prediction, reference)])  # tokens are made once
+    return _f1(c[0], c[1], c[2])
+
+
+def _bleu(c: Column) -> list[Column]:
+    """BLEU-1..4 of gram_counts() up to 4."""
+    both, hyps, hyp, ref = [c[3 * i] for i in range(4)], [c[3 * i + 1] for i in range(4)], c[1], c[2]
+    brevity = F.when(hyp > ref, F.lit(1.0)).when(hyp == 0, F.lit(0.0)).otherwise(F.exp(1 - ref / F.greatest(hyp, F.lit(1))))
+    precision = [F.greatest(b.cast("double"), F.when(b == 0, F.lit(EPSILON)).otherwise(0.0)) / F.greatest(n, F.lit(1)) for b, n in zip(both, hyps)]
+    logs = [sum((F.lit(w) * F.log(p) for w, p in zip(weights, precision) if w), F.lit(0.0)) for weights in BLEU_WEIGHTS]
+    return [F.when(both[0] == 0, F.lit(0.0)).otherwise(brevity * F.exp(x)) for x in logs]
 
 
 def bleu(pairs: DataFrame, key: list[str]) -> DataFrame:
     """BLEU-1..4 with the smoothing above: key, bleu1..bleu4; 0 where no word is common."""
-    grams = ngram_overlap(pairs, key, 4)
-    part = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-    wide = grams.groupBy(*key).agg(*[part(n, c).alias(f"{c}{n}") for n in range(1, 5) for c in ("both", "in_prediction")], part(1, "in_reference").alias("ref"))
-    hyp, ref = F.col("in_prediction1"), F.col("ref")
-    brevity = F.when(hyp > ref, F.lit(1.0)).when(hyp == 0, F.lit(0.0)).otherwise(F.exp(1 - ref / F.greatest(hyp, F.lit(1))))
-    precision = [F.greatest(F.col(f"both{n}").cast("double"), F.when(F.col(f"both{n}") == 0, F.lit(EPSILON)).otherwise(0.0)) / F.greatest(F.col(f"in_prediction{n}"), F.lit(1)) for n in range(1, 5)]
-    out = []
-    for m, weights in enumerate(BLEU_WEIGHTS, 1):
-        logs = sum((F.lit(w) * F.log(p) for w, p in zip(weights, precision) if w), F.lit(0.0))
-        out.append(F.when(F.col("both1") == 0, F.lit(0.0)).otherwise(brevity * F.exp(logs)).alias(f"bleu{m}"))
-    return wide.select(*key, *out)
+    rows = pairs.select(*key, gram_counts(_plain_tokens("prediction"), _plain_tokens("reference"), 4).alias("c"))
+    return rows.select(*key, *[x.alias(f"bleu{m}") for m, x in enumerate(_bleu(F.col("c")), 1)])
 
 
 def _last_matches(p: dict[int, str], r: dict[int, str]) -> list[tuple[int, int]]:
@@ -166,11 +185,13 @@ def metric_record(pairs: DataFrame, key: list[str], stem: bool = True) -> DataFr
     the offline embedders stand in for it. stem: ROUGE by stems."""
     empty = (F.coalesce("prediction", F.lit("")) == "") | (F.coalesce("reference", F.lit("")) == "")
     base = pairs.select(*key, "prediction", "reference", empty.alias("empty"))
-    rouge = rouge_n(base, key, stem=stem).groupBy(*key).agg(F.max(F.when(F.col("n") == 1, F.col("f"))).alias("rouge1_f"), F.max(F.when(F.col("n") == 2, F.col("f"))).alias("rouge2_f"))
-    out = base.join(rouge, key).join(bleu(base, key), key)
+    tokens_of = rouge_tokens if stem else _plain_tokens
+    out = base.withColumns({"c": gram_counts(_plain_tokens("prediction"), _plain_tokens("reference"), 4), "s": gram_counts(tokens_of("prediction"), tokens_of("reference"), 2)})
     p, r = F.coalesce("prediction", F.lit("")), F.coalesce("reference", F.lit(""))
+    rouge = [_f1(*[F.col("s")[3 * n + i] for i in range(3)]) for n in range(2)]
     values = {
         "exact_match": exact_match(p, r).cast("double"), "f1": token_f1(p, r), "rougeL_f": rouge_l(p, r, stem=stem),
         "bert_f1": bert_scores(p, r)[2], "meteor": meteor(p, r), "sbert_similarity": cosine(hash_embedding(p), hash_embedding(r)),
+        "rouge1_f": rouge[0], "rouge2_f": rouge[1], **{f"bleu{m}": x for m, x in enumerate(_bleu(F.col("c")), 1)},
     }
-    return out.select(*key, *[F.when(F.col("empty"), F.lit(0.0)).otherwise(values.get(c, F.col(c) if c in out.columns else None)).alias(c) for c in RECORD])
+    return out.select(*key, *[F.when(F.col("empty"), F.lit(0.0)).otherwise(values[c]).alias(c) for c in RECORD])

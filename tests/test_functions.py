@@ -101,6 +101,15 @@ def test_longest_common_subsequence(spark):
     assert all(r["n"] == lcs(r["a"], r["b"]) for r in df.collect())
 
 
+def test_metrics_of_a_pair_shuffle_nothing(spark):
+    df = spark.createDataFrame([(1, "a b a b", "b a b"), (2, None, ""), (3, "x", "x")], "id long, prediction string, reference string")
+    for made in (metrics.bleu(df, ["id"]), metrics.rouge_n(df, ["id"], stem=True), metrics.metric_record(df, ["id"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan
+    got = sorted(tuple(r) for r in metrics.ngram_overlap(df, ["id"], 2).collect())
+    assert got == [(1, 1, 3, 4, 3), (1, 2, 2, 3, 2), (2, 1, 0, 0, 0), (2, 2, 0, 0, 0), (3, 1, 1, 1, 1), (3, 2, 0, 0, 0)]
+
+
 def test_bleu_and_rouge_by_hand(spark):
     df = spark.createDataFrame([(1, "the cat sat", "the cat sat"), (2, "x", "y"), (3, "the cat", "the cat sat on")], "id int, prediction string, reference string")
     b = {r["id"]: r for r in metrics.bleu(df, ["id"]).collect()}
