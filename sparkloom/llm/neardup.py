@@ -43,6 +43,7 @@ TREES, BRANCH, LEVELS = 4, 2, 4
 COORDS = TREES * BRANCH * LEVELS
 LEAF, PIVOTS, BLOCK = 1024, 8, 512
 GROUP_SHINGLES = 8_000_000  # of a merged group
+CELLS = 1 << 18  # of the filter of documents that groups need
 
 
 
@@ -179,11 +180,20 @@ def _confirmer(percent: int):
     return confirm
 
 
+def _maybe_in(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """docs whose doc_id is in `some`, and a few more: a filter of CELLS words of 64 bits keeps texts that no group needs
+    from being shuffled. It loses none; a full one lets more through."""
+    cell, bit = F.expr(f"pmod(shiftright(xxhash64(doc_id), 6), {CELLS})"), "cast(pmod(xxhash64(doc_id), 64) AS int)"
+    cells = some.groupBy(cell.alias("_sl_cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_sl_bits"))
+    near = docs.withColumn("_sl_cell", cell).join(F.broadcast(cells), "_sl_cell")  # CELLS rows at most
+    return near.where(F.expr(f"(shiftright(_sl_bits, {bit}) & 1) = 1")).select(docs.columns)
+
+
 def _confirm(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Edges of groups (gid, doc_id), at most a leaf's documents each; each link is confirmed on the full sets."""
     # a text meets the list of its groups; a merge hint: the same plan at every size
-    lists = rows.groupBy("doc_id").agg(F.collect_set("gid").alias("gids"))
-    held = lists.join(docs.hint("merge"), "doc_id").select(F.explode("gids").alias("gid"), "doc_id", "text")
+    lists = materialise(rows.groupBy("doc_id").agg(F.collect_set("gid").alias("gids")), "lists")
+    held = lists.join(_maybe_in(docs, lists).hint("merge"), "doc_id").select(F.explode("gids").alias("gid"), "doc_id", "text")
     return held.repartition("gid").sortWithinPartitions("gid").mapInArrow(_confirmer(percent), "u long, v long")
 
 
