@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import context_line
-from sparkloom.functions.vector import cosine, rescaled
+from sparkloom.functions.text import context_line, index_tokens
+from sparkloom.functions.vector import cosine
 from sparkloom.session import written
 
 from . import bm25
@@ -42,24 +42,24 @@ def dense_scores(queries: DataFrame, docs: DataFrame, keys: list[str], query: st
     return q.join(docs.select(*keys, doc, seq, "vec"), keys).select(*keys, query, doc, seq, cosine("q_vec", "vec").alias("cosine"))
 
 
-def hybrid_scores(queries: DataFrame, docs: DataFrame, keys: list[str], query: str, doc: str, seq: str, alpha: float = ALPHA, index: DataFrame | None = None) -> DataFrame:
+def hybrid_scores(queries: DataFrame, docs: DataFrame, keys: list[str], query: str, doc: str, seq: str, alpha: float = ALPHA, index: DataFrame | None = None, k: Column | int | None = None) -> DataFrame:
     """keys, query, doc, seq, dense, sparse, score: dense in [0, 1], BM25 rescaled over the whole corpus.
 
-    Scores are rounded to nine places, so that ties do not depend on the order sums were taken in."""
-    dense = dense_scores(queries, docs, keys, query, doc, seq).withColumn("dense", rescaled(F.col("cosine"))).drop("cosine")
-    found = bm25.matches(queries, bm25.weights(docs, keys, doc, "doc") if index is None else index, keys, query, "text", doc)
-    both = dense.join(found, [*keys, query, doc], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    both = bm25.min_max(both, "bm25", [*keys, query], "sparse")
-    return both.select(*keys, query, doc, seq, "dense", "sparse", F.round(alpha * F.col("dense") + (1 - alpha) * F.col("sparse"), 9).alias("score"))
+    Scores are rounded to nine places, so that ties do not depend on the order sums were taken in. k: only rows that may be
+    among the k best of a query come out, with `k`; pairs are never shuffled."""
+    more = [] if k is None else ["k"]
+    asked = queries if k is None else queries.withColumn("k", (F.lit(k) if isinstance(k, int) else k).cast("int"))
+    asks = bm25.weighed(asked, bm25.vocabulary(docs, keys, doc, "doc") if index is None else index, keys, query, "text", "vec", *more)
+    asks = asks.withColumn("vec", F.col("vec").cast("array<double>"))
+    has = docs.select(*keys, doc, F.col(seq).alias("seq"), index_tokens("doc").alias("toks"), F.col("vec").cast("array<double>").alias("vec"))
+    both = bm25.block_scores(asks, has, keys, query, doc, alpha)
+    return both.select(*keys, query, doc, F.col("seq").alias(seq), "dense", "sparse", F.round(alpha * F.col("dense") + (1 - alpha) * F.col("sparse"), 9).alias("score"), *more)
 
 
 def flat(queries: DataFrame, docs: DataFrame, keys: list[str], k: Column | int, query: str = "query_id", doc: str = "node_id", seq: str = "node_seq", index: DataFrame | None = None) -> DataFrame:
-    """keys, query, doc, rank, score over all levels. k may be a column of queries; index: bm25.weights() of docs, if written."""
-    scored = hybrid_scores(queries, docs, keys, query, doc, seq, index=index)
-    if not isinstance(k, int):
-        scored = scored.join(queries.select(*keys, query, k.alias("k_")), [*keys, query])
-        return top_k(scored, [*keys, query], "score", seq, F.col("k_")).drop("k_")
-    return top_k(scored, [*keys, query], "score", seq, k)
+    """keys, query, doc, rank, score over all levels. k may be a column of queries; index: bm25.vocabulary() of docs, if written."""
+    scored = hybrid_scores(queries, docs, keys, query, doc, seq, index=index, k=k)
+    return top_k(scored, [*keys, query], "score", seq, F.col("k")).drop("k")
 
 
 def children(edges: DataFrame, keys: list[str], limit: int | None = CHILDREN) -> DataFrame:
@@ -89,7 +89,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
 def graph_traversal(queries: DataFrame, docs: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str], k: Column | int, index: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """keys, query_id, node_id, rank, seed: hybrid seeds in rank order, then what they expand to in node order.
 
-    A node counts once. index, near: bm25.weights() of docs and neighbours() of the graph, if they are written."""
+    A node counts once. index, near: bm25.vocabulary() of docs and neighbours() of the graph, if they are written."""
     near = neighbours(nodes, edges, keys) if near is None else near
     seeds = flat(queries, docs, keys, k, index=index).select(*keys, "query_id", "node_id", "rank").join(near, [*keys, "node_id"], "left")
     own = F.struct(F.lit(0).alias("late"), F.col("rank").cast("long").alias("r"), "node_id")

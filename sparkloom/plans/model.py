@@ -60,8 +60,8 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term weights of every node's document, as written."""
-    return stored(spark, sf_dir, "weights", lambda: bm25.weights(graph(spark, sf_dir)[0], KEYS, "node_id", "doc"))
+    """Frequencies and idfs of every sample's terms, as written."""
+    return stored(spark, sf_dir, "terms", lambda: bm25.vocabulary(graph(spark, sf_dir)[0], KEYS, "node_id", "doc"))
 
 
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:

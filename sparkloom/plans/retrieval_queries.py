@@ -62,7 +62,7 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
 def bm25_min_max(spark: SparkSession, d: str) -> DataFrame:
     q, n = _user_scores(spark, d)
     s = bm25.scores(q, n, K, "query_id", "text", "node_id", "doc", M.index(spark, d))
-    return bm25.min_max(s, "bm25", [*K, "query_id"], "sparse").select("sample_id", "query_id", "node_id", r6("sparse").alias("sparse"))
+    return s.select("sample_id", "query_id", "node_id", r6("sparse").alias("sparse"))
 
 
 @query("dense_scores", f"WITH {M.GRAPH}, {M.QUERIES} SELECT sample_id, query_id, node_id, round(({M.sql_cosine('q.vec', 'n.vec')} + 1) / 2, 6) AS dense FROM q JOIN nodes n USING (sample_id)")
@@ -278,6 +278,6 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("index_build", f"WITH {M.GRAPH}, {M.QUERIES}, {M.sql_bm25()} SELECT sample_id, term, node_id, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS w FROM idf JOIN tf USING (sample_id, term)")
 def index_build(spark: SparkSession, d: str) -> DataFrame:
-    """The index that the retrieval queries read as written, built anew from the turns."""
+    """The inverted index of all nodes, built anew from the turns."""
     nodes, _ = M.build(spark, d)
     return bm25.weights(nodes, K, "node_id", "doc").select("sample_id", "term", "node_id", r6("w").alias("w"))
