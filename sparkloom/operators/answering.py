@@ -74,7 +74,6 @@ def evaluated(predictions: DataFrame, key: list[str], model: DataFrame | None =
     if model is None:
         return record
     bert = embedder.bert_scores(predictions, key, model).select(*key, F.col("bert_f1").alias("bert_"))
-    a, b = (embedder.encode(predictions, key, c, model).withColumnRenamed("vec", c) for c in ("prediction", "reference"))
-    alike = a.join(b, key).select(*key, cosine("prediction", "reference").alias("alike_"))
+    alike = embedder.encode_all(predictions, key, ["prediction", "reference"], model).select(*key, cosine("prediction", "reference").alias("alike_"))
     both = record.join(bert, key).join(alike, key)
     return both.withColumns({"bert_f1": F.col("bert_"), "sbert_similarity": F.col("alike_")}).select(record.columns)

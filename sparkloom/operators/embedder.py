@@ -8,16 +8,20 @@ model is a table (term, vec): write it once, then encode with it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import index_tokens
+from sparkloom.session import written
 
 DIMS, NONZERO, WINDOW = 64, 4, 2
+BATCH = 4 << 20  # characters of the texts that are encoded together
 
 
 def _tokens(text: Column | str) -> Column:
@@ -43,6 +47,7 @@ def token_vectors(met: DataFrame) -> DataFrame:
     whole = totals.agg(F.sum("t").alias("all"))  # one row
     pmi = F.log(F.col("n").cast("double") * F.col("all") / (F.col("t").cast("double") * F.col("o")))
     kept = met.join(totals, "term").join(totals.select(F.col("term").alias("other"), F.col("t").alias("o")), "other").crossJoin(F.broadcast(whole)).select("term", "other", pmi.alias("w")).where("w > 0")
+    kept = kept.repartition("term")  # dealt by term before a row becomes NONZERO ones, so that these stay where they are
     digest = F.md5("other")
     entries = F.array(*[F.struct(F.pmod(F.conv(F.substring(digest, 2 * m + 1, 2), 16, 10).cast("int"), F.lit(DIMS)).alias("d"), F.when(F.substring(digest, 9 + m, 1) < "8", 1.0).otherwise(-1.0).alias("s")) for m in range(NONZERO)])
     sums = kept.select("term", "w", F.explode(entries).alias("e")).groupBy("term", "e.d").agg(F.sum(F.col("w") * F.col("e.s")).alias("v"))
@@ -53,24 +58,57 @@ def token_vectors(met: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, text: str, window: int = WINDOW) -> DataFrame:
-    return token_vectors(cooccurrences(docs, text, window))
+    return token_vectors(written(cooccurrences(docs, text, window), "cooccurrences"))
 
 
-def encode(texts: DataFrame, keys: list[str], text: str, model: DataFrame) -> DataFrame:
-    """keys, vec: the sum of the vectors of a text's tokens; zeros without any. What is gathered is as long as the text."""
-    counts = texts.select(*keys, F.explode(_tokens(text)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    zeros = F.array_repeat(F.lit(0.0), DIMS)
-    vectors = counts.join(model, "term").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", "n", "vec"))).alias("x"))
-    summed = vectors.select(*keys, F.aggregate("x", zeros, lambda s, x: F.zip_with(s, x["vec"], lambda a, b: a + x["n"] * b)).alias("vec"))
-    return texts.select(*keys).join(summed, keys, "left").withColumn("vec", F.coalesce("vec", zeros))
+def _batched(texts: DataFrame, keys: list[str], columns: list[str], model: DataFrame, run: Callable[[pa.Table, list[pa.Array], pa.Array, np.ndarray], dict], out: str) -> DataFrame:
+    """keys and `out`, what run gives for batches of texts of about BATCH characters: it gets their rows, their tokens, and
+    the batch's different terms that have a vector with these, once each. So vectors travel once a batch and not once a text,
+    a batch is as large for many texts as for few, and one text is read whole."""
+    letters = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(1))
+    n = max(1, math.ceil((texts.agg(F.sum(letters)).first()[0] or 0) / BATCH))
+    rows = texts.select(F.pmod(F.xxhash64(*keys), F.lit(n)).alias("b_"), *keys, *[_tokens(c).alias(f"t_{i}") for i, c in enumerate(columns)])
+    named = F.array_distinct(F.concat(*[f"t_{i}" for i in range(len(columns))]))
+    terms = rows.select("b_", F.explode(named).alias("term")).distinct().join(model, "term").select(F.col("b_").alias("of_"), "term", "vec")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema.fields)
+
+    def one(mine: pa.Table, known: pa.Table) -> pa.Table:
+        tokens = [mine[f"t_{i}"].combine_chunks() for i in range(len(columns))]
+        vectors = known["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS)
+        return pa.table({**{k: mine[k] for k in keys}, **run(mine, tokens, known["term"].combine_chunks(), vectors)})
+
+    return rows.groupBy("b_").cogroup(terms.groupBy("of_")).applyInArrow(one, f"{kinds}, {out}")
+
+
+def _coded(tokens: list[pa.Array], terms: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Numbers of the tokens of each column, and the row of each number's vector: the last one, after all, if it has none."""
+    code = pa.concat_arrays([terms, *[t.flatten() for t in tokens]]).dictionary_encode()
+    every = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.minimum(np.arange(len(code.dictionary)), len(terms))  # terms come first and are different
+    cuts = np.cumsum([len(terms), *[len(t.flatten()) for t in tokens]])
+    return [every[a:b] for a, b in zip(cuts[:-1], cuts[1:])], row
+
 
+def encode_all(texts: DataFrame, keys: list[str], columns: list[str], model: DataFrame) -> DataFrame:
+    """keys and, for each column of texts, under its name the sum of the vectors of its tokens; zeros without any."""
 
-def _sides(pairs: DataFrame, keys: list[str], model: DataFrame) -> DataFrame:
-    """keys, p, r: the different tokens of both texts with how often they come and their vectors (null without one)."""
-    side = lambda c, k: pairs.select(*keys, F.lit(k).alias("k"), F.explode(_tokens(c)).alias("term"))
-    counts = side("prediction", 0).unionByName(side("reference", 1)).groupBy(*keys, "k", "term").agg(F.count("*").alias("n"))
-    item = F.struct("term", "n", "vec")
-    return counts.join(model, "term", "left").groupBy(*keys).agg(*[F.collect_list(F.when(F.col("k") == i, item)).alias(c) for i, c in enumerate("pr")])
+    def run(mine: pa.Table, tokens: list[pa.Array], terms: pa.Array, vectors: np.ndarray) -> dict:
+        codes, row = _coded(tokens, terms)
+        vectors, out = np.vstack([vectors, np.zeros((1, DIMS))]), {}
+        for c, t, code in zip(columns, tokens, codes):
+            sums, ends = np.zeros((len(t), DIMS)), np.concatenate([[0], np.cumsum(pc.list_value_length(t).fill_null(0).to_numpy(zero_copy_only=False))])
+            for i in range(len(t)):
+                term, n = np.unique(code[ends[i] : ends[i + 1]], return_counts=True)
+                sums[i] = n @ vectors[row[term]] if len(term) else 0.0
+            out[c] = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), DIMS).cast(pa.list_(pa.float64()))
+        return out
+
+    return _batched(texts, keys, columns, model, run, ", ".join(f"`{c}` array<double>" for c in columns))
+
+
+def encode(texts: DataFrame, keys: list[str], text: str, model: DataFrame) -> DataFrame:
+    """keys, vec of one column."""
+    return encode_all(texts, keys, [text], model).withColumnRenamed(text, "vec")
 
 
 def _best(a: np.ndarray, b: np.ndarray, names_a: np.ndarray, names_b: np.ndarray, rows: int = 1024) -> np.ndarray:
@@ -82,24 +120,18 @@ def _best(a: np.ndarray, b: np.ndarray, names_a: np.ndarray, names_b: np.ndarray
 def bert_scores(pairs: DataFrame, keys: list[str], model: DataFrame) -> DataFrame:
     """keys, bert_precision, bert_recall, bert_f1 of pairs(prediction, reference): every token's best cosine among the other
     text's tokens, averaged over the tokens of each side. Zeros where a text has no token."""
-    names = [*keys, "bert_precision", "bert_recall", "bert_f1"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema.fields)
-
-    def unpack(side: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = sorted(side[i].as_py() or [], key=lambda x: x["term"])
-        return np.array([x["term"] for x in rows], object), np.array([x["n"] for x in rows], float), np.array([x["vec"] or [0.0] * DIMS for x in rows])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = []
-            for i in range(b.num_rows):
-                (pn, pc, pv), (rn, rc, rv) = unpack(b.column("p"), i), unpack(b.column("r"), i)
-                if len(pn) and len(rn):
-                    p, r = float(_best(pv, rv, pn, rn) @ pc / pc.sum()), float(_best(rv, pv, rn, pn) @ rc / rc.sum())
-                    scores.append((p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
-                else:
-                    scores.append((0.0, 0.0, 0.0))
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], *[pa.array([s[j] for s in scores], pa.float64()) for j in range(3)]], names=names)
-
-    scored = _sides(pairs, keys, model).mapInArrow(run, f"{kinds}, bert_precision double, bert_recall double, bert_f1 double")
-    return pairs.select(*keys).join(scored, keys, "left").na.fill(0.0, names[len(keys) :])
+
+    def run(mine: pa.Table, tokens: list[pa.Array], terms: pa.Array, vectors: np.ndarray) -> dict:
+        codes, row = _coded(tokens, terms)
+        vectors = np.vstack([vectors, np.zeros((1, DIMS))])
+        ends = [np.concatenate([[0], np.cumsum(pc.list_value_length(t).fill_null(0).to_numpy(zero_copy_only=False))]) for t in tokens]
+        scores = np.zeros((3, mine.num_rows))
+        for i in range(mine.num_rows):
+            (pn, pc_), (rn, rc) = (np.unique(code[e[i] : e[i + 1]], return_counts=True) for code, e in zip(codes, ends))
+            if len(pn) and len(rn):
+                pv, rv = vectors[row[pn]], vectors[row[rn]]
+                p, r = _best(pv, rv, pn, rn) @ pc_ / pc_.sum(), _best(rv, pv, rn, pn) @ rc / rc.sum()
+                scores[:, i] = p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0
+        return dict(zip(("bert_precision", "bert_recall", "bert_f1"), scores))
+
+    return _batched(pairs, keys, ["prediction", "reference"], model, run, "bert_precision double, bert_recall double, bert_f1 double")

@@ -76,3 +76,17 @@ def test_encode_and_the_record(spark, model):
     plain = answering.evaluated(rows, ["id"]).columns
     assert plain == answering.evaluated(rows, ["id"], model).columns
     assert embedder.fit(rows.limit(0).select(F.col("prediction").alias("text")), "text").count() == 0
+
+
+def test_a_vector_is_shuffled_once_a_batch_not_once_a_text(spark, model, monkeypatch):
+    n = 3000
+    rows = spark.range(n).selectExpr("id", "concat('the cat ', id % 7) AS prediction", "'a dog the' AS reference")
+    once = {tuple(r)[1:] for r in embedder.bert_scores(rows.where("id = 8"), ["id"], model).collect()}
+    got = embedder.bert_scores(rows, ["id"], model)
+    assert {tuple(r)[1:] for r in got.where("id % 7 = 1").collect()} == once and got.count() == n
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(id#" in x]
+    whole = sorted(map(tuple, embedder.encode(rows.limit(50), ["id"], "prediction", model).collect()))
+    monkeypatch.setattr(embedder, "BATCH", 100)
+    assert len(whole) == 50 and [x[0] for x in whole] == sorted(r["id"] for r in embedder.encode(rows.limit(50), ["id"], "prediction", model).collect())
+    assert sorted(tuple(r)[1:] for r in embedder.bert_scores(rows.limit(50), ["id"], model).collect()) == sorted(tuple(r)[1:] for r in got.where("id < 50").collect())
