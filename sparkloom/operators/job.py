@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from sparkloom import schemas
 from sparkloom.functions import text as T
-from sparkloom.functions.vector import cosine
 from sparkloom.operators import answering, bm25, embedder, graph, hierarchy, providers, retrieval, stats
 from sparkloom.operators.communities import semi_synchronous
 from sparkloom.session import written
@@ -58,10 +57,10 @@ def prefix_neighbours(facts: DataFrame, keys: list[str] = KEYS, k: int = NEIGHBO
     time gives. What is asked is the fact's content, what is searched are the indexed documents; a fact is indexed before it
     asks, so it is among its own candidates. only: (keys, node_id) of the facts that ask, if not all do."""
     docs = facts.select(*keys, "node_id", "content", F.col("node_seq").alias("at"), T.index_document("content", "context", "keywords", "tags").alias("doc"))
-    sparse = bm25.min_max(bm25.prefix_scores(docs, keys, "node_id", "at", "doc", "content", only), "bm25", [*keys, "query"], "sparse")
-    a, b = docs.select(*keys, F.col("node_id").alias("query"), T.hash_embedding("content").alias("a")), docs.select(*keys, F.col("node_id").alias("other"), T.hash_embedding("doc").alias("b"))
-    both = sparse.join(a, [*keys, "query"]).join(b, [*keys, "other"]).withColumn("cosine", F.round(cosine("a", "b"), 9))
-    scored = both.withColumn("score", F.round(retrieval.ALPHA * (F.col("cosine") + 1) / 2 + (1 - retrieval.ALPHA) * F.col("sparse"), 9))
+    docs = docs.withColumns({"asks_": T.hash_embedding("content"), "has_": T.hash_embedding("doc")})
+    both = bm25.prefix_scores(docs, keys, "node_id", "at", "doc", "content", only, ("asks_", "has_"), retrieval.ALPHA, k)
+    scored = both.withColumn("cosine", F.round(2 * F.col("dense") - 1, 9))
+    scored = scored.withColumn("score", F.round(retrieval.ALPHA * (F.col("cosine") + 1) / 2 + (1 - retrieval.ALPHA) * F.col("sparse"), 9))
     return retrieval.top_k(scored, [*keys, "query"], "score", "other_seq", k).select(*keys, F.col("query").alias("node_id"), "other", "rank", "cosine")
 
 

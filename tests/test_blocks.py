@@ -59,3 +59,26 @@ def test_no_pair_is_shuffled_before_the_best_are_chosen(spark, corpora):
     d, q = spark.createDataFrame(docs, DOC).selectExpr("s", "doc AS node", "seq", "doc_text AS doc", "vec"), spark.createDataFrame(asks, ASK)
     plan = retrieval.flat(q, d, K, 3, "q", "node", "seq")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "node#" in x.split("ENSURE")[0]]
+
+
+@pytest.mark.parametrize("rows", [(512, 1024), (2, 3)])
+def test_prefix_scores_are_those_of_an_index_of_that_time(spark, corpora, monkeypatch, rows):
+    monkeypatch.setattr(bm25, "ASKS", rows[0])
+    monkeypatch.setattr(bm25, "HAS", rows[1])
+    docs = [x for x in corpora[0] if x[0] == "x"]
+    df = spark.createDataFrame(docs, DOC)
+    whole = bm25.prefix_scores(df, K, "doc", "seq", "doc_text", vec=("vec", "vec"), alpha=0.5)
+    got = {(r["query"], r["other"]): r for r in whole.collect()}
+    assert len(got) == len(docs) * (len(docs) + 1) // 2
+    for i in range(len(docs)):
+        want = brute([x[3] for x in docs[: i + 1]], docs[i][3])
+        lo, hi = min(want), max(want)
+        for j, v in enumerate(want):
+            assert got[i, j]["bm25"] == pytest.approx(v, abs=1e-9) and got[i, j]["sparse"] == pytest.approx((v - lo) / (hi - lo) if hi > lo else 0.0, abs=1e-9)
+    few = bm25.prefix_scores(df, K, "doc", "seq", "doc_text", vec=("vec", "vec"), alpha=0.5, k=2)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "query#" in x and "other#" in x]
+    total = lambda r: round(0.5 * r["dense"] + 0.5 * r["sparse"], 9)
+    best = {q: sorted(((total(r), r["other"]) for (a, _), r in got.items() if a == q), reverse=True)[:2] for q in range(len(docs))}
+    rows_ = [(r["query"], total(r), r["other"]) for r in few.collect()]
+    assert best == {q: sorted((x[1:] for x in rows_ if x[0] == q), reverse=True)[:2] for q in range(len(docs))}
