@@ -289,22 +289,23 @@ class _Scorer:
 _scorers: dict[str, _Scorer] = {}
 
 
-def _predicter(model, out: tuple[str, str]):
+def _predicter(model, out: tuple[str, str], text: str = "_sl_text", keep: bool = False):
+    """keep: the texts come out again; they are handed over once, whoever reads them."""
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         if m.key not in _scorers:
             _scorers.clear()
             _scorers[m.key] = _Scorer(m)
-        for b in slices(batches, "_sl_text", 1 << 22):
-            logs, n = _scorers[m.key].texts(pc.fill_null(b.column("_sl_text").cast(pa.string()), ""))
+        for b in slices(batches, text, 1 << 22):
+            logs, n = _scorers[m.key].texts(pc.fill_null(b.column(text).cast(pa.string()), ""))
             best = np.argmax(logs, axis=1)
             # the odds of the languages, softened as if words came in runs of sqrt(n)
             x = (logs - logs.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
             p = 1 / np.exp(x).sum(axis=1)
             lang = [m.langs[k] if c else "und" for k, c in zip(best, n)]
-            keep = [b.column(k) for k in range(b.num_columns) if b.schema.names[k] != "_sl_text"]
-            names = [x for x in b.schema.names if x != "_sl_text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(np.where(n > 0, p, 0.0))], names=[*names, *out])
+            names = [x for x in b.schema.names if keep or x != text]
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array(lang, pa.string()), pa.array(np.where(n > 0, p, 0.0))], names=[*names, *out])
 
     return predict
 
@@ -348,8 +349,7 @@ def accepted(docs: DataFrame, vocabulary_file: str, least: float = 0.5) -> DataF
     model = train(docs.select("doc_id", "text", "lang"), vocabulary_file)
     if model is None:
         return docs.limit(0)
-    rows = docs.withColumn("_sl_text", F.col("text").cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("_sl_lang", T.StringType()), T.StructField("_sl_score", T.DoubleType())])
-    found = rows.mapInArrow(_predicter(docs.sparkSession.sparkContext.broadcast(model), ("_sl_lang", "_sl_score")), schema)
+    found = docs.mapInArrow(_predicter(docs.sparkSession.sparkContext.broadcast(model), ("_sl_lang", "_sl_score"), "text", True), schema)
     good = found.where((F.col("_sl_lang") != "und") & (F.col("_sl_score") >= least))
     return good.withColumn("lang", F.col("_sl_lang")).select(docs.columns)

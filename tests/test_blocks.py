@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 from sparkloom.operators import bm25, retrieval
 
