@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.functions.vector import cosine
 from sparkloom.operators import bm25, graph, hierarchy, retrieval
+from sparkloom.session import written
 
 from . import model as M
 from .registry import query
@@ -279,5 +280,6 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
 @query("index_build", f"WITH {M.GRAPH}, {M.QUERIES}, {M.sql_bm25()} SELECT sample_id, term, node_id, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS w FROM idf JOIN tf USING (sample_id, term)")
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index of all nodes, built anew from the turns."""
-    nodes, _ = M.build(spark, d)
-    return bm25.weights(nodes, K, "node_id", "doc").select("sample_id", "term", "node_id", r6("w").alias("w"))
+    # documents are written, since three statistics are made of them
+    docs = written(M.build(spark, d)[0].select("sample_id", "node_id", "doc"), "index-documents")
+    return bm25.weights(docs, K, "node_id", "doc").select("sample_id", "term", "node_id", r6("w").alias("w"))

@@ -83,3 +83,10 @@ def test_prefix_scores_are_those_of_an_index_of_that_time(spark, corpora, monkey
     best = {q: sorted(((total(r), r["other"]) for (a, _), r in got.items() if a == q), reverse=True)[:2] for q in range(len(docs))}
     rows_ = [(r["query"], total(r), r["other"]) for r in few.collect()]
     assert best == {q: sorted((x[1:] for x in rows_ if x[0] == q), reverse=True)[:2] for q in range(len(docs))}
+
+
+def test_index_build_makes_documents_once(spark, sf):
+    from sparkloom.plans import registry, retrieval_queries  # noqa: F401
+
+    files = registry.QUERIES["index_build"](spark, sf).inputFiles()
+    assert files and all("index-documents" in f for f in files)
