@@ -9,7 +9,9 @@ id before (hashed slots, with the hits in a row as confidence); order 0 is the d
 each order and confidence, which follow hits and misses, mix the three:
 P = w2 [id = guess2] + (1-w2) w1 [id = guess1] + (1-w2)(1-w1) P0. The range coder codes whole ids by P.
 
-Blocks don't depend on each other, so numpy codes many at once, one id of each in every step.
+Blocks don't depend on each other, so numpy codes many at once, one id of each in every step. The reader steps model and coder.
+The writer has all ids, so it sorts those of a block by slot, which tells guesses, hits and confidences at once, and steps the
+weights and the coder alone.
 
 Null texts are empty and have the end id alone. Rows that repeat a doc_id are documents each, in order of text. A very long
 text is encoded in one worker, its ids span blocks. Further columns of docs aren't read; an empty table gives no file row.
@@ -38,7 +40,8 @@ TOTAL = 1 << BITS
 ROOM = TOTAL - (TOTAL >> 3)  # what orders 1 and 2 have at most
 CONF = 8  # confidences; the last one says that a slot is empty
 FREQ = 18  # bits of the header's total
-_LOW, _W = np.uint64(0xFFFFFFFF), np.uint64(32)
+_LOW, _W, _BITS = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(BITS)
+GROUP = 16  # steps of the writer whose shares are computed together
 
 
 class _Header:
@@ -49,15 +52,26 @@ class _Header:
         self.bits = int(freq.sum()).bit_length() - 1
         self.edge = np.concatenate([[0], np.cumsum(freq)])
 
+    def share(self, ids: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids' shares of what lies behind base."""
+        rest = TOTAL - base
+        start, width = self.edge.take(ids), self.edge[1:].take(ids)
+        for x in (start, width):
+            x *= rest
+            x >>= self.bits
+        width -= start
+        start += base
+        return start, width
+
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple["_Header", np.ndarray]:
         """The header, and the ids as places in it."""
         if int(ids.max()) < 1 << 24:  # the same by a table
             every = np.bincount(ids)
             names = np.flatnonzero(every)
-            count, place = every[names], np.zeros(len(every), np.int64)
+            count, place = every[names], np.zeros(len(every), np.int32)
             place[names] = np.arange(len(names))
-            places = place[ids]
+            places = place.take(ids)
         else:
             names, places, count = np.unique(ids, return_inverse=True, return_counts=True)
         total = 1 << max(FREQ, len(names).bit_length() + 1)
@@ -79,60 +93,120 @@ class _Header:
         return cls(np.cumsum(both[:n]), both[n:]), 12 + size
 
 
-class _Order:
-    """Guesses of one order for n blocks: a slot holds (id + 1) * CONF + confidence."""
+def _shares(w2: np.ndarray, w1: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What of the total the guesses of order 2 and of order 1 have; the same guess has one share."""
+    f2 = w2 * ROOM >> BITS
+    return f2, (w1 * (ROOM - f2) >> BITS) * differ
+
+
+def _taken(start: np.ndarray, width: np.ndarray, by: np.ndarray, begin: np.ndarray | int, share: np.ndarray) -> None:
+    """Where an id is coded by a guess, its interval is the guess's."""
+    np.copyto(start, begin, where=by)
+    np.copyto(width, share, where=by)
+
+
+#: Where weights go after a miss and after a hit (8 more), by confidence: an empty slot's weight stays nothing.
+_AIM = np.repeat([4096, TOTAL - 4096], CONF)
+_AIM[CONF - 1 :: CONF] = 0
+_SHIFT = np.array([[9], [7]], np.uint32)  # of the hashes of order 2 and order 1
+_MASK, _LAST, _BEFORE = np.uint32(SLOTS - 1), np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+
+
+class _Weights:
+    """The weight of each confidence of order 2 and order 1, for n blocks; none where a slot is empty."""
 
     def __init__(self, n: int):
-        self.slots = np.full(n * SLOTS, CONF - 1, np.int32)
-        self.weight = np.full((n, CONF), TOTAL >> 2, np.int64)
-        self.weight[:, CONF - 1] = 0
-        self.flat, self.row = self.weight.ravel(), np.arange(n) * CONF
-
-    def look(self, at: np.ndarray) -> np.ndarray:
-        self.at = at
-        held = self.slots[at].astype(np.int64)
-        self.conf = held & CONF - 1
-        self.guess = (held >> 3) - 1
-        self.which = self.row + self.conf
-        self.now = self.flat[self.which]
-        return self.now
+        self.flat = np.full(2 * n * CONF, TOTAL >> 2, np.int64)
+        self.flat[CONF - 1 :: CONF] = 0
+        self.row = np.arange(2 * n).reshape(2, n) * CONF
 
-    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        self.flat[self.which] = self.now + (np.where(hit, TOTAL - 4096, 4096) - self.now >> 4)
-        self.weight[:, CONF - 1] = 0
-        self.slots[self.at] = (ids + 1) * CONF + np.minimum(self.conf + 1, CONF - 2) * hit
+    def learn(self, which: np.ndarray, now: np.ndarray, aim: np.ndarray) -> None:
+        moved = aim - now
+        moved >>= 4
+        moved += now
+        self.flat[which] = moved
 
 
 class _Model:
-    """The state of n blocks, and the interval of the next id in each."""
+    """The state of n blocks: what their slots guess, order 2 before order 1. A slot holds (id + 1) * CONF + confidence."""
 
-    def __init__(self, n: int, header: _Header):
-        self.header, self.bits, self.edge = header, header.bits, header.edge
-        self.one, self.two = _Order(n), _Order(n)
-        self.row = np.arange(n) * SLOTS
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    def __init__(self, n: int):
+        self.slots = np.full(2 * n * SLOTS, CONF - 1, np.int32)
+        self.lane, self.wide = np.arange(n) + np.array([[0], [n * SLOTS]]), np.uint32(n)  # a slot of all blocks lies side by side
+        self.weights = _Weights(n)
+        self.hash, self.last, self.before = (np.zeros(s, np.uint32) for s in ((2, n), n, n))
 
     def look(self) -> None:
-        mixed = self.last * 0x9E3779B1
-        w2 = self.two.look(self.row + ((mixed ^ self.before * 0x85EBCA6B) >> 9 & SLOTS - 1))
-        w1 = self.one.look(self.row + (mixed >> 7 & SLOTS - 1))
-        self.f2 = w2 * ROOM >> BITS
-        self.f1 = (w1 * (ROOM - self.f2) >> BITS) * (self.one.guess != self.two.guess)
-        self.base = self.f2 + self.f1
-        self.rest = TOTAL - self.base
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the ids' share of the total."""
-        self.hit2, self.hit1 = ids == self.two.guess, ids == self.one.guess
-        lo, hi = self.edge[ids] * self.rest >> self.bits, self.edge[ids + 1] * self.rest >> self.bits
-        first = self.hit1 & ~self.hit2 & (self.f1 > 0)  # a share of nothing can't be coded: order 0 has the id as well
-        start = np.where(self.hit2, 0, np.where(first, self.f2, self.base + lo))
-        return start, np.where(self.hit2, self.f2, np.where(first, self.f1, hi - lo))
+        np.multiply(self.last, _LAST, out=self.hash[1])
+        np.bitwise_xor(self.hash[1], self.before, out=self.hash[0])
+        spot = self.hash >> _SHIFT
+        spot &= _MASK
+        spot *= self.wide
+        self.at = spot + self.lane
+        held = self.slots.take(self.at)
+        self.conf = held & CONF - 1
+        held >>= 3
+        held -= 1
+        self.guess = held
+        self.which = self.weights.row + self.conf
+        self.now = self.weights.flat.take(self.which)
+        self.f2, self.f1 = _shares(*self.now, self.guess[0] != self.guess[1])
 
     def learn(self, ids: np.ndarray) -> None:
-        self.two.learn(ids, self.hit2)
-        self.one.learn(ids, self.hit1)
-        self.before, self.last = self.last, ids
+        hit = self.guess == ids
+        self.weights.learn(self.which, self.now, _AIM.take(self.conf + (hit.view(np.uint8) << 3)))
+        up = self.conf + 1
+        np.minimum(up, CONF - 2, out=up)
+        up *= hit
+        up += ids + 1 << 3
+        self.slots[self.at] = up
+        self.before = self.last * _BEFORE
+        self.last = ids.astype(np.uint32)
+
+
+def _seen(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What the slots `at` hold when the ids of each row come to them, one after another: (guess + 1) * 16 + 8 * hit + confidence.
+
+    All ids are known, so the rows are sorted by slot instead of being stepped through: a guess is the id that came to the
+    same slot before, a confidence the hits in a row up to there."""
+    n, size = ids.shape
+    key = np.sort(at << np.uint32(11) | np.arange(size, dtype=np.uint32), axis=1)  # BLOCK places have 11 bits
+    place = (key & np.uint32(2047)).astype(np.int64) + np.arange(n)[:, None] * size
+    key >>= np.uint32(11)
+    came = ids.ravel().take(place)
+    hit = came[:, 1:] == came[:, :-1]
+    hit &= key[:, 1:] == key[:, :-1]
+    step = np.arange(size, dtype=np.int32)
+    miss = np.maximum.accumulate(np.where(hit, np.int32(0), step[1:]), axis=1)
+    out = np.empty((n, size), np.int32)
+    out[:, 0] = CONF - 1
+    held = out[:, 1:]
+    np.add(came[:, :-1], 1, out=held)
+    held <<= 4
+    held += hit.view(np.int8) << 3
+    out[:, 2:] += np.minimum(step[1:-1] - miss[:, :-1], CONF - 2)
+    np.copyto(held, CONF - 1, where=key[:, 1:] != key[:, :-1])
+    back = np.empty(n * size, np.int32)
+    back[place] = out
+    return back.reshape(n, size)
+
+
+def _foreseen(ids: np.ndarray, rows: int = 16) -> np.ndarray:
+    """For each step, order and block what the model will have: 16 * (the guesses differ) + 8 * hit + confidence."""
+    n, size = ids.shape
+    out = np.empty((size, 2, n), np.uint8)
+    for s in range(0, n, rows):
+        some = ids[s : s + rows]
+        last = np.zeros((len(some), size), np.uint32)
+        last[:, 1:] = some[:, :-1]
+        before = np.zeros_like(last)
+        before[:, 1:] = last[:, :-1]
+        last *= _LAST
+        two, one = _seen(some, (last ^ before * _BEFORE) >> _SHIFT[0] & _MASK), _seen(some, last >> _SHIFT[1] & _MASK)
+        differ = (two >> 4 != one >> 4).view(np.uint8) << 4
+        for k, x in enumerate((two, one)):
+            out[:, k, s : s + rows] = ((x & 15).astype(np.uint8) | differ).T
+    return out
 
 
 class _Coder:
@@ -144,10 +218,10 @@ class _Coder:
 
     def narrow(self, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The blocks whose next word is settled; where the interval crosses a word's border it is cut there."""
-        self.low += part * start.astype(np.uint64)
-        self.range = part * size.astype(np.uint64)
+        self.low += part * start
+        self.range = part * size
         due = np.flatnonzero(self.range <= _LOW)
-        low, width = self.low[due], self.range[due]
+        low, width = self.low.take(due), self.range.take(due)
         self.word = low >> _W
         width = np.where((low + width) >> _W != self.word, -low & _LOW, width)
         width[width == 0] = _LOW  # low lies on the border, the interval behind it
@@ -158,7 +232,7 @@ class _Coder:
 def _blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of BLOCK ids, the last one filled up with zeros, and their sizes."""
     n = -(-len(ids) // BLOCK)
-    grid = np.zeros(n * BLOCK, np.int64)
+    grid = np.zeros(n * BLOCK, np.int32)
     grid[: len(ids)] = ids
     sizes = np.full(n, BLOCK, np.int64)
     sizes[-1] = len(ids) - (n - 1) * BLOCK
@@ -176,22 +250,37 @@ def encode_ids(ids: np.ndarray) -> bytes:
     for at in range(0, len(grid), LANES):
         g, size = grid[at : at + LANES], sizes[at : at + LANES]
         n, steps = len(g), int(size.max())
-        turned = np.ascontiguousarray(g.T)
-        model, coder = _Model(n, header), _Coder(n)
+        g = g[:, :steps]
+        ahead, turned = _foreseen(g), np.ascontiguousarray(g.T)
+        weights, coder = _Weights(n), _Coder(n)
         words = np.zeros((n, steps + 2), np.uint32)
-        used = np.zeros(n, np.int64)
-        for t in range(steps):
-            now = turned[t]
-            model.look()
-            start, width = model.interval(now)
-            due = coder.narrow(coder.range >> np.uint64(BITS), start, width)
-            words[due, used[due]] = coder.word
-            used[due] += 1
-            model.learn(now)
+        flat, spot = words.ravel(), np.arange(n) * (steps + 2)
+        first = spot.copy()
+        for s in range(0, steps, GROUP):
+            some, ids_ = ahead[s : s + GROUP], turned[s : s + GROUP]
+            which, aim, hit = weights.row + (some & CONF - 1), _AIM.take(some & 15), (some & 8) > 0
+            w = np.empty(some.shape, np.int64)
+            for k in range(len(some)):
+                weights.flat.take(which[k], out=w[k], mode="clip")
+                weights.learn(which[k], w[k], aim[k])
+            hit2, hit1 = hit[:, 0], hit[:, 1]
+            f2, f1 = _shares(w[:, 0], w[:, 1], some[:, 0] > 15)
+            base = f2 + f1
+            start, width = header.share(ids_, base)
+            by1 = hit1 & ~hit2 & (f1 > 0)  # a share of nothing can't be coded: order 0 has the id as well
+            _taken(start, width, by1, f2, f1)
+            _taken(start, width, hit2, 0, f2)
+            start, width = start.view(np.uint64), width.view(np.uint64)
+            for k in range(len(some)):
+                due = coder.narrow(coder.range >> _BITS, start[k], width[k])
+                to = spot.take(due)
+                flat[to] = coder.word
+                spot[due] = to + 1
         for _ in range(2):
-            words[np.arange(n), used] = coder.low >> _W
-            used += 1
+            flat[spot] = coder.low >> _W
+            spot += 1
             coder.low = coder.low << _W
+        used = spot - first
         for k in range(n):
             coded = words[k, : used[k]].astype("<u4").tobytes()
             out.append(struct.pack("<III", size[k], used[k], zlib.crc32(coded, zlib.crc32(names[g[k, : size[k]]].tobytes()))) + coded)
@@ -203,7 +292,7 @@ def decode_ids(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint32)
     header, at = _Header.unpack(data)
-    names, whose = header.ids.astype("<u4"), np.repeat(np.arange(len(header.ids)), header.freq)
+    names, whose = header.ids.astype("<u4"), np.repeat(np.arange(len(header.ids), dtype=np.uint16 if len(header.ids) < 1 << 16 else np.int32), header.freq)
     heads = []
     while at < len(data):
         size, used, crc = struct.unpack_from("<III", data, at)
@@ -213,25 +302,31 @@ def decode_ids(data: bytes) -> np.ndarray:
     for first in range(0, len(heads), LANES):
         some = heads[first : first + LANES]
         n, steps = len(some), max(h[0] for h in some)
-        words = np.zeros((n, max(h[1] for h in some) + 2), np.uint64)
+        wide = max(h[1] for h in some) + 2
+        words = np.zeros((n, wide), np.uint32)
         for k, (_, used, _, p) in enumerate(some):
             words[k, :used] = np.frombuffer(data, "<u4", used, p)
-        model, coder = _Model(n, header), _Coder(n)
-        code = words[:, 0] << _W | words[:, 1]
-        read = np.full(n, 2)
-        last = words.shape[1] - 1
-        places = np.zeros((steps, n), np.int64)
+        model, coder = _Model(n), _Coder(n)
+        code = words[:, 0].astype(np.uint64) << _W | words[:, 1]
+        flat, spot = words.ravel(), np.arange(n) * wide + 2
+        places = np.zeros((steps, n), np.int32)
         for t in range(steps):
             model.look()
-            part = coder.range >> np.uint64(BITS)
-            v = np.minimum((code - coder.low) // part, np.uint64(TOTAL - 1)).astype(np.int64)
-            plain = whose[np.minimum(((np.maximum(v - model.base, 0) + 1 << model.bits) - 1) // model.rest, len(whose) - 1)]
-            got = np.where(v < model.f2, model.two.guess, np.where(v < model.base, model.one.guess, plain))
+            f2, f1 = model.f2, model.f1
+            base = f2 + f1
+            part = coder.range >> _BITS
+            v = ((code - coder.low) // part).view(np.int64)
+            # places out of range come from damaged words alone, or where a guess is taken: they are clipped
+            got = whose.take(((v - base + 1 << header.bits) - 1) // (TOTAL - base), mode="clip").astype(np.int32)
+            start, width = header.share(got, base)
+            for taken, guess, begin, share in ((v < base, model.guess[1], f2, f1), (v < f2, model.guess[0], 0, f2)):
+                np.copyto(got, guess, where=taken)
+                _taken(start, width, taken, begin, share)
             places[t] = got
-            start, width = model.interval(got)
-            due = coder.narrow(part, start, width)
-            code[due] = code[due] << _W | words[due, np.minimum(read[due], last)]
-            read[due] += 1
+            due = coder.narrow(part, start.view(np.uint64), width.view(np.uint64))
+            to = spot.take(due)
+            code[due] = code.take(due) << _W | flat.take(to, mode="clip")
+            spot[due] = to + 1
             model.learn(got)
         turned = np.ascontiguousarray(places.T)
         for k, (size, used, crc, p) in enumerate(some):

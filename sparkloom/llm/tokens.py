@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers before it starts afresh, and characters that are cut into words at a time.
+from .common import utf8
+
+#: Words a worker remembers before it forgets those that came once, and characters that are cut into words at a time.
 CACHE_WORDS = 800_000
 SLICE_CHARS = 4_000_000
 
@@ -19,10 +21,49 @@ SLICE_CHARS = 4_000_000
 _SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 _PLAIN = f"^ | $|[{_SPACE}] | [{_SPACE}]|\\x00"  # RE2: some space isn't lone
 _LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?%$#&*()\n"
-_AFTER_LETTER = f"([{_LETTER}])([{_SIGN}])"
-_AFTER_BREAK = f"([^{_SPACE}])\\n([^{_SPACE}\\x00])"
 _FULL = r"[^\s\x1c-\x1f\x85]"
 _CUT = re.compile(f"(?<={_FULL})(?= {_FULL})|(?<=[{_LETTER}])(?=[{_SIGN}])|(?<={_FULL}\\n)(?={_FULL})")
+_WORD, _WORD_INSIDE = r"^ \p{L}+$", r"^\p{L}+$"  # RE2: most pieces
+
+
+def _bytes(chars: str) -> np.ndarray:
+    """A table of bytes: whether they are among these of ASCII."""
+    return np.isin(np.arange(256), [ord(c) for c in chars])
+
+
+_IS_SIGN, _IS_LETTER = _bytes(".,;:!?%$#&*()\n"), _bytes("".join(chr(c) for c in range(128) if chr(c).isalpha()))
+_IS_FULL = _bytes("".join(chr(c) for c in range(1, 128) if not chr(c).isspace()))
+_LEADS = (np.arange(256) >= 0xC3) & (np.arange(256) <= 0xDF)  # two bytes, U+00C0 to U+07FF: no white space among these
+
+
+def _starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where in the UTF-8 bytes of texts without a space beside white space the pieces start: at such places as _CUT names,
+    though not behind each line break that stands beside letters beyond U+07FF."""
+    mark = np.append(raw == 32, True)
+    at = np.flatnonzero(_IS_SIGN.take(raw))
+    at = at[at > 1]  # what stands at the very first place starts a text anyway
+    one, two = raw[at - 1], raw[at - 2]
+    wide = (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)
+    mark[at[_IS_LETTER[one] | wide]] = True
+    brk = (raw[at] == 10) & (at + 1 < len(raw))
+    at, one, two = at[brk], one[brk], two[brk]
+    after = raw[at + 1]
+    first = np.zeros(len(raw) + 1, bool)
+    first[off] = True
+    full = (_IS_FULL[one] | (_LEADS[two] & (one >= 0x80) & (one < 0xC0))) & (_IS_FULL[after] | _LEADS[after])
+    mark[at[full & ~first[at]] + 1] = True
+    mark[off] = True
+    return mark
+
+
+def _sums(words: pa.Array) -> np.ndarray:
+    """A number for each word, none of them empty: its bytes as a polynomial's coefficients, in 64 bits."""
+    raw, off = utf8(words)
+    lens = np.diff(off)
+    power = np.full(lens.max(initial=1), 0x9E3779B97F4A7C15, np.uint64)
+    np.multiply.accumulate(power, out=power)
+    at = np.arange(len(raw)) - np.repeat(off[:-1], lens)
+    return np.add.reduceat((raw + np.uint64(1)) * power.take(at), off[:-1]) if len(words) else np.zeros(0, np.uint64)
 
 
 class Encoder:
@@ -41,87 +82,129 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
+        self.sums, self.of = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted, and the words that have them
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int64)  # slices that a word came in
+
+    def _thin(self) -> None:
+        """Forget the words that came in one slice alone; keep half as many as may be remembered at most."""
+        uses = self.uses[: len(self.words)]
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > CACHE_WORDS // 2:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: CACHE_WORDS // 2]])
+        words, ids, lens = self.words.take(pa.array(keep)), self._ids(keep), self.count[keep]
+        self._reset()
+        self._keep(words, ids, lens)
+        sums = _sums(words)
+        self.of = np.argsort(sums)
+        self.sums = sums[self.of]
 
-    def _keep(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        n0, n1, total = len(self.index), len(self.index) + len(words), len(ids)
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places, one after another."""
+        lens = self.count[at]
+        return self.flat[np.repeat(self.start[at] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        n0, n1, total = len(self.words), len(self.words) + len(words), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.flat[self.used : self.used + total] = ids
         self.start[n0:n1] = self.used + np.cumsum(lens) - lens
         self.count[n0:n1] = lens
         self.used += total
-        self.index.update(zip(words, range(n0, n1)))
+        self.words = pa.concat_arrays([self.words, words])
+
+    def _find(self, names: pa.Array, sums: np.ndarray) -> np.ndarray:
+        """The places of pieces that are remembered, -1 for others: found by their sums, then compared."""
+        place = np.full(len(names), -1)
+        if len(self.sums):
+            at = np.minimum(np.searchsorted(self.sums, sums), len(self.sums) - 1)
+            known = np.flatnonzero(self.sums[at] == sums)
+            found = self.of[at[known]]
+            same = pc.equal(self.words.take(pa.array(found)), names.take(pa.array(known))).to_numpy(zero_copy_only=False)
+            place[known[same]] = found[same]
+        return place
 
-    def _learn(self, units: list[str], sizes: np.ndarray) -> np.ndarray:
-        """Remember units; those that can stand beside others are encoded in runs, cut again by the bytes each id
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Remember pieces; those that can stand beside others are encoded in runs, cut again by the bytes each id
         stands for. Returns their places."""
-        kind = np.zeros(len(units), np.int8)
-        for k, u in enumerate(units):
-            if u and not u[-1].isspace() and not any(x in u for x in self.special):
+        sizes, kind = pc.binary_length(new).to_numpy().astype(np.int64), np.zeros(len(new), np.int8)
+        kind[pc.match_substring_regex(new, _WORD).to_numpy(zero_copy_only=False)] = 1  # its own space parts it from what comes before
+        kind[pc.match_substring_regex(new, _WORD_INSIDE).to_numpy(zero_copy_only=False)] = 2  # a line break does
+        for k in np.flatnonzero(kind == 0).tolist():
+            u = new[k].as_py()
+            if u and not u[-1].isspace():
                 if u[0] == " " and not u[1].isspace():
-                    kind[k] = 1  # its own space parts it from what comes before
+                    kind[k] = 1
                 elif not u[0].isspace():
-                    kind[k] = 2  # a line break does
-        place, n0 = np.zeros(len(units), np.int64), len(self.index)
+                    kind[k] = 2
+        for x in self.special:
+            kind[pc.match_substring(new, x).to_numpy(zero_copy_only=False)] = 0
+        place, n0 = np.zeros(len(new), np.int64), len(self.words)
+        ids_, lens_, order = [], [], []
         for of in (1, 2):
             which = np.flatnonzero(kind == of)
             for s in range(0, len(which), 2048):
                 run = which[s : s + 2048]
-                some = [units[k] for k in run.tolist()]
-                text = "".join(some) if of == 1 else "\n".join(some) + "\n"
+                some = new.take(pa.array(run))
+                text = utf8(some)[0].tobytes().decode() if of == 1 else "\n".join(some.to_pylist()) + "\n"
                 ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
                 at = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[run] + (of == 2))) + 1
                 lens = np.diff(at, prepend=0)
                 if of == 2:
                     ids, lens = np.delete(ids, at - 1), lens - 1
-                self._keep(some, ids, lens)
-                place[run] = np.arange(n0, n0 + len(run))
-                n0 += len(run)
+                ids_.append(ids)
+                lens_.append(lens)
+                order.append(run)
         which = np.flatnonzero(kind == 0)
         if len(which):
-            some = [units[k] for k in which.tolist()]
-            enc = [e.ids for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]
-            lens = np.fromiter(map(len, enc), np.int64, len(enc))
-            self._keep(some, np.fromiter((i for e in enc for i in e), np.uint32, int(lens.sum())), lens)
-            place[which] = np.arange(n0, n0 + len(which))
+            enc = [e.ids for e in self.lib.encode_batch_fast(new.take(pa.array(which)).to_pylist(), add_special_tokens=False)]
+            lens_.append(np.fromiter(map(len, enc), np.int64, len(enc)))
+            ids_.append(np.fromiter((i for e in enc for i in e), np.uint32, int(lens_[-1].sum())))
+            order.append(which)
+        run = np.concatenate(order)
+        self._keep(new.take(pa.array(run)), np.concatenate(ids_), np.concatenate(lens_))
+        place[run] = np.arange(n0, n0 + len(run))
         return place
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHE_WORDS:
-            self._reset()
+        if len(self.words) > CACHE_WORDS:
+            self._thin()
         plain = pc.invert(pc.match_substring_regex(texts, _PLAIN))
         for s in self.special:
             plain = pc.and_(plain, pc.invert(pc.match_substring(texts, s)))
-        marked = pc.replace_substring_regex(pc.replace_substring_regex(texts, _AFTER_LETTER, "\\1\x00\\2"), _AFTER_BREAK, "\\1\n\x00\\2")
-        cut = pc.split_pattern(pc.replace_substring(marked, " ", "\x00 "), "\x00")
-        if not pc.all(plain).as_py():
-            split = cut.to_pylist()
-            for k in np.flatnonzero(~np.asarray(plain.to_numpy(zero_copy_only=False), bool)):
-                t = texts[int(k)].as_py()
-                split[k] = [t] if any(s in t for s in self.special) else _CUT.split(t)
-            cut = pa.array(split, pa.list_(pa.string()))
-        words, ends = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
-        ends = ends - ends[0]
+        raw, off = utf8(texts)
+        mark = _starts(raw, off)
+        for k in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+            t, at = texts[k].as_py(), off[k]
+            mark[at + 1 : off[k + 1]] = False
+            for piece in [] if any(s in t for s in self.special) else _CUT.split(t)[:-1]:
+                at += len(piece.encode())
+                mark[at] = True
+        start = np.flatnonzero(mark)  # the last one is the end of all
+        words = pa.Array.from_buffers(pa.string(), len(start) - 1, [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(raw)])
         coded = words.dictionary_encode()
-        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        get = self.index.get
-        place = np.array([get(w, -1) for w in names], np.int64)
+        names, code = coded.dictionary, coded.indices.to_numpy()
+        sums = _sums(names)
+        place = self._find(names, sums)
         new = np.flatnonzero(place < 0)
         if len(new):
-            place[new] = self._learn([names[k] for k in new.tolist()], pc.binary_length(coded.dictionary).to_numpy()[new].astype(np.int64))
+            place[new] = self._learn(names.take(pa.array(new)))
+            new = new[np.argsort(sums[new])]
+            at = np.searchsorted(self.sums, sums[new])
+            self.sums, self.of = np.insert(self.sums, at, sums[new]), np.insert(self.of, at, place[new])
+        self.uses[place] += 1
         at = place[code]
-        lens = self.count[at]
-        to = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.flat[np.repeat(self.start[at] - to[:-1], lens) + np.arange(to[-1])]
-        return ids, to[ends]
+        to = np.concatenate([[0], np.cumsum(self.count[at])])
+        return self._ids(at), to[np.searchsorted(start, off)]
 
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the n+1 boundaries between the texts. None is the empty text."""
