@@ -9,7 +9,7 @@ model is a table (term, vec): write it once, then encode with it."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,37 +28,86 @@ def _tokens(text: Column | str) -> Column:
     return index_tokens(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
 
 
-def cooccurrences(docs: DataFrame, text: str, window: int = WINDOW) -> DataFrame:
-    """term, other, n: how often two tokens stand at most `window` places apart, in both orders."""
+def _pairs(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """one, two, n: each unordered pair of tokens once, `one` not after `two`, and how often the first meets the second. A token
+    that stands beside itself meets itself from both sides, so such a pair counts twice."""
     toks = docs.select(_tokens(text).alias("t"))
 
     def apart(d: int) -> Column:
         n = F.size("t") - d
         return F.when(n > 0, F.arrays_zip(F.slice("t", F.lit(1), n).alias("a"), F.slice("t", F.lit(1 + d), n).alias("b"))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
-    met = toks.select(F.explode(F.concat(*[apart(d) for d in range(1, window + 1)])).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
-    both = F.explode(F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("other")), F.struct(F.col("b").alias("term"), F.col("a").alias("other"))))
-    return met.select(both.alias("y"), "n").groupBy("y.term", "y.other").agg(F.sum("n").alias("n"))
+    met = toks.select(F.explode(F.concat(*[apart(d) for d in range(1, window + 1)])).alias("x"))
+    counted = met.groupBy(F.least("x.a", "x.b").alias("one"), F.greatest("x.a", "x.b").alias("two")).agg(F.count("*").alias("n"))
+    return counted.withColumn("n", F.when(F.col("one") == F.col("two"), 2 * F.col("n")).otherwise(F.col("n")))
+
 
+def _both(pairs: DataFrame, one: list[Column], two: list[Column], *more: str) -> DataFrame:
+    """A row from each side of unordered pairs: the columns `one`, seen from the other side `two`; one row for a token with itself."""
+    sides = F.when(F.col("one") == F.col("two"), F.array(F.struct(*one))).otherwise(F.array(F.struct(*one), F.struct(*two)))
+    return pairs.select(F.explode(sides).alias("s_"), *more).select("s_.*", *more)
 
-def token_vectors(met: DataFrame) -> DataFrame:
-    """term, vec: the model of cooccurrences(). A token that meets others no more often than by chance has no vector."""
-    totals = met.groupBy("term").agg(F.sum("n").alias("t"))
+
+def cooccurrences(docs: DataFrame, text: str, window: int = WINDOW) -> DataFrame:
+    """term, other, n: how often two tokens stand at most `window` places apart, in both orders."""
+    one, two = F.col("one"), F.col("two")
+    return _both(_pairs(docs, text, window), [one.alias("term"), two.alias("other")], [two.alias("term"), one.alias("other")], "n")
+
+
+def _index_vector(term: str) -> Column:
+    """A term's index vector in one number: for each of its NONZERO entries 6 bits of a place and a bit for the sign."""
+    digest = F.md5(term)
+    place = [F.pmod(F.conv(F.substring(digest, 2 * m + 1, 2), 16, 10).cast("int"), F.lit(DIMS)) for m in range(NONZERO)]
+    return sum((F.shiftleft(place[m] + F.when(F.substring(digest, 9 + m, 1) < "8", DIMS).otherwise(0), 7 * m) for m in range(NONZERO)), F.lit(0))
+
+
+def _unit(terms: pa.Array, wide: np.ndarray) -> pa.RecordBatch:
+    """term, vec: scaled to length 1, left out where nothing is left."""
+    length = np.sqrt((wide * wide).sum(1))
+    kept = np.flatnonzero(length > 1e-9)
+    vec = pa.FixedSizeListArray.from_arrays(pa.array((wide[kept] / length[kept, None]).ravel()), DIMS).cast(pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([terms.take(pa.array(kept)), vec], names=["term", "vec"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of rows (term, index, w) in order of term. A term's rows may go on over many batches; its sums are all that is held."""
+    term, sums = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        code, index, w = b.column("term").dictionary_encode(), b.column("index").to_numpy(), b.column("w").to_numpy()
+        names, at, wide = code.dictionary, code.indices.to_numpy().astype(np.int64) * DIMS, 0.0
+        for m in range(NONZERO):
+            entry = index >> 7 * m
+            wide += np.bincount(at + (entry & DIMS - 1), np.where(entry & DIMS, w, -w), len(names) * DIMS)
+        wide = wide.reshape(-1, DIMS)
+        if term is not None and names[0].as_py() == term:
+            wide[0] += sums
+        elif term is not None:
+            yield _unit(pa.array([term]), sums[None])
+        term, sums = names[-1].as_py(), wide[-1].copy()
+        yield _unit(names[:-1], wide[:-1])
+    if term is not None:
+        yield _unit(pa.array([term]), sums[None])
+
+
+def token_vectors(pairs: DataFrame) -> DataFrame:
+    """term, vec: the model of pairs as _pairs() gives them. A token that meets others no more often than by chance has no vector.
+
+    Chance and counts are the same from both sides of a pair, so pairs are joined once each; index vectors are made once a term."""
+    one, two = F.col("one"), F.col("two")
+    totals = _both(pairs, [one.alias("term")], [two.alias("term")], "n").groupBy("term").agg(F.sum("n").alias("t"))
+    totals = written(totals.withColumn("index", _index_vector("term")), "totals")
     whole = totals.agg(F.sum("t").alias("all"))  # one row
     pmi = F.log(F.col("n").cast("double") * F.col("all") / (F.col("t").cast("double") * F.col("o")))
-    kept = met.join(totals, "term").join(totals.select(F.col("term").alias("other"), F.col("t").alias("o")), "other").crossJoin(F.broadcast(whole)).select("term", "other", pmi.alias("w")).where("w > 0")
-    kept = kept.repartition("term")  # dealt by term before a row becomes NONZERO ones, so that these stay where they are
-    digest = F.md5("other")
-    entries = F.array(*[F.struct(F.pmod(F.conv(F.substring(digest, 2 * m + 1, 2), 16, 10).cast("int"), F.lit(DIMS)).alias("d"), F.when(F.substring(digest, 9 + m, 1) < "8", 1.0).otherwise(-1.0).alias("s")) for m in range(NONZERO)])
-    sums = kept.select("term", "w", F.explode(entries).alias("e")).groupBy("term", "e.d").agg(F.sum(F.col("w") * F.col("e.s")).alias("v"))
-    # DIMS entries a term at most
-    wide = sums.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m")).select("term", F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda d: F.coalesce(F.col("m")[d], F.lit(0.0))).alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return wide.withColumn("length", length).where("length > 1e-9").select("term", F.transform("v", lambda x: x / F.col("length")).alias("vec"))
+    sides = [totals.select(F.col("term").alias(name), F.col("t").alias(t), F.col("index").alias(index)) for name, t, index in (("one", "t", "i"), ("two", "o", "j"))]
+    kept = pairs.join(sides[0], "one").join(sides[1], "two").crossJoin(F.broadcast(whole)).select("one", "two", "i", "j", pmi.alias("w")).where("w > 0")
+    kept = _both(kept, [one.alias("term"), F.col("j").alias("index")], [two.alias("term"), F.col("i").alias("index")], "w")
+    return kept.repartition("term").sortWithinPartitions("term").mapInArrow(_summed, "term string, vec array<double>")
 
 
 def fit(docs: DataFrame, text: str, window: int = WINDOW) -> DataFrame:
-    return token_vectors(written(cooccurrences(docs, text, window), "cooccurrences"))
+    return token_vectors(written(_pairs(docs, text, window), "pairs"))
 
 
 def _batched(texts: DataFrame, keys: list[str], columns: list[str], model: DataFrame, run: Callable[[pa.Table, list[pa.Array], pa.Array, np.ndarray], dict], out: str) -> DataFrame:
