@@ -32,7 +32,7 @@ from .common import materialise, slices
 from .tokens import encoder, with_end
 
 BLOCK = 2048  # ids of a block
-LANES = 2048  # blocks coded side by side
+LANES = 2048  # blocks coded side by side, half as many more at most
 CHUNK = 4_000_000  # ids after which a chunk is closed
 SLOTS = 1024  # a power of two
 BITS = 24  # of the coder's total
@@ -40,7 +40,7 @@ TOTAL = 1 << BITS
 ROOM = TOTAL - (TOTAL >> 3)  # what orders 1 and 2 have at most
 CONF = 8  # confidences; the last one says that a slot is empty
 FREQ = 18  # bits of the header's total
-_LOW, _W, _BITS = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(BITS)
+_LOW, _W, _BITS, _ONE, _FIVE = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(BITS), np.uint64(1), np.uint64(5)
 GROUP = 16  # steps of the writer whose shares are computed together
 
 
@@ -66,12 +66,17 @@ class _Header:
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple["_Header", np.ndarray]:
         """The header, and the ids as places in it."""
-        if int(ids.max()) < 1 << 24:  # the same by a table
-            every = np.bincount(ids)
+        if (top := int(ids.max())) < 1 << 24:  # the same by a table, some ids at a time
+            every, places = np.zeros(top + 1, np.int64), np.empty(len(ids), np.int32)
+            step = max(1 << 16, top)
+            for s in range(0, len(ids), step):
+                few = np.bincount(ids[s : s + step])
+                every[: len(few)] += few
             names = np.flatnonzero(every)
             count, place = every[names], np.zeros(len(every), np.int32)
             place[names] = np.arange(len(names))
-            places = place.take(ids)
+            for s in range(0, len(ids), step):
+                places[s : s + step] = place.take(ids[s : s + step])
         else:
             names, places, count = np.unique(ids, return_inverse=True, return_counts=True)
         total = 1 << max(FREQ, len(names).bit_length() + 1)
@@ -108,6 +113,8 @@ def _taken(start: np.ndarray, width: np.ndarray, by: np.ndarray, begin: np.ndarr
 #: Where weights go after a miss and after a hit (8 more), by confidence: an empty slot's weight stays nothing.
 _AIM = np.repeat([4096, TOTAL - 4096], CONF)
 _AIM[CONF - 1 :: CONF] = 0
+#: The model's own order, hits before misses: the same, and the confidences that follow.
+_AIM_OF, _NEXT = np.roll(_AIM, CONF), np.append(np.minimum(np.arange(1, CONF + 1), CONF - 2), np.zeros(CONF, np.int64))
 _SHIFT = np.array([[9], [7]], np.uint32)  # of the hashes of order 2 and order 1
 _MASK, _LAST, _BEFORE = np.uint32(SLOTS - 1), np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -121,19 +128,22 @@ class _Weights:
         self.row = np.arange(2 * n).reshape(2, n) * CONF
 
     def learn(self, which: np.ndarray, now: np.ndarray, aim: np.ndarray) -> None:
-        moved = aim - now
-        moved >>= 4
-        moved += now
-        self.flat[which] = moved
+        """aim is overwritten."""
+        aim -= now
+        aim >>= 4
+        aim += now
+        self.flat[which] = aim
 
 
 class _Model:
     """The state of n blocks: what their slots guess, order 2 before order 1. A slot holds (id + 1) * CONF + confidence."""
 
-    def __init__(self, n: int):
-        self.slots = np.full(2 * n * SLOTS, CONF - 1, np.int32)
+    def __init__(self, n: int, kind: type = np.int32):
+        self.slots = np.full(2 * n * SLOTS, CONF - 1, kind)
+        self.next = _NEXT.astype(kind)
         self.lane, self.wide = np.arange(n) + np.array([[0], [n * SLOTS]]), np.uint32(n)  # a slot of all blocks lies side by side
         self.weights = _Weights(n)
+        self.given = np.zeros((3, n), np.int64)  # nothing, then what the guesses of order 2 and order 1 have
         self.hash, self.last, self.before = (np.zeros(s, np.uint32) for s in ((2, n), n, n))
 
     def look(self) -> None:
@@ -143,23 +153,29 @@ class _Model:
         spot &= _MASK
         spot *= self.wide
         self.at = spot + self.lane
-        held = self.slots.take(self.at)
-        self.conf = held & CONF - 1
-        held >>= 3
-        held -= 1
-        self.guess = held
+        self.held = self.slots.take(self.at)
+        self.conf = self.held & CONF - 1
+        self.guess = self.held >> 3
+        self.guess -= 1
         self.which = self.weights.row + self.conf
         self.now = self.weights.flat.take(self.which)
-        self.f2, self.f1 = _shares(*self.now, self.guess[0] != self.guess[1])
+        _, f2, f1 = self.given
+        np.multiply(self.now[0], ROOM, out=f2)
+        f2 >>= BITS
+        np.subtract(ROOM, f2, out=f1)
+        f1 *= self.now[1]
+        f1 >>= BITS
+        f1 *= self.guess[0] != self.guess[1]  # the same guess has one share
 
     def learn(self, ids: np.ndarray) -> None:
-        hit = self.guess == ids
-        self.weights.learn(self.which, self.now, _AIM.take(self.conf + (hit.view(np.uint8) << 3)))
-        up = self.conf + 1
-        np.minimum(up, CONF - 2, out=up)
-        up *= hit
-        up += ids + 1 << 3
-        self.slots[self.at] = up
+        new = ids + 1
+        new <<= 3
+        self.held ^= new  # the confidence alone is left of a hit
+        self.conf += CONF
+        state = np.minimum(self.held, self.conf).astype(np.int64)
+        self.weights.learn(self.which, self.now, _AIM_OF.take(state))
+        new = new + self.next.take(state)
+        self.slots[self.at] = new
         self.before = self.last * _BEFORE
         self.last = ids.astype(np.uint32)
 
@@ -170,28 +186,41 @@ def _seen(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     All ids are known, so the rows are sorted by slot instead of being stepped through: a guess is the id that came to the
     same slot before, a confidence the hits in a row up to there."""
     n, size = ids.shape
-    key = np.sort(at << np.uint32(11) | np.arange(size, dtype=np.uint32), axis=1)  # BLOCK places have 11 bits
-    place = (key & np.uint32(2047)).astype(np.int64) + np.arange(n)[:, None] * size
+    key = at << np.uint32(11)
+    key |= np.arange(size, dtype=np.uint32)  # BLOCK places have 11 bits
+    key.sort(axis=1)
+    place = (key & np.uint32(2047)).astype(np.int64)
+    place += np.arange(n)[:, None] * size
+    place = place.ravel()
     key >>= np.uint32(11)
-    came = ids.ravel().take(place)
-    hit = came[:, 1:] == came[:, :-1]
-    hit &= key[:, 1:] == key[:, :-1]
-    step = np.arange(size, dtype=np.int32)
-    miss = np.maximum.accumulate(np.where(hit, np.int32(0), step[1:]), axis=1)
-    out = np.empty((n, size), np.int32)
-    out[:, 0] = CONF - 1
-    held = out[:, 1:]
-    np.add(came[:, :-1], 1, out=held)
+    key[1::2] |= np.uint32(SLOTS)  # a row's first slot isn't the last one of the row before
+    key, came = key.ravel(), ids.ravel().take(place)
+    same = key[1:] == key[:-1]
+    hit = came[1:] == came[:-1]
+    hit &= same
+    hit, same = hit.view(np.uint8), same.view(np.uint8)
+    row = hit.copy()  # hits in a row, up to CONF - 2
+    for _ in range(CONF - 3):
+        more = row[:-1] + np.uint8(1)
+        more *= hit[1:]
+        row[1:] = more
+    state = hit << 3
+    state[1:] |= row[:-1]
+    state *= same
+    state += (CONF - 1) * (1 - same)
+    out = np.empty(n * size, np.int32)
+    out[0] = CONF - 1
+    held = out[1:]
+    np.add(came[:-1], 1, out=held)
+    held *= same.astype(np.int32)
     held <<= 4
-    held += hit.view(np.int8) << 3
-    out[:, 2:] += np.minimum(step[1:-1] - miss[:, :-1], CONF - 2)
-    np.copyto(held, CONF - 1, where=key[:, 1:] != key[:, :-1])
+    held |= state
     back = np.empty(n * size, np.int32)
     back[place] = out
     return back.reshape(n, size)
 
 
-def _foreseen(ids: np.ndarray, rows: int = 16) -> np.ndarray:
+def _foreseen(ids: np.ndarray, rows: int = 32) -> np.ndarray:
     """For each step, order and block what the model will have: 16 * (the guesses differ) + 8 * hit + confidence."""
     n, size = ids.shape
     out = np.empty((size, 2, n), np.uint8)
@@ -203,9 +232,12 @@ def _foreseen(ids: np.ndarray, rows: int = 16) -> np.ndarray:
         before[:, 1:] = last[:, :-1]
         last *= _LAST
         two, one = _seen(some, (last ^ before * _BEFORE) >> _SHIFT[0] & _MASK), _seen(some, last >> _SHIFT[1] & _MASK)
-        differ = (two >> 4 != one >> 4).view(np.uint8) << 4
+        differ = (two ^ one > 15).view(np.uint8) << 4
         for k, x in enumerate((two, one)):
-            out[:, k, s : s + rows] = ((x & 15).astype(np.uint8) | differ).T
+            x = x.astype(np.uint8)
+            x &= 15
+            x |= differ
+            out[:, k, s : s + rows] = x.T
     return out
 
 
@@ -217,16 +249,28 @@ class _Coder:
         self.range = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
     def narrow(self, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The blocks whose next word is settled; where the interval crosses a word's border it is cut there."""
-        self.low += part * start
-        self.range = part * size
-        due = np.flatnonzero(self.range <= _LOW)
-        low, width = self.low.take(due), self.range.take(due)
-        self.word = low >> _W
-        width = np.where((low + width) >> _W != self.word, -low & _LOW, width)
-        width[width == 0] = _LOW  # low lies on the border, the interval behind it
-        self.low[due], self.range[due] = low << _W, width << _W
-        return due
+        """1 for the blocks whose next word is settled, the upper half of `low`; 0 for others. start is overwritten."""
+        start *= part
+        self.low += start
+        np.multiply(part, size, out=self.range)
+        return (self.range <= _LOW).astype(np.uint64)
+
+    def go_on(self, due: np.ndarray) -> np.ndarray:
+        """Move on to the next word where one is settled; where the interval crosses its border it is cut there. By how many bits."""
+        by = due << _FIVE
+        self.low <<= by
+        self.range <<= by
+        self.range -= _ONE
+        np.minimum(self.range, ~self.low, out=self.range)
+        self.range += _ONE
+        return by
+
+
+def _groups(n: int) -> Iterator[slice]:
+    """Blocks coded side by side: few steps of many blocks cost less than many steps of few, so no small rest is left."""
+    k = max(1, (n + LANES // 2) // LANES)
+    for g in range(k):
+        yield slice(n * g // k, n * (g + 1) // k)
 
 
 def _blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,17 +291,16 @@ def encode_ids(ids: np.ndarray) -> bytes:
     out = [header.pack()]
     grid, sizes = _blocks(places)
     names = header.ids.astype("<u4")
-    for at in range(0, len(grid), LANES):
-        g, size = grid[at : at + LANES], sizes[at : at + LANES]
+    for part in _groups(len(grid)):
+        g, size = grid[part], sizes[part]
         n, steps = len(g), int(size.max())
         g = g[:, :steps]
-        ahead, turned = _foreseen(g), np.ascontiguousarray(g.T)
+        ahead = _foreseen(g)
         weights, coder = _Weights(n), _Coder(n)
-        words = np.zeros((n, steps + 2), np.uint32)
-        flat, spot = words.ravel(), np.arange(n) * (steps + 2)
-        first = spot.copy()
+        settled = coder.low.view("<u4")[1::2]  # the upper halves
+        words, due = np.empty((steps, n), np.uint32), np.empty((steps, n), bool)
         for s in range(0, steps, GROUP):
-            some, ids_ = ahead[s : s + GROUP], turned[s : s + GROUP]
+            some, ids_ = ahead[s : s + GROUP], np.ascontiguousarray(g[:, s : s + GROUP].T)
             which, aim, hit = weights.row + (some & CONF - 1), _AIM.take(some & 15), (some & 8) > 0
             w = np.empty(some.shape, np.int64)
             for k in range(len(some)):
@@ -272,18 +315,18 @@ def encode_ids(ids: np.ndarray) -> bytes:
             _taken(start, width, hit2, 0, f2)
             start, width = start.view(np.uint64), width.view(np.uint64)
             for k in range(len(some)):
-                due = coder.narrow(coder.range >> _BITS, start[k], width[k])
-                to = spot.take(due)
-                flat[to] = coder.word
-                spot[due] = to + 1
-        for _ in range(2):
-            flat[spot] = coder.low >> _W
-            spot += 1
-            coder.low = coder.low << _W
-        used = spot - first
+                now = coder.narrow(coder.range >> _BITS, start[k], width[k])
+                words[s + k] = settled
+                due[s + k] = now
+                coder.go_on(now)
+        rest = np.stack([coder.low >> _W, coder.low & _LOW], axis=1).astype("<u4")
+        # the settled words of one block after another
+        at = np.flatnonzero(np.ascontiguousarray(due.T))
+        used = np.bincount(at // steps, minlength=n)
+        words, to = words.ravel().take(at % steps * n + at // steps).astype("<u4"), np.cumsum(used)
         for k in range(n):
-            coded = words[k, : used[k]].astype("<u4").tobytes()
-            out.append(struct.pack("<III", size[k], used[k], zlib.crc32(coded, zlib.crc32(names[g[k, : size[k]]].tobytes()))) + coded)
+            coded = words[to[k] - used[k] : to[k]].tobytes() + rest[k].tobytes()
+            out.append(struct.pack("<III", size[k], used[k] + 2, zlib.crc32(coded, zlib.crc32(names[g[k, : size[k]]].tobytes()))) + coded)
     return b"".join(out)
 
 
@@ -299,34 +342,50 @@ def decode_ids(data: bytes) -> np.ndarray:
         heads.append((size, used, crc, at + 12))
         at += 12 + 4 * used
     out = []
-    for first in range(0, len(heads), LANES):
-        some = heads[first : first + LANES]
+    both = np.array([[0], [1]])
+    kind = np.uint16 if len(header.ids) < (1 << 16) // CONF - 1 else np.int32  # of a slot; half as wide where few ids are different
+    for group in _groups(len(heads)):
+        some = heads[group]
         n, steps = len(some), max(h[0] for h in some)
         wide = max(h[1] for h in some) + 2
         words = np.zeros((n, wide), np.uint32)
         for k, (_, used, _, p) in enumerate(some):
             words[k, :used] = np.frombuffer(data, "<u4", used, p)
-        model, coder = _Model(n), _Coder(n)
+        model, coder = _Model(n, kind), _Coder(n)
+        _, f2, f1 = model.given
+        by2, by1 = model.given[:2], model.given[1:]  # start and width of what order 2 and order 1 have
         code = words[:, 0].astype(np.uint64) << _W | words[:, 1]
         flat, spot = words.ravel(), np.arange(n) * wide + 2
-        places = np.zeros((steps, n), np.int32)
-        for t in range(steps):
+        places = np.zeros((steps, n), kind)
+        for got in places:
             model.look()
-            f2, f1 = model.f2, model.f1
             base = f2 + f1
+            rest = TOTAL - base
             part = coder.range >> _BITS
-            v = ((code - coder.low) // part).view(np.int64)
+            v = code - coder.low
+            v //= part
+            v = v.view(np.int64)
+            by_model, by_two = v < base, v < f2
+            v -= base
+            v <<= header.bits
+            v += (1 << header.bits) - 1
             # places out of range come from damaged words alone, or where a guess is taken: they are clipped
-            got = whose.take(((v - base + 1 << header.bits) - 1) // (TOTAL - base), mode="clip").astype(np.int32)
-            start, width = header.share(got, base)
-            for taken, guess, begin, share in ((v < base, model.guess[1], f2, f1), (v < f2, model.guess[0], 0, f2)):
+            q = v.view(np.uint64) // rest.view(np.uint64)
+            np.copyto(got, whose.take(q.view(np.int64), mode="clip"))
+            share = header.edge.take(got + both)
+            share *= rest
+            share >>= header.bits
+            share[1] -= share[0]
+            share[0] += base
+            for taken, guess, theirs in ((by_model, model.guess[1], by1), (by_two, model.guess[0], by2)):
                 np.copyto(got, guess, where=taken)
-                _taken(start, width, taken, begin, share)
-            places[t] = got
-            due = coder.narrow(part, start.view(np.uint64), width.view(np.uint64))
-            to = spot.take(due)
-            code[due] = code.take(due) << _W | flat.take(to, mode="clip")
-            spot[due] = to + 1
+                np.copyto(share, theirs, where=taken)
+            due = coder.narrow(part, *share.view(np.uint64))
+            code <<= coder.go_on(due)
+            word = flat.take(spot, mode="clip")
+            spot += due.view(np.int64)
+            due *= word
+            code |= due
             model.learn(got)
         turned = np.ascontiguousarray(places.T)
         for k, (size, used, crc, p) in enumerate(some):

@@ -55,3 +55,26 @@ def test_words_with_one_sum_are_told_apart(monkeypatch):
     e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for t in ("one two three", "three two one", "two two four one"):
         assert e.encode([t])[0].tolist() == e.lib.encode(t, add_special_tokens=False).ids
+
+
+def test_no_small_rest_of_blocks_is_coded_alone():
+    for n in (1, 295, 2048, 2343, 3071, 3072, 5000):
+        groups = [range(n)[g] for g in idfile._groups(n)]
+        assert [k for g in groups for k in g] == list(range(n)) and max(map(len, groups)) <= idfile.LANES * 3 // 2
+        assert len(groups) == 1 or min(map(len, groups)) >= idfile.LANES * 3 // 4
+
+
+@pytest.mark.parametrize("different", [300, 8190, 8191, 9000])
+def test_slots_are_as_wide_as_the_ids_need(different, monkeypatch):
+    kinds = []
+
+    class Model(idfile._Model):
+        def __init__(self, n, kind):
+            kinds.append(kind)
+            super().__init__(n, kind)
+
+    monkeypatch.setattr(idfile, "_Model", Model)
+    r = np.random.default_rng(different)
+    ids = np.concatenate([np.arange(different), np.repeat(r.integers(0, different, 900), 4), r.permutation(different), [different - 1] * 9]).astype(np.uint32)
+    assert np.array_equal(idfile.decode_ids(idfile.encode_ids(ids)), ids)
+    assert kinds == [np.uint16 if different < 8191 else np.int32]
