@@ -33,14 +33,15 @@ def _bytes(chars: str) -> np.ndarray:
 
 _IS_SIGN, _IS_LETTER = _bytes(".,;:!?%$#&*()\n"), _bytes("".join(chr(c) for c in range(128) if chr(c).isalpha()))
 _IS_FULL = _bytes("".join(chr(c) for c in range(1, 128) if not chr(c).isspace()))
+_SIGN_TABLE = _IS_SIGN.view(np.uint8).tobytes()
 _LEADS = (np.arange(256) >= 0xC3) & (np.arange(256) <= 0xDF)  # two bytes, U+00C0 to U+07FF: no white space among these
 
 
-def _starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where in the UTF-8 bytes of texts without a space beside white space the pieces start: at such places as _CUT names,
+def _starts(raw: np.ndarray, off: np.ndarray, data: bytes) -> np.ndarray:
+    """Where in the UTF-8 bytes (twice: raw, data) of texts without a space beside white space the pieces start: at such places as _CUT names,
     though not behind each line break that stands beside letters beyond U+07FF."""
     mark = np.append(raw == 32, True)
-    at = np.flatnonzero(_IS_SIGN.take(raw))
+    at = np.flatnonzero(np.frombuffer(data.translate(_SIGN_TABLE), bool))
     at = at[at > 1]  # what stands at the very first place starts a text anyway
     one, two = raw[at - 1], raw[at - 2]
     wide = (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)
@@ -96,17 +97,20 @@ class Encoder:
         keep = np.flatnonzero(uses > 1)
         if len(keep) > CACHE_WORDS // 2:
             keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: CACHE_WORDS // 2]])
-        words, ids, lens = self.words.take(pa.array(keep)), self._ids(keep), self.count[keep]
+        words, ids, lens = self.words.take(pa.array(keep)), self._ids(keep)[0], self.count[keep]
         self._reset()
         self._keep(words, ids, lens)
         sums = _sums(words)
         self.of = np.argsort(sums)
         self.sums = sums[self.of]
 
-    def _ids(self, at: np.ndarray) -> np.ndarray:
-        """The ids of the words at these places, one after another."""
-        lens = self.count[at]
-        return self.flat[np.repeat(self.start[at] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, one after another, and the boundaries between the words."""
+        lens, to = self.count.take(at), np.zeros(len(at) + 1, np.int64)
+        np.cumsum(lens, out=to[1:])
+        where = np.repeat(self.start.take(at) - to[:-1], lens)
+        where += np.arange(len(where))
+        return self.flat.take(where), to
 
     def _keep(self, words: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
         n0, n1, total = len(self.words), len(self.words) + len(words), len(ids)
@@ -126,7 +130,9 @@ class Encoder:
         """The places of pieces that are remembered, -1 for others: found by their sums, then compared."""
         place = np.full(len(names), -1)
         if len(self.sums):
-            at = np.minimum(np.searchsorted(self.sums, sums), len(self.sums) - 1)
+            order, at = np.argsort(sums), np.empty(len(sums), np.int64)
+            at[order] = np.searchsorted(self.sums, sums[order])  # in order, so neighbours are looked up where the last one was
+            np.minimum(at, len(self.sums) - 1, out=at)
             known = np.flatnonzero(self.sums[at] == sums)
             found = self.of[at[known]]
             same = pc.equal(self.words.take(pa.array(found)), names.take(pa.array(known))).to_numpy(zero_copy_only=False)
@@ -178,11 +184,13 @@ class Encoder:
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > CACHE_WORDS:
             self._thin()
+        raw, off = utf8(texts)
+        data = raw.tobytes()
         plain = pc.invert(pc.match_substring_regex(texts, _PLAIN))
         for s in self.special:
-            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, s)))
-        raw, off = utf8(texts)
-        mark = _starts(raw, off)
+            if s.encode() in data:
+                plain = pc.and_(plain, pc.invert(pc.match_substring(texts, s)))
+        mark = _starts(raw, off, data)
         for k in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
             t, at = texts[k].as_py(), off[k]
             mark[at + 1 : off[k + 1]] = False
@@ -203,8 +211,8 @@ class Encoder:
             self.sums, self.of = np.insert(self.sums, at, sums[new]), np.insert(self.of, at, place[new])
         self.uses[place] += 1
         at = place[code]
-        to = np.concatenate([[0], np.cumsum(self.count[at])])
-        return self._ids(at), to[np.searchsorted(start, off)]
+        ids, to = self._ids(at)
+        return ids, to[np.searchsorted(start, off)]
 
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the n+1 boundaries between the texts. None is the empty text."""

@@ -78,3 +78,17 @@ def test_slots_are_as_wide_as_the_ids_need(different, monkeypatch):
     ids = np.concatenate([np.arange(different), np.repeat(r.integers(0, different, 900), 4), r.permutation(different), [different - 1] * 9]).astype(np.uint32)
     assert np.array_equal(idfile.decode_ids(idfile.encode_ids(ids)), ids)
     assert kinds == [np.uint16 if different < 8191 else np.int32]
+
+
+def test_the_encoder_looks_for_specials_once_a_slice(monkeypatch):
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def refuse(*_):
+        raise AssertionError("every text is searched")
+
+    monkeypatch.setattr(tokens.pc, "match_substring", refuse)
+    monkeypatch.setattr(e, "_learn", lambda new, learn=e._learn: (monkeypatch.undo(), learn(new))[1])
+    for texts in ([], [None], [""], ["one two", "", None, "three. four"]):
+        ids, to = e.encode(texts)
+        for k, t in enumerate(texts):
+            assert ids[to[k] : to[k + 1]].tolist() == e.lib.encode(t or "", add_special_tokens=False).ids
