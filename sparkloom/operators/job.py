@@ -57,8 +57,7 @@ def prefix_neighbours(facts: DataFrame, keys: list[str] = KEYS, k: int = NEIGHBO
     time gives. What is asked is the fact's content, what is searched are the indexed documents; a fact is indexed before it
     asks, so it is among its own candidates. only: (keys, node_id) of the facts that ask, if not all do."""
     docs = facts.select(*keys, "node_id", "content", F.col("node_seq").alias("at"), T.index_document("content", "context", "keywords", "tags").alias("doc"))
-    docs = docs.withColumns({"asks_": T.hash_embedding("content"), "has_": T.hash_embedding("doc")})
-    both = bm25.prefix_scores(docs, keys, "node_id", "at", "doc", "content", only, ("asks_", "has_"), retrieval.ALPHA, k)
+    both = bm25.prefix_scores(docs, keys, "node_id", "at", "doc", "content", only, (T.hash_embedding("content"), T.hash_embedding("doc")), retrieval.ALPHA, k)
     scored = both.withColumn("cosine", F.round(2 * F.col("dense") - 1, 9))
     scored = scored.withColumn("score", F.round(retrieval.ALPHA * (F.col("cosine") + 1) / 2 + (1 - retrieval.ALPHA) * F.col("sparse"), 9))
     return retrieval.top_k(scored, [*keys, "query"], "score", "other_seq", k).select(*keys, F.col("query").alias("node_id"), "other", "rank", "cosine")

@@ -43,3 +43,44 @@ def test_postings_of_the_index_are_not_shuffled(spark, corpora):
     plan = bm25.weights(spark.createDataFrame(corpora, "s string, node long, body string"), K, "node", "body")._jdf.queryExecution().executedPlan().toString()
     shuffles = [x for x in plan.splitlines() if "Exchange" in x]
     assert len(shuffles) == 1 and "term" not in shuffles[0]
+
+
+def texts(n: int, r: random.Random) -> list[tuple[int, str, str | None]]:
+    """(document, text, what of it is asked)."""
+    out = []
+    for i in range(n):
+        words = [r.choice("abcdefghijkl") for _ in range(r.randint(0, 12))]
+        out.append((i, " ".join(words), None if r.random() < 0.1 else " ".join(words[: r.randint(0, 12)])))
+    return out
+
+
+@pytest.mark.parametrize("rows", [(512, 1024), (4, 1024), (2, 3), (5, 7)])
+def test_prefixes_answer_what_is_asked(spark, monkeypatch, rows):
+    monkeypatch.setattr(bm25, "ASKS", rows[0])
+    monkeypatch.setattr(bm25, "HAS", rows[1])
+    r = random.Random(8)
+    docs = [(s, *x) for s, n in (("x", 17), ("y", 2), ("z", 5)) for x in texts(n, r)]
+    df = spark.createDataFrame(docs, "s string, doc long, body string, ask string").selectExpr("*", "-doc AS seq", "array(doc % 3 + 1, 1) AS v")
+    asking = {(s, i) for s, i, *_ in docs if i % 3 != 1}
+    only = spark.createDataFrame([*asking, ("nowhere", 1)], "s string, doc long")
+    some = bm25.prefix_scores(df, K, "doc", "seq", "body", "ask", only, ("v", "v"), 0.5).collect()
+    every = bm25.prefix_scores(df, K, "doc", "seq", "body", "ask").collect()
+    want = {}
+    for s, i, _, ask in docs:
+        upto = [x for x in docs if x[0] == s and x[1] >= i]  # in order of seq, which falls
+        w = index([x[1:3] for x in upto])
+        want |= {(s, i, x[1]): sum(w.get((t, x[1]), 0.0) for t in (ask or "").split()) for x in upto}
+    assert {(x["s"], x["query"], x["other"]): pytest.approx(x["bm25"], abs=1e-9) for x in every} == want and len(every) == len(want)
+    assert {(x["s"], x["query"], x["other"]): pytest.approx(x["bm25"], abs=1e-9) for x in some} == {k: v for k, v in want.items() if k[:2] in asking}
+    assert all(x["other_seq"] == -x["other"] for x in every)
+    cos = lambda a, b: (a * b + 1) / math.hypot(a, 1) / math.hypot(b, 1)
+    assert all(x["dense"] == pytest.approx((cos(x["query"] % 3 + 1, x["other"] % 3 + 1) + 1) / 2) for x in some)
+
+
+def test_prefixes_shuffle_texts_once_and_no_posting(spark, sf):
+    from sparkloom.operators import job
+    from sparkloom.plans import model
+
+    plan = job.prefix_neighbours(model.facts(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x for x in plan.splitlines() if "Exchange" in x]
+    assert len(shuffles) == 2 and not any(x in plan for x in ("prefix-terms", "prefix-postings", "Join"))
