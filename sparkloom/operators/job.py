@@ -68,8 +68,11 @@ def evolution_prompt(note: Column | str, neighbours: Column | str) -> Column:
 
 
 def offline_links(near: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """The offline decision: a fact is linked both ways with those of its neighbours that are alike enough; not with itself."""
-    return graph.both_ways(near.where(F.col("cosine") >= ALIKE).select(*keys, F.col("node_id").alias("src"), F.col("other").alias("dst"))).distinct()
+    """The offline decision: a fact is linked both ways with those of its neighbours that are alike enough; not with itself.
+    Both ways come of one row, so neighbours are found once."""
+    way = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    alike = near.where((F.col("cosine") >= ALIKE) & (F.col("node_id") != F.col("other")))
+    return alike.select(*keys, F.inline(F.array(way("node_id", "other"), way("other", "node_id")))).distinct()
 
 
 def decided(near: DataFrame, facts: DataFrame, backend: str, **settings) -> tuple[DataFrame, DataFrame]:

@@ -84,3 +84,12 @@ def test_prefixes_shuffle_texts_once_and_no_posting(spark, sf):
     plan = job.prefix_neighbours(model.facts(spark, sf))._jdf.queryExecution().executedPlan().toString()
     shuffles = [x for x in plan.splitlines() if "Exchange" in x]
     assert len(shuffles) == 2 and not any(x in plan for x in ("prefix-terms", "prefix-postings", "Join"))
+
+
+def test_links_find_neighbours_once(spark, sf):
+    from sparkloom.operators import job
+    from sparkloom.plans import model
+
+    links = job.offline_links(job.prefix_neighbours(model.facts(spark, sf)))
+    assert links.columns == ["sample_id", "src", "dst"]
+    assert links._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
